@@ -16,6 +16,8 @@ text.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,16 +74,18 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in benchmark_blocks(benchmark, BLOCK_BYTES):
         shared = docs.sparkSession.sparkContext.broadcast(Patterns(items, Q, PIECE, RATE))
 
-        @F.pandas_udf("boolean")
-        def leaks(text: "pd.Series", shared=shared) -> "pd.Series":  # noqa: F821
-            import pandas as pd
+        clean = clean.where(~_leaks(shared)(F.col("text").cast("string")))
+    return clean
 
-            out = pd.Series(False, index=range(len(text)))
-            out[shared.value.find(pa.array(text, pa.large_string(), from_pandas=True))[0]] = True
-            return out
 
-        clean = clean.where(~leaks(F.col("text").cast("string")))
-    return clean
+def _leaks(shared):
+    @F.pandas_udf("boolean")
+    def leaks(text: pd.Series) -> pd.Series:
+        found = np.zeros(len(text), bool)
+        found[shared.value.find(pa.array(text, pa.large_string(), from_pandas=True))[0]] = True
+        return pd.Series(found)
+
+    return leaks
 
 
 def brute_force(rows: list[tuple[int, str | None]], items: list[tuple[int, str]], q: int = Q, piece: int = PIECE, rate: float = RATE) -> set[tuple[int, int]]:

@@ -18,6 +18,7 @@ table without both labels gives the share of label 1 (0 if there are none) as ev
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,9 +212,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFr
     model = train(docs, labels)
 
     @F.pandas_udf("double")
-    def rate(text: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def rate(text: pd.Series) -> pd.Series:
         return pd.Series(model.score(pa.array(text, pa.large_string(), from_pandas=True)))
 
     return docs.where(rate(F.col("text").cast("string")) < limit)
