@@ -7,9 +7,12 @@ from orrery.llm.decontamination import op2_decontamination
 from orrery.llm.license_scan import op7_license_scan
 from orrery.llm.mixing import OP8_SQL, op8_mixing
 from orrery.llm.near_dedup import op9_near_dedup
+from orrery.llm.neighbours import op4_nearest
+from orrery.llm.pii import op6_pii
 from orrery.llm.sharding import op10_sharding
 from orrery.llm.substring_dedup import op1_substring_dedup
 from orrery.llm.toxicity import op3_toxicity
+from orrery.llm.url_filter import OP5_SQL, op5_url_filter
 
 
 def queries() -> dict:
@@ -17,6 +20,9 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
+        "op4_nearest": op4_nearest,
+        "op5_url_filter": op5_url_filter,
+        "op6_pii": op6_pii,
         "op7_license_scan": op7_license_scan,
         "op8_mixing": op8_mixing,
         "op9_near_dedup": op9_near_dedup,
@@ -26,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL}
+    return {"op5_url_filter": OP5_SQL, "op8_mixing": OP8_SQL}
