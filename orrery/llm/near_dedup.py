@@ -8,7 +8,10 @@ least: 0.9993 at s = 0.8, 1 - 1e-6 at 0.9.
 Candidates are confirmed on full sets, fetched as texts of the pairs alone. Equal sets are one class from the start.
 Links between classes are looked for until no bucket holds two components whose members were not compared: first each
 class with the least class that it shares a bucket with, then the members of a bucket with its least and with its
-greatest member of another component, and what is left in full. Pairs inside a component are not compared, as no answer
+greatest member of another component. What is left is compared in full: pair by pair in buckets of at most DENSE
+classes, so that pairs stay in proportion to rows, and block by block in larger ones, whose texts resemble each other
+just below the limit. There each pair of blocks is one product of incidence matrices in one task, which returns a
+spanning forest of its links; pairs are never rows. Pairs inside a component are mostly not compared, as no answer
 depends on them, so a large group of near copies costs about one comparison a member.
 
 Cases: texts without words, and null texts, have an empty set and are linked with nothing; a row with a null doc_id is
@@ -28,6 +31,7 @@ from orrery.llm._store import Scratch
 
 WORDS, PERCENT, GROUPS, ROWS = 5, 80, 14, 3
 BATCH = 4 << 20
+DENSE, BLOCK = 24, 128
 
 
 def _sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +111,44 @@ def confirm(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) -> D
     return left.join(own.select(F.col("_id").alias("b"), F.col("_t").alias("_tb")), "b").mapInArrow(check, "a long, b long").distinct()
 
 
+def dense_links(rows: DataFrame, texts: DataFrame, n_words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links that connect what is similar among classes of large buckets. rows: key, class. Classes that large buckets
+    connect are one cluster; each cluster is cut into blocks of about BLOCK classes, and each two blocks meet once."""
+    hub = rows.groupBy("key").agg(F.min("class").alias("b"))
+    clusters = components(rows.join(hub, "key").where("class != b").select(F.col("class").alias("a"), "b").distinct(), scratch)
+    size = clusters.groupBy("comp").agg(F.count("*").alias("_n"))
+    dealt = clusters.join(size, "comp").select(F.col("comp").alias("_cluster"), F.col("node").alias("_id"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_nb"))
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int"))
+    own = texts.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    met = own.join(dealt, "_id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    met = met.select("_cluster", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_id", "text")
+
+    def meet(table: pa.Table) -> pa.Table:
+        sets, at = _sets(table["text"].combine_chunks().cast(pa.large_string()), n_words)
+        ids, count = table["_id"].to_numpy(), np.diff(at)
+        _, column = np.unique(sets, return_inverse=True)
+        row = np.repeat(np.arange(len(ids)), count)
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        for k in range(0, int(column.max(initial=-1)) + 1, 1 << 14):
+            own = (column >= k) & (column < k + (1 << 14))
+            part = np.zeros((len(ids), 1 << 14), np.float32)
+            part[row[own], column[own] - k] = 1
+            both += part @ part.T
+        union = count[:, None] + count[None, :] - both
+        x, y = np.nonzero(np.triu((100 * both >= percent * union) & (both > 0), 1))
+        root = np.arange(len(ids))
+        for i, j in zip(x.tolist(), y.tolist()):
+            while root[i] != i:
+                i = root[i]
+            while root[j] != j:
+                j = root[j]
+            root[max(i, j)] = min(i, j)
+        linked = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[linked]), "b": pa.array(ids[root[linked]])})
+
+    return met.groupBy("_cluster", "_i", "_j").applyInArrow(meet, "a long, b long").where("a != b").distinct()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of every node in links (a, b): comp is the least node reachable. Labels spread over links and jump
     to their label's label, so the rounds grow with the logarithm of a component's diameter."""
@@ -154,8 +196,12 @@ def find_components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
         scratch.drop(buckets)
         buckets = left.select("key", "class", "n_shingles")
         if choose == "all":
-            other = left.toDF("key", "class_b", "n_b", "comp_b")
-            found = left.join(other, "key").where("comp < comp_b")
+            counted = left.withColumn("_n", F.count("*").over(bucket))
+            large = scratch.keep(counted.where(F.col("_n") > DENSE).select("key", "class"))
+            if not large.isEmpty():
+                links = scratch.keep(links.union(dense_links(large, docs, n_words, percent, scratch)))
+            left = counted.where(F.col("_n") <= DENSE).drop("_n")
+            found = left.join(left.toDF("key", "class_b", "n_b", "comp_b"), "key").where("comp < comp_b")
         else:
             end = getattr(F, choose)
             ends = left.groupBy("key").agg(end(F.struct("class", "n_shingles", "comp")).alias("e")).select("key", F.col("e.class").alias("class_b"), F.col("e.n_shingles").alias("n_b"), F.col("e.comp").alias("comp_b"))
