@@ -1,9 +1,287 @@
-"""Queries of the retrieval engine by name, with DuckDB SQL for each that SQL can express."""
+"""Queries of the retrieval engine by name, with DuckDB SQL for each that SQL can express.
+
+Scores are ranked unrounded and rounded to 6 places in the last projection.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from orrery.functions import paths, vectors
+from orrery.operators import metrics, ranking, reconcile, stats
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _vector(spark, sf_dir, vec_id: int = 0):
+    row = _read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
+    return [float(x) for x in row.embedding]
+
+
+def _round(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def topk_threshold(spark, sf_dir):
+    found = ranking.search(_read(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 5, 0.25, exclude=F.col("vec_id") == 0)
+    return _round(found, "score")
+
+
+def topk_exhaustive(spark, sf_dir):
+    found = ranking.search(_read(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 10, -1.0, exclude=F.col("vec_id") == 0)
+    return _round(found, "score")
+
+
+def _batch(spark, sf_dir, k=10, dims=None, threshold=-1.0):
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding" if dims is None else F.slice("embedding", 1, dims).alias("embedding"))
+    return ranking.batch_search(rows, rows.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), k, threshold)
+
+
+def knn_batch(spark, sf_dir):
+    return _round(_batch(spark, sf_dir), "score")
+
+
+def full_ranking(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = rows.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))  # three rows
+    return _round(ranking.full_ranking(scored.select("query_id", "vec_id", vectors.dot(F.col("q"), F.col("embedding")).alias("score"))), "score")
+
+
+def vector_stats(spark, sf_dir):
+    e = F.col("embedding")
+    return _round(_read(spark, sf_dir, "embeddings").select("vec_id", F.size(e).cast("long").alias("dim"), vectors.norm(e).alias("norm"), vectors.finite(e).alias("finite"), (F.abs(vectors.norm(e) - 1) <= 1e-3).alias("stored")), "norm")
+
+
+def l2_normalize(spark, sf_dir):
+    scaled = F.transform("embedding", lambda x: (x * 3).cast("float"))
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", vectors.normalise(scaled, 64).alias("unit"))
+    return rows.select("vec_id", F.round(F.element_at("unit", 1).cast("double"), 5).alias("first_value"), F.round(vectors.norm(F.col("unit")), 5).alias("norm"))
+
+
+def invalid_vectors(spark, sf_dir):
+    broken = F.when(F.col("vec_id") % 10 == 0, F.transform("embedding", lambda x: (x * 2).cast("float"))).when(F.col("vec_id") % 10 == 1, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    return _read(spark, sf_dir, "embeddings").select("vec_id", broken.alias("embedding")).select("vec_id", vectors.is_stored(F.col("embedding"), 64).alias("valid"))
+
+
+def cached_query_lookup(spark, sf_dir):
+    items = _read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    cache = items.where("item_id % 3 = 0").select("query", F.array(F.lit(1.0)).alias("embedding"))
+    return ranking.lookup(items, cache).select("item_id", "hit")
+
+
+def _snapshots(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    old = docs.where("doc_id % 10 <> 0")
+    new = docs.where("doc_id % 10 <> 1").withColumn("n_chars", F.col("n_chars") + (F.col("doc_id") % 10 == 2).cast("long"))
+    return old, new
+
+
+def reconcile_plan(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return reconcile.plan(new, old, "doc_id", ("n_chars",))
+
+
+def missing_keys(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return reconcile.missing(new, old, "doc_id", ("n_chars",)).select("doc_id", "n_chars")
+
+
+def stale_keys(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return reconcile.only_in(old, new, "doc_id").select("doc_id")
+
+
+def apply_changes(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    upserts = reconcile.missing(new, old, "doc_id", ("n_chars",)).select("doc_id", "n_chars", F.lit("upsert").alias("op"))
+    deletes = reconcile.only_in(old, new, "doc_id").select("doc_id", F.lit(None).cast("long").alias("n_chars"), F.lit("delete").alias("op"))
+    return reconcile.apply_changes(old, upserts.unionByName(deletes), "doc_id").select("doc_id", "n_chars")
+
+
+def chunk_assignment(spark, sf_dir):
+    return reconcile.chunks(_read(spark, sf_dir, "pages").select("page_id", "url"), ["url", "page_id"], 8).select("page_id", "chunk")
+
+
+def extension_filter(spark, sf_dir):
+    ext = paths.extension(paths.url_path(F.col("url")))
+    return _read(spark, sf_dir, "pages").select("page_id", ext.alias("ext"), ext.isin("html", "htm").alias("supported"))
+
+
+def _hits(spark, sf_dir):
+    labels = _read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    asked = labels.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    top = _batch(spark, sf_dir).join(F.broadcast(asked), "query_id").join(labels, "vec_id")  # 20 rows
+    per_label = labels.groupBy("label").agg(F.count("*").alias("c"))
+    relevant = asked.join(per_label, F.col("own") == F.col("label")).select("query_id", (F.col("c") - 1).alias("n"))
+    return top.select("query_id", "rank", "score", (F.col("own") == F.col("label")).alias("hit"), "own"), relevant
+
+
+def recall_at_k(spark, sf_dir):
+    per = metrics.per_query(*_hits(spark, sf_dir))
+    return _round(per.select("query_id", "recall_at_1", "recall_at_5", "recall_at_10"), "recall_at_1", "recall_at_5", "recall_at_10")
+
+
+def ndcg_at_10(spark, sf_dir):
+    return _round(metrics.per_query(*_hits(spark, sf_dir)).select("query_id", "ndcg_at_10"), "ndcg_at_10")
+
+
+def mrr_at_10(spark, sf_dir):
+    return _round(metrics.per_query(*_hits(spark, sf_dir)).select("query_id", "mrr_at_10"), "mrr_at_10")
+
+
+def hit_rates(spark, sf_dir):
+    hits, relevant = _hits(spark, sf_dir)
+    first = relevant.join(hits.where("hit").groupBy("query_id").agg(F.min("rank").alias("rank")), "query_id", "left")
+    return _round(metrics.hit_rates(first), "hit_at_1", "hit_at_5", "hit_at_10")
+
+
+def macro_error_rates(spark, sf_dir):
+    hits, relevant = _hits(spark, sf_dir)
+    over = (F.col("score") >= 0.35).cast("int")
+    judged = hits.groupBy("query_id", F.col("own").alias("intent")).agg((F.max(F.when(~F.col("hit"), over).otherwise(0)) == 1).alias("wrong"), (F.max(over) == 0).alias("none"))
+    return _round(metrics.macro_rates(judged), "absent_false_positive_rate", "present_false_negative_rate")
+
+
+def topk_overlap(spark, sf_dir):
+    return _round(metrics.overlap(metrics.top_lists(_batch(spark, sf_dir)), metrics.top_lists(_batch(spark, sf_dir, dims=32))), "overlap")
+
+
+def topk_agreement(spark, sf_dir):
+    return _round(metrics.agreement(metrics.top_lists(_batch(spark, sf_dir), 1), metrics.top_lists(_batch(spark, sf_dir, dims=32), 1)), "agreement")
+
+
+def _pairs(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings")
+    q = vectors.literal(_vector(spark, sf_dir))
+    cut = lambda e: F.slice(e, 1, 32)
+    return rows.where("vec_id <> 0").select(vectors.dot(F.col("embedding"), q).alias("reference"), vectors.dot(cut(F.col("embedding")), cut(q)).alias("candidate"))
+
+
+def score_delta_stats(spark, sf_dir):
+    return _round(metrics.delta_stats(_pairs(spark, sf_dir)), "mean_delta", "std_delta")
+
+
+def vector_comparison(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings")
+    moved = F.transform("embedding", lambda x: x.cast("double") + 0.001)
+    return _round(metrics.vector_comparison(rows.select(F.col("embedding").cast("array<double>").alias("a"), moved.alias("b"))), "max_abs_error", "min_cosine")
+
+
+def phase_rollup(spark, sf_dir):
+    return stats.phase_rollup(_read(spark, sf_dir, "events"), "event_type", "value").select("phase", F.round("elapsed_ms", 4).alias("elapsed_ms"), "invocations")
+
+
+def percentile_nearest_rank(spark, sf_dir):
+    return _read(spark, sf_dir, "events").groupBy("event_type").agg(*[stats.nearest_rank("value", p / 100).alias(f"p{p}") for p in (50, 90, 95)])
+
+
+def upper_median(spark, sf_dir):
+    return stats.upper_median(_read(spark, sf_dir, "events"), "event_type", "value")
+
+
+def median_change(spark, sf_dir):
+    return _round(stats.median_change(_read(spark, sf_dir, "events"), F.col("event_id") % 2 == 1, "value", ["event_type"]), "change")
+
+
+def index_count(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").agg(F.count("*").alias("n"))
+
+
+def text_fingerprint(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", paths.fingerprint(F.col("text")).alias("sha256"))
+
+
+def has_matches(spark, sf_dir):
+    found = ranking.search(_read(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 1, 0.25, exclude=F.col("vec_id") == 0)
+    return found.agg(F.when(F.count("*") > 0, 0).otherwise(1).cast("long").alias("exit_status"))
+
+
+def bootstrap_change(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").where("event_id < 120").select(F.col("event_type").alias("scenario"), F.when(F.col("event_id") % 2 == 0, "reference").otherwise("candidate").alias("side"), F.col("value").alias("seconds"), "event_id")
+    n = F.row_number().over(Window.partitionBy("scenario", "side").orderBy("event_id"))
+    placed = rows.withColumn("n", n)
+    whole = placed.withColumn("both", F.count("*").over(Window.partitionBy("scenario", "n"))).where("both = 2")  # samples come in pairs
+    return stats.bootstrap(whole.select("scenario", "side", "n", "seconds"))
 
 
 def queries() -> dict:
-    return {}
+    names = (
+        topk_threshold, topk_exhaustive, knn_batch, full_ranking, vector_stats, l2_normalize, invalid_vectors, cached_query_lookup, reconcile_plan, missing_keys, stale_keys, apply_changes,
+        chunk_assignment, extension_filter, recall_at_k, ndcg_at_10, mrr_at_10, hit_rates, macro_error_rates, topk_overlap, topk_agreement, score_delta_stats, vector_comparison, phase_rollup,
+        percentile_nearest_rank, upper_median, median_change, index_count, text_fingerprint, has_matches, bootstrap_change,
+    )
+    return {f.__name__: f for f in names}
+
+
+def _dot(a: str, b: str, n: int = 64) -> str:
+    return f"list_sum(list_transform(range(1, {n + 1}), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
+
+
+_ONE = f"""SELECT e.vec_id, {_dot('e.embedding', 'q.embedding')} AS score
+  FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0"""
+
+
+def _top(threshold: str, k: int) -> str:
+    return f"""SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank
+FROM (SELECT * FROM ({_ONE}) WHERE score >= {threshold} ORDER BY score DESC, vec_id LIMIT {k}) s"""
+
+
+def _knn(n: int = 64, k: int = 10) -> str:
+    return f"""SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id, q.label AS own, e.label, {_dot('q.embedding', 'e.embedding', n)} AS score
+    FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id < 20)) WHERE rank <= {k}"""
+
+
+_OLD = "SELECT doc_id, n_chars FROM documents WHERE doc_id % 10 <> 0"
+_NEW = "SELECT doc_id, n_chars + CASE WHEN doc_id % 10 = 2 THEN 1 ELSE 0 END AS n_chars FROM documents WHERE doc_id % 10 <> 1"
+_MISSING = "SELECT n.doc_id, n.n_chars::BIGINT AS n_chars FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.doc_id = n.doc_id AND o.n_chars = n.n_chars)"
+_PER_QUERY = f"""WITH top AS ({_knn()}), asked AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id < 20),
+relevant AS (SELECT a.query_id, (SELECT count(*) - 1 FROM embeddings e WHERE e.label = a.label) AS n FROM asked a)
+SELECT r.query_id, {{}} FROM relevant r JOIN top t USING (query_id) WHERE n > 0 GROUP BY r.query_id, r.n"""
+_LISTS = lambda n, k: f"SELECT query_id, list(vec_id ORDER BY rank) AS t FROM ({_knn(n, k)}) GROUP BY query_id"
+_DELTA = f"""SELECT {_dot('e.embedding', 'q.embedding')} AS r, {_dot('e.embedding', 'q.embedding', 32)} AS c
+  FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0"""
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {
+        "topk_threshold": _top("0.25", 5),
+        "topk_exhaustive": _top("-1", 10),
+        "knn_batch": f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ({_knn()})",
+        "full_ranking": f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ({_knn(k=1 << 30)}) WHERE query_id < 3",
+        "vector_stats": f"""SELECT vec_id, len(embedding)::BIGINT AS dim, round(n, 6) AS norm, list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AS finite, abs(n - 1) <= 1e-3 AS stored
+            FROM (SELECT *, sqrt({_dot('embedding', 'embedding')}) AS n FROM embeddings)""",
+        "l2_normalize": f"""SELECT vec_id, round(embedding[1]::DOUBLE / n, 5) AS first_value, 1.0::DOUBLE AS norm FROM (SELECT *, sqrt({_dot('embedding', 'embedding')}) AS n FROM embeddings)""",
+        "invalid_vectors": "SELECT vec_id, vec_id % 10 NOT IN (0, 1) AS valid FROM embeddings",
+        "cached_query_lookup": "SELECT b.item_id, c.text IS NOT NULL AS hit FROM benchmark b LEFT JOIN (SELECT text FROM benchmark WHERE item_id % 3 = 0) c USING (text)",
+        "reconcile_plan": f"""WITH old AS ({_OLD}), new AS ({_NEW}) SELECT coalesce(n.doc_id, o.doc_id) AS doc_id,
+            CASE WHEN o.doc_id IS NULL THEN 'missing' WHEN n.doc_id IS NULL THEN 'stale' WHEN n.n_chars = o.n_chars THEN 'same' ELSE 'changed' END AS op FROM new n FULL JOIN old o USING (doc_id)""",
+        "missing_keys": f"WITH old AS ({_OLD}), new AS ({_NEW}) {_MISSING}",
+        "stale_keys": f"WITH old AS ({_OLD}), new AS ({_NEW}) SELECT doc_id FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)",
+        "apply_changes": f"WITH old AS ({_OLD}), new AS ({_NEW}) SELECT doc_id, n_chars::BIGINT AS n_chars FROM new",
+        "chunk_assignment": "SELECT page_id, ((row_number() OVER (ORDER BY url, page_id) - 1) // 8)::BIGINT AS chunk FROM pages",
+        "extension_filter": r"""SELECT page_id, ext, ext IN ('html', 'htm') AS supported FROM (
+            SELECT page_id, lower(regexp_extract(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '[^/]\.([^./]+)$', 1)) AS ext FROM pages)""",
+        "recall_at_k": _PER_QUERY.format(", ".join(f"round(sum(CASE WHEN own = label AND rank <= {k} THEN 1 ELSE 0 END)::DOUBLE / n, 6) AS recall_at_{k}" for k in (1, 5, 10))),
+        "ndcg_at_10": _PER_QUERY.format("round(sum(CASE WHEN own = label THEN 1 / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda r: 1 / log2(r + 1))), 6) AS ndcg_at_10"),
+        "mrr_at_10": _PER_QUERY.format("round(coalesce(1.0::DOUBLE / min(CASE WHEN own = label THEN rank END), 0), 6) AS mrr_at_10"),
+        "hit_rates": f"WITH f AS ({_PER_QUERY.format('min(CASE WHEN own = label THEN rank END) AS f')}) SELECT " + ", ".join(f"round(avg(CASE WHEN f <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_at_{k}" for k in (1, 5, 10)) + " FROM f",
+        "macro_error_rates": f"""WITH j AS (SELECT query_id, own, max(CASE WHEN score >= 0.35 AND own <> label THEN 1.0::DOUBLE ELSE 0 END) AS w, 1 - max(CASE WHEN score >= 0.35 THEN 1.0::DOUBLE ELSE 0 END) AS n FROM ({_knn()}) GROUP BY query_id, own)
+            SELECT round(avg(w), 6) AS absent_false_positive_rate, round(avg(n), 6) AS present_false_negative_rate FROM (SELECT avg(w) AS w, avg(n) AS n FROM j GROUP BY own)""",
+        "topk_overlap": f"SELECT round(sum(len(list_intersect(a.t, b.t)))::DOUBLE / (count(*) * 10), 6) AS overlap FROM ({_LISTS(64, 10)}) a JOIN ({_LISTS(32, 10)}) b USING (query_id)",
+        "topk_agreement": f"SELECT round(avg(CASE WHEN a.t = b.t THEN 1.0::DOUBLE ELSE 0 END), 6) AS agreement FROM ({_LISTS(64, 1)}) a JOIN ({_LISTS(32, 1)}) b USING (query_id)",
+        "score_delta_stats": f"SELECT round(avg(c - r), 6) AS mean_delta, round(stddev_pop(c - r), 6) AS std_delta FROM ({_DELTA})",
+        "vector_comparison": """SELECT round(max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE - (x::DOUBLE + 0.001::DOUBLE))))), 6) AS max_abs_error,
+            round(min(list_sum(list_transform(embedding, lambda x: x::DOUBLE * (x::DOUBLE + 0.001::DOUBLE)))), 6) AS min_cosine FROM embeddings""",
+        "phase_rollup": "SELECT event_type AS phase, round(sum(value), 4) AS elapsed_ms, count(*) AS invocations FROM events GROUP BY event_type",
+        "percentile_nearest_rank": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
+        "upper_median": "SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM events GROUP BY event_type",
+        "median_change": "SELECT event_type, round(1 - median(value) FILTER (event_id % 2 = 1) / median(value) FILTER (event_id % 2 = 0), 6) AS change FROM events GROUP BY event_type",
+        "index_count": "SELECT count(*) AS n FROM pages",
+        "text_fingerprint": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+        "has_matches": f"SELECT CASE WHEN count(*) > 0 THEN 0 ELSE 1 END::BIGINT AS exit_status FROM ({_ONE}) WHERE score >= 0.25",
+    }
