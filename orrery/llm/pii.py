@@ -9,7 +9,8 @@ that have four digits or an @ become seeds of the next round. At the end each in
 base span touches is a span of its kind.
 
 Everything that is gathered is a count by pattern, after sums in each task, so that a frequent pattern or value costs
-no more than a rare one. Texts are read twice, the second time only if there is a pattern to count.
+no more than a rare one. Texts are read twice, whatever the number of rounds: for spans and instances, and to count the places
+of patterns that enough instances follow.
 
 Cases: null and empty texts have no spans; rows that repeat are judged each; offsets count code points; other columns are
 ignored.
@@ -93,26 +94,30 @@ def instances(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), F.filter(F.transform(located(text, TOKEN), one), lambda x: x["pattern"].isNotNull() & (x["core"] != "")))
 
 
-def trusted_patterns(edges: DataFrame, docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, kind of the trusted patterns. edges: pattern, core, kind (of the base span there, or null), n."""
-    trusted = None
+def firm_patterns(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """Patterns that SUPPORT different instances follow and whose two words are followed by an instance in at least
+    SHARE of all places where they stand, counted over all texts."""
+    able = edges.groupBy("pattern").agg(F.count_distinct("core").alias("cores"), F.sum("n").alias("places")).where(F.col("cores") >= SUPPORT)
+    words = F.filter(F.split(F.lower(F.col("text").cast("string")), SPACES), lambda w: w != "")
+    pairs = docs.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat(x, F.lit(" "), y))).alias("pattern"))
+    stands = pairs.join(able.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("all"))
+    return able.join(stands, "pattern").where(F.col("places") >= SHARE * F.col("all")).select("pattern")
+
+
+def trusted_patterns(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """pattern, kind of the trusted patterns. edges: pattern, core, kind (of the base span there, or null), of firm
+    patterns alone."""
+    trusted, known = None, edges
     for _ in range(rounds):
-        known = edges
         if trusted is not None:
             told = trusted.select(F.col("pattern").alias("_p"), F.col("kind").alias("_k"))
-            firm = F.col("core").contains("@") | (F.length(_digits(F.col("core"))) >= 4)
-            learned = edges.where("kind is null").where(firm).join(told, F.col("pattern") == F.col("_p")).groupBy("core").agg(F.min("_k").alias("_l"))
-            known = edges.join(learned, "core", "left").withColumn("kind", F.coalesce("kind", "_l"))
+            sure = F.col("core").contains("@") | (F.length(_digits(F.col("core"))) >= 4)
+            learned = edges.where("kind is null").where(sure).join(told, F.col("pattern") == F.col("_p")).groupBy("core").agg(F.min("_k").alias("_l"))
+            known = edges.join(learned, "core", "left").withColumn("kind", F.coalesce("kind", "_l")).drop("_l")
         seeds = known.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("core").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-        all_of = known.groupBy("pattern").agg(F.count_distinct("core").alias("cores"), F.sum("n").alias("places"))
+        all_of = known.groupBy("pattern").agg(F.count_distinct("core").alias("cores"))
         rated = seeds.join(all_of, "pattern").where(F.col("seeds") >= TRUST * F.col("cores"))
-        rated = scratch.keep(rated.groupBy("pattern").agg(F.max_by("kind", F.struct("seeds", -F.col("kind"))).alias("kind"), F.first("places").alias("places")))
-        if rated.isEmpty():
-            return rated.select("pattern", "kind")
-        words = F.filter(F.split(F.lower(F.col("text").cast("string")), SPACES), lambda w: w != "")
-        pairs = docs.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat(x, F.lit(" "), y))).alias("pattern"))
-        stands = pairs.join(rated.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("all"))
-        trusted = scratch.keep(rated.join(stands, "pattern").where(F.col("places") >= SHARE * F.col("all")).select("pattern", "kind"))
+        trusted = scratch.keep(rated.groupBy("pattern").agg(F.max_by("kind", F.struct("seeds", -F.col("kind"))).alias("kind")))
     return trusted
 
 
@@ -125,7 +130,8 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     touch = F.filter("base", lambda b: (b["start"] < F.col("t.stop")) & (F.col("t.start") < b["stop"]))
     token = token.select("doc_id", "own", "t.*", F.try_element_at(touch, F.lit(1))["kind"].alias("kind"))
     edges = scratch.keep(token.groupBy("pattern", "core").agg(F.max("kind").alias("kind"), F.count("*").alias("n")))
-    trusted = trusted_patterns(edges, docs, scratch, rounds).withColumnRenamed("kind", "as")
+    firm = scratch.keep(firm_patterns(edges, docs))
+    trusted = trusted_patterns(scratch.keep(edges.join(firm, "pattern", "left_semi")), scratch, rounds).withColumnRenamed("kind", "as")
     more = token.where("kind is null").join(trusted, "pattern").groupBy("doc_id", "own").agg(F.array_sort(F.collect_set(F.struct("start", F.col("as").alias("kind"), F.col("stop")))).cast(SPAN).alias("extra"))
     joined = found.join(more.toDF("_id", "_own", "extra"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own")), "left")
     return joined.select("doc_id", "base", F.coalesce("extra", F.array().cast(SPAN)).alias("extra"))
