@@ -34,6 +34,7 @@ PATTERNS = {
 TOKEN = r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
 SPACES = r"[\x20\x09-\x0D]+"
 SUPPORT, TRUST, SHARE, ROUNDS = 3, 0.7, 0.25, 2
+MOST_BROADCAST = 1_000_000
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
@@ -94,14 +95,18 @@ def instances(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), F.filter(F.transform(located(text, TOKEN), one), lambda x: x["pattern"].isNotNull() & (x["core"] != "")))
 
 
-def firm_patterns(edges: DataFrame, docs: DataFrame) -> DataFrame:
+def firm_patterns(edges: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Patterns that SUPPORT different instances follow and whose two words are followed by an instance in at least
     SHARE of all places where they stand, counted over all texts."""
-    able = edges.groupBy("pattern").agg(F.count_distinct("core").alias("cores"), F.sum("n").alias("places")).where(F.col("cores") >= SUPPORT)
+    able = scratch.keep(edges.groupBy("pattern").agg(F.count_distinct("core").alias("cores"), F.sum("n").alias("places")).where(F.col("cores") >= SUPPORT).withColumn("h", F.xxhash64("pattern")))
     words = F.filter(F.split(F.lower(F.col("text").cast("string")), SPACES), lambda w: w != "")
-    pairs = docs.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat(x, F.lit(" "), y))).alias("pattern"))
-    stands = pairs.join(able.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("all"))
-    return able.join(stands, "pattern").where(F.col("places") >= SHARE * F.col("all")).select("pattern")
+    pairs = docs.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.xxhash64(F.concat(x, F.lit(" "), y)))).alias("h"))
+    hashes = able.select("h").distinct()
+    if able.count() <= MOST_BROADCAST:  # 8 bytes each
+        stands = pairs.join(F.broadcast(hashes), "h").groupBy("h").agg(F.count("*").alias("all"))
+    else:  # sums in each task before anything is shuffled
+        stands = pairs.groupBy("h").agg(F.count("*").alias("all")).join(hashes, "h")
+    return able.join(stands, "h").where(F.col("places") >= SHARE * F.col("all")).select("pattern")
 
 
 def trusted_patterns(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
@@ -130,7 +135,7 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     touch = F.filter("base", lambda b: (b["start"] < F.col("t.stop")) & (F.col("t.start") < b["stop"]))
     token = token.select("doc_id", "own", "t.*", F.try_element_at(touch, F.lit(1))["kind"].alias("kind"))
     edges = scratch.keep(token.groupBy("pattern", "core").agg(F.max("kind").alias("kind"), F.count("*").alias("n")))
-    firm = scratch.keep(firm_patterns(edges, docs))
+    firm = scratch.keep(firm_patterns(edges, docs, scratch))
     trusted = trusted_patterns(scratch.keep(edges.join(firm, "pattern", "left_semi")), scratch, rounds).withColumnRenamed("kind", "as")
     more = token.where("kind is null").join(trusted, "pattern").groupBy("doc_id", "own").agg(F.array_sort(F.collect_set(F.struct("start", F.col("as").alias("kind"), F.col("stop")))).cast(SPAN).alias("extra"))
     joined = found.join(more.toDF("_id", "_own", "extra"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own")), "left")
