@@ -9,8 +9,8 @@ that have four digits or an @ become seeds of the next round. At the end each in
 base span touches is a span of its kind.
 
 Everything that is gathered is a count by pattern, after sums in each task, so that a frequent pattern or value costs
-no more than a rare one. Texts are read twice, whatever the number of rounds: for spans and instances, and to count the places
-of patterns that enough instances follow.
+no more than a rare one. Texts are read three times, whatever the number of rounds: for spans and instances, and to count the
+places of patterns that enough instances follow, first where instances stand, then everywhere.
 
 Cases: null and empty texts have no spans; rows that repeat are judged each; offsets count code points; other columns are
 ignored.
@@ -99,14 +99,21 @@ def firm_patterns(edges: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFr
     """Patterns that SUPPORT different instances follow and whose two words are followed by an instance in at least
     SHARE of all places where they stand, counted over all texts."""
     able = scratch.keep(edges.groupBy("pattern").agg(F.count_distinct("core").alias("cores"), F.sum("n").alias("places")).where(F.col("cores") >= SUPPORT).withColumn("h", F.xxhash64("pattern")))
+    # What stands in the texts that hold instances is a lower bound, and leaves few patterns to count in all texts.
+    for texts in (docs.where(F.col("text").cast("string").rlike("[0-9@]")), docs):
+        able = scratch.keep(able.join(_stands(texts, able), "h").where(F.col("places") >= SHARE * F.col("all")).select("pattern", "places", "h"))
+    return able.select("pattern")
+
+
+def _stands(docs: DataFrame, able: DataFrame) -> DataFrame:
+    """h, all: the number of places where the two words of each pattern of able stand."""
     words = F.filter(F.split(F.lower(F.col("text").cast("string")), SPACES), lambda w: w != "")
     pairs = docs.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.xxhash64(F.concat(x, F.lit(" "), y)))).alias("h"))
     hashes = able.select("h").distinct()
     if able.count() <= MOST_BROADCAST:  # 8 bytes each
-        stands = pairs.join(F.broadcast(hashes), "h").groupBy("h").agg(F.count("*").alias("all"))
-    else:  # sums in each task before anything is shuffled
-        stands = pairs.groupBy("h").agg(F.count("*").alias("all")).join(hashes, "h")
-    return able.join(stands, "h").where(F.col("places") >= SHARE * F.col("all")).select("pattern")
+        return pairs.join(F.broadcast(hashes), "h").groupBy("h").agg(F.count("*").alias("all"))
+    # sums in each task before anything is shuffled
+    return pairs.groupBy("h").agg(F.count("*").alias("all")).join(hashes, "h")
 
 
 def trusted_patterns(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
