@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.vectors import dot, dot_f32, literal
+from orrery.operators.reconcile import chunks
 
 QUERY_BLOCK = 256
 
@@ -86,9 +87,10 @@ def batch_search(images: DataFrame, queries: DataFrame, top: int, threshold: flo
     return ranked.select("query_id", F.col("key").alias(key), "score", "rank")
 
 
-def full_ranking(scored: DataFrame, query: str = "query_id", key: str = "vec_id") -> DataFrame:
-    """Rank of every row of each query, by (-score, key)."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key)).cast("long"))
+def full_ranking(scored: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Rank of every row of one query's scores, by (-score, key); from range partitions and their counts, so that no task
+    sees all rows."""
+    return chunks(scored, [F.desc("score"), F.col(key)], 1, "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def lookup(queries: DataFrame, cache: DataFrame, on: str = "query") -> DataFrame:
