@@ -219,7 +219,7 @@ def find_components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Components over distinct 2-word shingles at similarity 0.8."""
     found = find_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n_words=2)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
