@@ -87,10 +87,15 @@ def batch_search(images: DataFrame, queries: DataFrame, top: int, threshold: flo
     return ranked.select("query_id", F.col("key").alias(key), "score", "rank")
 
 
-def full_ranking(scored: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Rank of every row of one query's scores, by (-score, key); from range partitions and their counts, so that no task
-    sees all rows."""
-    return chunks(scored, [F.desc("score"), F.col(key)], 1, "rank").withColumn("rank", F.col("rank") + 1)
+def full_ranking(scored: DataFrame, key: str = "vec_id", query: str | None = None) -> DataFrame:
+    """Rank of every row of one query's scores, or of each query's, by (-score, key). Places come from range partitions
+    and their counts, so that no task sees all rows of a query."""
+    order = [F.desc("score"), F.col(key)]
+    if query is None:
+        return chunks(scored, order, 1, "rank").withColumn("rank", F.col("rank") + 1)
+    placed = chunks(scored, [F.col(query), *order], 1, "rank").persist()
+    first = placed.groupBy(query).agg(F.min("rank").alias("_first"))
+    return placed.join(first, query).withColumn("rank", F.col("rank") - F.col("_first") + 1).drop("_first")
 
 
 def lookup(queries: DataFrame, cache: DataFrame, on: str = "query") -> DataFrame:

@@ -11,7 +11,7 @@ from orrery.engine import Cache, Engine
 from orrery.functions import images
 from orrery.operators import metrics, stats
 from orrery.operators.encode import HashEncoder
-from orrery.operators.ranking import search
+from orrery.operators.ranking import full_ranking, search
 from orrery.operators.reconcile import chunks, plan
 from orrery.sources import sinks
 from orrery.sources.scan import discover
@@ -92,6 +92,16 @@ def test_ranking_traps(spark):
     assert search(rows, [1.0, 0.0], 0, 0.0, "path").count() == 0
 
 
+def test_full_ranking(spark):
+    scored = spark.createDataFrame([(q, i, float((i * 7 + q) % 5)) for q in range(3) for i in range(40)], "query_id long, vec_id long, score double")
+    for own, query in ((scored.where("query_id = 1"), None), (scored, "query_id")):
+        rows = [tuple(r) for r in full_ranking(own, query=query).select("query_id", "rank", "vec_id", "score").collect()]
+        for q in {r[0] for r in rows}:
+            want = sorted(((-float((i * 7 + q) % 5), i) for i in range(40)))
+            assert [(-s, i) for _, _, i, s in sorted(r for r in rows if r[0] == q)] == want
+            assert sorted(r[1] for r in rows if r[0] == q) == list(range(1, 41))
+
+
 def test_reconcile_and_chunks(spark):
     old = spark.createDataFrame([(b"a", 1, 1), (b"b", 1, 1), (b"s", 1, 1)], "path binary, mtime_ns long, size long")
     new = spark.createDataFrame([(b"a", 1, 1), (b"b", 2, 1), (b"n\xff", 1, 1)], "path binary, mtime_ns long, size long")
