@@ -12,12 +12,16 @@ Everything that is gathered is a count by pattern, after sums in each task, so t
 no more than a rare one. Texts are read three times, whatever the number of rounds: for spans and instances, and to count the
 places of patterns that enough instances follow, first where instances stand, then everywhere.
 
-Cases: null and empty texts have no spans; rows that repeat are judged each; offsets count code points; other columns are
-ignored.
+Cases: null and empty texts have no spans; rows that repeat are judged each; offsets count code points; a match or a
+run of any length takes no stack and is read a fixed number of times; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+import string
+from collections import Counter, defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,21 +37,45 @@ PATTERNS = {
 }
 TOKEN = r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
 SPACES = r"[\x20\x09-\x0D]+"
+
+# The same patterns for the JVM: possessive, so that a long match takes no stack, and tried only where a run of their
+# first characters begins (or a match has just ended), so that long runs without a match are read once.
+LINEAR = {
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "phone": PATTERNS["phone"],
+}
+LINEAR_TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+OUTER = r"^[^A-Za-z0-9@+]++|(?:\G|(?<![^A-Za-z0-9]))[^A-Za-z0-9]++$"
+RUN = 256
 SUPPORT, TRUST, SHARE, ROUNDS = 3, 0.7, 0.25, 2
 MOST_BROADCAST = 1_000_000
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches: structs of start, stop (code points), value and the text between it and the match before."""
+    """Leftmost non-overlapping matches: structs of start, stop (code points), value and the text between it and the
+    match before. Places are summed up in runs of RUN matches: appending one match at a time to an array copies it, which
+    in a text of very many matches would cost their number squared."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
     zipped = F.filter(zipped, lambda z: z["value"].isNotNull())
-    step = lambda acc, z: F.struct(
-        (acc["at"] + F.length(z["gap"]) + F.length(z["value"])).alias("at"),
-        F.concat(acc["found"], F.array(F.struct((acc["at"] + F.length(z["gap"])).alias("start"), (acc["at"] + F.length(z["gap"]) + F.length(z["value"])).alias("stop"), z["value"].alias("value"), z["gap"].alias("gap")))).alias("found"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string,gap:string>>").alias("found"))
-    return F.aggregate(zipped, start, step, lambda acc: acc["found"])
+    match = "struct<start:int,stop:int,value:string,gap:string>"
+
+    def step(acc, z):
+        start = acc["at"] + F.length(z["gap"])
+        stop = start + F.length(z["value"])
+        return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), stop.alias("stop"), z["value"].alias("value"), z["gap"].alias("gap")))).alias("found"))
+
+    def run(acc, part):
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(f"array<{match}>").alias("found")), step)
+        return F.aggregate(F.array(inner), acc, lambda a, x: F.struct(x["at"].alias("at"), F.concat(a["found"], F.array(x["found"])).alias("found")))
+
+    runs = lambda all_: F.transform(F.sequence(F.lit(1), F.size(all_), F.lit(RUN)), lambda k: F.slice(all_, k, F.lit(RUN)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{match}>>").alias("found"))
+    done = lambda all_: F.when(F.size(all_) > 0, F.flatten(F.aggregate(runs(all_), start, run, lambda acc: acc["found"]))).otherwise(F.array().cast(f"array<{match}>"))
+    # the array of matches is bound to a name, so that it is found once
+    return F.element_at(F.transform(F.array(zipped), done), 1)
 
 
 def _digits(value: Column) -> Column:
@@ -76,7 +104,7 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(SPAN)
     found = []
     for k, kind in enumerate(KINDS):
-        good = F.filter(located(text, PATTERNS[kind]), lambda m: CHECKS[kind](m["value"]))
+        good = F.filter(located(text, LINEAR[kind]), lambda m: CHECKS[kind](m["value"]))
         spans = F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["stop"].alias("stop")))
         found.append(F.when(text.rlike(HINTS[kind]), spans).otherwise(none))
     return F.array_sort(F.concat(*found))
@@ -84,15 +112,13 @@ def base_spans(text: Column) -> Column:
 
 def instances(text: Column) -> Column:
     """Tokens with a digit or an @: start, stop, core (without outer punctuation) and the two words before, in lower case."""
-    outer = "^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$"
-
     def one(m):
         before = F.filter(F.split(F.lower(m["gap"]), SPACES), lambda w: w != "")
-        lead = F.length(m["value"]) - F.length(F.regexp_replace(m["value"], "^[^A-Za-z0-9@+]+", ""))
-        core = F.regexp_replace(m["value"], outer, "")
+        lead = F.length(m["value"]) - F.length(F.regexp_replace(m["value"], "^[^A-Za-z0-9@+]++", ""))
+        core = F.regexp_replace(m["value"], OUTER, "")
         return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(core)).alias("stop"), core.alias("core"), F.when(F.size(before) >= 2, F.concat_ws(" ", F.slice(before, -2, 2))).alias("pattern"))
 
-    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(located(text, TOKEN), one), lambda x: x["pattern"].isNotNull() & (x["core"] != "")))
+    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(located(text, LINEAR_TOKEN), one), lambda x: x["pattern"].isNotNull() & (x["core"] != "")))
 
 
 def firm_patterns(edges: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -156,3 +182,50 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.array_sort(F.concat("base", "extra"))).alias("spans"))
+
+
+def brute_force(rows: list[tuple[int, str | None]], rounds: int = ROUNDS) -> dict[int, tuple[list, list]]:
+    """Base and extra spans (start, kind, stop) of each doc_id, by plain loops over the fixed patterns; for tests."""
+    digits = lambda v: [int(c) for c in v if c in string.digits]
+    luhn = lambda d: sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(reversed(d))) % 10 == 0
+    good = {
+        "email": lambda v: True, "ip": lambda v: all(int(p) <= 255 for p in v.split(".")),
+        "card": lambda v: 12 <= len(digits(v)) <= 19 and luhn(digits(v)), "phone": lambda v: 9 <= len(digits(v)) <= 15,
+    }
+    base, tokens, edges, stands, cores = {}, [], {}, Counter(), defaultdict(set)
+    for i, t in rows:
+        t = t or ""
+        base[i] = sorted((m.start(), k, m.end()) for k, kind in enumerate(KINDS) for m in re.finditer(PATTERNS[kind], t) if good[kind](m[0]))
+        words = [w for w in re.split(SPACES, t.lower()) if w]
+        stands.update(f"{x} {y}" for x, y in zip(words, words[1:]))
+        end = 0
+        for m in re.finditer(TOKEN, t):
+            before, end = [w for w in re.split(SPACES, t[end : m.start()].lower()) if w], m.end()
+            lead = len(m[0]) - len(re.sub("^[^A-Za-z0-9@+]+", "", m[0]))
+            core = re.sub("^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$", "", m[0])
+            if core and len(before) >= 2:
+                start, stop = m.start() + lead, m.start() + lead + len(core)
+                kind = next((k for a, k, b in base[i] if a < stop and start < b), None)
+                tokens.append((i, start, stop, " ".join(before[-2:]), core, kind))
+    for _, _, _, pattern, core, kind in tokens:
+        old, n = edges.get((pattern, core), (None, 0))
+        edges[pattern, core] = (kind if old is None else old if kind is None else max(old, kind), n + 1)
+        cores[pattern].add(core)
+    places = Counter()
+    for (pattern, _), (_, n) in edges.items():
+        places[pattern] += n
+    firm = {p for p in cores if len(cores[p]) >= SUPPORT and places[p] >= SHARE * stands[p]}
+    known = {e: k for e, (k, _) in edges.items() if e[0] in firm}
+    trusted: dict[str, int] = {}
+    for turn in range(rounds):
+        if turn:
+            learned: dict[str, int] = {}
+            for (pattern, core), (kind, _) in edges.items():
+                if kind is None and pattern in trusted and ("@" in core or len(digits(core)) >= 4):
+                    learned[core] = min(learned.get(core, 9), trusted[pattern])
+            known = {e: learned.get(e[1]) if edges[e][0] is None else edges[e][0] for e in known}
+        seeds = Counter((p, k) for (p, _), k in known.items() if k is not None)
+        rated = [(n, -k, p) for (p, k), n in seeds.items() if n >= SUPPORT and n >= TRUST * len(cores[p])]
+        trusted = {p: -k for n, k, p in sorted(rated)}
+    extra = {i: sorted((a, trusted[p], b) for j, a, b, p, _, k in tokens if j == i and k is None and p in trusted) for i in base}
+    return {i: (base[i], extra[i]) for i in base}

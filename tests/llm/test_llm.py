@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -162,6 +163,27 @@ def test_pii(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_pii_against_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = pii.brute_force([tuple(r) for r in docs.collect()])
+    told = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    got = {r.doc_id: r for r in pii.op6_pii(spark, SF).collect()}
+    assert {i: (r.base_sha256, r.spans) for i, r in got.items()} == {i: (hashlib.sha256(told(base).encode()).hexdigest(), told(sorted(base + extra))) for i, (base, extra) in want.items()}
+    assert all([r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in want[i][0]) for n in range(4)] for i, r in got.items())
+
+
+def test_pii_shapes(spark):
+    """Adjacent, overlapping and broken matches; texts of more than a run of matches; long runs, which once overflowed the stack."""
+    rng = random.Random(7)
+    letters = ["a", "b", "@", ".", "%", "+", "-", "1", "2", "9", "0", " ", " ", "(", ")", "\n", "é", "😀", "a@b.co", "1.2.3.4", "+1 (040) 555", "4111 1111 1111 1111", "id no "]
+    rows = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(120)))) for i in range(1500)]
+    rows += [(2000, "call me 12.0.0.1 " * 1500), (2001, "7" * 40000), (2002, "x@y" + ".z" * 20000), (2003, "a b " + "." * 30000 + "1@")]
+    want = pii.brute_force(rows)
+    got = {r.doc_id: ([tuple(s) for s in r.base], [tuple(s) for s in r.extra]) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == want and len(want[2000][0]) == 1500
+    assert pii.find_pii(spark.createDataFrame([(1, "q" * 400000 + " x@y 1")], "doc_id long, text string")).count() == 1  # quadratic before
+
+
 def test_mixing(spark, corpus):
     ours, theirs = compare(mixing.op8_mixing(spark, SF), connect(), mixing.OP8_SQL)
     assert ours == theirs
