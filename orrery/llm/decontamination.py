@@ -95,14 +95,13 @@ def brute_force(rows: list[tuple[int, str | None]], items: list[tuple[int, str]]
 
     out = set()
     for i, text in rows:
-        t = b" ".join(PLAIN[list((text or "").encode())].tobytes().split()) if text else b""
+        t = np.frombuffer(b" ".join(PLAIN[list((text or "").encode())].tobytes().split()) if text else b"", np.uint8)
+        at = np.arange(len(t) + 1)
         for k in range(len(index.owner)):
-            pattern = index.rows[k, : index.length[k]].tolist()
-            row = [0] * (len(t) + 1)
-            for n, c in enumerate(pattern, 1):
-                above, row = row, [n]
-                for j, x in enumerate(t):
-                    row.append(min(above[j] + (c != x), above[j + 1] + 1, row[j] + 1))
-            if min(row) <= index.budget[k]:
+            row = np.zeros(len(t) + 1, np.int64)
+            for n, c in enumerate(index.rows[k, : index.length[k]], 1):
+                near = np.concatenate([[n], np.minimum(row[:-1] + (t != c), row[1:] + 1)])
+                row = np.minimum.accumulate(near - at) + at  # a step to the right costs one
+            if row.min() <= index.budget[k]:
                 out.add((i, int(index.owner[k])))
     return out

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -208,13 +209,49 @@ def test_sharding(spark, corpus):
     assert sharding.assign(frame(spark, []), 7).count() == 0
 
 
+def taken(rows):
+    """How often the mix takes each (doc_id, text, source), by filling up sources one after the other."""
+    size = {i: len((t or "").encode().split()) for i, t, _ in rows}
+    total = Counter()
+    for i, _, source in rows:
+        total[source] += size[i]
+    weight = {x: (5, 2, 1)[k % 3] for k, x in enumerate(sorted(total, key=lambda x: (x is None, x or "")))}
+    full = set()
+    while True:
+        level = (sum(total.values()) - 3 * sum(total[x] for x in full)) / sum(weight[x] for x in total if x not in full)
+        if not (more := {x for x in total if x not in full and weight[x] * level > 3 * total[x]}):
+            break
+        full |= more
+    out = {}
+    for i, t, x in rows:
+        rate = 0 if not total[x] else 3 if x in full else weight[x] * level / total[x]
+        draw = int(hashlib.md5(f"mix\0{i}\0{t or ''}".encode()).hexdigest()[:13], 16) / 2**52
+        out[i] = int(rate) + (draw < rate % 1)
+    return out
+
+
 def test_pipeline(spark):
+    """Every stage's decisions against its plain version, on whole tables."""
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    score = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet")).score(pa.array([t for _, t, _ in rows], pa.large_string()))
+    rows = [r for r, s in zip(rows, score) if s < 0.5]
+    kept = near_dedup.brute_force([r[:2] for r in rows], 5)
+    rows = [r for r in rows if kept[r[0]][1] == r[0]]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    leaks = {i for i, _ in decontamination.brute_force([r[:2] for r in rows], items)}
+    rows = [r for r in rows if r[0] not in leaks]
+    times, texts = taken(rows), {i: (t or "").encode() for i, t, _ in rows}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"]
-    assert 0 < out.count() and out.join(docs, "doc_id", "left_anti").count() == 0
+    out = corpus_pipeline.run(spark, sf).toPandas()
+    assert leaks and Counter(out.doc_id.tolist()) == Counter({i: n for i, n in times.items() if n})
+    assert all((n, crc) == (len(texts[i]) + 16, zlib.crc32(texts[i])) for i, n, crc in zip(out.doc_id, out["size"], out.text_crc32))
+    counts = out.shard.value_counts().reindex(range(40), fill_value=0)
+    assert counts.max() - counts.min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
 
 
 def test_registry_names():
