@@ -96,12 +96,18 @@ def brute_force(rows: list[tuple[int, str | None]], items: list[tuple[int, str]]
     out = set()
     for i, text in rows:
         t = np.frombuffer(b" ".join(PLAIN[list((text or "").encode())].tobytes().split()) if text else b"", np.uint8)
-        at = np.arange(len(t) + 1)
+        at = np.arange(len(t) + 1, dtype=np.int32)
+        row, near = np.zeros_like(at), np.zeros_like(at)
         for k in range(len(index.owner)):
-            row = np.zeros(len(t) + 1, np.int64)
+            row[:] = 0
             for n, c in enumerate(index.rows[k, : index.length[k]], 1):
-                near = np.concatenate([[n], np.minimum(row[:-1] + (t != c), row[1:] + 1)])
-                row = np.minimum.accumulate(near - at) + at  # a step to the right costs one
+                near[0] = n
+                np.add(row[:-1], t != c, out=near[1:])
+                row += 1
+                np.minimum(near[1:], row[1:], out=near[1:])
+                near -= at
+                np.minimum.accumulate(near, out=row)
+                row += at  # a step to the right costs one
             if row.min() <= index.budget[k]:
                 out.add((i, int(index.owner[k])))
     return out
