@@ -161,6 +161,31 @@ def test_raw_previews():
         images.raw_preview(raf.replace(large, jpeg(100, 100)))
 
 
+def test_corpora(spark, tmp_path):
+    from orrery.sources.corpora import captions, checked_images
+
+    pics = [{"id": 2, "file_name": "b.jpg", "width": 1}, {"id": 1, "file_name": "a.jpg"}]
+    notes = [{"image_id": 1, "caption": "a dog"}, {"image_id": 2, "caption": "a cat"}, {"image_id": 1, "caption": "a dog"}]
+
+    def file(name, data):
+        (tmp_path / name).write_text(json.dumps(data, indent=1))
+        return str(tmp_path / name)
+
+    images = file("i.json", {"images": pics})
+    sums = file("s.json", {"a.jpg": {"sha256": "x", "url": "u"}, "b.jpg": {"sha256": "y"}, "c.jpg": {"sha256": "z"}})
+    assert sorted(tuple(r) for r in checked_images(spark, images, sums).collect()) == [("a.jpg", "x"), ("b.jpg", "y")]
+    with pytest.raises(Exception, match="no checksum of b.jpg"):
+        checked_images(spark, images, file("t.json", {"a.jpg": {"sha256": "x"}})).collect()
+    whole = file("c.json", {"info": {}, "images": pics, "annotations": notes})
+    assert sorted(tuple(r) for r in captions(spark, whole, 2, 3).collect()) == [("a cat", "b.jpg"), ("a dog", "a.jpg"), ("a dog", "a.jpg")]
+    broken = [{"images": pics + pics, "annotations": notes}, {"images": pics, "annotations": notes + [{"image_id": 9, "caption": "?"}]}, {"images": pics, "annotations": notes[:1]}]
+    for k, data in enumerate(broken):
+        with pytest.raises(EngineError):
+            captions(spark, file(f"b{k}.json", data))
+    with pytest.raises(EngineError):
+        captions(spark, whole, 3)
+
+
 def test_sinks():
     assert sinks.escape_path(b"a\\b\tc\x01") == "a\\\\b\\tc\\u{1}"
     assert sinks.escape_path(b"\xff\n") == "\\xff\\x0a"
