@@ -149,8 +149,27 @@ class Patterns:
         good = head[count >= need[piece[head]]]
         return text[good], piece[good], band[good] * (self.budget[piece[good]] + 1)
 
-    def find(self, texts: pa.Array, need: np.ndarray | None = None):
-        """Arrays of verified regions: text, piece, edits, and the bytes [start, end) of the text they cover."""
+    def reaching(self, text, piece, share: float) -> np.ndarray:
+        """Which candidates belong to a text and owner whose candidate pieces together hold ``share`` of the owner's
+        bytes; the others cannot reach it, however they align."""
+        order = np.lexsort((piece, text))  # the pieces of an owner follow each other, by their starts
+        t, p = text[order], piece[order]
+        own = self.owner[p]
+        new = np.ones(len(p), bool)
+        new[1:] = (np.diff(t) != 0) | (np.diff(own) != 0)
+        start, stop = self.start[p], self.start[p] + self.length[p]
+        added = self.length[p].copy()
+        added[1:] = np.where(new[1:], added[1:], np.minimum(stop[1:] - start[1:], stop[1:] - stop[:-1]))
+        group = np.cumsum(new) - 1
+        total = np.array([self.total[k] for k in own[new].tolist()], np.int64)
+        good = np.bincount(group, weights=added, minlength=len(total)) >= share * total - 1e-6
+        out = np.zeros(len(p), bool)
+        out[order] = good[group]
+        return out
+
+    def find(self, texts: pa.Array, need: np.ndarray | None = None, share: float = 0.0):
+        """Arrays of verified regions: text, piece, edits, and the bytes [start, end) of the text they cover; share:
+        leave out owners that cannot be covered so far."""
         raw, offsets = buffers(texts)
         need = self.need if need is None else need
         out = [tuple(np.zeros(0, np.int64) for _ in range(5))]
@@ -158,6 +177,9 @@ class Patterns:
             own = offsets[a : b + 1] - offsets[a]
             plain, back, at = normalise(raw[offsets[a] : offsets[b]], own)
             text, piece, first = self.candidates(*self.seeds(plain, at, int(need.min())), need)
+            if share and len(text):
+                good = self.reaching(text, piece, share)
+                text, piece, first = text[good], piece[good], first[good]
             for k in range(0, len(text), 4096):
                 t, p, d = text[k : k + 4096], piece[k : k + 4096], first[k : k + 4096]
                 slack = int(self.budget[p].max())

@@ -10,11 +10,15 @@ the span from the first to the last match, if coverage reaches the limit.
 Templates are a bounded parameter: at most MAX_BYTES in total, else ValueError. Documents are not shuffled.
 
 Cases: null and empty texts give no rows; several templates may be found in one text; a template that occurs twice in
-a text is reported once, with the span of all its matches; of templates whose spans overlap, those with fewest edits stay; other columns are ignored.
+a text is reported once, with the span of all its matches; of templates whose spans overlap, those of least cost (edits
+and bytes of the template that are missing) stay, but one of under half another's length never drops it: a whole text
+stays beside the notice in it; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,19 +29,41 @@ from orrery.llm._align import Patterns, matches
 WINDOW, PIECE, RATE, COVERAGE = 6, 96, 0.12, 0.8
 MAX_BYTES = 4 << 20
 
-# Notices by which licenses are granted, as their publishers word them.
+# Grant statements in common wordings, and the notices that publishers ask for (MIT, BSD: their first lines).
 TEMPLATES = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "GPL-1.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.0-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-notice": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License.",
     "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
+# The Creative Commons family, as they word it; versions before 4.0 name another place.
+for _code, _title in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items():
+    for _version, _place in {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic"}.items():
+        TEMPLATES[f"CC-{_code}-{_version}-notice"] = f"This work is licensed under a Creative Commons {_title} {_version} {_place} License"
+        TEMPLATES[f"CC-{_code}-{_version}" if _code == "BY-NC" else f"CC-{_code}-{_version}-short"] = f"Licensed under CC {_code} {_version}."
+
+
+def full_texts() -> dict[str, str]:
+    """Whole license texts that the package ships, under "NAME-text"; only the driver reads them."""
+    shipped = sorted(resources.files("orrery.llm").joinpath("licenses").iterdir(), key=lambda f: f.name)
+    return {f.name.removesuffix(".txt") + "-text": f.read_text(encoding="utf-8") for f in shipped if f.name.endswith(".txt")}
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -59,8 +85,10 @@ class Fingerprints(Patterns):
         return np.where(count < 3, 1, 2)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, license, coverage (0 to 1), edits, start and end (bytes) of each template found in each document."""
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, license, coverage (0 to 1), edits, start and end (bytes) of each template found in each document; of
+    TEMPLATES and full_texts() unless told otherwise."""
+    templates = TEMPLATES | full_texts() if templates is None else templates
     if sum(len(t.encode()) for t in templates.values()) > MAX_BYTES:
         raise ValueError(f"templates of more than {MAX_BYTES} bytes")
     names = sorted(templates)
@@ -70,11 +98,13 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
         index = shared.value
         for batch in batches:
             rows = []
-            found = matches(index, batch["text"], index.find(batch["text"], index.limits()))
-            best: dict[int, list] = {}  # of templates whose spans overlap, only the ones with fewest edits
-            for (t, key), (covered, edits, start, end) in sorted(found.items(), key=lambda x: (x[0][0], x[1][1], x[0][1])):
-                if (share := covered / index.total[key]) >= coverage and not any(start < e and s < end and n < edits for n, s, e in best.get(t, ())):
-                    best.setdefault(t, []).append((edits, start, end))
+            found = matches(index, batch["text"], index.find(batch["text"], index.limits(), coverage))
+            best: dict[int, list] = {}  # of like templates whose spans overlap, only the ones of least cost: edits and bytes that are not there
+            cost = lambda x: x[1][1] + index.total[x[0][1]] - x[1][0]
+            for (t, key), (covered, edits, start, end) in sorted(found.items(), key=lambda x: (x[0][0], cost(x), x[0][1])):
+                own, size = edits + index.total[key] - covered, index.total[key]
+                if (share := covered / size) >= coverage and not any(start < e and s < end and n < own and 2 * z >= size for n, s, e, z in best.get(t, ())):
+                    best.setdefault(t, []).append((own, start, end, size))
                     rows.append((batch["doc_id"][t].as_py(), names[key], share, edits, start, end))
             cols = list(zip(*rows)) or [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]

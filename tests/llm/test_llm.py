@@ -92,6 +92,26 @@ def test_license_scan(spark):
         license_scan.scan(frame(spark, docs), {"a": "x" * (5 << 20)})
 
 
+def test_license_notices_and_texts(spark):
+    full = license_scan.full_texts()
+    notice = {n: license_scan.TEMPLATES[f"{n}-notice"] for n in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC-BY-SA-4.0")}
+    plain = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"):  # worded as their publishers do
+        statement = license_scan.TEMPLATES.get(f"{name}-notice", license_scan.TEMPLATES[name])
+        assert " ".join(plain(statement)) in " ".join(plain(full[f"{name}-text"]))
+    docs = list(enumerate([f"# x.c\n# {t} And more." for t in notice.values()] + ["Copyright (c) 2020 Z\n\n" + t for t in full.values()]))
+    got = {}
+    for r in license_scan.scan(frame(spark, docs)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert [got[i] for i in range(len(notice))] == [{f"{n}-notice"} for n in notice]
+    whole = [{x for x in got[len(notice) + i] if x.endswith("-text")} for i in range(len(full))]
+    assert whole == [{n} for n in full] and {"MIT-text", "ISC-text", "Zlib-text", "CC0-1.0-text", "BSD-3-Clause-text", "Unlicense-text"} <= set(full)
+    own = license_scan.TEMPLATES
+    assert [license_scan.scan(frame(spark, [(1, own[n])])).first().license for n in ("CC-BY-3.0-short", "CC-BY-SA-4.0-short", "LGPL-3.0")] == ["CC-BY-3.0-short", "CC-BY-SA-4.0-short", "LGPL-3.0"]
+    typo = full["MIT-text"].replace("Software", "Sofware")  # its notice has fewer edits, and does not drop it
+    assert {r.license for r in license_scan.scan(frame(spark, [(1, typo)])).collect()} >= {"MIT-text"}
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     bad = ["vorgul", "vorgulish", "vorguls", "snarpit", "snarpits"]
