@@ -8,7 +8,8 @@ Vectors that collide in LEVEL of the arrays are candidates, and widening stops w
 vectors and twice the answers asked for. Candidates are verified by their inner products in double precision, and the
 blocks' best are merged.
 
-Every vector is indexed. Queries and vectors meet in blocks, (query block, vector block) by (query block, vector
+Equal vectors of a block are indexed once, and BETA and the answers are counted in distinct vectors, so copies use up
+nothing of what a query may look at; each copy of a verified vector is a candidate answer. Every vector is indexed. Queries and vectors meet in blocks, (query block, vector block) by (query block, vector
 block), so no task holds more than one of each; the work is queries times vectors, as for any search of all rows.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite numbers take no part; neither do those of another
@@ -48,8 +49,15 @@ def _index(x: np.ndarray, longest: float, seed: int = 5):
     return ways, np.ascontiguousarray(order), np.sort(spots, axis=0).T
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different rows of x, the places of x in order of them, and where each one's places begin (one more)."""
+    x = np.ascontiguousarray(x + 0.0)  # -0.0 is 0.0
+    _, first, which = np.unique(x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_index=True, return_inverse=True)
+    return x[first], np.argsort(which, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(which))])
+
+
 def search_block(queries: np.ndarray, vectors: np.ndarray, longest: float, k: int, beta: float = BETA) -> list[np.ndarray]:
-    """Candidates (places in vectors) of each query."""
+    """Candidates (places in vectors, which are distinct) of each query."""
     ways, order, spots = _index(vectors, longest)
     n, level = len(vectors), int(np.ceil(LEVEL * PROJECTIONS))
     own = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ ways[:-1]
@@ -90,9 +98,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, beta: float = BET
         if len(left) and len(right):
             q, x = matrix(left), matrix(right)
             q_ids, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-            for j, found in enumerate(search_block(q, x, longest, k, beta)):
-                found = found[ids[found] != q_ids[j]]
-                score = np.einsum("ij,j->i", x[found], q[j])
+            x, order, at = distinct(x)
+            size = np.diff(at)
+            for j, ones in enumerate(search_block(q, x, longest, k, beta)):
+                score = np.einsum("ij,j->i", x[ones], q[j])
+                top = np.argsort(-score, kind="stable")  # of these, as many as hold k rows besides the query's own, and all that tie
+                last = int(np.searchsorted(np.cumsum(size[ones[top]]), k + np.count_nonzero(ids == q_ids[j])))
+                if last < len(top):
+                    ones, score = ones[score >= score[top[last]]], score[score >= score[top[last]]]
+                found = np.concatenate([order[:0], *(order[at[i] : at[i + 1]] for i in ones.tolist())])
+                score = np.repeat(score, size[ones])
+                mine = ids[found] == q_ids[j]
+                found, score = found[~mine], score[~mine]
                 best = np.lexsort((ids[found], -score))[:k]
                 out.append((np.full(len(best), q_ids[j]), ids[found][best], score[best]))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))

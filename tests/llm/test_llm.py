@@ -150,6 +150,27 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_hot_copies(spark):
+    """A third of the rows are one vector, near the queries but outside their best: it takes up no allowance."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[20] = x[0]  # twins, whose answers are alike
+    near = np.argsort(-(x @ x[0]))
+    hot = x[near[50]].copy()
+    x[np.setdiff1d(np.arange(1, 2400, 2), near[:60])[:1100]] = hot
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = neighbours.brute_force(np.arange(2400), x)
+    got = {}
+    for r in sorted(neighbours.nearest(df, F.col("vec_id").isin(0, 20)).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(len(got[q]) == 20 and len(set(got[q]) & set(want[q])) >= 16 for q in (0, 20)) and got[0][0] == 20 and got[20][0] == 0
+    copies = np.flatnonzero((x == hot).all(1))  # asked for itself, it gives its first copies
+    own = int(copies[30])
+    answer = neighbours.nearest(df, F.col("vec_id") == own).orderBy("rank").collect()
+    assert [r.vec_id for r in answer] == [int(i) for i in copies if i != own][:20]
+
+
 def test_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     want = neighbours.brute_force(rows.vec_id.to_numpy(), np.stack(rows.embedding).astype(float))
