@@ -71,10 +71,10 @@ def edit_distances(patterns: np.ndarray, lengths: np.ndarray, texts: np.ndarray,
 
 
 class Patterns:
-    """Pieces of named texts: ``size`` bytes, ``size // 2`` apart (a shorter text whole), with budgets of edits."""
+    """Pieces of named texts: ``size`` bytes, ``step`` (or ``size // 2``) apart (a shorter text whole), with budgets of edits."""
 
-    def __init__(self, texts: list[tuple[int, str]], q: int, size: int, rate: float):
-        self.q, self.rate = q, rate
+    def __init__(self, texts: list[tuple[int, str]], q: int, size: int, rate: float, step: int | None = None):
+        self.q, self.rate, step = q, rate, step or size // 2
         self.owner, self.start, rows = [], [], []
         self.total: dict[int, int] = {}
         for key, text in texts:
@@ -83,7 +83,7 @@ class Patterns:
             self.total[key] = len(plain)
             if len(plain) < q:
                 continue
-            for at in sorted({*range(0, max(1, len(plain) - size + 1), size // 2), max(0, len(plain) - size)}):
+            for at in sorted({*range(0, max(1, len(plain) - size + 1), step), max(0, len(plain) - size)}):
                 self.owner.append(key)
                 self.start.append(at)
                 rows.append(np.frombuffer(plain[at : at + size], np.uint8))
@@ -130,6 +130,9 @@ class Patterns:
         which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         place = np.repeat(at, count)
         text = np.searchsorted(offsets, place, "right") - 1
+        return self.expand(text, which, place)
+
+    def expand(self, text, which, place):
         return text, self.piece[which], place - self.place[which], place
 
     def candidates(self, text, piece, diagonal, place, need):
@@ -196,6 +199,61 @@ class Patterns:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
+class Windows(Patterns):
+    """Patterns a short step apart. A gram is indexed once a text, and only grams that lie close to enough others on
+    like diagonals are looked at in each piece that holds them, so the index does not grow with the overlap."""
+
+    def _index(self, rows) -> None:
+        new = np.ones(len(self.owner), bool)
+        new[1:] = self.start[1:] == 0
+        self.first = np.flatnonzero(new)  # of each text, its first piece and, one more, the next text's
+        last = np.append(self.first[1:], len(self.owner))
+        found = [(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for a, b in zip(self.first.tolist(), last.tolist()):
+            whole = np.zeros(int(self.start[b - 1] + self.length[b - 1]), np.uint8)
+            for k in range(a, b):
+                whole[self.start[k] : self.start[k] + self.length[k]] = self.rows[k, : self.length[k]]
+            words, _ = grams(whole, np.array([0, len(whole)]), self.q)
+            at = np.arange(len(words))
+            low = a + np.searchsorted(self.start[a:b], at + self.q - self.length[a], "left")
+            found.append((words, np.full(len(at), a), at, low, a + np.searchsorted(self.start[a:b], at, "right")))
+        words, piece, place, low, high = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(words, kind="stable")
+        self.words, self.piece, self.place = words[order], piece[order].astype(np.int32), place[order].astype(np.int32)
+        self.low, self.high = low[order].astype(np.int32), high[order].astype(np.int32)
+        self.bloom = np.zeros(1 << 22, bool)
+        self.bloom[(mix(self.words) >> U64(42)).astype(np.int64)] = True
+
+    def expand(self, text, which, place):
+        """Seeds in every piece that holds their gram. Grams of a piece within its budget are on diagonals of one band
+        and in places no further apart than the piece and its budget: seeds without so many others there are left out."""
+        piece, diagonal = self.piece[which].astype(np.int64), place - self.place[which]
+        half = self.budget[piece] + 1
+        band = np.concatenate([diagonal // half, diagonal // half - 1])
+        seed, t, p, x = np.tile(np.arange(len(place)), 2), np.tile(text, 2), np.tile(piece, 2), np.tile(place, 2)
+        order = np.lexsort((x, band, p, t))
+        seed, t, p, x, band = seed[order], t[order], p[order], x[order], band[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (np.diff(t) != 0) | (np.diff(p) != 0) | (np.diff(band) != 0)
+        fresh = new.copy()
+        fresh[1:] |= np.diff(x) != 0
+        spot, group = np.cumsum(fresh) - 1, (np.cumsum(new) - 1)[fresh]
+        p, x = p[fresh], x[fresh]
+        ahead = np.arange(len(x)) + self.need[p] - 1
+        k = np.flatnonzero(ahead < len(x))
+        k = k[(group[ahead[k]] == group[k]) & (x[ahead[k]] - x[k] <= self.length[p[k]] - self.q + self.budget[p[k]])]
+        edge = np.zeros(len(x) + 1, np.int32)
+        np.add.at(edge, k, 1)
+        np.add.at(edge, ahead[k] + 1, -1)
+        keep = np.zeros(len(place), bool)
+        keep[seed[(np.cumsum(edge[:-1]) > 0)[spot]]] = True
+        text, place, diagonal, low, high = text[keep], place[keep], diagonal[keep], self.low[which[keep]], self.high[which[keep]]
+        count = (high - low).astype(np.int64)
+        one = np.repeat(np.arange(len(count)), count)
+        piece = low[one] + np.arange(len(one)) - (np.cumsum(count) - count)[one]
+        return text[one], piece, diagonal[one] + self.start[piece], place[one]
+
+
 def matches(index: Patterns, texts: pa.Array, found) -> dict[tuple[int, int], tuple[int, int, int, int]]:
     """(text, key) -> covered bytes of the key's text, edits, and the span of the text from the first to the last match."""
     best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
@@ -207,9 +265,16 @@ def matches(index: Patterns, texts: pa.Array, found) -> dict[tuple[int, int], tu
         out.setdefault((t, key), []).append((int(index.start[p]), int(index.start[p] + index.length[p]), e, s, x))
     done = {}
     for own, parts in out.items():
-        covered, reach = 0, 0
-        for a, b, *_ in sorted(parts):
-            covered += max(0, b - max(a, reach))
-            reach = max(reach, b)
-        done[own] = covered, sum(x[2] for x in parts), min(x[3] for x in parts), max(x[4] for x in parts)
+        covered = reach = edits = k = 0
+        parts.sort()
+        while k < len(parts):  # the fewest pieces that cover as much, for edits are not to be counted over and over
+            while k + 1 < len(parts) and parts[k][0] <= reach and parts[k + 1][0] <= reach:
+                k += 1
+            a, b, own_edits = parts[k][:3]
+            if b > reach:
+                covered += b - max(a, reach)
+                edits += own_edits
+                reach = b
+            k += 1
+        done[own] = covered, edits, min(x[3] for x in parts), max(x[4] for x in parts)
     return done

@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Benchmark items are normalised (A-Z lower-cased; runs of white space and ASCII punctuation are one space) and cut into
-pieces of 96 bytes, half a piece apart; an item no longer than that is one piece. A piece of m bytes within k edits of
+pieces of 64 bytes, STEP bytes apart; an item no longer than that is one piece. STEP is a piece's budget of edits, so a
+quotation of PIECE + STEP - 1 = 68 bytes of an item holds a whole piece, wherever it begins. A piece of m bytes within k edits of
 some part of a document shares at least m - q + 1 - k * q of its q-grams with it, on diagonals that differ by at most k.
 So shared q-grams are counted in overlapping diagonal bands, the bands that reach the bound are verified by banded
 alignment, and a document is contaminated by an item if some piece is within k = floor(rate * m) edits.
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm._align import Patterns, matches
+from orrery.llm._align import Patterns, Windows, matches
 
-Q, PIECE, RATE = 8, 96, 0.08
+Q, PIECE, RATE = 8, 64, 0.08
+STEP = int(PIECE * RATE)
 BLOCK_BYTES = 8 << 20
 RESULT = "doc_id long, item_id long, covered long, item_bytes long, edits long, start long, end long"
 
@@ -48,7 +50,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, piece: int = P
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
     for items in benchmark_blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Patterns(items, q, piece, rate))
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(items, q, piece, rate, max(1, int(piece * rate))))
 
         def search(batches, shared=shared):
             index = shared.value
@@ -72,7 +74,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs that contain no benchmark item, columns as they were; judged in the row, so nothing is joined."""
     clean = docs
     for items in benchmark_blocks(benchmark, BLOCK_BYTES):
-        shared = docs.sparkSession.sparkContext.broadcast(Patterns(items, Q, PIECE, RATE))
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(items, Q, PIECE, RATE, STEP))
 
         clean = clean.where(~_leaks(shared)(F.col("text").cast("string")))
     return clean
@@ -89,16 +91,23 @@ def _leaks(shared):
 
 
 def brute_force(rows: list[tuple[int, str | None]], items: list[tuple[int, str]], q: int = Q, piece: int = PIECE, rate: float = RATE) -> set[tuple[int, int]]:
-    """(doc_id, item_id) by full alignment of every piece with every text; for tests."""
-    index = Patterns(items, q, piece, rate)
+    """(doc_id, item_id) by full alignment of every piece with every text; for tests. Of a piece within k edits, one of
+    any k + 1 parts is in the text as it is, so texts without one are passed over."""
+    index = Patterns(items, q, piece, rate, max(1, int(piece * rate)))
     from orrery.llm._align import PLAIN
 
+    cuts = [[n * index.length[k] // (index.budget[k] + 1) for n in range(index.budget[k] + 2)] for k in range(len(index.owner))]
+    parts = [[index.rows[k, a:b].tobytes() for a, b in zip(c, c[1:])] for k, c in enumerate(cuts)]
+    sizes = {len(x) for p in parts for x in p}
     out = set()
     for i, text in rows:
-        t = np.frombuffer(b" ".join(PLAIN[list((text or "").encode())].tobytes().split()) if text else b"", np.uint8)
+        plain = b" ".join(PLAIN[list((text or "").encode())].tobytes().split()) if text else b""
+        t, held = np.frombuffer(plain, np.uint8), {plain[a : a + n] for n in sizes for a in range(len(plain) - n + 1)}
         at = np.arange(len(t) + 1, dtype=np.int32)
         row, near = np.zeros_like(at), np.zeros_like(at)
         for k in range(len(index.owner)):
+            if (i, int(index.owner[k])) in out or held.isdisjoint(parts[k]):
+                continue
             row[:] = 0
             for n, c in enumerate(index.rows[k, : index.length[k]], 1):
                 near[0] = n

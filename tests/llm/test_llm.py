@@ -83,6 +83,20 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(frame(spark, docs), bench.where("false")).count() == 0
 
 
+def test_decontamination_quotations(spark):
+    """A verbatim quotation of 68 bytes is found wherever it begins, as is one with an edit in 80."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(1, letters(240)), (2, letters(163))]
+    docs = [(1000 * i + a, letters(40) + " " + t[a : a + 68] + " " + letters(50)) for i, t in items for a in range(len(t) - 67)]
+    docs += [(5000 + a, letters(9) + items[0][1][a : a + 40] + "!" + items[0][1][a + 41 : a + 80]) for a in range(0, 160, 7)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(frame(spark, docs), bench).collect()}
+    assert set(got) == {(i, 1 if i >= 5000 else i // 1000) for i, _ in docs} == decontamination.brute_force(docs, items)
+    assert all(r.edits <= 10 and 64 <= r.covered <= 92 for r in got.values()), [r for r in got.values() if not (r.edits <= 10 and 64 <= r.covered <= 92)][:5]
+    assert decontamination.drop_leaks(frame(spark, docs + [(1, letters(300))]), bench).count() == 1
+
+
 def test_license_scan(spark):
     mit = license_scan.TEMPLATES["MIT-notice"]
     docs = [(0, None), (1, ""), (2, "some text. Released under the MIT License. more"), (3, "x " + mit.replace("free", "fee").lower()), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "no notice of any kind here")]
