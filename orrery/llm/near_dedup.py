@@ -5,14 +5,16 @@ hashes at the defaults; each pair of collections makes the key of one table, so
 them, where plain banding would compute 546. Two sets of similarity s share a key if they agree on two collections at
 least: 0.9993 at s = 0.8, 1 - 1e-6 at 0.9.
 
-Candidates are confirmed on full sets, fetched as texts of the pairs alone. Equal sets are one class from the start.
-Links between classes are looked for until no bucket holds two components whose members were not compared: first each
-class with the least class that it shares a bucket with, then the members of a bucket with its least and with its
-greatest member of another component. What is left is compared in full: pair by pair in buckets of at most DENSE
-classes, so that pairs stay in proportion to rows, and block by block in larger ones, whose texts resemble each other
-just below the limit. There each pair of blocks is one product of incidence matrices in one task, which returns a
-spanning forest of its links; pairs are never rows. Pairs inside a component are mostly not compared, as no answer
-depends on them, so a large group of near copies costs about one comparison a member.
+Candidates are confirmed on full sets; the texts of classes that share a bucket with another are fetched once for that.
+Equal sets are one class from the start. Links between classes are looked for until no bucket holds two components whose
+members were not compared: first each class with the least class that it shares a bucket with, then in two rounds each
+class with the least, and the greatest, of another component among the ends of its buckets. What has been found is
+carried as a star, a class and its component, so there are never more links than two a class. What is left is compared
+in full: pair by pair in buckets of at most DENSE classes, so that pairs stay in proportion to rows, and block by block
+in larger ones, whose texts resemble each other just below the limit. There each two blocks that hold different
+components are one product of incidence matrices in one task, which returns a spanning forest of its links; pairs are
+never rows. Pairs inside a component are mostly not compared, as no answer depends on them, so a large group of near
+copies costs about one comparison a member. DENSE changes the way, never the links.
 
 Cases: texts without words, and null texts, have an empty set and are linked with nothing; a row with a null doc_id is
 left out of linking and gets a null component and kept = true; rows that repeat a doc_id are one document (their sets
@@ -27,11 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm._flat import mix, shingles, word_hashes
-from orrery.llm._store import Scratch
+from orrery.llm._store import Scratch, free
 
 WORDS, PERCENT, GROUPS, ROWS = 5, 80, 14, 3
 BATCH = 4 << 20
-DENSE, BLOCK = 24, 128
+DENSE, BLOCK, BLOCK_SHINGLES = 24, 128, 1 << 20
 
 
 def _sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +93,7 @@ def signatures(docs: DataFrame, n_words: int = WORDS, groups: int = GROUPS, rows
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets reach the similarity."""
+    """Those of pairs (a, b) whose full sets reach the similarity; texts: doc_id, text."""
 
     def check(batches):
         for batch in batches:
@@ -106,49 +108,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) -> D
                         keep[k + i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.record_batch({"a": batch["a"], "b": batch["b"]}).filter(pa.array(keep))
 
-    own = texts.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_t"))
+    own = texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t"))
     left = pairs.join(own.select(F.col("_id").alias("a"), F.col("_t").alias("_ta")), "a")
     return left.join(own.select(F.col("_id").alias("b"), F.col("_t").alias("_tb")), "b").mapInArrow(check, "a long, b long").distinct()
 
 
-def dense_links(rows: DataFrame, texts: DataFrame, n_words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links that connect what is similar among classes of large buckets. rows: key, class. Classes that large buckets
-    connect are one cluster; each cluster is cut into blocks of about BLOCK classes, and each two blocks meet once."""
-    hub = rows.groupBy("key").agg(F.min("class").alias("b"))
-    clusters = components(rows.join(hub, "key").where("class != b").select(F.col("class").alias("a"), "b").distinct(), scratch)
-    size = clusters.groupBy("comp").agg(F.count("*").alias("_n"))
-    dealt = clusters.join(size, "comp").select(F.col("comp").alias("_cluster"), F.col("node").alias("_id"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_nb"))
-    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int"))
-    own = texts.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    met = own.join(dealt, "_id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    met = met.select("_cluster", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_id", "text")
-
-    def meet(table: pa.Table) -> pa.Table:
-        sets, at = _sets(table["text"].combine_chunks().cast(pa.large_string()), n_words)
-        ids, count = table["_id"].to_numpy(), np.diff(at)
-        _, column = np.unique(sets, return_inverse=True)
-        row = np.repeat(np.arange(len(ids)), count)
-        both = np.zeros((len(ids), len(ids)), np.float32)
-        for k in range(0, int(column.max(initial=-1)) + 1, 1 << 14):
-            own = (column >= k) & (column < k + (1 << 14))
-            part = np.zeros((len(ids), 1 << 14), np.float32)
-            part[row[own], column[own] - k] = 1
-            both += part @ part.T
-        union = count[:, None] + count[None, :] - both
-        x, y = np.nonzero(np.triu((100 * both >= percent * union) & (both > 0), 1))
-        root = np.arange(len(ids))
-        for i, j in zip(x.tolist(), y.tolist()):
-            while root[i] != i:
-                i = root[i]
-            while root[j] != j:
-                j = root[j]
-            root[max(i, j)] = min(i, j)
-        linked = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table({"a": pa.array(ids[linked]), "b": pa.array(ids[root[linked]])})
-
-    return met.groupBy("_cluster", "_i", "_j").applyInArrow(meet, "a long, b long").where("a != b").distinct()
-
-
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of every node in links (a, b): comp is the least node reachable. Labels spread over links and jump
     to their label's label, so the rounds grow with the logarithm of a component's diameter."""
@@ -160,12 +124,88 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("next"))
         moved = scratch.keep(step.join(jump, "to").select("node", F.least("to", "next").alias("comp"), (F.least("to", "next") != F.col("comp")).alias("moved")))
         scratch.drop(labels)
-        labels = moved.select("node", "comp")
+        labels = scratch.same(moved.select("node", "comp"), moved)
         if moved.where("moved").isEmpty():
             scratch.drop(both)
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """labels (node, comp) after more links. What is known stands as a star, one link a node, whatever links it came from."""
+    star = labels.where("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    out = components(star.union(links.select("a", "b")), scratch)
+    scratch.drop(labels)
+    return out
+
+
+def clusters(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(comp, cluster): components of classes (comp) that buckets (key) connect, cluster being the least of them. In each
+    round a cluster is linked with the least one that it shares a bucket with, and no other."""
+    spots = scratch.keep(rows.select("key", "comp", F.col("comp").alias("cluster")).distinct())
+    while True:
+        ends = spots.groupBy("key").agg(F.min("cluster").alias("b"), F.max("cluster").alias("most")).where("b < most")
+        ends = scratch.keep(ends.select("key", "b"))
+        if ends.isEmpty():
+            return spots.select("comp", "cluster").distinct()
+        links = spots.join(ends, "key").where("cluster != b").groupBy(F.col("cluster").alias("a")).agg(F.min("b").alias("b"))
+        found = components(links, scratch).toDF("cluster", "_to")
+        spots = scratch.keep(spots.join(found, "cluster", "left").select("key", "comp", F.coalesce("_to", "cluster").alias("cluster")))
+
+
+def dense_links(rows: DataFrame, texts: DataFrame, n_words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between different components among classes of large buckets. rows: key, class, n_shingles, comp.
+
+    Classes that large buckets connect are one cluster, which is cut into blocks of about BLOCK classes and at most about
+    BLOCK_SHINGLES shingles. A large component fills blocks of its own, which don't meet each other; all other two blocks
+    meet once. So a few classes beside a large component cost its size, and not the square of it."""
+    dealt = rows.select("class", "n_shingles", "comp").distinct().join(clusters(rows, scratch), "comp")
+    dealt = scratch.keep(dealt.select("cluster", "comp", F.col("class").alias("_id"), "n_shingles"))
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    sizes = dealt.groupBy("cluster", "comp").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
+    sizes = scratch.keep(sizes.withColumn("_own", F.when(F.col("_n") >= BLOCK, F.col("comp"))))  # null: blocks shared with others
+    shares = sizes.groupBy("cluster", "_own").agg(parts(F.sum("_n"), F.sum("_s")).alias("_m"))  # one row for each BLOCK classes at most
+    order = Window.partitionBy("cluster").orderBy("_own")
+    whole = Window.partitionBy("cluster")
+    shares = shares.select("cluster", F.col("_own").alias("_as"), "_m", (F.sum("_m").over(order) - F.col("_m")).cast("int").alias("_first"), F.sum("_m").over(whole).cast("int").alias("_nb"))
+    plan = sizes.join(shares.withColumnRenamed("cluster", "_c"), (F.col("cluster") == F.col("_c")) & F.col("_own").eqNullSafe(F.col("_as")))
+    dealt = dealt.join(plan.select(F.col("comp").alias("_comp"), "_own", "_m", "_first", "_nb"), F.col("comp") == F.col("_comp"))
+    dealt = dealt.withColumn("_at", F.col("_first") + F.pmod(F.xxhash64("_id"), F.col("_m")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("_nb") - 1), lambda k: F.col("_own").isNull() | (k < F.col("_first")) | (k >= F.col("_first") + F.col("_m")))
+    own = texts.select(F.col("doc_id").alias("_id"), "text")
+    met = own.join(dealt.select("cluster", "comp", "_id", "_at", others.alias("_others")), "_id").withColumn("_other", F.explode("_others"))
+    met = met.select("cluster", F.least("_at", "_other").alias("_i"), F.greatest("_at", "_other").alias("_j"), "_id", "comp", "text")
+
+    def meet(table: pa.Table) -> pa.Table:
+        sets, at = _sets(table["text"].combine_chunks().cast(pa.large_string()), n_words)
+        ids, comp, count = table["_id"].to_numpy(), table["comp"].to_numpy(), np.diff(at)
+        _, column = np.unique(sets, return_inverse=True)
+        row = np.repeat(np.arange(len(ids)), count)
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        for k in range(0, int(column.max(initial=-1)) + 1, 1 << 14):
+            own = (column >= k) & (column < k + (1 << 14))
+            part = np.zeros((len(ids), 1 << 14), np.float32)
+            part[row[own], column[own] - k] = 1
+            both += part @ part.T
+        union = count[:, None] + count[None, :] - both
+        x, y = np.nonzero(np.triu((100 * both >= percent * union) & (both > 0), 1) & (comp[:, None] != comp[None, :]))
+        _, root = np.unique(comp, return_inverse=True)
+        up = np.arange(root.max(initial=-1) + 1)
+        forest = []
+        for p, q in zip(x.tolist(), y.tolist()):
+            i, j = int(root[p]), int(root[q])
+            while up[i] != i:
+                i = int(up[i])
+            while up[j] != j:
+                j = int(up[j])
+            if i != j:
+                up[max(i, j)] = min(i, j)
+                forest.append((p, q))
+        pairs = np.array(forest, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ids[pairs[:, 0]]), "b": pa.array(ids[pairs[:, 1]])})
+
+    return met.groupBy("cluster", "_i", "_j").applyInArrow(meet, "a long, b long").distinct()
+
+
 def find_components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable over links) of each document."""
     scratch = Scratch(docs.sparkSession)
@@ -173,44 +213,42 @@ def find_components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     names = [f"g{k}" for k in range(groups)]
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     same = ["fp_a", "fp_b", "n_shingles"]
-    classes = usable.groupBy(*same).agg(F.min("doc_id").alias("class"), *[F.first(n).alias(n) for n in names])
+    classes = scratch.keep(usable.groupBy(*same).agg(F.min("doc_id").alias("class"), *[F.first(n).alias(n) for n in names]))
     keys = [F.xxhash64(F.lit(i), F.lit(j), names[i], names[j]) for i in range(groups) for j in range(i)]
     tables = classes.select("class", "n_shingles", F.explode(F.array(*keys)).alias("key"))
-    bucket = Window.partitionBy("key")
-    buckets = scratch.keep(
-        tables.withColumn("hub", F.min("class").over(bucket)).withColumn("most", F.max("class").over(bucket)).where("hub < most").select("key", "class", "n_shingles", "hub")
-    )
-    fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
-    hubs = buckets.groupBy("class").agg(F.min("hub").alias("b")).where("b < class").select(F.col("class").alias("a"), "b")
-    links = scratch.keep(confirm(hubs, docs, n_words, percent))
+    # A key's rows never meet in one task: ends come from sums in each task, and a hot key's join can be split.
+    hubs = scratch.keep(tables.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("most")).where("hub < most").select("key", "hub"))
+    buckets = scratch.keep(tables.join(hubs, "key").select("key", "class", "n_shingles", "hub"))
+    scratch.drop(hubs)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = scratch.keep(own.join(buckets.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi"))  # all that will be compared
+    fits = F.lit(100) * F.least("n_shingles", "n_b") >= F.lit(percent) * F.greatest("n_shingles", "n_b")
+    first = buckets.where("hub < class").groupBy(F.col("class").alias("a")).agg(F.min("hub").alias("b"))
     # Rows of one doc_id with different sets belong together.
     repeats = usable.join(classes.select(*same, "class"), same).groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("a", "b")
-    links = scratch.keep(links.union(repeats))
+    labels = components(confirm(first, texts, n_words, percent).union(repeats), scratch)
     for choose in ("min", "max", "all"):
-        labels = components(links, scratch)
-        left = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        left = left.withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket)).where("low < high")
-        left = scratch.keep(left.select("key", "class", "n_shingles", "comp"))
-        if left.isEmpty():
+        known = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n_shingles", F.coalesce("comp", "class").alias("comp"))
+        end = F.max if choose == "max" else F.min
+        ends = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("_n"), end(F.struct("class", "n_shingles", "comp")).alias("e"))
+        ends = scratch.keep(ends.where("low < high").select("key", "_n", F.col("e.class").alias("class_b"), F.col("e.n_shingles").alias("n_b"), F.col("e.comp").alias("comp_b")))
+        if ends.isEmpty():
             break
+        left = scratch.keep(known.join(ends, "key"))
         scratch.drop(buckets)
-        buckets = left.select("key", "class", "n_shingles")
         if choose == "all":
-            counted = left.withColumn("_n", F.count("*").over(bucket))
-            large = scratch.keep(counted.where(F.col("_n") > DENSE).select("key", "class"))
-            if not large.isEmpty():
-                links = scratch.keep(links.union(dense_links(large, docs, n_words, percent, scratch)))
-            left = counted.where(F.col("_n") <= DENSE).drop("_n")
-            found = left.join(left.toDF("key", "class_b", "n_b", "comp_b"), "key").where("comp < comp_b")
+            large = left.where(F.col("_n") > DENSE)
+            more = dense_links(large, texts, n_words, percent, scratch) if not large.isEmpty() else None
+            small = left.where(F.col("_n") <= DENSE).select("key", "class", "n_shingles", "comp")
+            found = small.join(small.toDF("key", "class_b", "n_b", "comp_b"), "key").where("comp < comp_b").where(fits)
+            found = found.select(F.greatest("class", "class_b").alias("a"), F.least("class", "class_b").alias("b")).distinct()
+            more = confirm(found, texts, n_words, percent).union(more) if more is not None else confirm(found, texts, n_words, percent)
         else:
-            end = getattr(F, choose)
-            ends = left.groupBy("key").agg(end(F.struct("class", "n_shingles", "comp")).alias("e")).select("key", F.col("e.class").alias("class_b"), F.col("e.n_shingles").alias("n_b"), F.col("e.comp").alias("comp_b"))
-            found = left.join(ends, "key").where("comp != comp_b")
-        found = found.where(fits(F.col("n_shingles"), F.col("n_b"))).select(F.greatest("class", "class_b").alias("a"), F.least("class", "class_b").alias("b")).distinct()
-        more = scratch.keep(confirm(found, docs, n_words, percent))
-        links = scratch.keep(links.union(more))
-    else:
-        labels = components(links, scratch)
+            # Each class with one of another component, however many buckets it is in.
+            found = left.where("comp != comp_b").where(fits).groupBy(F.col("class").alias("a")).agg(end("class_b").alias("b"))
+            more = confirm(found, texts, n_words, percent)
+        labels = merged(labels, more, scratch)
+        buckets = scratch.same(left.select("key", "class", "n_shingles"), left)
     reach = classes.select(*same, F.col("class").alias("node")).join(labels, "node", "left").select(*same, F.coalesce("comp", "node").alias("comp"))
     linked = signed.join(reach, same, "left")
     return linked.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
@@ -223,9 +261,11 @@ def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs without those that are not the first of their component (5 words, 0.8); rows with a null doc_id stay."""
-    gone = find_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs without those that are not the first of their component (5 words, 0.8), columns as they were, whatever their
+    names; rows with a null doc_id stay."""
+    (gone,) = free(docs, "gone")
+    dropped = find_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def brute_force(rows: list[tuple[int, str | None]], n_words: int, percent: int = PERCENT) -> dict[int, tuple[int, int]]:
