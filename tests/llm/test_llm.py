@@ -59,6 +59,44 @@ def test_near_dedup(spark, corpus, n, monkeypatch):
     assert got == want
 
 
+def test_near_dedup_dense(spark, monkeypatch):
+    """Large buckets of texts that resemble each other around the limit: a group of near copies, strays, and chains."""
+    monkeypatch.setattr(near_dedup, "DENSE", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(8)
+    base = words(rng, 60)
+    rows = []
+    for i in range(150):
+        own, changed = list(base), 1 if i < 60 else rng.randrange(3, 9)
+        for _ in range(changed):
+            own[rng.randrange(60)] = f"x{rng.randrange(12) if i % 3 else i}"
+        rows.append((1000 - i, " ".join(own)))
+    for i in range(30):  # each like the one before only
+        rows.append((i, " ".join(f"c{k}" for k in range(4 * i, 4 * i + 60))))
+    want = near_dedup.brute_force(rows, 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.find_components(frame(spark, rows), 2).collect()}
+    assert got == want and 20 < len({c for _, c in want.values()}) < 160
+
+
+def test_near_dedup_links(spark, monkeypatch):
+    """What a group of near copies makes is in proportion to its size: two links a class at most go into components."""
+    seen = []
+    plain = near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda links, scratch: (seen.append(links.count()), plain(links, scratch))[1])
+    rng = random.Random(9)
+    base = words(rng, 40)
+    for n in (100, 200):
+        rows = []
+        for i in range(n):
+            own = list(base)
+            for _ in range(4):
+                own[rng.randrange(40)] = f"y{i}-{rng.randrange(99)}"
+            rows.append((i, " ".join(own)))
+        seen.clear()
+        near_dedup.find_components(frame(spark, rows), 2).count()
+        assert seen and max(seen) <= 2 * n
+
+
 def test_near_dedup_edges(spark):
     kept = near_dedup.drop_near_copies(frame(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (3, None)]))
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3]
@@ -138,11 +176,15 @@ def test_toxicity(spark):
         labels.append((i, 1, int(toxic)))
     rows += [(400, None), (401, ""), (402, " ".join(words(rng, 9000))), (403, " ".join(words(rng, 3000)) + " vorgullish snarpitted vorgulls")]
     marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    model = toxicity.train(frame(spark, rows), marked)
+    repeated = rows + [(1, "vorgul snarpit"), (3, "z" * toxicity.TEXT_BYTES + " vorguls")]  # the least of a doc_id's texts, within the bound
+    model = toxicity.train(frame(spark, repeated), marked)
+    assert (toxicity.train(frame(spark, repeated[::-1]), marked).weights == model.weights).all()
     out = {r.doc_id: r.score for r in toxicity.score(frame(spark, rows), model).collect()}
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(out[i] >= 0.5) == (i % 4 == 0) for i in held]) >= 0.97
     assert out[400] < 0.5 and out[401] < 0.5 and out[402] < 0.5 <= out[403]  # unseen forms
+    pair = [" ".join(["w1"] * k + ["vorgul", "snarpits"] + ["w2"] * 9) for k in range(6)]
+    assert (model.score(pa.array(pair)) >= 0.5).all()  # wherever they stand
     assert toxicity.train(frame(spark, rows), marked.where("false")).score(pa.array(["x", None])).max() < 0.5
     assert toxicity.drop_toxic(frame(spark, []), marked).count() == 0
 
