@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.vectors import dot, dot_f32, literal
+from orrery.functions.vectors import dot, dot_f32, finite, literal
 from orrery.operators.reconcile import chunks
 
 QUERY_BLOCK = 256
@@ -33,57 +34,61 @@ def search(images: DataFrame, query, top: int, threshold: float, key: str = "vec
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def batch_search(images: DataFrame, queries: DataFrame, top: int, threshold: float = -1.0, key: str = "vec_id", max_query_bytes: int = 64 << 20) -> DataFrame:
+def _best(ids: np.ndarray, q: np.ndarray, keys: np.ndarray, x: np.ndarray, top: int, threshold: float):
+    """query id, key and score of each query's best. A matrix product finds what may be among them; those are scored
+    again in order of dimensions, so that scores are equal on every run, whatever rows share a block."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    slack = 1e-12 * x.shape[1] * max(1.0, float(np.abs(x).max(initial=0.0)))
+    for b in range(0, len(ids), QUERY_BLOCK):
+        near = q[b : b + QUERY_BLOCK] @ x.T
+        for j, row in enumerate(near, b):
+            row[keys == ids[j]] = -np.inf
+            wide = slack * max(1.0, float(np.abs(q[j]).sum()))
+            least = max(np.partition(row, len(row) - top)[len(row) - top] if top < len(row) else -np.inf, threshold) - wide
+            at = np.flatnonzero((row >= least) & (keys != ids[j]))
+            score = np.zeros(len(at))
+            for d in range(x.shape[1]):
+                score += x[at, d] * q[j, d]
+            at, score = at[score >= threshold], score[score >= threshold]
+            order = np.lexsort((keys[at], -score))[:top]
+            out.append((np.full(len(order), ids[j]), keys[at[order]], score[order]))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def batch_search(images: DataFrame, queries: DataFrame, top: int, threshold: float = -1.0, key: str = "vec_id", block_bytes: int = 32 << 20) -> DataFrame:
     """query_id, key, score (double) and rank of the best ``top`` rows for every query (query_id, embedding); a row whose
-    key equals the query_id is left out.
+    key equals the query_id is left out. Vectors that are null, empty, or hold null or non-finite numbers take no part, and
+    a query meets vectors of its own length alone.
 
-    Queries travel in blocks, each a broadcast of checked size and one pass over the vectors; a task scores its rows
-    against a block as a matrix product in doubles and keeps its best, so what is shuffled is top rows a task and query.
+    Queries and vectors are dealt by hash into blocks of about ``block_bytes``, and each two blocks meet in one task, which
+    returns ``top`` rows a query. Nothing but counts reaches the driver; a block's vectors travel once for each block of
+    queries.
     """
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks, held, size = [], [], 0
-    for row in asked.orderBy("query_id").toLocalIterator():
-        held.append((row.query_id, row.embedding))
-        size += 8 * len(row.embedding)
-        if size >= max_query_bytes:
-            blocks.append(held)
-            held, size = [], 0
-    if held or not blocks:
-        blocks.append(held)
-    spark, parts = images.sparkSession, None
-    schema = "query_id long, key long, score double"
-    rows = images.select(F.col(key).cast("long").alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
-    for block in blocks:
-        shared = spark.sparkContext.broadcast((np.array([b[0] for b in block], np.int64), np.array([b[1] for b in block], float)))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-            for batch in batches:
-                if not len(ids) or not len(batch):
-                    continue
-                keys = batch["key"].to_numpy(zero_copy_only=False)
-                x = batch["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
-                for b in range(0, len(ids), QUERY_BLOCK):
-                    # An order of sums that does not depend on the batch keeps scores equal on every run.
-                    scores = np.zeros((len(ids[b : b + QUERY_BLOCK]), len(keys)))
-                    for d in range(x.shape[1]):
-                        scores += q[b : b + QUERY_BLOCK, d, None] * x[None, :, d]
-                    for j in range(len(scores)):
-                        keep = ~(scores[j] < threshold) & (keys != ids[b + j])
-                        s, k = np.append(best[b + j][0], scores[j][keep]), np.append(best[b + j][1], keys[keep])
-                        at = np.lexsort((k, -s))[:top]
-                        best[b + j] = s[at], k[at]
-            yield pa.record_batch({
-                "query_id": pa.array(np.repeat(ids, [len(s) for s, _ in best]) if len(ids) else np.zeros(0, np.int64)),
-                "key": pa.array(np.concatenate([k for _, k in best]) if len(ids) else np.zeros(0, np.int64)),
-                "score": pa.array(np.concatenate([s for s, _ in best]) if len(ids) else np.zeros(0)),
-            })
-
-        part = rows.mapInArrow(run, schema)
-        parts = part if parts is None else parts.unionByName(part)
+    def numbers(rows: DataFrame, name: str, to: str) -> DataFrame:
+        own = rows.select(F.col(name).cast("long").alias(to), F.col("embedding").cast("array<double>").alias("embedding"))
+        return own.where(F.col(to).isNotNull() & F.coalesce(finite(F.col("embedding")) & (F.size("embedding") > 0), F.lit(False))).withColumn("_n", F.size("embedding"))
+
+    asked, rows = numbers(queries, "query_id", "query_id"), numbers(images, key, "key")
+    blocks = lambda df: max(1, -(-(df.agg(F.sum(F.col("_n").cast("long") * 8)).first()[0] or 0) // block_bytes))
+    groups, parts = blocks(asked), blocks(rows)
+    deal = lambda name, m: F.pmod(F.xxhash64(name, F.lit("block")), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = asked.withColumn("_q", deal("query_id", groups)).withColumn("_d", every(parts))
+    right = rows.withColumn("_d", deal("key", parts)).withColumn("_q", every(groups))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return pc.list_flatten(table["embedding"]).to_numpy().reshape(len(table), -1)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if len(a) and len(b) and top > 0:
+            found = _best(a["query_id"].to_numpy(), matrix(a), b["key"].to_numpy(), matrix(b), top, threshold)
+        return pa.table(dict(zip(("query_id", "key", "score"), found)))
+
+    cells = ["_q", "_d", "_n"]
+    best = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(meet, "query_id long, key long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    ranked = parts.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return ranked.select("query_id", F.col("key").alias(key), "score", "rank")
 
 

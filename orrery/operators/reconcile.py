@@ -16,8 +16,9 @@ def plan(found: DataFrame, indexed: DataFrame, key: str = "path", version: tuple
 
 
 def missing(found: DataFrame, indexed: DataFrame, key: str = "path", version: tuple[str, ...] = ("mtime_ns", "size")) -> DataFrame:
-    """Rows of found that must be embedded: new or changed. An anti join on key and version."""
-    return found.join(indexed.select(key, *version), [key, *version], "left_anti")
+    """Rows of found that must be embedded: new or changed. An anti join on key and version, null equal to null as in plan."""
+    known = indexed.select(F.col(key).alias("_key"), F.struct(*version).alias("_version"))
+    return found.join(known, (found[key] == F.col("_key")) & F.struct(*[found[v] for v in version]).eqNullSafe(F.col("_version")), "left_anti")
 
 
 def only_in(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -11,8 +11,8 @@ from orrery.engine import Cache, Engine
 from orrery.functions import images
 from orrery.operators import metrics, stats
 from orrery.operators.encode import HashEncoder
-from orrery.operators.ranking import full_ranking, search
-from orrery.operators.reconcile import chunks, plan
+from orrery.operators.ranking import batch_search, full_ranking, search
+from orrery.operators.reconcile import chunks, missing, plan
 from orrery.sources import sinks
 from orrery.sources.scan import discover
 from orrery.sources.snapshot import Index
@@ -92,6 +92,23 @@ def test_ranking_traps(spark):
     assert search(rows, [1.0, 0.0], 0, 0.0, "path").count() == 0
 
 
+def test_batch_search(spark):
+    """Against a plain loop, in small and large blocks, with vectors that take no part and several lengths."""
+    rng = np.random.default_rng(6)
+    whole = [(i, rng.normal(size=4 if i % 5 else 6).round(1).tolist()) for i in range(60)]
+    bad = [(100, None), (101, []), (102, [float("nan")] * 4), (103, [1.0, None, 1.0, 1.0]), (104, [float("inf")] * 4), (None, [9.0] * 4)]
+    df = spark.createDataFrame(whole + bad, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 3 = 0 or vec_id > 99 or vec_id is null").withColumnRenamed("vec_id", "query_id")
+    want = set()
+    for q, x in whole[::3]:
+        near = sorted((-sum(a * b for a, b in zip(x, y)), v) for v, y in whole if v != q and len(y) == len(x))
+        want |= {(q, v, k) for k, (s, v) in enumerate(near[:7], 1) if -s >= 0.5}
+    for size in (300, 1 << 20):
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in batch_search(df, asked, 7, 0.5, block_bytes=size).collect()} == want
+    assert batch_search(df, asked, 0).count() == 0 and batch_search(df.where("false"), asked, 3).count() == 0
+    assert batch_search(spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [0.0, 1.0, 1.0, 0.0])], "vec_id long, embedding array<double>"), asked.where("false").union(spark.createDataFrame([(9, [1.0, 0.0])], asked.schema)), 5).count() == 2
+
+
 def test_full_ranking(spark):
     scored = spark.createDataFrame([(q, i, float((i * 7 + q) % 5)) for q in range(3) for i in range(40)], "query_id long, vec_id long, score double")
     for own, query in ((scored.where("query_id = 1"), None), (scored, "query_id")):
@@ -106,6 +123,11 @@ def test_reconcile_and_chunks(spark):
     old = spark.createDataFrame([(b"a", 1, 1), (b"b", 1, 1), (b"s", 1, 1)], "path binary, mtime_ns long, size long")
     new = spark.createDataFrame([(b"a", 1, 1), (b"b", 2, 1), (b"n\xff", 1, 1)], "path binary, mtime_ns long, size long")
     assert {bytes(r.path): r.op for r in plan(new, old).collect()} == {b"a": "same", b"b": "changed", b"s": "stale", b"n\xff": "missing"}
+    rows = "path string, mtime_ns long, size long"
+    old, new = spark.createDataFrame([("a", None, 1), ("b", None, 1), ("c", 1, None)], rows), spark.createDataFrame([("a", None, 1), ("b", 2, 1), ("c", 1, None), (None, 1, 1)], rows)
+    by = {r.path: r.op for r in plan(new, old).collect()}
+    assert by == {"a": "same", "b": "changed", "c": "same", None: "missing"}
+    assert {r.path for r in missing(new, old).collect()} == {p for p, op in by.items() if op in ("missing", "changed")}
     assert {r.id: r.chunk for r in chunks(spark.range(100), ["id"], 8).collect()} == {i: i // 8 for i in range(100)}
     assert chunks(spark.range(0), ["id"], 8).count() == 0
 
