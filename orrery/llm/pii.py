@@ -1,16 +1,19 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of what they miss, by DataFrame functions only.
 
-Base spans come from four regular expressions with checks. They are the seeds: the two words before a seed are a
-lexical pattern of its kind. Every token with a digit or an @ is an instance of the pattern it follows. Pattern and
-instance form a graph, which is scored in rounds: a pattern is trusted for a kind if at least SUPPORT different seeds
-of the kind follow it, and they make up TRUST of the different instances that do (counted over the corpus), and if at
-least SHARE of all places where its two words stand are followed by an instance; the instances of a trusted pattern
-that have four digits or an @ become seeds of the next round. At the end each instance of a trusted pattern that no
-base span touches is a span of its kind.
+Base spans come from four regular expressions with checks. They are seed entities, as are runs of 32 and more lower-case
+hexadecimal digits (kind "secret", which has no base spans). Every token with a digit or an @ is an instance, and induces
+up to two patterns: the two words before it, and, if it has nine digits or more and no letters, its shape (digits as 9).
+Patterns and instances form a graph, which is scored in rounds. A pattern is trusted for a kind if at least SUPPORT
+different seeds of the kind follow it, and they make up TRUST of the different instances that do; of a shape, TRUST of
+those whose kind is known, as nothing else tells what is no identifier. Words before must also be followed by an instance
+in at least SHARE of all places where they stand in the corpus. The instances of a trusted pattern that have four digits
+or an @ become seeds of its kind. Rounds go on until none trusts a new pattern. At the end each instance of a trusted
+pattern that no base span touches is a span of its kind; one of several kinds is of the first.
 
 Everything that is gathered is a count by pattern, after sums in each task, so that a frequent pattern or value costs
 no more than a rare one. Texts are read three times, whatever the number of rounds: for spans and instances, and to count the
-places of patterns that enough instances follow, first where instances stand, then everywhere.
+places of patterns that enough instances follow, first where instances stand, then everywhere. MOST_BROADCAST changes the
+way of that count, never its result.
 
 Cases: null and empty texts have no spans; rows that repeat are judged each; offsets count code points; a match or a
 run of any length takes no stack and is read a fixed number of times; other columns are ignored.
@@ -29,6 +32,7 @@ from orrery.llm._store import Scratch
 
 # The kinds, in order, and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
+SECRET = "^[0-9a-f]{32,}$"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -49,7 +53,8 @@ LINEAR = {
 LINEAR_TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 OUTER = r"^[^A-Za-z0-9@+]++|(?:\G|(?<![^A-Za-z0-9]))[^A-Za-z0-9]++$"
 RUN = 256
-SUPPORT, TRUST, SHARE, ROUNDS = 3, 0.7, 0.25, 2
+SUPPORT, TRUST, SHARE = 3, 0.7, 0.25
+SHAPE_DIGITS, SHAPE_MOST = 9, 40
 MOST_BROADCAST = 1_000_000
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -111,24 +116,30 @@ def base_spans(text: Column) -> Column:
 
 
 def instances(text: Column) -> Column:
-    """Tokens with a digit or an @: start, stop, core (without outer punctuation) and the two words before, in lower case."""
+    """Tokens with a digit or an @: start, stop, core (without outer punctuation) and patterns: the two words before, in
+    lower case, and the shape, which begins with a tab."""
     def one(m):
         before = F.filter(F.split(F.lower(m["gap"]), SPACES), lambda w: w != "")
         lead = F.length(m["value"]) - F.length(F.regexp_replace(m["value"], "^[^A-Za-z0-9@+]++", ""))
         core = F.regexp_replace(m["value"], OUTER, "")
-        return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(core)).alias("stop"), core.alias("core"), F.when(F.size(before) >= 2, F.concat_ws(" ", F.slice(before, -2, 2))).alias("pattern"))
+        shaped = (F.length(core) <= SHAPE_MOST) & ~core.rlike("[A-Za-z]") & (F.length(_digits(core)) >= SHAPE_DIGITS)
+        words, shape = F.when(F.size(before) >= 2, F.concat_ws(" ", F.slice(before, -2, 2))), F.when(shaped, F.concat(F.lit("\t"), F.regexp_replace(core, "[0-9]", "9")))
+        return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(core)).alias("stop"), core.alias("core"), F.array_compact(F.array(words, shape)).alias("patterns"))
 
-    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(located(text, LINEAR_TOKEN), one), lambda x: x["pattern"].isNotNull() & (x["core"] != "")))
+    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(located(text, LINEAR_TOKEN), one), lambda x: (F.size(x["patterns"]) > 0) & (x["core"] != "")))
 
 
 def firm_patterns(edges: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Patterns that SUPPORT different instances follow and whose two words are followed by an instance in at least
-    SHARE of all places where they stand, counted over all texts."""
-    able = scratch.keep(edges.groupBy("pattern").agg(F.count_distinct("core").alias("cores"), F.sum("n").alias("places")).where(F.col("cores") >= SUPPORT).withColumn("h", F.xxhash64("pattern")))
+    """Patterns that SUPPORT different instances follow; if they are words, those that are followed by an instance in at
+    least SHARE of all places where they stand, counted over all texts."""
+    able = edges.groupBy("pattern").agg(F.count_distinct("core").alias("cores"), F.sum("n").alias("places")).where(F.col("cores") >= SUPPORT)
+    able = scratch.keep(able.withColumn("h", F.xxhash64("pattern")))
+    shapes = able.where(F.col("pattern").startswith("\t")).select("pattern")
+    able = able.where(~F.col("pattern").startswith("\t"))
     # What stands in the texts that hold instances is a lower bound, and leaves few patterns to count in all texts.
     for texts in (docs.where(F.col("text").cast("string").rlike("[0-9@]")), docs):
         able = scratch.keep(able.join(_stands(texts, able), "h").where(F.col("places") >= SHARE * F.col("all")).select("pattern", "places", "h"))
-    return able.select("pattern")
+    return able.select("pattern").union(shapes)
 
 
 def _stands(docs: DataFrame, able: DataFrame) -> DataFrame:
@@ -142,24 +153,27 @@ def _stands(docs: DataFrame, able: DataFrame) -> DataFrame:
     return pairs.groupBy("h").agg(F.count("*").alias("all")).join(hashes, "h")
 
 
-def trusted_patterns(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, kind of the trusted patterns. edges: pattern, core, kind (of the base span there, or null), of firm
-    patterns alone."""
-    trusted, known = None, edges
-    for _ in range(rounds):
-        if trusted is not None:
-            told = trusted.select(F.col("pattern").alias("_p"), F.col("kind").alias("_k"))
-            sure = F.col("core").contains("@") | (F.length(_digits(F.col("core"))) >= 4)
-            learned = edges.where("kind is null").where(sure).join(told, F.col("pattern") == F.col("_p")).groupBy("core").agg(F.min("_k").alias("_l"))
-            known = edges.join(learned, "core", "left").withColumn("kind", F.coalesce("kind", "_l")).drop("_l")
+def trusted_patterns(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """pattern, kind of the trusted patterns. edges: pattern, core, kind (of the seed, or null), of firm patterns alone."""
+    trusted, known, n = None, edges, 0
+    while True:
         seeds = known.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("core").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-        all_of = known.groupBy("pattern").agg(F.count_distinct("core").alias("cores"))
+        told = F.when(~F.col("pattern").startswith("\t") | F.col("kind").isNotNull(), F.col("core"))
+        all_of = known.groupBy("pattern").agg(F.count_distinct(told).alias("cores"))
         rated = seeds.join(all_of, "pattern").where(F.col("seeds") >= TRUST * F.col("cores"))
-        trusted = scratch.keep(rated.groupBy("pattern").agg(F.max_by("kind", F.struct("seeds", -F.col("kind"))).alias("kind")))
-    return trusted
-
-
-def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+        found = rated.groupBy("pattern").agg(F.max_by("kind", F.struct("seeds", -F.col("kind"))).alias("kind"))
+        if trusted is not None:  # what is trusted stays so
+            found = trusted.union(found.join(trusted.select("pattern"), "pattern", "left_anti"))
+        trusted = scratch.keep(found)
+        if (now := trusted.count()) == n:
+            return trusted
+        n = now
+        sure = F.col("core").contains("@") | (F.length(_digits(F.col("core"))) >= 4)
+        learned = edges.where("kind is null").where(sure).join(trusted.withColumnRenamed("kind", "_k"), "pattern").groupBy("core").agg(F.min("_k").alias("_l"))
+        known = scratch.keep(edges.join(learned, "core", "left").select("pattern", "core", F.coalesce("kind", "_l").alias("kind")))
+
+
+def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, base (spans) and extra (spans) of every row of docs."""
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -167,24 +181,27 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     token = found.where(F.size("tokens") > 0).select("doc_id", "own", "base", F.explode("tokens").alias("t"))
     touch = F.filter("base", lambda b: (b["start"] < F.col("t.stop")) & (F.col("t.start") < b["stop"]))
     token = token.select("doc_id", "own", "t.*", F.try_element_at(touch, F.lit(1))["kind"].alias("kind"))
-    edges = scratch.keep(token.groupBy("pattern", "core").agg(F.max("kind").alias("kind"), F.count("*").alias("n")))
+    token = token.select("doc_id", "own", "start", "stop", "core", "kind", F.explode("patterns").alias("pattern"))
+    seed = F.coalesce("kind", F.when(F.col("core").rlike(SECRET), F.lit(len(KINDS))))
+    edges = scratch.keep(token.groupBy("pattern", "core").agg(F.max(seed).alias("kind"), F.count("*").alias("n")))
     firm = scratch.keep(firm_patterns(edges, docs, scratch))
-    trusted = trusted_patterns(scratch.keep(edges.join(firm, "pattern", "left_semi")), scratch, rounds).withColumnRenamed("kind", "as")
-    more = token.where("kind is null").join(trusted, "pattern").groupBy("doc_id", "own").agg(F.array_sort(F.collect_set(F.struct("start", F.col("as").alias("kind"), F.col("stop")))).cast(SPAN).alias("extra"))
+    trusted = trusted_patterns(scratch.keep(edges.join(firm, "pattern", "left_semi")), scratch).withColumnRenamed("kind", "as")
+    spans = token.where("kind is null").join(trusted, "pattern").groupBy("doc_id", "own", "start", "stop").agg(F.min("as").alias("as"))
+    more = spans.groupBy("doc_id", "own").agg(F.array_sort(F.collect_list(F.struct("start", F.col("as").alias("kind"), F.col("stop")))).cast(SPAN).alias("extra"))
     joined = found.join(more.toDF("_id", "_own", "extra"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own")), "left")
     return joined.select("doc_id", "base", F.coalesce("extra", F.array().cast(SPAN)).alias("extra"))
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
-    """Counts and digest of the base spans, and all spans."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    """Counts and digest of the base spans, all spans, and how many the method added."""
+    names = F.array(*[F.lit(k) for k in [*KINDS, "secret"]])
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.array_sort(F.concat("base", "extra"))).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.array_sort(F.concat("base", "extra"))).alias("spans"), F.size("extra").cast("long").alias("n_added"))
 
 
-def brute_force(rows: list[tuple[int, str | None]], rounds: int = ROUNDS) -> dict[int, tuple[list, list]]:
+def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[list, list]]:
     """Base and extra spans (start, kind, stop) of each doc_id, by plain loops over the fixed patterns; for tests."""
     digits = lambda v: [int(c) for c in v if c in string.digits]
     luhn = lambda d: sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(reversed(d))) % 10 == 0
@@ -203,29 +220,36 @@ def brute_force(rows: list[tuple[int, str | None]], rounds: int = ROUNDS) -> dic
             before, end = [w for w in re.split(SPACES, t[end : m.start()].lower()) if w], m.end()
             lead = len(m[0]) - len(re.sub("^[^A-Za-z0-9@+]+", "", m[0]))
             core = re.sub("^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$", "", m[0])
-            if core and len(before) >= 2:
+            shapes = ["\t" + re.sub("[0-9]", "9", core)] if len(core) <= SHAPE_MOST and not re.search("[A-Za-z]", core) and len(digits(core)) >= SHAPE_DIGITS else []
+            for pattern in [" ".join(before[-2:])] * (len(before) >= 2) + shapes if core else []:
                 start, stop = m.start() + lead, m.start() + lead + len(core)
                 kind = next((k for a, k, b in base[i] if a < stop and start < b), None)
-                tokens.append((i, start, stop, " ".join(before[-2:]), core, kind))
+                tokens.append((i, start, stop, pattern, core, kind))
     for _, _, _, pattern, core, kind in tokens:
+        kind = len(KINDS) if kind is None and re.search(SECRET, core) else kind
         old, n = edges.get((pattern, core), (None, 0))
         edges[pattern, core] = (kind if old is None else old if kind is None else max(old, kind), n + 1)
         cores[pattern].add(core)
     places = Counter()
     for (pattern, _), (_, n) in edges.items():
         places[pattern] += n
-    firm = {p for p in cores if len(cores[p]) >= SUPPORT and places[p] >= SHARE * stands[p]}
-    known = {e: k for e, (k, _) in edges.items() if e[0] in firm}
-    trusted: dict[str, int] = {}
-    for turn in range(rounds):
-        if turn:
-            learned: dict[str, int] = {}
-            for (pattern, core), (kind, _) in edges.items():
-                if kind is None and pattern in trusted and ("@" in core or len(digits(core)) >= 4):
-                    learned[core] = min(learned.get(core, 9), trusted[pattern])
-            known = {e: learned.get(e[1]) if edges[e][0] is None else edges[e][0] for e in known}
+    firm = {p for p in cores if len(cores[p]) >= SUPPORT and (p[0] == "\t" or places[p] >= SHARE * stands[p])}
+    edges = {e: k for e, (k, _) in edges.items() if e[0] in firm}
+    trusted, learned = {}, {}
+    while True:
+        known = {e: learned.get(e[1]) if k is None else k for e, k in edges.items()}
         seeds = Counter((p, k) for (p, _), k in known.items() if k is not None)
-        rated = [(n, -k, p) for (p, k), n in seeds.items() if n >= SUPPORT and n >= TRUST * len(cores[p])]
-        trusted = {p: -k for n, k, p in sorted(rated)}
-    extra = {i: sorted((a, trusted[p], b) for j, a, b, p, _, k in tokens if j == i and k is None and p in trusted) for i in base}
-    return {i: (base[i], extra[i]) for i in base}
+        of = Counter(p for (p, _), k in known.items() if k is not None or p[0] != "\t")
+        rated = sorted((n, -k, p) for (p, k), n in seeds.items() if n >= SUPPORT and n >= TRUST * of[p] and p not in trusted)
+        if not rated:
+            break
+        trusted |= {p: -k for n, k, p in rated}
+        learned = {}
+        for (pattern, core), kind in edges.items():
+            if kind is None and pattern in trusted and ("@" in core or len(digits(core)) >= 4):
+                learned[core] = min(learned.get(core, 9), trusted[pattern])
+    extra: dict[int, dict] = {i: {} for i in base}
+    for i, a, b, p, _, kind in tokens:
+        if kind is None and p in trusted:
+            extra[i][a, b] = min(extra[i].get((a, b), 9), trusted[p])
+    return {i: (base[i], sorted((a, k, b) for (a, b), k in extra[i].items())) for i in base}

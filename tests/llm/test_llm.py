@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -261,11 +262,26 @@ def test_pii(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_pii_rounds(spark):
+    """A chain: seeds, the words before them, what follows those, the words before that, and so on, until nothing is new."""
+    rows = [(i, f"badge number 10.0.0.{i} and so on") for i in range(40)]
+    for step, n in enumerate((17, 7, 3)):  # instances known from one pattern are seeds of the next
+        before, after = ("badge number", "desk alpha", "desk beta", "desk gamma")[step : step + 2]
+        rows += [(100 * (step + 1) + k, f"x {before} id-{step}-{7000 + k} y {after} id-{step}-{7000 + k} z") for k in range(n)]
+    want = pii.brute_force(rows)
+    got = {r.doc_id: ([tuple(s) for s in r.base], [tuple(s) for s in r.extra]) for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert got == want and all(len(got[100 * (step + 1)][1]) == 2 for step in range(3))
+
+
 def test_pii_against_loops(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     want = pii.brute_force([tuple(r) for r in docs.collect()])
-    told = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    told = lambda spans: ",".join(f"{[*pii.KINDS, 'secret'][k]}:{a}:{b}" for a, k, b in spans)
     got = {r.doc_id: r for r in pii.op6_pii(spark, SF).collect()}
+    found = {i: [docs_text[a:b] for a, _, b in want[i][1]] for i, docs_text in docs.collect()}
+    every = [x for own in found.values() for x in own]
+    # The added spans of this table, looked through by hand: numbers of 16 digits that fail the checksum, and tokens.
+    assert len(every) > 20 and all(re.fullmatch("[0-9]{16}|[0-9A-Fa-f]{40}", x) for x in every) and {len(x) for x in every} == {16, 40}
     assert {i: (r.base_sha256, r.spans) for i, r in got.items()} == {i: (hashlib.sha256(told(base).encode()).hexdigest(), told(sorted(base + extra))) for i, (base, extra) in want.items()}
     assert all([r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in want[i][0]) for n in range(4)] for i, r in got.items())
 
