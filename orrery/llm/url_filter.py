@@ -1,16 +1,19 @@
 """URL filters: rules by longest match, and a Bloom filter cascade for the hosts that no rule settles.
 
-The universe of keys is every distinct host of the pages. Level 0 of the cascade encodes the listed hosts; level 1 those
-unlisted hosts of the universe that level 0 lets through by mistake; level 2 the listed hosts that level 1 lets through,
-and so on, until a level makes no mistake. The first level that a host fails tells its side: for hosts of the universe,
-all there are, membership is exact, and no page is joined with the list.
+The list is a table of hosts, of any size. The universe of keys is every distinct host of the pages; it is joined with the
+list once, to build. Level 0 of the cascade encodes the listed hosts of the universe; level 1 those unlisted hosts that
+level 0 lets through by mistake; level 2 the listed hosts that level 1 lets through, and so on, until a level makes no
+mistake. The first level that a host fails tells its side: for hosts of the universe, all there are, membership is exact,
+and pages meet the cascade alone, not the list.
 
-A cascade is built for each shard of keys, at most SHARD_KEYS of the universe in one task, by hash of the key. The
-levels are broadcast in rounds of at most MOST_BYTES: a longer list means another pass over the verdicts, not a larger
-broadcast. Keys stand as 128-bit hashes.
+A cascade is built for each shard of keys, about SHARD_KEYS of the universe in one task, by hash of the key. Where all
+levels take at most MOST_BYTES together they are broadcast; beyond that, pages are dealt to their key's shard, a frequent
+shard over several tasks of about TASK_ROWS pages, each of which gets that shard's levels alone. Either way gives the
+same verdicts. Keys stand as 128-bit hashes.
 
 Cases: a null url, or one without "://", has empty host and path, no rule fits it, and it is allowed unless the empty
-host is listed; rows that repeat are judged each; an empty table gives no rows; other columns are ignored.
+host is listed; rows that repeat, of pages or of the list, count once each page; null hosts of the list are left out; an
+empty table gives no rows, an empty list lists nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from pyspark.sql import functions as F
 from orrery.llm._flat import U64, mix
 from orrery.llm._store import Scratch
 
-SHARD_KEYS, MOST_BYTES = 200_000, 32 << 20
+SHARD_KEYS, MOST_BYTES, TASK_ROWS = 200_000, 32 << 20, 500_000
 
-# Verdict, host and path of each rule, and the labels whose hosts are listed.
+# Verdict, host and path of each rule; the parts of the hosts that the query lists.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-LISTED_LABELS = ["casino-win", "cheap-pills", "spam-farm"]
+BEFORE, SITES, ZONES = ["", "blog.", "m.", "www."], ["adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"], ["example.com", "example.net", "example.org"]
+LISTED = [f"{a}{b}.{c}" for a in BEFORE for b in SITES for c in ZONES]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -104,65 +108,63 @@ def build_cascades(keys: DataFrame, scratch: Scratch, shard_keys: int = SHARD_KE
     return scratch.keep(sharded.groupBy("_shard").applyInArrow(one, "shard int, level int, bits long, hashes int, packed binary")), shards
 
 
-def listed_column(spark, cascades: DataFrame, shards: int, key: Column, most_bytes: int = MOST_BYTES) -> Column:
-    """Whether the key of each row is listed."""
-    sizes = cascades.groupBy("shard").agg(F.sum(F.octet_length("packed")).alias("n")).orderBy("shard").collect()
-    rounds, held = [[]], 0
-    for row in sizes:
-        if rounds[-1] and held + row.n > most_bytes:
-            rounds.append([])
-            held = 0
-        rounds[-1].append(row.shard)
-        held += row.n
-    out = F.lit(False)
-    for own in rounds:
-        if not own:
-            continue
-        found: dict[int, list] = {}
-        for r in cascades.where(F.col("shard").between(own[0], own[-1])).orderBy("shard", "level").collect():  # most_bytes at most
-            found.setdefault(r.shard, []).append((r.bits, r.hashes, np.frombuffer(r.packed, np.uint8)))
-        out = out | _member(spark.sparkContext.broadcast(found), shards)(F.xxhash64(key), F.xxhash64(F.lit("b"), key))
+def _contains(levels: list, shards: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each key is listed. levels: rows of shard, level, bits, hashes, packed, in that order."""
+    own, out = a % shards, np.zeros(len(a), bool)
+    by: dict[int, list] = {}
+    for r in levels:
+        by.setdefault(r["shard"], []).append((r["bits"], r["hashes"], np.frombuffer(r["packed"], np.uint8)))
+    for shard in np.unique(own).tolist():
+        if shard in by:
+            at = np.flatnonzero(own == shard)
+            out[at] = contains(by[shard], a[at], b[at])
     return out
 
 
-def _member(shared, shards: int):
-    @F.pandas_udf("boolean")
-    def member(a: pd.Series, b: pd.Series) -> pd.Series:
-        a, b = a.to_numpy(np.int64), b.to_numpy(np.int64)
-        out = np.zeros(len(a), bool)
-        own = a % shards
-        for shard in np.unique(own).tolist():
-            if shard in shared.value:
-                at = np.flatnonzero(own == shard)
-                out[at] = contains(shared.value[shard], a[at], b[at])
-        return pd.Series(out)
+def with_listed(rows: DataFrame, cascades: DataFrame, shards: int, most_bytes: int = MOST_BYTES, task_rows: int = TASK_ROWS) -> DataFrame:
+    """rows (with hashes a, b of their keys) with ``listed`` in place of the hashes."""
+    size = cascades.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
+    if size <= most_bytes:
+        shared = rows.sparkSession.sparkContext.broadcast([r.asDict() for r in cascades.orderBy("shard", "level").collect()])
 
-    return member
+        @F.pandas_udf("boolean")
+        def member(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series(_contains(shared.value, shards, a.to_numpy(np.int64), b.to_numpy(np.int64)))
 
+        return rows.withColumn("listed", member("a", "b")).drop("a", "b")
+    dealt = rows.withColumn("_shard", F.pmod("a", F.lit(shards)).cast("int"))
+    salts = dealt.groupBy("_shard").agg(F.ceil(F.count("*") / task_rows).cast("int").alias("_m"))
+    dealt = dealt.join(salts, "_shard").withColumn("_salt", F.pmod(F.xxhash64("page_id", "a"), F.col("_m")).cast("int")).drop("_m")
+    levels = cascades.join(salts.toDF("_of", "_m"), F.col("shard") == F.col("_of")).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).drop("_m")
+    schema = rows.withColumn("listed", F.lit(False)).drop("a", "b").schema
 
-def is_listed(host: Column, labels: list[str] = LISTED_LABELS) -> Column:
-    return F.arrays_overlap(F.split(host, r"\."), F.array(*[F.lit(x) for x in labels]))
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        listed = _contains(sorted(right.to_pylist(), key=lambda r: r["level"]), shards, left["a"].to_numpy(), left["b"].to_numpy()) if len(left) else np.zeros(0, bool)
+        return left.select([f.name for f in schema.fields[:-1]]).append_column("listed", pa.array(listed))
 
+    return dealt.groupBy("_shard", "_salt").cogroup(levels.groupBy("_of", "_copy")).applyInArrow(check, schema)
 
-def judge(pages: DataFrame, labels: list[str] = LISTED_LABELS) -> DataFrame:
-    """page_id, host, path, rule, verdict and listed of every page."""
+
+def judge(pages: DataFrame, hosts: DataFrame, most_bytes: int = MOST_BYTES, shard_keys: int = SHARD_KEYS, task_rows: int = TASK_ROWS) -> DataFrame:
+    """page_id, host, path, rule, verdict and listed of every page. hosts: host of each listed one."""
     host, path = parts(F.col("url").cast("string"))
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     scratch = Scratch(pages.sparkSession)
-    keys = plain.groupBy(F.col("host").alias("key")).agg(F.lit(1)).select("key", is_listed(F.col("key"), labels).alias("listed"))
-    cascades, shards = build_cascades(keys, scratch)
-    listed = listed_column(pages.sparkSession, cascades, shards, F.col("host"))
-    told = plain.withColumn("listed", listed).withColumn("_r", by_rule(F.col("host"), F.col("path")))
-    return told.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+    listed = hosts.select(F.col("host").alias("_host")).where("_host is not null").distinct().withColumn("_in", F.lit(True))
+    keys = plain.select(F.col("host").alias("key")).distinct().join(listed, F.col("key") == F.col("_host"), "left")
+    cascades, shards = build_cascades(keys.select("key", F.coalesce("_in", F.lit(False)).alias("listed")), scratch, shard_keys)
+    hashed = plain.withColumn("a", F.xxhash64("host")).withColumn("b", F.xxhash64(F.lit("b"), "host"))
+    told = with_listed(hashed, cascades, shards, most_bytes, task_rows).withColumn("_r", by_rule(F.col("host"), F.col("path")))
+    return told.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     """Every page, by the rules, else by the cascade over listed hosts."""
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.createDataFrame([(h,) for h in LISTED], "host string"))
 
 
-OP5_SQL = r"""
-WITH cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+OP5_SQL = "WITH list(listed_host) AS (VALUES " + ", ".join(f"('{h}')" for h in LISTED) + r"""),
+cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
 parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
@@ -175,5 +177,6 @@ ruled AS (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM parts)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN list_has_any(string_split(host, '.'), ['casino-win', 'cheap-pills', 'spam-farm']) THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+  WHEN listed_host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, listed_host IS NOT NULL AS listed
+FROM ruled LEFT JOIN list ON host = listed_host
 """
