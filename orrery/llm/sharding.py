@@ -2,19 +2,20 @@
 
 Documents with equal texts are linked. They begin in shard hash(doc_id) mod K; the copies of a text that begin in one
 shard are a cell, so a text has K cells at most, whatever the number of its copies, and all propagation runs over cells
-joined with per-text, per-shard sums. In each round a cell looks for the shard that holds most of its text (ties by a
-hash of text and shard) and moves there if the shard's quota has room: a shard's room is shared out by a hash of text
-and round, so texts move whole while room is scarce. Each move to the heaviest neighbour cuts fewer edges. Then every
-document gets a place in its shard, linked ones first, by counts per (shard, hash part) and ranks inside each part;
+joined with per-text, per-shard sums. In each round a text's cells look for the shard that holds most of it (ties by a
+hash of text and shard) and move there if the shard's quota has room for all that is elsewhere. Room is granted to small
+requests first, by powers of two; within the power where it runs out, by a hash of text and round. So a text with more
+copies than fit stays where it is and keeps no other from moving. Each move to the heaviest neighbour cuts fewer edges;
+rounds go on until none is granted. Then every document gets a place in its shard, linked ones first, by counts per (shard, hash part) and ranks inside each part;
 places beyond the shard's quota, floor(n / K) or one more, are given the holes of the other shards in order. Counts are
 thus at most one apart ("rows" law), and mostly documents without copies pay for it.
 
-Nothing but the K shards' loads reaches the driver, and only tables of K or K times the number of rank parts are
-gathered in one task. Ranks need no global sort.
+Nothing but the K shards' loads and requests by power of two reaches the driver, and only tables of K or K times the
+number of rank parts are gathered in one task. Ranks need no global sort.
 
 Cases: null texts count as no bytes and are linked with nothing, empty texts are equal to each other; rows that repeat
 a doc_id are rows of their own; a null doc_id is hashed like any value; an empty table gives no rows; other columns are
-ignored by the query and kept by group_by_shard().
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm._store import Scratch
 
-SHARDS, ROUNDS = 40, 4
+SHARDS = 40
 PART_ROWS = 4000
 
 
@@ -33,21 +34,41 @@ def _unit(*cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
 
 
-def propagate(cells: DataFrame, quota: list[int], rounds: int, scratch: Scratch) -> DataFrame:
-    """cells (gid, home, shard, n) of linked documents after some rounds of moves."""
-    for turn in range(rounds):
+def _grants(room: list[int], asked: list) -> list[tuple[int, float]]:
+    """For each shard the power below which all requests are granted, and the share of those of that power. asked: rows
+    of shard (to), power and the sum of requests (n)."""
+    out = []
+    for k, free in enumerate(room):
+        power, share = 64, 1.0
+        for row in sorted((r for r in asked if r.to == k), key=lambda r: r.power):
+            if row.n > free:
+                power, share = row.power, free / row.n if 2 ** (row.power + 1) <= free else 0.0
+                break
+            free -= row.n
+        out.append((power, share))
+    return out
+
+
+def propagate(cells: DataFrame, quota: list[int], scratch: Scratch) -> DataFrame:
+    """cells (gid, home, shard, n, all) of linked documents after all rounds of moves."""
+    turn = 0
+    while True:
         held = cells.groupBy("gid", "shard").agg(F.sum("n").alias("m"))
-        best = held.groupBy("gid").agg(F.max_by("shard", F.struct("m", F.xxhash64("gid", "shard"))).alias("to"), F.max("m").alias("top"), F.sum("m").alias("all"))
-        wants = scratch.keep(cells.join(best.where("top < all"), "gid", "left").select("gid", "home", "shard", "n", F.coalesce("to", "shard").alias("to")))
+        best = held.groupBy("gid").agg(F.max_by("shard", F.struct("m", F.xxhash64("gid", "shard"))).alias("to"), F.max("m").alias("top"), F.sum("m").alias("sum"))
+        best = best.where("top < sum").select("gid", "to", (F.col("sum") - F.col("top")).alias("ask"))
+        wants = scratch.keep(cells.join(best, "gid", "left").withColumn("to", F.coalesce("to", "shard")).withColumn("power", F.floor(F.log2("ask")).cast("int")))
         load = dict(wants.groupBy("shard").agg(F.sum("n")).collect())
-        asked = dict(wants.where("shard != to").groupBy("to").agg(F.sum("n")).collect())
-        if not asked:
+        asked = wants.where("shard != to").groupBy("to", "power").agg(F.sum("n").alias("n")).collect()  # some dozens a shard
+        grants = _grants([max(0, q - load.get(k, 0)) for k, q in enumerate(quota)], asked)
+        grant = F.element_at(F.array(*[F.struct(F.lit(p).alias("power"), F.lit(float(x)).alias("share")) for p, x in grants]), F.col("to") + 1)
+        goes = (F.col("shard") != F.col("to")) & ((F.col("power") < grant["power"]) | ((F.col("power") == grant["power"]) & (_unit(F.col("gid"), F.lit(turn)) < grant["share"])))
+        moved = scratch.keep(wants.select("gid", "home", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard"), "n", "all", goes.alias("moved")))
+        scratch.drop(wants)
+        scratch.drop(cells)
+        cells = scratch.same(moved.drop("moved"), moved)
+        if moved.where("moved").isEmpty():
             return cells
-        room = [min(1.0, max(0, quota[k] - load.get(k, 0)) / asked[k]) if asked.get(k) else 0.0 for k in range(len(quota))]
-        rooms = F.array(*[F.lit(float(x)) for x in room])
-        goes = _unit(F.col("gid"), F.lit(turn)) < F.element_at(rooms, F.col("to") + 1)
-        cells = scratch.keep(wants.select("gid", "home", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard"), "n"))
-    return cells
+        turn += 1
 
 
 def _places(rows: DataFrame, by: list[str], order: list[Column], parts: int, scratch: Scratch, name: str) -> DataFrame:
@@ -59,7 +80,7 @@ def _places(rows: DataFrame, by: list[str], order: list[Column], parts: int, scr
     return rows.withColumn("_in", inside).join(offsets, [*by, "_part"]).withColumn(name, (F.col("_in") + F.col("_offset")).cast("long")).drop("_in", "_offset")
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession)
     text = F.col("text").cast("string")
@@ -73,15 +94,17 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     n = rows.count()
     quota = [n // shards + (k < n % shards) for k in range(shards)]
     spots = rows.where("gid is not null").groupBy("gid", "home").agg(F.count("*").alias("n"))
-    linked = spots.groupBy("gid").agg(F.sum("n").alias("all")).where("all > 1").select("gid")
-    cells = scratch.keep(spots.join(linked, "gid").select("gid", "home", F.col("home").alias("shard"), "n"))
-    cells = propagate(cells, quota, rounds, scratch).select("gid", "home", "shard")
+    linked = spots.groupBy("gid").agg(F.sum("n").alias("all")).where("all > 1")
+    cells = scratch.keep(spots.join(linked, "gid").select("gid", "home", F.col("home").alias("shard"), "n", "all"))
+    cells = propagate(cells, quota, scratch).select("gid", "home", "shard", "all")
     parts = max(1, n // shards // PART_ROWS)
-    # Linked documents come first in a shard; part 0 to parts - 1 hold them, by text, and the rest hold the others.
+    # Linked documents come first in a shard; part 0 to parts - 1 hold them, by text (a frequent one in several), and the
+    # rest hold the others.
     first = F.col("shard").isNotNull()
+    several = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("all") / PART_ROWS)))
     dealt = rows.join(cells, ["gid", "home"], "left").select(
         "doc_id", "size", "text_crc32", "gid", F.coalesce("shard", "home").alias("shard"),
-        F.when(first, F.pmod(F.xxhash64("gid", F.pmod(F.xxhash64("doc_id"), F.lit(8))), F.lit(parts))).otherwise(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(parts)) + parts).alias("_part"),
+        F.when(first, F.pmod(F.xxhash64("gid", several), F.lit(parts))).otherwise(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(parts)) + parts).alias("_part"),
     )
     order = [F.col("gid"), F.col("doc_id"), F.col("size"), F.col("text_crc32")]
     placed = scratch.keep(_places(dealt, ["shard"], order, parts, scratch, "place"))

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from orrery.llm import decontamination, license_scan, mixing, near_dedup, neighbours, pii, sharding, substring_dedup, toxicity, url_filter
@@ -236,14 +237,20 @@ def test_recall(spark):
 
 
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y", "http://a.example.com/en/", "http://example.com", "ftp://b.net/es/#z", "x://y://z/en/", "http://spam-farm.example.org/q", "http://m.casino-win.example.com/", "http://ok.org/a b\nc"]
+    urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y", "http://a.example.com/en/", "http://example.com", "ftp://b.net/es/#z", "x://y://z/en/", "http://spam-farm.example.org/q", "http://m.casino-win.example.com/", "http://ok.org/a b\nc", "http://spam-farm.example.org/q", "http://x.spam-farm.example.org/q", "http://" + "y" * 70000 + ".org/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("mine"))
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
-    ours, theirs = compare(url_filter.judge(pages), con, url_filter.OP5_SQL)
-    assert ours == theirs
-    assert url_filter.judge(pages.where("false")).count() == 0
+    hosts = spark.createDataFrame([(h,) for h in url_filter.LISTED + url_filter.LISTED[:2] + [None]], "host string").withColumn("key", F.lit(0))
+    for most, keys, rows in ((1 << 20, 100, 100), (0, 3, 2)):  # broadcast, and dealt by shard
+        ours, theirs = compare(url_filter.judge(pages.repartition(3), hosts, most, keys, rows), con, url_filter.OP5_SQL)
+        assert ours == theirs
+        assert url_filter.judge(pages.where("false"), hosts, most, keys, rows).count() == 0
+    assert not [r for r in url_filter.judge(pages, hosts.where("false")).collect() if r.listed]
+    hot = spark.createDataFrame([(i, f"http://h{i % 7 if i % 3 else 0}.org/") for i in range(300)], "page_id long, url string")
+    told = url_filter.judge(hot, spark.createDataFrame([("h0.org",), ("h5.org",), ("h99.org",)], "host string"), 0, 3, 10)
+    assert {r.page_id: r.verdict for r in told.collect()} == {i: "block" if i % 3 == 0 or i % 7 in (0, 5) else "allow" for i in range(300)}
     rng = np.random.default_rng(0)
     a, b = rng.integers(-(1 << 62), 1 << 62, (2, 20000))
     for share in (0.0, 0.01, 0.5, 1.0):
@@ -322,6 +329,30 @@ def test_sharding(spark, corpus):
     assert sharding.assign(frame(spark, []), 7).count() == 0
 
 
+def test_sharding_hot(spark):
+    """A text with a third of the rows has no room anywhere: it stays, and the others are brought together all the same."""
+    rows = [(i, "hot") for i in range(400)] + [(1000 + i, f"text {i % 100}") for i in range(300)] + [(2000 + i, f"single {i}") for i in range(500)]
+    out = sharding.assign(frame(spark, rows), 8).toPandas()
+    assert out.shard.value_counts().tolist() == [150] * 8
+    copies = out[(out.doc_id >= 1000) & (out.doc_id < 2000)].groupby("text_crc32").shard.nunique()
+    assert (copies == 1).mean() > 0.95 and out[out.doc_id < 400].groupby("shard").size().max() < 80
+    assert sharding._grants([10, 0, 5], [Row(to=0, power=0, n=4), Row(to=0, power=1, n=8), Row(to=0, power=9, n=600), Row(to=1, power=0, n=1), Row(to=2, power=3, n=9)]) == [(1, 6 / 8), (0, 0.0), (3, 0.0)]
+
+
+def test_clashing_names(spark, corpus):
+    """Columns named like those that operators use inside come back as they were."""
+    inner = ["_n", "_of", "_rate", "_copy", "_gone", "_id", "_t", "_y", "_o", "key", "class", "comp", "hub", "a", "b", "gid", "home", "n", "size", "score", "of", "rate", "copy", "gone", "item_id", "target"]
+    docs = frame(spark, corpus)
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(inner) if c not in docs.columns])
+    labels = spark.createDataFrame([(6, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int").withColumn("_id", F.lit(0)).withColumn("_y", F.lit(0))
+    bench = spark.createDataFrame([(1, "not in here at all, whatever is looked for")], "item_id long, text string").withColumn("doc_id", F.lit(0))
+    for out in (near_dedup.drop_near_copies(docs), mixing.repeat_documents(docs), decontamination.drop_leaks(docs, bench), toxicity.drop_toxic(docs, labels, 2.0)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == k for r in rows for k, c in enumerate(inner) if c != "key")
+    assert sharding.assign(docs, 3).count() == mixing.copies(docs).count() == len(corpus)
+
+
 def taken(rows):
     """How often the mix takes each (doc_id, text, source), by filling up sources one after the other."""
     size = {i: len((t or "").encode().split()) for i, t, _ in rows}
