@@ -2,18 +2,22 @@
 
 The corpus is cut into reference blocks, runs of neighbouring doc_ids of about equal bytes. Every block is indexed by
 its phrases of ``window`` words; the index is dealt out over hash ranges, so that each block meets every other block's
-phrases without any pair of blocks being formed. A document is then factored greedily against all blocks: a factor
-starts at a phrase that an earlier document holds, and grows while the following phrases are known from the same
-block. Phrases that straddle two factors are looked up like any other, so no repeat is lost at a boundary. Factors are
-at least ``window`` words long by construction; the words they cover are the duplicate spans.
+phrases without any pair of blocks being formed. A document is then factored greedily from left to right against all
+blocks before it and the documents before it in its own: a factor starts at a phrase that one of them holds, and grows
+while the following phrases are known from the same reference block. For a phrase that several blocks hold the first
+block is the reference; the others are not carried along, as a frequent phrase has any number of them, so a factor ends
+where the first holder of its phrases changes, though a later block may hold more. That cuts factors finer than the
+longest possible and never changes which words are covered: phrases that straddle two factors are looked up like any
+other. Factors are at least ``window`` words long by construction; the words they cover are the duplicate spans.
 
 Data moved: each text once (the exchange is shared by both passes), 8 bytes for each distinct phrase of a block, and
 an answer of one bit for each of these. A block sends a phrase once however often it holds it, so hot passages shrink
 before they are shuffled.
 
 Cases: null and empty texts have no words and lose none; rows with a null doc_id are returned unchanged (they are no
-reference and are judged against none); rows that repeat a doc_id are judged alike, and never against each other;
-other columns are ignored. 64-bit phrase hashes stand for phrases.
+reference and are judged against none); rows that repeat a doc_id are judged alike, and never against each other, so
+they share a block (doc_id is a key; only its repeats can make a block larger than asked for); a document larger than a
+block is one of its own; other columns are ignored. 64-bit phrase hashes stand for phrases.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,39 +35,50 @@ from orrery.llm._flat import buffers, shingles, word_hashes
 WINDOW = 13
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 4 << 20
-CELLS = 1024
 
 FACTORS = "doc_id long, start int, n_words int, block int"
 RESULT = "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start:int,n_words:int,block:int>>"
 
 
+def block_starts(docs: DataFrame, block_bytes: int) -> tuple[np.ndarray, int]:
+    """The first doc_id of each block, and the number of bytes. Sizes are dealt by ranges of doc_id and cut in order in each
+    task, so blocks follow the data, however doc_ids are spread; 16 bytes a block reach the driver."""
+    sizes = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"))
+
+    def cut(batches):
+        first, last, held = None, None, 0
+        rows = []
+        for batch in batches:
+            for i, n in zip(batch["doc_id"].to_pylist(), batch["size"].to_pylist()):
+                if first is None:
+                    first = i
+                elif held + n > block_bytes and i != last:
+                    rows.append((first, held))
+                    first, held = i, 0
+                last, held = i, held + n
+        rows += [(first, held)] * (first is not None)
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in (list(zip(*rows)) or [[], []])], ["first", "bytes"])
+
+    runs = sizes.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(cut, "first long, bytes long").collect()
+    starts, held, total = [], 0, 0
+    for first, n in sorted(tuple(r) for r in runs):  # what ends a task is joined to what begins the next
+        if not starts or held + n > block_bytes:
+            starts.append(first)
+            held = 0
+        held, total = held + n, total + n
+    return np.array(starts or [0], np.int64), total
+
+
 def assign_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int, int]:
-    """docs with ``_block``, non-decreasing in doc_id; the number of blocks and of bytes.
-
-    Bytes are summed over CELLS equal spans of doc_id (all that reaches the driver); a span becomes as many blocks as
-    its bytes ask for, and light neighbours share one.
-    """
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        return docs.withColumn("_block", F.lit(0)), 1, 0
-    at = (F.col("doc_id").cast("double") - float(low)) / (float(high) - float(low) + 1.0) * CELLS
-    cell = F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor(at).cast("int")))
-    spans = dict(docs.groupBy(cell.alias("cell")).agg(F.sum(size)).collect())
-    base, parts, n, filled = [], [], 0, 0
-    for k in range(CELLS):
-        own = spans.get(k, 0)
-        cut = max(1, round(own / block_bytes))
-        if cut > 1 or filled + own > block_bytes:
-            n, filled = n + (filled > 0), 0
-        base.append(n)
-        parts.append(cut)
-        filled += own
-        if cut > 1:
-            n, filled = n + cut, 0
-    lookup = lambda xs: F.element_at(F.split(F.lit(",".join(map(str, xs))), ",").cast("array<int>"), cell + 1)
-    sub = F.least(lookup(parts) - 1, F.floor((at - cell) * lookup(parts)).cast("int"))
-    return docs.withColumn("_block", lookup(base) + F.greatest(F.lit(0), sub)), n + 1, sum(spans.values())
+    """docs (doc_id, text; no null doc_id) with ``_block``, non-decreasing in doc_id; the number of blocks and of bytes."""
+    starts, total = block_starts(docs, block_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast(starts)  # 8 bytes a block
+
+    @F.pandas_udf("int")
+    def block(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(shared.value, doc_id.to_numpy(np.int64), "right") - 1, 0).astype(np.int32))
+
+    return docs.withColumn("_block", block("doc_id")), len(starts), total
 
 
 def _phrases(table: pa.Table, window: int):
