@@ -90,12 +90,18 @@ class Patterns:
         self.owner, self.start = np.array(self.owner, np.int64), np.array(self.start, np.int64)
         self.length = np.array([len(r) for r in rows], np.int64)
         self.budget = np.floor(self.length * rate).astype(np.int64)
-        self.need = np.maximum(1, self.length - q + 1 - q * self.budget)
+        self.need = self.length - q + 1 - q * self.budget
         self.rows = np.zeros((len(rows), size), np.uint8)
         for k, r in enumerate(rows):
             self.rows[k, : len(r)] = r
+        self.bound()
         self._index([(k, r) for k, r in enumerate(rows)])
 
+    def bound(self) -> None:
+        """The lemma says nothing where the bound is below one."""
+        if len(self.need) and self.need.min() < 1:
+            raise ValueError(f"grams of {self.q} bytes are too long for these texts and edits")
+
     def chosen(self, hashes: np.ndarray) -> np.ndarray:
         """Places whose grams are indexed; all of them here."""
         return np.arange(len(hashes))
@@ -254,6 +260,19 @@ class Windows(Patterns):
         return text[one], piece, diagonal[one] + self.start[piece], place[one]
 
 
+def windows(texts: list[tuple[int, str]], q: int, size: int, rate: float) -> list[Windows]:
+    """Indexes that hold all pieces of the texts with ``q`` bytes and more. A piece of m bytes within k edits shares
+    m - q + 1 - k * q grams, which must be one at least: texts too short for that with grams of q bytes (there are none
+    with a budget of 0) stand in an index of shorter grams."""
+    step, short, rest = max(1, int(size * rate)), [], []
+    for key, text in texts:
+        raw, offsets = buffers(pa.array([text], pa.large_string()))
+        m = min(len(normalise(raw, offsets)[0].tobytes().strip()), size)
+        (rest if m - q + 1 - q * int(m * rate) >= 1 else short if m >= q else []).append((key, text))
+    least = min((m - int(m * rate)) // (int(m * rate) + 1) for m in range(q, size + 1))
+    return [Windows(own, n, size, rate, step) for own, n in ((rest, q), (short, max(1, min(q // 2, least)))) if own]
+
+
 def matches(index: Patterns, texts: pa.Array, found) -> dict[tuple[int, int], tuple[int, int, int, int]]:
     """(text, key) -> covered bytes of the key's text, edits, and the span of the text from the first to the last match."""
     best: dict[tuple[int, int, int], tuple[int, int, int]] = {}

@@ -8,9 +8,11 @@ So shared q-grams are counted in overlapping diagonal bands, the bands that reac
 alignment, and a document is contaminated by an item if some piece is within k = floor(rate * m) edits.
 
 The index holds the benchmark alone and is sent to the workers in blocks of bounded bytes: a benchmark beyond
-``block_bytes`` means another pass over the documents, never a larger broadcast. Documents are not shuffled.
+``block_bytes`` means another pass over the documents, whose result is written before the next, never a larger broadcast
+or a larger index in a worker. Documents are not shuffled.
 
-Cases: null and empty texts match nothing; items without q bytes after normalising take no part; items that repeat an
+Cases: null and empty texts match nothing; items without Q bytes after normalising take no part, as
+they would be found in any text; items that repeat an
 item_id or a text each report; a null item_id takes no part; other columns are ignored. Offsets are bytes of the UTF-8
 text.
 """
@@ -23,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm._align import Patterns, Windows, matches
+from orrery.llm._align import PLAIN, Patterns, matches, windows
+from orrery.llm._store import Scratch
 
 Q, PIECE, RATE = 8, 64, 0.08
 STEP = int(PIECE * RATE)
@@ -48,21 +51,27 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, piece: int = PIECE, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item that it contains, wholly or in pieces."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = None
+    scratch, done, block = Scratch(docs.sparkSession), None, None
     for items in benchmark_blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Windows(items, q, piece, rate, max(1, int(piece * rate))))
+        if block is not None:  # one block's index at a time
+            own = scratch.keep(block[0])
+            block[1].destroy()
+            done = own if done is None else done.unionByName(own)
+        shared = docs.sparkSession.sparkContext.broadcast(windows(items, q, piece, rate))
 
         def search(batches, shared=shared):
-            index = shared.value
             for batch in batches:
-                done = matches(index, batch["text"], index.find(batch["text"]))
-                rows = [(batch["doc_id"][t].as_py(), key, covered, index.total[key], edits, start, end) for (t, key), (covered, edits, start, end) in sorted(done.items())]
-                cols = list(zip(*rows)) or [[]] * 7
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "covered", "item_bytes", "edits", "start", "end"])
+                rows = []
+                for index in shared.value:
+                    found = matches(index, batch["text"], index.find(batch["text"]))
+                    rows += [(t, key, covered, index.total[key], edits, start, end) for (t, key), (covered, edits, start, end) in found.items()]
+                cols = list(zip(*sorted(rows))) or [[]] * 7
+                yield pa.record_batch([batch["doc_id"].take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["doc_id", "item_id", "covered", "item_bytes", "edits", "start", "end"])
 
-        part = plain.mapInArrow(search, RESULT)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], RESULT)
+        block = plain.mapInArrow(search, RESULT), shared
+    if block is None:
+        return docs.sparkSession.createDataFrame([], RESULT)
+    return block[0] if done is None else done.unionByName(block[0])
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -70,12 +79,14 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs that contain no benchmark item, columns as they were; judged in the row, so nothing is joined."""
-    clean = docs
-    for items in benchmark_blocks(benchmark, BLOCK_BYTES):
-        shared = docs.sparkSession.sparkContext.broadcast(Windows(items, Q, PIECE, RATE, STEP))
-
+    clean, scratch, shared = docs, Scratch(docs.sparkSession), None
+    for items in benchmark_blocks(benchmark, block_bytes):
+        if shared is not None:  # one block's index at a time
+            clean = scratch.keep(clean)
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast(windows(items, Q, PIECE, RATE))
         clean = clean.where(~_leaks(shared)(F.col("text").cast("string")))
     return clean
 
@@ -83,8 +94,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _leaks(shared):
     @F.pandas_udf("boolean")
     def leaks(text: pd.Series) -> pd.Series:
-        found = np.zeros(len(text), bool)
-        found[shared.value.find(pa.array(text, pa.large_string(), from_pandas=True))[0]] = True
+        found, texts = np.zeros(len(text), bool), pa.array(text, pa.large_string(), from_pandas=True)
+        for index in shared.value:
+            found[index.find(texts)[0]] = True
         return pd.Series(found)
 
     return leaks
@@ -93,9 +105,11 @@ def _leaks(shared):
 def brute_force(rows: list[tuple[int, str | None]], items: list[tuple[int, str]], q: int = Q, piece: int = PIECE, rate: float = RATE) -> set[tuple[int, int]]:
     """(doc_id, item_id) by full alignment of every piece with every text; for tests. Of a piece within k edits, one of
     any k + 1 parts is in the text as it is, so texts without one are passed over."""
-    index = Patterns(items, q, piece, rate, max(1, int(piece * rate)))
-    from orrery.llm._align import PLAIN
+    class Plain(Patterns):
+        def bound(self) -> None:
+            pass
 
+    index = Plain(items, q, piece, rate, max(1, int(piece * rate)))
     cuts = [[n * index.length[k] // (index.budget[k] + 1) for n in range(index.budget[k] + 2)] for k in range(len(index.owner))]
     parts = [[index.rows[k, a:b].tobytes() for a, b in zip(c, c[1:])] for k, c in enumerate(cuts)]
     sizes = {len(x) for p in parts for x in p}

@@ -77,6 +77,9 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 class Fingerprints(Patterns):
     """Patterns whose index holds winnowed grams."""
 
+    def bound(self) -> None:
+        """Any budget will do: limits() decides."""
+
     def chosen(self, hashes: np.ndarray) -> np.ndarray:
         return winnow(hashes, WINDOW)
 

@@ -43,7 +43,7 @@ def frame(spark, rows):
 
 
 def test_substring_dedup(spark, corpus):
-    rows = [r for r in corpus if r[0] != 5] + [(90, corpus[8][1])]
+    rows = corpus + [(90, corpus[8][1])]
     want = substring_dedup.brute_force(rows)
     got = substring_dedup.factor_documents(frame(spark, rows + [(None, corpus[8][1])]), block_bytes=1500, bucket_bytes=512)
     out = {r.doc_id: r for r in got.withColumn("digest", F.sha2("kept", 256)).collect()}
@@ -52,6 +52,21 @@ def test_substring_dedup(spark, corpus):
     assert substring_dedup.factor_documents(frame(spark, [])).count() == 0
 
 
+def test_substring_blocks(spark):
+    """Outlying and clustered ids: blocks follow the bytes, and answers stay right."""
+    rng = random.Random(2)
+    shared = words(rng, 20)
+    ids = [-(9 * 10**18), 9 * 10**18] + list(range(1000, 1600)) + [10**12 + 7 * i for i in range(200)]
+    rows = [(i, " ".join(words(rng, 30) + shared * (k % 4 == 0))) for k, i in enumerate(ids)]
+    df = frame(spark, rows)
+    dealt, n, total = substring_dedup.assign_blocks(df.select("doc_id", "text"), 4000)
+    sizes = dealt.groupBy("_block").agg(F.sum(F.octet_length("text") + 8).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("_block").collect()
+    assert len(sizes) == n and sum(r.n for r in sizes) == total and max(r.n for r in sizes) <= 2 * 4000 and n <= 2.5 * total / 4000
+    assert all(a.high < b.low for a, b in zip(sizes, sizes[1:]))
+    got = substring_dedup.factor_documents(df, block_bytes=4000, bucket_bytes=512).withColumn("digest", F.sha2("kept", 256)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.digest) for r in got} == substring_dedup.brute_force(rows)
+
+
 @pytest.mark.parametrize("n", [2, 5])
 def test_near_dedup(spark, corpus, n, monkeypatch):
     monkeypatch.setattr(near_dedup, "DENSE", 3)
@@ -137,6 +152,23 @@ def test_decontamination_quotations(spark):
     assert decontamination.drop_leaks(frame(spark, docs + [(1, letters(300))]), bench).count() == 1
 
 
+def test_decontamination_lengths(spark):
+    """Items of every length, whole and with an edit in the middle, in blocks and at once: as by full alignment."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(n, letters(n)) for n in range(1, 201)]
+    docs = [(n, letters(30) + " " + t + " " + letters(30)) for n, t in items]
+    docs += [(1000 + n, letters(30) + " " + t[: n // 2] + "z" + t[n // 2 + 1 :] + " " + letters(30)) for n, t in items]
+    docs += [(5000, letters(300000) + " " + items[150][1] + " " + letters(300000)), (None, items[99][1]), (1, docs[0][1])]
+    bench = spark.createDataFrame(items + [(None, items[50][1]), (7, items[70][1])], "item_id long, text string")
+    want = decontamination.brute_force([d for d in docs if d[0] != 5000], items + [(7, items[70][1])])
+    for size in (8 << 20, 2000):
+        got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, docs), bench, block_bytes=size).collect()}
+        assert got == want | {(5000, 151)} and {(1000 + n, n) for n in range(13, 201)} <= got
+        clean = decontamination.drop_leaks(frame(spark, docs), bench, block_bytes=size)
+        assert {r.doc_id for r in clean.collect()} == {i for i, _ in docs} - {i for i, _ in got}
+
+
 def test_license_scan(spark):
     mit = license_scan.TEMPLATES["MIT-notice"]
     docs = [(0, None), (1, ""), (2, "some text. Released under the MIT License. more"), (3, "x " + mit.replace("free", "fee").lower()), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "no notice of any kind here")]
