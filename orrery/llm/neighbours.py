@@ -1,16 +1,21 @@
 """Approximate nearest neighbours by collision-counting hashing, for the largest inner product.
 
 Vectors are extended by one number, so that all have the length of the longest, and the largest inner product becomes
-the least distance. Each block of vectors is indexed by PROJECTIONS arrays, one for each random direction, which hold
-its projections in order. A query's window in each array is centred on the query's own projection and widened step by
-step (virtual rehashing: no array is built again); a vector collides with the query in an array if the window holds it.
-Vectors that collide in LEVEL of the arrays are candidates, and widening stops when a block has given BETA of its
-vectors and twice the answers asked for. Candidates are verified by their inner products in double precision, and the
-blocks' best are merged.
+the least distance. As one long vector would make all others alike, this is done for bands of vectors of like length: in
+a band the longest is at most BAND times the shortest. Each band of a block is indexed by PROJECTIONS arrays, one for each
+random direction, which hold its projections in order. A query's window in each array is centred on the query's own
+projection and widened (virtual rehashing: no array is built again); a vector collides with the query in an array if the
+window holds it. Vectors that collide in LEVEL of the arrays are candidates, and the window is the narrowest of the widths
+FIRST * GROWTH ** i that gives BETA of the band's vectors and twice the answers asked for; it is found by bisection, from
+the width of the query before. Candidates are verified by their inner products in double precision. Bands are taken from
+the longest vectors on, and one whose length times the query's cannot reach the worst answer so far is left out, which
+loses nothing. The blocks' best are merged.
 
 Equal vectors of a block are indexed once, and BETA and the answers are counted in distinct vectors, so copies use up
-nothing of what a query may look at; each copy of a verified vector is a candidate answer. Every vector is indexed. Queries and vectors meet in blocks, (query block, vector block) by (query block, vector
-block), so no task holds more than one of each; the work is queries times vectors, as for any search of all rows.
+nothing of what a query may look at; each copy of a verified vector is a candidate answer. Every vector is indexed. Queries
+and vectors meet in blocks, (query block, vector block) by (query block, vector block), so no task holds more than one of
+each. A query block holds up to QUERIES queries, so up to 20 times as many rows a vector travels once or a few times; beyond
+that, queries times vectors is the work, as for any search of all rows.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite numbers take no part; neither do those of another
 length than the most frequent (the shorter, if tied); equal scores are ordered by vec_id; rows that repeat a vec_id are
@@ -25,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, LEVEL, BETA = 64, 0.75, 0.25
-FIRST, GROWTH = 0.8, 1.12
-BLOCK, QUERIES = 1 << 13, 1 << 10
+PROJECTIONS, LEVEL, BETA = 64, 0.75, 0.3
+FIRST, GROWTH, WIDEST = 0.4, 1.1, 48
+BAND = 1.25
+BLOCK, QUERIES = 1 << 13, 1 << 13
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -40,15 +46,6 @@ def usable(vectors: DataFrame) -> DataFrame:
     return whole.where(F.size("embedding") == (lengths[0].n if lengths else 0))
 
 
-def _index(x: np.ndarray, longest: float, seed: int = 5):
-    rng = np.random.default_rng(seed)
-    ways = rng.normal(0, 1, (x.shape[1] + 1, PROJECTIONS))
-    rest = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0.0))
-    spots = (x @ ways[:-1] + rest[:, None] * ways[-1]) / longest
-    order = np.argsort(spots, axis=0).T.astype(np.int32)
-    return ways, np.ascontiguousarray(order), np.sort(spots, axis=0).T
-
-
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different rows of x, the places of x in order of them, and where each one's places begin (one more)."""
     x = np.ascontiguousarray(x + 0.0)  # -0.0 is 0.0
@@ -56,33 +53,89 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x[first], np.argsort(which, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(which))])
 
 
-def search_block(queries: np.ndarray, vectors: np.ndarray, longest: float, k: int, beta: float = BETA) -> list[np.ndarray]:
-    """Candidates (places in vectors, which are distinct) of each query."""
-    ways, order, spots = _index(vectors, longest)
-    n, level = len(vectors), int(np.ceil(LEVEL * PROJECTIONS))
-    own = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ ways[:-1]
-    enough = min(n, 2 * k + int(beta * n))
-    counts = np.zeros((len(queries), n), np.uint8)
-    low = np.stack([np.searchsorted(spots[i], own[:, i]) for i in range(PROJECTIONS)], 1)
-    high, open_, width = low.copy(), np.arange(len(queries)), FIRST
-    while len(open_):
-        new_low = np.stack([np.searchsorted(spots[i], own[open_, i] - width, "left") for i in range(PROJECTIONS)], 1)
-        new_high = np.stack([np.searchsorted(spots[i], own[open_, i] + width, "right") for i in range(PROJECTIONS)], 1)
-        for j, q in enumerate(open_.tolist()):
-            parts = [order[i, a:b] for i in range(PROJECTIONS) for a, b in ((new_low[j, i], low[q, i]), (high[q, i], new_high[j, i])) if a < b]
-            if parts:
-                counts[q] += np.bincount(np.concatenate(parts), minlength=n).astype(np.uint8)
-        low[open_], high[open_] = new_low, new_high
-        open_ = open_[(counts[open_] >= level).sum(1) < enough]
-        width *= GROWTH
-    return [np.flatnonzero(c >= level) for c in counts]
+class Band:
+    """Arrays of the projections of some distinct vectors of like length."""
+
+    def __init__(self, places: np.ndarray, x: np.ndarray, norm: np.ndarray, k: int, beta: float):
+        self.places, self.x, self.longest = places, x, float(norm.max())
+        self.enough = min(len(x), 2 * k + int(beta * len(x)))
+        rest = np.sqrt(np.maximum(self.longest**2 - norm * norm, 0.0))
+        self.ways = np.random.default_rng(5).normal(0, 1, (x.shape[1] + 1, PROJECTIONS))
+        spots = (x @ self.ways[:-1] + rest[:, None] * self.ways[-1]) / self.longest
+        order = np.argsort(spots, axis=0, kind="stable")
+        self.spots = np.ascontiguousarray(np.take_along_axis(spots, order, 0).T)
+        self.rank = np.empty((PROJECTIONS, len(x)), np.uint16 if len(x) < (1 << 16) - 1 else np.uint32)  # the place of each vector in each array
+        for i in range(PROJECTIONS):
+            self.rank[i, order[:, i]] = np.arange(len(x))
+        self.level = int(np.ceil(LEVEL * PROJECTIONS))
+        self.guess = WIDEST // 2
+
+    def colliding(self, own: np.ndarray, step: int) -> np.ndarray:
+        """Vectors that the windows of a width hold in LEVEL of the arrays. own: the query's projections."""
+        width = FIRST * GROWTH**step if step < WIDEST else np.inf
+        ends = np.stack([own - width, own + width], 1)
+        low, high = np.array([a.searchsorted(v) for a, v in zip(self.spots, ends)]).T
+        kind = self.rank.dtype.type
+        low, size = low.astype(kind)[:, None], (high - low).astype(kind)[:, None]
+        return np.flatnonzero((self.rank - low < size).sum(0, dtype=np.uint8) >= self.level)  # below low wraps around
+
+    def candidates(self, query: np.ndarray) -> np.ndarray:
+        """Places in x of the query's candidates."""
+        if self.enough >= len(self.x):
+            return np.arange(len(self.x))
+        own = (query / np.linalg.norm(query)) @ self.ways[:-1]
+        low, high, found = -1, WIDEST, {}
+        step = self.guess
+        while high - low > 1:  # too few at low, enough at high
+            found[step] = self.colliding(own, step)
+            if len(found[step]) >= self.enough:
+                high = step
+                step = max(low + 1, high - 1) if high == self.guess else (low + high) // 2
+            else:
+                low = step
+                step = min(high - 1, low + 1) if low == self.guess else (low + high) // 2
+        self.guess = min(high, WIDEST - 1)
+        return found[high] if high in found else self.colliding(own, high)
+
+
+def bands(x: np.ndarray, k: int, beta: float) -> list[Band]:
+    """Distinct vectors by length, longest first. x: no zero vectors."""
+    norm = np.sqrt((x * x).sum(1))
+    order = np.argsort(-norm, kind="stable")
+    out, a = [], 0
+    while a < len(order):
+        b = a + int(np.searchsorted(-norm[order[a:]], -norm[order[a]] / BAND, "right"))
+        b = len(order) if len(order) - b < 4 * k else max(b, min(len(order), a + 4 * k))  # small bands are looked at whole
+        out.append(Band(order[a:b], x[order[a:b]], norm[order[a:b]], k, beta))
+        a = b
+    return out
+
+
+def search_block(query: np.ndarray, index: list[Band], size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct vectors (places) that may be the query's best k, their scores, and how many were verified; size: copies of
+    each. A row of the query's own is among the k."""
+    length, floor, held, verified = float(np.linalg.norm(query)), -np.inf, [(np.zeros(0, np.int64), np.zeros(0))], 0
+    for band in index:
+        if length * band.longest * (1 + 1e-12) < floor:
+            break
+        ones = band.candidates(query)
+        verified += len(ones)
+        held.append((band.places[ones], np.einsum("ij,j->i", band.x[ones], query)))
+        place, score = (np.concatenate(c) for c in zip(*held))
+        top = np.argsort(-score, kind="stable")
+        last = int(np.searchsorted(np.cumsum(size[place[top]]), k))
+        if last < len(top):  # those that hold k rows, and all that tie
+            floor = score[top[last]]
+            held = [(place[score >= floor], score[score >= floor])]
+    return *(np.concatenate(c) for c in zip(*held)), verified
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, beta: float = BETA, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best found for each row that is_query (over vec_id) picks."""
     rows = usable(vectors)
-    n, asked, longest = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    blocks, groups = max(1, -(-n // block)), max(1, -(-(asked or 0) // queries))
+    n, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    blocks, cores = max(1, -(-n // block)), vectors.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-asked // queries), min(-(-asked // 256), -(-2 * cores // blocks)))  # small tables make use of the cores too
     deal = lambda m: F.pmod(F.xxhash64("vec_id", F.lit(m)), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     data = rows.withColumn("_d", deal(blocks)).withColumn("_q", every(groups))
@@ -99,13 +152,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, beta: float = BET
             q, x = matrix(left), matrix(right)
             q_ids, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
             x, order, at = distinct(x)
-            size = np.diff(at)
-            for j, ones in enumerate(search_block(q, x, longest, k, beta)):
-                score = np.einsum("ij,j->i", x[ones], q[j])
-                top = np.argsort(-score, kind="stable")  # of these, as many as hold k rows besides the query's own, and all that tie
-                last = int(np.searchsorted(np.cumsum(size[ones[top]]), k + np.count_nonzero(ids == q_ids[j])))
-                if last < len(top):
-                    ones, score = ones[score >= score[top[last]]], score[score >= score[top[last]]]
+            size, index = np.diff(at), bands(x, k, beta)
+            for j in range(len(q)):
+                ones, score, _ = search_block(q[j], index, size, k + np.count_nonzero(ids == q_ids[j]))
                 found = np.concatenate([order[:0], *(order[at[i] : at[i + 1]] for i in ones.tolist())])
                 score = np.repeat(score, size[ones])
                 mine = ids[found] == q_ids[j]

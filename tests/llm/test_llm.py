@@ -240,6 +240,21 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_neighbours_lengths(spark, spread):
+    """Recall on vectors of like and of very unequal lengths, one of them a hundred times as long as any."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 48))
+    x *= np.exp(spread * rng.normal(size=(3000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 100 if spread else 1
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want, got = neighbours.brute_force(np.arange(3000), x), {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, block=1500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    shares = [len(got[q] & set(want[q])) / 20 for q in want]
+    assert np.mean(shares) >= 0.9 and min(shares) >= 0.5
+
+
 def test_neighbours_hot_copies(spark):
     """A third of the rows are one vector, near the queries but outside their best: it takes up no allowance."""
     rng = np.random.default_rng(4)
