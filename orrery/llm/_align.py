@@ -273,27 +273,44 @@ def windows(texts: list[tuple[int, str]], q: int, size: int, rate: float) -> lis
     return [Windows(own, n, size, rate, step) for own, n in ((rest, q), (short, max(1, min(q // 2, least)))) if own]
 
 
-def matches(index: Patterns, texts: pa.Array, found) -> dict[tuple[int, int], tuple[int, int, int, int]]:
-    """(text, key) -> covered bytes of the key's text, edits, and the span of the text from the first to the last match."""
-    best: dict[tuple[int, int, int], tuple[int, int, int]] = {}
+def _cover(parts: list) -> tuple[int, int, int, int]:
+    """Covered bytes, edits, and span from the first to the last of parts (begin and end in the key's text, edits, span)."""
+    covered = reach = edits = k = 0
+    parts = sorted(parts)
+    while k < len(parts):  # the fewest pieces that cover as much, for edits are not to be counted over and over
+        while k + 1 < len(parts) and parts[k][0] <= reach and parts[k + 1][0] <= reach:
+            k += 1
+        a, b, own_edits = parts[k][:3]
+        if b > reach:
+            covered += b - max(a, reach)
+            edits += own_edits
+            reach = b
+        k += 1
+    return covered, edits, min(x[3] for x in parts), max(x[4] for x in parts)
+
+
+def matches(index: Patterns, texts: pa.Array, found, reach: float | None = None) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """(text, key) -> covered bytes of the key's text, edits, and the span of the text from the first to the last match.
+    reach: only pieces that stand within so many times the key's length of each other add up; the place that covers most
+    is told, the first if tied."""
+    by: dict[tuple[int, int], list] = {}
     for t, p, e, s, x in zip(*(c.tolist() for c in found)):
-        own = (t, int(index.owner[p]), p)
-        best[own] = min(best.get(own, (e, s, x)), (e, s, x))
-    out: dict[tuple[int, int], list] = {}
-    for (t, key, p), (e, s, x) in sorted(best.items()):
-        out.setdefault((t, key), []).append((int(index.start[p]), int(index.start[p] + index.length[p]), e, s, x))
+        by.setdefault((t, int(index.owner[p])), []).append((s, x, e, p))
     done = {}
-    for own, parts in out.items():
-        covered = reach = edits = k = 0
-        parts.sort()
-        while k < len(parts):  # the fewest pieces that cover as much, for edits are not to be counted over and over
-            while k + 1 < len(parts) and parts[k][0] <= reach and parts[k + 1][0] <= reach:
-                k += 1
-            a, b, own_edits = parts[k][:3]
-            if b > reach:
-                covered += b - max(a, reach)
-                edits += own_edits
-                reach = b
-            k += 1
-        done[own] = covered, edits, min(x[3] for x in parts), max(x[4] for x in parts)
+    for own, spots in sorted(by.items()):
+        spots.sort()
+        limit = float("inf") if reach is None else reach * index.total[own[1]] + 64
+        best, a = None, 0
+        for b in range(len(spots)):
+            while spots[b][1] - spots[a][0] > limit and a < b:
+                a += 1
+            if b + 1 < len(spots) and spots[b + 1][1] - spots[a][0] <= limit:
+                continue  # the next place holds these as well
+            least: dict[int, tuple] = {}
+            for s, x, e, p in spots[a : b + 1]:
+                least[p] = min(least.get(p, (e, s, x)), (e, s, x))
+            told = _cover([(int(index.start[p]), int(index.start[p] + index.length[p]), *v) for p, v in least.items()])
+            if best is None or (told[0], -told[1]) > (best[0], -best[1]):
+                best = told
+        done[own] = best
     return done

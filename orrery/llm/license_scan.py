@@ -5,14 +5,17 @@ every window of WINDOW consecutive 8-byte grams, are kept in an inverted index w
 same grams wherever WINDOW + 7 bytes agree, so a document's fingerprints are looked up only where they are its own
 windows' least. Two fingerprints in one diagonal band (one, for pieces with fewer than three) make a candidate, which
 is aligned within RATE edits. A template is reported with the bytes of it that matched, as a share of its length, and
-the span from the first to the last match, if coverage reaches the limit.
+the span from the first to the last match, if coverage reaches the limit. Only pieces within REACH times the template's
+length of each other add up.
 
-Templates are a bounded parameter: at most MAX_BYTES in total, else ValueError. Documents are not shuffled.
+A worker holds templates of at most ``block_bytes`` at a time. Where they are more, documents are read once for each block
+of templates, and what was found in a text is gathered, a few rows, to be judged together. Documents are not shuffled.
 
 Cases: null and empty texts give no rows; several templates may be found in one text; a template that occurs twice in
-a text is reported once, with the span of all its matches; of templates whose spans overlap, those of least cost (edits
-and bytes of the template that are missing) stay, but one of under half another's length never drops it: a whole text
-stays beside the notice in it; other columns are ignored.
+a text is reported once, where most of it stands (the first place, if tied); of templates whose spans overlap, those of
+least cost (edits and bytes of the template that are missing) stay, but one of under half another's length never drops
+it: a whole text stays beside the notice in it; rows that repeat doc_id and text are reported once; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm._align import Patterns, matches
+from orrery.llm._store import Scratch
 
 WINDOW, PIECE, RATE, COVERAGE = 6, 96, 0.12, 0.8
-MAX_BYTES = 4 << 20
+REACH, BLOCK_BYTES = 2.0, 4 << 20
+
+RESULT = "doc_id long, license string, coverage double, edits long, start long, end long"
 
 # Grant statements in common wordings, and the notices that publishers ask for (MIT, BSD: their first lines).
 TEMPLATES = {
@@ -88,33 +94,70 @@ class Fingerprints(Patterns):
         return np.where(count < 3, 1, 2)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def choose(found: list[tuple], coverage: float) -> list[tuple]:
+    """Of one text's rows (license, covered, size, edits, start, end) those that are reported."""
+    best: list[tuple] = []
+    for row in sorted(found, key=lambda r: (r[3] + r[2] - r[1], r[0])):
+        name, covered, size, edits, start, end = row
+        cost = edits + size - covered
+        if covered / size >= coverage and not any(start < o[5] and o[4] < end and o[3] + o[2] - o[1] < cost and 2 * o[2] >= size for o in best):
+            best.append(row)
+    return best
+
+
+def _blocks(templates: dict[str, str], most: int) -> list[list[str]]:
+    """Names in order, in runs of at most ``most`` bytes of text (or one template)."""
+    out, held = [], 0
+    for name in sorted(templates):
+        size = len(templates[name].encode())
+        if not out or held + size > most:
+            out.append([])
+            held = 0
+        out[-1].append(name)
+        held += size
+    return out
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, license, coverage (0 to 1), edits, start and end (bytes) of each template found in each document; of
     TEMPLATES and full_texts() unless told otherwise."""
     templates = TEMPLATES | full_texts() if templates is None else templates
-    if sum(len(t.encode()) for t in templates.values()) > MAX_BYTES:
-        raise ValueError(f"templates of more than {MAX_BYTES} bytes")
-    names = sorted(templates)
-    shared = docs.sparkSession.sparkContext.broadcast(Fingerprints([(k, templates[n]) for k, n in enumerate(names)], 8, PIECE, RATE))
-
-    def search(batches):
-        index = shared.value
-        for batch in batches:
-            rows = []
-            found = matches(index, batch["text"], index.find(batch["text"], index.limits(), coverage))
-            best: dict[int, list] = {}  # of like templates whose spans overlap, only the ones of least cost: edits and bytes that are not there
-            cost = lambda x: x[1][1] + index.total[x[0][1]] - x[1][0]
-            for (t, key), (covered, edits, start, end) in sorted(found.items(), key=lambda x: (x[0][0], cost(x), x[0][1])):
-                own, size = edits + index.total[key] - covered, index.total[key]
-                if (share := covered / size) >= coverage and not any(start < e and s < end and n < own and 2 * z >= size for n, s, e, z in best.get(t, ())):
-                    best.setdefault(t, []).append((own, start, end, size))
-                    rows.append((batch["doc_id"][t].as_py(), names[key], share, edits, start, end))
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "license", "coverage", "edits", "start", "end"])
-
+    blocks = _blocks(templates, block_bytes)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(search, "doc_id long, license string, coverage double, edits long, start long, end long")
+    plain = plain.withColumn("own", F.xxhash64("doc_id", "text"))
+    raw, scratch = None, Scratch(docs.sparkSession)
+    for names in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(Fingerprints([(k, templates[n]) for k, n in enumerate(names)], 8, PIECE, RATE))
+
+        def search(batches, names=names, shared=shared):
+            index = shared.value
+            for batch in batches:
+                by: dict[int, list] = {}
+                for (t, key), (covered, edits, start, end) in matches(index, batch["text"], index.find(batch["text"], index.limits(), coverage), REACH).items():
+                    if covered >= coverage * index.total[key]:
+                        by.setdefault(t, []).append((names[key], covered, index.total[key], edits, start, end))
+                rows = [(t, *r) for t, own in by.items() for r in (choose(own, coverage) if len(blocks) == 1 else own)]
+                cols = list(zip(*rows)) or [[]] * 7
+                at = pa.array(cols[0], pa.int64())
+                found = [pa.array(c, k) for c, k in zip(cols[1:], (pa.string(), *[pa.int64()] * 5))]
+                yield pa.record_batch([batch["doc_id"].take(at), batch["own"].take(at), *found], ["doc_id", "own", "license", "covered", "bytes", "edits", "start", "end"])
+
+        part = plain.mapInArrow(search, "doc_id long, own long, license string, covered long, bytes long, edits long, start long, end long")
+        if len(blocks) > 1:  # one block's index at a time
+            part = scratch.keep(part)
+            shared.destroy()
+        raw = part if raw is None else raw.unionByName(part)
+    if raw is None:
+        return docs.sparkSession.createDataFrame([], RESULT)
+    raw = raw.dropDuplicates(["own", "doc_id", "license"])
+    if len(blocks) > 1:
+        def judge(table: pa.Table) -> pa.Table:
+            names = ["license", "covered", "bytes", "edits", "start", "end"]
+            rows = choose([tuple(r[n] for n in names) for r in table.to_pylist()], coverage)
+            return pa.table([pa.array([table["doc_id"][0].as_py()] * len(rows), pa.int64()), *[pa.array([r[k] for r in rows], pa.string() if k == 0 else pa.int64()) for k in range(6)]], names=["doc_id", *names])
+
+        raw = raw.groupBy("own", "doc_id").applyInArrow(judge, "doc_id long, license string, covered long, bytes long, edits long, start long, end long")
+    return raw.select("doc_id", "license", (F.col("covered") / F.col("bytes")).alias("coverage"), "edits", "start", "end")
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:

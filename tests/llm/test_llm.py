@@ -174,8 +174,44 @@ def test_license_scan(spark):
     docs = [(0, None), (1, ""), (2, "some text. Released under the MIT License. more"), (3, "x " + mit.replace("free", "fee").lower()), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "no notice of any kind here")]
     got = {(r.doc_id, r.license, r.coverage == 1.0) for r in license_scan.scan(frame(spark, docs)).collect()}
     assert got == {(2, "MIT", True), (3, "MIT-notice", True), (4, "GPL-3.0", True)}
-    with pytest.raises(ValueError):
-        license_scan.scan(frame(spark, docs), {"a": "x" * (5 << 20)})
+    assert license_scan.scan(frame(spark, []), {}).count() == license_scan.scan(frame(spark, docs), {}).count() == license_scan.scan(frame(spark, [])).count() == 0
+
+
+def test_license_blocks(spark):
+    """One template a block or all in one, long texts, nulls, repeated rows, and pieces that stand far apart: as by
+    aligning each template with each text."""
+    rng = random.Random(4)
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    own = {f"t{k}": letters(n) for k, n in enumerate((12, 30, 60, 200))}
+    own["t4"] = own["t2"] + " " + letters(10)
+    docs = [(0, None), (1, ""), (None, own["t1"]), (2, letters(40000) + " " + own["t3"] + " " + letters(40000))]
+    docs += [(10 + k, letters(20) + " " + t.upper() + "! " + letters(20)) for k, t in enumerate(own.values())] * 2
+    cut = own["t3"].split(" ")
+    docs += [(30, letters(3000).join(" ".join(cut[a : a + 40]) for a in range(0, 200, 40))), (31, own["t1"] + " " + letters(500) + " " + own["t1"])]
+
+    def edits(pattern, text):  # the fewest against any part of text
+        row = np.zeros(len(text) + 1, int)
+        t = np.frombuffer(text, np.uint8)
+        for n, c in enumerate(pattern, 1):
+            near = np.minimum(np.concatenate([[n], row[:-1] + (t != c)]), row + 1)
+            row = np.minimum.accumulate(near - np.arange(len(near))) + np.arange(len(near))
+        return row.min()
+
+    norm = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()).encode()
+    want = set()
+    for i, t in docs:
+        near = {n: edits(norm(x), norm(t or "")) for n, x in own.items()} if len(t or "") < 20000 else {n: 0 if norm(x) in norm(t) else 999 for n, x in own.items()}
+        held = {n for n, e in near.items() if e <= 0.12 * len(norm(own[n]))}
+        want |= {(i, n) for n in held}
+    results = []
+    for size in (4 << 20, 1):
+        rows = license_scan.scan(frame(spark, docs), own, block_bytes=size).collect()
+        assert {(r.doc_id, r.license) for r in rows if r.license not in ("t2", "t4")} == {x for x in want if x[1] not in ("t2", "t4")} and len(rows) == len({(r.doc_id, r.license) for r in rows})
+        assert {(12, "t2"), (14, "t4")} <= {(r.doc_id, r.license) for r in rows}
+        results.append(sorted(rows, key=lambda r: (r.doc_id or -1, r.license)))
+        twice = next(r for r in rows if r.doc_id == 31)
+        assert twice.coverage == 1.0 and (twice.start, twice.end) == (0, len(own["t1"]))
+    assert results[0] == results[1]
 
 
 def test_license_notices_and_texts(spark):
