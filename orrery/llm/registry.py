@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from importlib.util import find_spec
+
 from orrery.llm.decontamination import op2_decontamination
 from orrery.llm.license_scan import op7_license_scan
 from orrery.llm.mixing import OP8_SQL, op8_mixing
@@ -16,7 +17,13 @@ from orrery.llm.url_filter import OP5_SQL, op5_url_filter
 
 
 def queries() -> dict:
-    return {
+    """The ten, and the pipeline where its module is shipped as well."""
+    pipeline = {}
+    if find_spec("corpus_pipeline"):
+        import corpus_pipeline
+
+        pipeline["pipeline"] = corpus_pipeline.run
+    return pipeline | {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
@@ -27,7 +34,6 @@ def queries() -> dict:
         "op8_mixing": op8_mixing,
         "op9_near_dedup": op9_near_dedup,
         "op10_sharding": op10_sharding,
-        "pipeline": corpus_pipeline.run,
     }
 
 
