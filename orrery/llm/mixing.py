@@ -8,7 +8,8 @@ hash of (seed, doc_id, text) falls below the rate's fraction. The draw depends o
 other partitionings agree; rows that repeat a doc_id with the same text draw alike.
 
 Only per-source sums are gathered (one row a source; partial sums before the shuffle, so a hot source costs no more
-than another), and they are broadcast only below the session's size threshold. Levels are found by windows over all
+than another), and they are broadcast only after they are counted, up to MOST_BROADCAST sources; beyond, rows are joined
+by source. Levels are found by windows over all
 sources in one task, 60 bytes a source: meant for up to some millions of sources, whatever the number of documents.
 
 Cases: null and empty texts have size 0 and are taken as 0 words; a null source is a source of its own, ordered last;
@@ -21,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm._store import free
+from orrery.llm._store import Scratch, free
 
-WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix"
+WEIGHTS, MOST, SEED, MOST_BROADCAST = (5, 2, 1), 3, "mix", 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,13 +59,20 @@ def draw(seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def _targets(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """source_targets of docs, to be broadcast if they are few: else a small table would make all texts travel."""
+    sizes = docs.select(F.col("source").cast("string").alias("_source"), n_words(F.col("text")).alias("size"))
+    targets = Scratch(docs.sparkSession).keep(source_targets(sizes, weights, most))
+    return F.broadcast(targets) if targets.count() <= MOST_BROADCAST else targets
+
+
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """docs (doc_id, text, source) as doc_id, _source, size, _draw, source_size, target and n (times it is taken)."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("_source"), n_words(F.col("text")).alias("size"), draw(seed).alias("_draw"))
-    targets = source_targets(docs.select(F.col("source").cast("string").alias("_source"), n_words(F.col("text")).alias("size")), weights, most)
+    targets = _targets(docs, weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     n = F.floor(rate) + (F.col("_draw") < rate - F.floor(rate)).cast("long")
-    targets = targets.withColumnRenamed("_source", "_of")  # names of sized and targets alone meet here, whatever docs holds
+    targets = targets.select(F.col("_source").alias("_of"), "source_size", "target")  # names of sized and targets alone meet here, whatever docs holds
     return sized.join(targets, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of").withColumn("n", n.cast("long"))
 
 
@@ -77,8 +85,7 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; columns as they were, whatever their names."""
     of, rate, copy = free(docs, "of", "rate", "copy")
-    targets = source_targets(docs.select(F.col("source").cast("string").alias("_source"), n_words(F.col("text")).alias("size")), weights, most)
-    targets = targets.select(F.col("_source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
+    targets = _targets(docs, weights, most).select(F.col("_source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
     n = F.floor(F.col(rate)) + (draw(seed) < F.col(rate) - F.floor(F.col(rate))).cast("long")
     out = docs.join(targets, F.col("source").cast("string").eqNullSafe(F.col(of))).where(n > 0)
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
