@@ -33,7 +33,7 @@ from orrery.llm._store import Scratch, free
 
 WORDS, PERCENT, GROUPS, ROWS = 5, 80, 14, 3
 BATCH = 4 << 20
-DENSE, BLOCK, BLOCK_SHINGLES = 24, 128, 1 << 20
+DENSE, BLOCK, BLOCK_SHINGLES, TASK_ROWS = 24, 128, 1 << 20, 1_000_000
 
 
 def _sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,8 @@ def find_components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     same = ["fp_a", "fp_b", "n_shingles"]
     classes = scratch.keep(usable.groupBy(*same).agg(F.min("doc_id").alias("class"), *[F.first(n).alias(n) for n in names]))
     keys = [F.xxhash64(F.lit(i), F.lit(j), names[i], names[j]) for i in range(groups) for j in range(i)]
-    tables = classes.select("class", "n_shingles", F.explode(F.array(*keys)).alias("key"))
+    parts = max(1, -(-classes.count() * len(keys) // TASK_ROWS))  # a class becomes many rows, so few classes are many for a task
+    tables = classes.select("class", "n_shingles", *names).repartition(parts).select("class", "n_shingles", F.explode(F.array(*keys)).alias("key"))
     # A key's rows never meet in one task: ends come from sums in each task, and a hot key's join can be split.
     hubs = scratch.keep(tables.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("most")).where("hub < most").select("key", "hub"))
     buckets = scratch.keep(tables.join(hubs, "key").select("key", "class", "n_shingles", "hub"))
