@@ -10,6 +10,7 @@ from orrery.contracts import DEFAULT_THRESHOLD, DEFAULT_TOP, DIM, Contract, Engi
 from orrery.engine import Cache, Engine
 from orrery.operators.encode import HashEncoder
 from orrery.sources.sinks import render
+from orrery.timing import Progress, Timings
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--index-path")
     p.add_argument("--encoder", help="module:name of a callable that returns an encoder")
     p.add_argument("--quiet", action="store_true")
+    p.add_argument("--timings", metavar="FILE", help="write the phases' times as JSON; - for standard error")
     mode = p.add_mutually_exclusive_group()
     mode.add_argument("--reindex", action="store_true")
     mode.add_argument("--no-cache", action="store_true")
@@ -47,15 +49,21 @@ def main(argv: list[str] | None = None, spark=None, out=None) -> int:
         module, _, name = (args.encoder or "").partition(":")
         encoder = getattr(importlib.import_module(module), name)() if module else HashEncoder(DIM)
         contract = Contract(args.encoder or "hash-v1", args.encoder or "hash-v1", DIM)
-        engine = Engine(spark, args.directory, encoder, contract, args.index_path, lambda p, e: print(f"skipped {p!r}: {e}", file=sys.stderr))
+        timings = Timings(args.timings is not None)
+        engine = Engine(spark, args.directory, encoder, contract, args.index_path, timings=timings, progress=None if args.quiet else Progress())
         if args.query == "index":
             print(f"{engine.index()} images indexed", file=sys.stderr)
+            timings.write(args.timings)
             return 0
         cache = Cache.REINDEX if args.reindex else Cache.DISABLED if args.no_cache else Cache.USE
         rows = engine.search(args.query, args.image, args.top, args.threshold, cache)
         form = next((f for f in ("json", "paths", "nul") if getattr(args, f)), "text")
         shown = [(s, args.directory.rstrip("/").encode() + b"/" + p) for s, p in rows]
-        (out or sys.stdout.buffer).write(render(shown, form, args.quiet))
+        try:
+            (out or sys.stdout.buffer).write(render(shown, form, args.quiet))
+        except BrokenPipeError:  # the reader has seen enough
+            sys.stdout = None
+        timings.write(args.timings)
         return 0 if rows else 1
     except EngineError as e:
         print(f"error: {e}", file=sys.stderr)

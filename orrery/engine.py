@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from orrery.contracts import COMMIT_BATCH, DEFAULT_THRESHOLD, DEFAULT_TOP, ArgumentError, Contract, check_query, check_threshold, check_top
 from orrery.functions.paths import components
-from orrery.operators.encode import Encoder, embed, unit
+from orrery.operators.encode import Encoder, checked, embed
 from orrery.operators.ranking import search as rank
 from orrery.operators.reconcile import chunks, missing, only_in
 from orrery.sources.scan import discover, resolve_root
 from orrery.sources.snapshot import Index
+from orrery.timing import Progress, Timings
 
 
 class Cache(Enum):
@@ -22,8 +23,9 @@ class Cache(Enum):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, encoder: Encoder, contract: Contract, index_path: str | None = None, on_skip=lambda path, error: None):
+    def __init__(self, spark: SparkSession, root: str, encoder: Encoder, contract: Contract, index_path: str | None = None, on_skip=lambda path, error: None, timings: Timings | None = None, progress: Progress | None = None):
         self.spark, self.root, self.encoder, self.contract, self.on_skip = spark, resolve_root(root), encoder, contract, on_skip
+        self.timings, self.progress = timings or Timings(False), progress or Progress(lambda line: None)
         self.index_path = index_path or os.path.join(self.root, ".orrery-index")
 
     def _open(self) -> Index:
@@ -33,17 +35,29 @@ class Engine:
         """Bring the index up to the tree: stale keys go first, then changed and new files are embedded and committed
         in chunks of ``commit``, so a crash leaves a valid index that the next run completes. A file that cannot be
         decoded loses its row, or never gets one and is tried again each time."""
-        found = discover(self.spark, self.root).persist()
-        stale = only_in(index.files(), found, "path").select("path")
-        if not stale.isEmpty():
-            index.delete(stale)
-        todo = chunks(missing(found, index.files()), [F.col("path")], commit, "_commit").persist()
-        for k in range((todo.agg(F.max("_commit")).first()[0] if not todo.isEmpty() else -1) + 1):
-            done = embed(todo.where(F.col("_commit") == k).drop("_commit"), self.root, self.encoder).persist()
-            for row in done.where("error is not null").select("path", "error").collect():  # ``commit`` rows at most
+        with self.timings.phase("scan"):
+            found = discover(self.spark, self.root).persist()
+            self.timings.note(corpus_size=found.count())
+        with self.timings.phase("reconcile"):
+            stale = only_in(index.files(), found, "path").select("path")
+            if not stale.isEmpty():
+                index.delete(stale)
+            todo = chunks(missing(found, index.files()), [F.col("path")], commit, "_commit").persist()
+            n, last = todo.agg(F.count("*"), F.max("_commit")).first()
+        self.timings.note(index_cache_state="hit" if not n else "partial" if n < self.timings.facts["corpus_size"] else "miss")
+        if n:
+            self.progress.started(n)
+        for k in range(last + 1 if n else 0):
+            with self.timings.phase("embed"):
+                done = embed(todo.where(F.col("_commit") == k).drop("_commit"), self.root, self.encoder).persist()
+                bad = done.where("error is not null").select("path", "error").collect()  # ``commit`` rows at most
+            for row in bad:
                 self.on_skip(bytes(row.path), row.error)
+                self.progress.skipped(bytes(row.path), row.error)
             op = F.when(F.col("error").isNull(), "upsert").otherwise("delete")
-            index.commit(done.select(op.alias("op"), "path", "mtime_ns", "size", "embedding"))
+            with self.timings.phase("commit"):
+                index.commit(done.select(op.alias("op"), "path", "mtime_ns", "size", "embedding"))
+            self.progress.processed(min(commit, n - k * commit))
             done.unpersist()
         todo.unpersist()
         found.unpersist()
@@ -56,9 +70,11 @@ class Engine:
 
     def _text(self, query: str, index: Index | None) -> list[float]:
         known = index.recall(query) if index else None
+        self.timings.note(query_cache_state="disabled" if index is None else "miss" if known is None else "hit")
         if known is not None:
             return known
-        vector = unit(self.encoder.text(query)[None])[0].tolist()
+        with self.timings.phase("encode_text"):
+            vector = checked(self.encoder.text(query)[None], 1)[0].tolist()
         if index:
             index.remember(query, vector)
         return vector
@@ -73,13 +89,14 @@ class Engine:
             exclude = F.col("path") == F.lit(own)
             if vectors.where(~exclude).isEmpty():
                 return []
-            query = list(row.embedding) if row else unit(self.encoder.images([prepared]))[0].tolist()
+            query = list(row.embedding) if row else checked(self.encoder.images([prepared]), 1)[0].tolist()
         elif vectors.isEmpty():
             return []
         else:
             query = self._text(text, index)
         found = rank(vectors, query, top, threshold, key="path", exclude=exclude, tie=components(F.col("path")), f32=True)
-        return [(r.score, bytes(r.path)) for r in found.orderBy("rank").collect()]  # top rows
+        with self.timings.phase("rank"):
+            return [(r.score, bytes(r.path)) for r in found.orderBy("rank").collect()]  # top rows
 
     def search(self, text: str | None = None, image: str | None = None, top: int = DEFAULT_TOP, threshold: float = DEFAULT_THRESHOLD, cache: Cache = Cache.USE) -> list[tuple[float, bytes]]:
         """(score, path below the root) of the best matches. Rebuilds answer from the staged index and install it only

@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from orrery.contracts import ImageError
 
@@ -12,10 +14,11 @@ SIDE = 256
 MAX_PIXELS, MAX_WORKING = 100_000_000, 512 << 20
 MAX_IFDS, MAX_ENTRIES, MAX_BOXES, MAX_PREVIEW = 64, 1024, 1024, 64 << 20
 
-# The encoder's channel means and deviations, and the vendor's box identifier.
+# The encoder's channel means and deviations, and the vendor's box identifiers.
 MEAN = (0.48145466, 0.4578275, 0.40821073)
 STD = (0.26862954, 0.2613026, 0.2757771)
 CR3_PREVIEW = bytes.fromhex("eaf42b5e1c984b88b9fbb7dc406e4d16")
+CR3_METADATA = bytes.fromhex("85c0b687820f11e08111f4ce462b6a48")
 
 
 def resized_size(width: int, height: int) -> tuple[int, int]:
@@ -96,40 +99,84 @@ def jpeg_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-def _tiff_previews(data: bytes) -> list[tuple[int, int]]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8:
-        raise ImageError("the header is not known")
-    waiting, seen, out = [struct.unpack_from(order + "I", data, 4)[0]], set(), []
-    while waiting:
-        at = waiting.pop(0)
-        if at == 0 or at in seen:
-            continue
-        seen.add(at)
-        if len(seen) > MAX_IFDS:
-            raise ImageError("too many directories")
+def exif_orientation(jpeg: bytes) -> int | None:
+    """Orientation (1 to 8) that a JPEG's own EXIF block gives."""
+    at = 2
+    while at + 4 <= len(jpeg) and jpeg[at] == 0xFF and jpeg[at + 1] != 0xDA:
+        length = int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        if jpeg[at + 1] == 0xE1 and jpeg[at + 4 : at + 10] == b"Exif\0\0":
+            try:
+                return Tiff(jpeg[at + 10 : at + 2 + length]).orientation()
+            except ImageError:
+                return None
+        at += 2 + length
+    return None
+
+
+class Tiff:
+    """Directories of a TIFF-like container. An entry is (kind, count, value as a long, value as it stands)."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.order = {b"II*\0": "<", b"IIU\0": "<", b"MM\0*": ">"}.get(data[:4])
+        if self.order is None:
+            raise ImageError("the header is not known")
+        self.root = self._unpack("I", 4)[0]
+
+    def _unpack(self, form: str, at: int) -> tuple:
+        if at > len(self.data):
+            raise ImageError("an offset is out of bounds")
         try:
-            n = struct.unpack_from(order + "H", data, at)[0]
-            if n > MAX_ENTRIES:
-                raise ImageError("too many entries")
-            tags: dict[int, list[int]] = {}
-            for k in range(n):
-                tag, kind, count, value = struct.unpack_from(order + "HHII", data, at + 2 + 12 * k)
-                where = at + 2 + 12 * k + 8
-                if tag == 0x002E and kind == 7:
-                    out.append((value, count))
-                elif kind in (3, 4) and count <= MAX_ENTRIES and tag in (0x0103, 0x0111, 0x0117, 0x014A, 0x0201, 0x0202):
-                    size = 2 if kind == 3 else 4
-                    tags[tag] = list(struct.unpack_from(order + ("H" if kind == 3 else "I") * count, data, where if size * count <= 4 else value))
-            waiting.append(struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0])
+            return struct.unpack_from(self.order + form, self.data, at)
         except struct.error as e:
-            raise ImageError("an offset is out of bounds") from e
-        waiting += tags.get(0x014A, [])
-        if 0x0201 in tags and 0x0202 in tags:
-            out.append((tags[0x0201][0], tags[0x0202][0]))
-        if tags.get(0x0103, [0])[0] in (6, 7) and len(tags.get(0x0111, [])) == len(tags.get(0x0117, [])) == 1:
-            out.append((tags[0x0111][0], tags[0x0117][0]))
-    return out
+            raise ImageError("the container is cut short") from e
+
+    def directory(self, at: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+        """(tag, kind, count, long, scalar or -1) of each entry, and where the next directory is."""
+        (n,) = self._unpack("H", at)
+        if n > MAX_ENTRIES:
+            raise ImageError("too many entries")
+        flat = self._unpack("HHII" * n + "I", at + 2)
+        out = []
+        for k in range(n):
+            tag, kind, count, value = flat[4 * k : 4 * k + 4]
+            short = self._unpack("H", at + 2 + 12 * k + 8)[0]
+            out.append((tag, kind, count, value, -1 if count != 1 else short if kind == 3 else value if kind in (4, 13) else -1))
+        return out, flat[-1]
+
+    def orientation(self) -> int | None:
+        """Of the first directory; the last entry counts."""
+        found = [scalar for tag, _, _, _, scalar in self.directory(self.root)[0] if tag == 0x0112] if self.root else []
+        return found[-1] if found and 1 <= found[-1] <= 8 else None
+
+    def _below(self, count: int, value: int, waiting: int) -> list[int]:
+        if waiting + count > MAX_IFDS:
+            raise ImageError("too many directories")
+        return [value] if count == 1 else list(self._unpack("I" * count, value)) if count else []
+
+    def previews(self) -> list[tuple[int, int]]:
+        """Place and length of each embedded JPEG. Of the directories that wait, the last found is read first: a directory's
+        next before those below it. One that is met twice is an error."""
+        waiting, seen, out = [self.root], set(), []
+        while waiting:
+            at = waiting.pop()
+            if at == 0:
+                continue
+            if at in seen:
+                raise ImageError("the directories run in a circle")
+            seen.add(at)
+            if len(seen) > MAX_IFDS:
+                raise ImageError("too many directories")
+            entries, following = self.directory(at)
+            tags = {tag: scalar for tag, _, _, _, scalar in entries}
+            for tag, kind, count, value, _ in entries:
+                if tag == 0x014A and kind in (4, 13):
+                    waiting += self._below(count, value, len(waiting))
+            whole = [(tags.get(a, -1), tags.get(b, -1)) for a, b in ((0x0201, 0x0202), (0x0111, 0x0117)) if a == 0x0201 or tags.get(0x0103) in (6, 7)]
+            out += [own for own in whole if min(own) >= 0]
+            out += [(value, count) for tag, kind, count, value, _ in entries if tag == 0x002E and kind in (1, 7) and count > 4][-1:]
+            waiting.append(following)
+        return out
 
 
 def _boxes(data: bytes, at: int, end: int, budget: list[int]):
@@ -149,19 +196,36 @@ def _boxes(data: bytes, at: int, end: int, budget: list[int]):
         at += size
 
 
-def raw_preview(data: bytes) -> bytes:
-    """The JPEG preview of most pixels (the first, if tied), with a short edge of SIDE at least."""
+def _cr3(data: bytes) -> tuple[list[tuple[int, int]], int | None]:
+    spans, turned, budget = [], None, [MAX_BOXES]
+    for kind, a, b in _boxes(data, 0, len(data), budget):
+        if kind == b"uuid" and data[a : a + 16] == CR3_PREVIEW:
+            for inner, x, end in _boxes(data, a + 24, b, budget):
+                if inner == b"PRVW":
+                    length = int.from_bytes(data[x + 12 : x + 16], "big")
+                    spans.append((x + 16, length if x + 16 + length <= end else len(data)))
+        elif kind == b"moov":
+            for inner, x, end in _boxes(data, a, b, budget):
+                if inner == b"uuid" and data[x : x + 16] == CR3_METADATA:
+                    found = [data[y:stop] for name, y, stop in _boxes(data, x + 16, end, budget) if name == b"CMT1"]
+                    turned = Tiff(found[0]).orientation() if found else None
+                    break
+    return spans, turned
+
+
+def raw_preview(data: bytes) -> tuple[bytes, int | None]:
+    """The JPEG preview of most pixels (the first, if tied), with a short edge of SIDE at least, and the container's
+    orientation."""
+    turned = None
     if data[:8] == b"FUJIFILM":
         if data[:15] != b"FUJIFILMCCD-RAW" or len(data) < 92:
             raise ImageError("the header is not known")
         spans = [struct.unpack_from(">II", data, 84)]
     elif data[4:8] == b"ftyp":
-        spans, budget = [], [MAX_BOXES]
-        for kind, a, b in _boxes(data, 0, len(data), budget):
-            if kind == b"uuid" and data[a : a + 16] == CR3_PREVIEW:
-                spans += [(x + 16, int.from_bytes(data[x + 12 : x + 16], "big")) for inner, x, _ in _boxes(data, a + 24, b, budget) if inner == b"PRVW"]
+        spans, turned = _cr3(data)
     else:
-        spans = _tiff_previews(data)
+        container = Tiff(data)
+        spans, turned = container.previews(), container.orientation()
     best, size, outside = None, (0, 0), False
     for at, length in spans:
         outside |= at + length > len(data)
@@ -175,4 +239,29 @@ def raw_preview(data: bytes) -> bytes:
         raise ImageError("an offset is out of bounds" if outside else "there is no preview")
     if min(size) < SIDE:
         raise ImageError(f"the preview has {size[0]} x {size[1]} pixels only")
-    return best
+    return best, turned
+
+
+def load(data: bytes, kind: str, decode) -> np.ndarray:
+    """Upright RGB pixels of a file's bytes. decode turns the bytes of a common format into pixels as they are stored; a raw
+    file gives its largest preview. A JPEG's own orientation goes before its container's."""
+    turned = None
+    if kind == "raw":
+        data, turned = raw_preview(data)
+    if data[:2] == b"\xff\xd8":
+        if (found := jpeg_size(data)) is not None:
+            check_size(*found, 3 * found[0] * found[1])  # before any pixel is decoded
+        turned = exif_orientation(data) or turned
+    return orient(decode(data), turned or 1)
+
+
+def size_columns(width: Column, height: Column) -> dict[str, Column]:
+    """resized_width, resized_height, left, top, working_bytes and accepted, as expressions: what resized_size(),
+    crop_offset(), working_bytes() of three bytes a pixel and check_size() say."""
+    wide = width >= height
+    w = F.when(wide, F.floor(F.try_divide(width * SIDE, height))).otherwise(SIDE).cast("long")
+    h = F.when(wide, SIDE).otherwise(F.floor(F.try_divide(height * SIDE, width))).cast("long")
+    pixels = width.cast("long") * height
+    work = 9 * pixels + 3 * w * h + 3 * SIDE * SIDE + 12 * SIDE * SIDE
+    accepted = (width > 0) & (height > 0) & (pixels <= MAX_PIXELS) & F.coalesce(work <= MAX_WORKING, F.lit(False))
+    return {"resized_width": w, "resized_height": h, "left": F.rint((w - SIDE) / 2).cast("long"), "top": F.rint((h - SIDE) / 2).cast("long"), "working_bytes": work, "accepted": accepted}

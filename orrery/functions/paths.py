@@ -45,3 +45,12 @@ def fingerprint(text: Column) -> Column:
 def cache_key(*parts: Column) -> Column:
     """SHA-256 of NUL-joined parts."""
     return F.sha2(F.concat_ws("\x00", *parts), 256)
+
+
+def escaped(text: Column) -> Column:
+    """One line of text: backslash, tab, newline and return as escapes, other controls as \\u{..}."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for c in [*range(32), *range(127, 160)]:
+        name = {9: "\\t", 10: "\\n", 13: "\\r"}.get(c, f"\\u{{{c:x}}}")
+        out = F.replace(out, F.lit(chr(c)), F.lit(name))
+    return F.when(text.rlike(r"[\x00-\x1f\x7f-\x9f\\]"), out).otherwise(text)

@@ -4,7 +4,8 @@ loop of multiply and add would give them."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,12 +52,22 @@ def is_stored(a: Column, dim: int = DIM) -> Column:
     return F.coalesce((F.size(a) == dim) & finite(a) & (F.abs(norm_f32(a) - F.lit(1.0).cast("float")) <= F.lit(NORM_TOLERANCE).cast("float")), F.lit(False))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def from_blob(blob: pd.Series) -> pd.Series:
-    """Little-endian floats to an array; null if the bytes are not whole floats."""
-    return blob.map(lambda b: np.frombuffer(b, "<f4") if b is not None and len(b) and len(b) % 4 == 0 else None)
-
-
-@F.pandas_udf(T.BinaryType())
-def to_blob(vector: pd.Series) -> pd.Series:
-    return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def from_blob(blob: pa.Array) -> pa.Array:
+    """Little-endian floats to an array; null if the bytes are none or not whole floats."""
+    size = pc.fill_null(pc.binary_length(blob), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    good = (size > 0) & (size % 4 == 0)
+    whole = pc.if_else(pa.array(good), blob, pa.scalar(b"", blob.type))
+    at = np.concatenate([[0], np.cumsum(np.where(good, size // 4, 0))]).astype(np.int32)
+    values = np.frombuffer(b"".join(x.as_buffer() for x in whole), "<f4")
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values.astype(np.float32)), mask=pa.array(~good))
+
+
+@F.arrow_udf(T.BinaryType())
+def to_blob(vector: pa.Array) -> pa.Array:
+    """An array of floats as little-endian bytes."""
+    size = pc.fill_null(pc.list_value_length(vector), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = vector.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+    at = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
+    whole = pa.Array.from_buffers(pa.binary(), len(vector), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
+    return pc.if_else(vector.is_valid(), whole, pa.scalar(None, pa.binary()))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.contracts import INFERENCE_BATCH, ImageError
+from orrery.contracts import INFERENCE_BATCH, EngineError, ImageError
 from orrery.operators.reconcile import chunks
 
 
@@ -33,6 +33,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / n[:, None]
 
 
+def checked(vectors, n: int) -> np.ndarray:
+    """A model's output, which must be one row of floats for each of n inputs, as unit vectors."""
+    vectors = np.asarray(vectors)
+    if vectors.ndim != 2 or len(vectors) != n or not vectors.shape[1]:
+        raise EngineError(f"the model gave shape {vectors.shape} for {n} inputs")
+    return unit(vectors)
+
+
 class HashEncoder:
     """A deterministic stand-in for a model: vectors seeded by a file's bytes or a query's text."""
 
@@ -57,8 +65,8 @@ class HashEncoder:
 
 
 class OnnxEncoder:
-    """A vision and a text model with a tokenizer; sessions are opened once in each worker. decode turns file bytes
-    into upright RGB pixels."""
+    """A vision and a text model with a tokenizer; sessions are opened once in each worker. decode turns the bytes of a
+    common format into RGB pixels as they are stored."""
 
     def __init__(self, vision: str, text: str, tokenizer: str, decode, length: int = 77):
         self.paths, self.decode, self.length, self._open = (vision, text, tokenizer), decode, length, {}
@@ -74,10 +82,12 @@ class OnnxEncoder:
         return self._open[which]
 
     def prepare(self, path: bytes) -> np.ndarray:
-        from orrery.functions.images import prepare
+        from orrery.functions.images import load, prepare
+        from orrery.functions.paths import RAW
 
+        kind = "raw" if path.rpartition(b".")[2].lower().decode("ascii", "replace") in RAW else "standard"
         with open(path, "rb") as f:
-            return prepare(self.decode(f.read()))
+            return prepare(load(f.read(), kind, self.decode))
 
     def images(self, prepared: list) -> np.ndarray:
         session = self._session(0)
@@ -113,7 +123,7 @@ def embed(files: DataFrame, root: str, encoder: Encoder, batch: int = INFERENCE_
                 errors[i] = str(e)
         vectors: list = [None] * len(rows)
         if good:
-            for i, v in zip(good, unit(encoder.images(prepared))):
+            for i, v in zip(good, checked(encoder.images(prepared), len(good))):
                 vectors[i] = v
         return rows[["path", "mtime_ns", "size"]].assign(embedding=vectors, error=errors)
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.contracts import EngineError
-
 
 def per_query(hits: DataFrame, n_relevant: DataFrame, ks: tuple[int, ...] = (1, 5, 10), depth: int = 10) -> DataFrame:
     """recall_at_k, ndcg_at_depth and mrr_at_depth of each query. hits: query_id, rank, hit (boolean); n_relevant:
@@ -80,17 +78,9 @@ def vector_comparison(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.max(worst).alias("max_abs_error"), F.min(dot(F.col("a"), F.col("b"))).alias("min_cosine"))
 
 
-def output_difference(left: list[dict], right: list[dict], tolerance: float = 1e-4) -> str | None:
-    """What makes two result lists differ: length, a path, a score beyond tolerance or one that is not finite."""
-    if len(left) != len(right):
-        return f"{len(left)} results against {len(right)}"
-    for i, (a, b) in enumerate(zip(left, right), 1):
-        close = abs(a["score"] - b["score"]) <= tolerance and abs(a["score"]) != float("inf")
-        if a["path"] != b["path"] or not close:
-            return f"result {i}: {a} against {b}"
-    return None
-
+def target_scores(queries: DataFrame, images: DataFrame, targets: DataFrame, key: str = "vec_id") -> DataFrame:
+    """query_id, key and score of each query (query_id, embedding) with its own target (query_id, key) among images."""
+    from orrery.functions.vectors import dot
 
-def require_same_ids(a: list, b: list) -> None:
-    if a != b:
-        raise EngineError("the runs hold different queries")
+    asked = targets.select("query_id", key).join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    return asked.join(images.select(key, F.col("embedding").alias("_e")), key).select("query_id", key, dot(F.col("_q"), F.col("_e")).alias("score"))

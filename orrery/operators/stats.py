@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
-import statistics
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.contracts import EngineError
+
+# The generator's seed, the number of draws, and which of them, in order, bound the interval.
 BOOTSTRAP_SEED, DRAWS, LOW, HIGH = 91017, 2000, 49, 1949
 
 
@@ -20,56 +23,96 @@ def phase_rollup(rows: DataFrame, phase: str, elapsed: str, order: list[str] | N
     return out
 
 
-def nearest_rank(x: Column | str, percent: float) -> Column:
-    """Nearest-rank percentile, an aggregate."""
-    name = x if isinstance(x, str) else x._jc.toString()
-    return F.expr(f"percentile_disc({percent}) WITHIN GROUP (ORDER BY {name})")
+def placed(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Each different value (not null) of each group with _to, how many rows of the group are no greater, and _n, the
+    group's rows. Equal values are summed before they travel; then range partitions are counted, and a value's place is
+    what stands in the partitions before its own plus what stands before it inside, so no task sees a whole group."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    dealt = counts.repartitionByRange(*by, value).withColumn("_p", F.spark_partition_id()).persist()  # both uses see one dealing
+    sums = dealt.groupBy("_p", *by).agg(F.sum("_c").alias("_s"))  # a row for each partition and group in it
+    ahead = F.sum("_s").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_s")
+    sums = sums.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_by_{c}") for c in by], ahead.alias("_ahead"), F.sum("_s").over(Window.partitionBy(*by)).alias("_n"))
+    same = F.col("_p") == F.col("_q")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = F.sum("_c").over(Window.partitionBy("_p", *by).orderBy(value))
+    return dealt.withColumn("_in", inside).join(sums, same).select(*by, value, (F.col("_in") + F.col("_ahead")).alias("_to"), "_n")
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
+    """Nearest-rank percentiles of each group: the least value that so many per cent of the rows don't exceed."""
+    least = [F.min(F.when(F.col("_to") * 100 >= F.col("_n") * p, F.col(value))).alias(f"p{p}") for p in percents]
+    return placed(rows, by, value).groupBy(*by).agg(*least)
+
+
+def _after(value: str, place: Column) -> Column:
+    """The value at a place (from 0) of the sorted rows, an aggregate."""
+    return F.min(F.when(F.col("_to") > place, F.col(value)))
 
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """sorted[n // 2] of each group, from value counts: equal values meet before they are gathered, and a running sum
-    finds the middle, so no group's values sit in one array."""
-    from pyspark.sql import Window
+    """sorted[n // 2] of each group."""
+    return placed(rows, [by], value).groupBy(by).agg(_after(value, F.floor(F.col("_n") / 2)).alias("upper_median"))
+
 
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(by).orderBy(value)
-    placed = counts.withColumn("_to", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(by)))
-    return placed.where((F.floor(F.col("_n") / 2) < F.col("_to")) & (F.floor(F.col("_n") / 2) >= F.col("_to") - F.col("_c"))).select(by, F.col(value).alias("upper_median"))
+def median(rows: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """The middle value of each group, or the mean of the two in the middle."""
+    low, high = _after(value, F.floor((F.col("_n") - 1) / 2)), _after(value, F.floor(F.col("_n") / 2))
+    return placed(rows, by, value).groupBy(*by).agg(((low + high) / 2).alias(name))
 
 
 def median_change(rows: DataFrame, side: Column, value: str, by: list[str] | None = None) -> DataFrame:
     """1 - median(candidate) / median(reference); side is true for the candidate."""
-    a, b = F.median(F.when(~side, F.col(value))), F.median(F.when(side, F.col(value)))
-    return rows.groupBy(*(by or [])).agg((F.lit(1.0) - b / a).alias("change"))
+    by = by or []
+    both = median(rows.withColumn("_side", side), [*by, "_side"], value, "_m")
+    a, b = F.max(F.when(~F.col("_side"), F.col("_m"))), F.max(F.when(F.col("_side"), F.col("_m")))
+    return both.groupBy(*by).agg((F.lit(1.0) - b / a).alias("change"))
+
+
+def draws(n: int) -> np.ndarray:
+    """DRAWS rows of n places each, drawn with replacement by Python's generator so that they repeat anywhere."""
+    rng = random.Random(BOOTSTRAP_SEED)
+    return np.array([rng.choices(range(n), k=n) for _ in range(DRAWS)], np.int64)
 
 
 def change_interval(reference: list[float], candidate: list[float]) -> tuple[float, float, float]:
-    """Relative change of medians with its paired bootstrap interval, drawn by Python's generator so that it repeats."""
-    change = lambda a, b: 1 - statistics.median(b) / statistics.median(a)
-    rng, n = random.Random(BOOTSTRAP_SEED), len(reference)
-    draws = sorted(change([reference[i] for i in own], [candidate[i] for i in own]) for own in (rng.choices(range(n), k=n) for _ in range(DRAWS)))
-    return change(reference, candidate), draws[LOW], draws[HIGH]
+    """Relative change of medians, and the bounds of its paired bootstrap interval."""
+    a, b = np.asarray(reference, float), np.asarray(candidate, float)
+    places = draws(len(a))
+    drawn = np.sort(1 - np.median(b[places], axis=1) / np.median(a[places], axis=1))
+    return float(1 - np.median(b) / np.median(a)), float(drawn[LOW]), float(drawn[HIGH])
 
 
 def bootstrap(samples: DataFrame) -> DataFrame:
     """scenario, change, low and high of each scenario's paired samples (scenario, side, n, seconds); one scenario's
-    samples are one benchmark's, a few dozen."""
+    samples are one benchmark's, a few dozen. A sample without its other side is an error."""
 
     def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot(index="n", columns="side", values="seconds").sort_index()
+        wide = rows.pivot(index="n", columns="side", values="seconds").sort_index().reindex(columns=["reference", "candidate"])
+        if wide.isna().any(axis=None):
+            raise EngineError(f"{key[0]}: samples don't come in pairs")
         return pd.DataFrame([(key[0], *change_interval(wide["reference"].tolist(), wide["candidate"].tolist()))], columns=["scenario", "change", "low", "high"])
 
     return samples.groupBy("scenario").applyInPandas(one, "scenario string, change double, low double, high double")
 
 
 def medians(samples: DataFrame) -> DataFrame:
+    """Median seconds and resident bytes of each scenario and side."""
     return samples.groupBy("scenario", "side").agg(F.median("seconds").alias("seconds"), F.median("rss_bytes").alias("rss_bytes"))
 
 
-def sample_order(index: int) -> tuple[int, int]:
-    """Which side runs first: A B B A."""
-    return (0, 1) if index % 2 == 0 else (1, 0)
+def report(samples: DataFrame) -> DataFrame:
+    """One row a scenario: medians of both sides in milliseconds and MiB, and the change with its interval in per cent."""
+    mid = medians(samples)
+    of = lambda side, c, unit: F.max(F.when(F.col("side") == side, F.col(c) * unit))
+    sides = [of(s, c, unit).alias(f"{s}_{name}") for c, unit, name in (("seconds", 1000.0, "ms"), ("rss_bytes", 1 / (1 << 20), "mib")) for s in ("reference", "candidate")]
+    change = bootstrap(samples.select("scenario", "side", "n", "seconds"))
+    return mid.groupBy("scenario").agg(*sides).join(change.select("scenario", *[(F.col(c) * 100).alias(f"{c}_percent") for c in ("change", "low", "high")]), "scenario")
 
 
-def rss_bytes(value: int, platform: str) -> int:
-    return value if platform.lower() == "darwin" else value * 1024
+def report_lines(rows: list) -> list[str]:
+    """report() as a table of text."""
+    heads = ["scenario", "reference_ms", "candidate_ms", "change_percent", "low_percent", "high_percent", "reference_mib", "candidate_mib"]
+    cells = [heads, *[[r["scenario"], *[f"{r[h]:.1f}" for h in heads[1:]]] for r in rows]]
+    widths = [max(len(c[k]) for c in cells) for k in range(len(heads))]
+    return ["  ".join(x.ljust(w) if k == 0 else x.rjust(w) for k, (x, w) in enumerate(zip(c, widths))) for c in cells]

@@ -6,11 +6,17 @@ every vector whose vec_id is divisible by 20 is one, against all rows.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.functions import paths, vectors
+from orrery.contracts import Contract
+from orrery.functions import images, paths, vectors
 from orrery.operators import metrics, ranking, reconcile, stats
+from orrery.sources import sinks
+from orrery.sources.snapshot import Index
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -150,7 +156,7 @@ def topk_overlap(spark, sf_dir):
 
 
 def topk_agreement(spark, sf_dir):
-    return _round(metrics.agreement(metrics.top_lists(_batch(spark, sf_dir), 1), metrics.top_lists(_batch(spark, sf_dir, dims=32), 1)), "agreement")
+    return _round(metrics.agreement(metrics.top_lists(_batch(spark, sf_dir)), metrics.top_lists(_batch(spark, sf_dir, dims=63))), "agreement")
 
 
 def _pairs(spark, sf_dir):
@@ -175,7 +181,7 @@ def phase_rollup(spark, sf_dir):
 
 
 def percentile_nearest_rank(spark, sf_dir):
-    return _read(spark, sf_dir, "events").groupBy("event_type").agg(*[stats.nearest_rank("value", p / 100).alias(f"p{p}") for p in (50, 90, 95)])
+    return stats.percentiles(_read(spark, sf_dir, "events"), ["event_type"], "value", (50, 90, 95))
 
 
 def upper_median(spark, sf_dir):
@@ -199,14 +205,96 @@ def has_matches(spark, sf_dir):
     return found.agg(F.when(F.count("*") > 0, 0).otherwise(1).cast("long").alias("exit_status"))
 
 
-def bootstrap_change(spark, sf_dir):
+def _samples(spark, sf_dir):
     # Sixty events in a row are one benchmark; reference and candidate take turns.
     scenario = F.floor(F.col("event_id") / 60).cast("string")
-    rows = _read(spark, sf_dir, "events").select(scenario.alias("scenario"), F.when(F.col("event_id") % 2 == 0, "reference").otherwise("candidate").alias("side"), F.col("value").alias("seconds"), "event_id")
-    n = F.row_number().over(Window.partitionBy("scenario", "side").orderBy("event_id"))
-    placed = rows.withColumn("n", n)
-    whole = placed.withColumn("both", F.count("*").over(Window.partitionBy("scenario", "n"))).where("both = 2")  # samples come in pairs
-    return stats.bootstrap(whole.select("scenario", "side", "n", "seconds"))
+    rows = _read(spark, sf_dir, "events").select(scenario.alias("scenario"), F.when(F.col("event_id") % 2 == 0, "reference").otherwise("candidate").alias("side"), F.col("value").alias("seconds"), (F.col("user_id") * 1024).alias("rss_bytes"), "event_id")
+    placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("scenario", "side").orderBy("event_id")))
+    return placed.withColumn("both", F.count("*").over(Window.partitionBy("scenario", "n"))).where("both = 2")  # samples come in pairs
+
+
+def bootstrap_change(spark, sf_dir):
+    return _round(stats.bootstrap(_samples(spark, sf_dir).select("scenario", "side", "n", "seconds")), "change", "low", "high")
+
+
+def benchmark_report(spark, sf_dir):
+    found = stats.report(_samples(spark, sf_dir))
+    return _round(found, *[c for c in found.columns if c != "scenario"])
+
+
+def benchmark_medians(spark, sf_dir):
+    return _round(stats.medians(_samples(spark, sf_dir)), "seconds", "rss_bytes")
+
+
+def correct_score_deltas(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    targets = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("vec_id"))
+    small = rows.withColumn("embedding", F.slice("embedding", 1, 32))
+    told = [metrics.target_scores(r.withColumnRenamed("vec_id", "query_id"), r, targets).withColumnRenamed("score", n) for r, n in ((rows, "reference"), (small, "candidate"))]
+    return _round(metrics.delta_stats(told[0].join(told[1], ["query_id", "vec_id"])), "mean_delta", "std_delta")
+
+
+def path_escape(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", paths.escaped(F.col("text")).alias("line"))
+
+
+def path_display(spark, sf_dir):
+    shown = paths.display("/srv/pictures/", F.encode(F.concat(F.lit("a/"), paths.url_path(F.col("url"))), "UTF-8"))
+    rows = _read(spark, sf_dir, "pages").select("page_id", shown.alias("full"))
+    return rows.select("page_id", F.decode("full", "UTF-8").alias("shown"), F.decode(paths.relative("/srv/pictures", F.col("full")), "UTF-8").alias("relative"))
+
+
+def path_order(spark, sf_dir):
+    rows = _read(spark, sf_dir, "pages").select("page_id", paths.components(F.encode(paths.url_path(F.col("url")), "UTF-8")).alias("key"))
+    return reconcile.chunks(rows, ["key", "page_id"], 1, "place").select("page_id", "place")
+
+
+def image_kinds(spark, sf_dir):
+    endings = F.array(*[F.lit(x) for x in (".JPG", ".cr2", ".Nef", ".txt", "", ".tiff", ".RAF", ".jpeg.bak")])
+    name = F.concat(F.lit("dir.x/img"), F.col("page_id").cast("string"), F.element_at(endings, (F.col("page_id") % 8 + 1).cast("int")))
+    return _read(spark, sf_dir, "pages").select("page_id", name.alias("name"), paths.image_kind(name).alias("kind"))
+
+
+def image_sizes(spark, sf_dir):
+    width, height = F.col("event_id") * 37 % 9000, F.col("event_id") * 101 % 12000
+    rows = _read(spark, sf_dir, "events").select("event_id", width.alias("width"), height.alias("height"))
+    return rows.withColumns(images.size_columns(F.col("width"), F.col("height")))
+
+
+def cache_keys(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", paths.cache_key(F.col("source"), F.col("lang"), F.col("text")).alias("key"))
+
+
+def blob_codec(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", vectors.to_blob(F.col("embedding")).alias("blob"))
+    back = vectors.from_blob(F.col("blob"))
+    return rows.select("vec_id", F.octet_length("blob").cast("long").alias("n_bytes"), (back == F.col("embedding")).alias("same"), vectors.from_blob(F.expr("substring(blob, 1, vec_id % 7)")).isNull().alias("cut"))
+
+
+def reconcile_null_versions(spark, sf_dir):
+    blank = lambda df: df.withColumn("n_chars", F.when(F.col("doc_id") % 7 != 0, F.col("n_chars")))
+    old, new = (blank(df) for df in _snapshots(spark, sf_dir))
+    todo = reconcile.missing(new, old, "doc_id", ("n_chars",)).select("doc_id", F.lit(True).alias("embed"))
+    return reconcile.plan(new, old, "doc_id", ("n_chars",)).join(todo, "doc_id", "left").na.fill(False, ["embed"])
+
+
+def index_commits(spark, sf_dir):
+    """Three commits and a delete into a new index, in a folder of this machine as for any index."""
+    index = Index(spark, tempfile.mkdtemp(prefix="orrery-index-") + "/i", Contract("i", "q", 2))
+    docs = _read(spark, sf_dir, "documents").select(F.encode(F.col("doc_id").cast("string"), "UTF-8").alias("path"), F.col("n_chars").alias("size"), "doc_id")
+    rows = docs.select(F.lit("upsert").alias("op"), "path", (F.col("doc_id") * 1000).alias("mtime_ns"), "size", F.array(F.lit(0.6), F.lit(0.8)).cast("array<float>").alias("embedding"), "doc_id")
+    index.commit(rows.where("doc_id % 3 <> 0").drop("doc_id"))
+    index.commit(rows.where("doc_id % 3 < 2").withColumn("size", F.col("size") + 1).drop("doc_id"))
+    index.commit(rows.where("doc_id % 4 = 1").withColumn("op", F.lit("delete")).drop("doc_id"))
+    index.delete(docs.where("doc_id % 5 = 0").select("path"))
+    return index.vectors().join(index.files(), "path").select(F.decode("path", "UTF-8").cast("long").alias("doc_id"), "mtime_ns", "size", F.size("embedding").alias("dim"))
+
+
+def sink_lines(spark, sf_dir):
+    found = ranking.search(_read(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 20, -1.0, exclude=F.col("vec_id") == 0)
+    rows = [(r.score, f"set\t{r.vec_id}.jpg".encode()) for r in found.orderBy("rank").collect()]  # 20 rows
+    lines = sinks.render(rows).decode().splitlines()
+    return spark.createDataFrame(list(enumerate(lines)), "place long, line string")
 
 
 def queries() -> dict:
@@ -214,6 +302,7 @@ def queries() -> dict:
         topk_threshold, topk_exhaustive, knn_batch, full_ranking, vector_stats, l2_normalize, invalid_vectors, cached_query_lookup, reconcile_plan, missing_keys, stale_keys, apply_changes,
         chunk_assignment, extension_filter, recall_at_k, ndcg_at_10, mrr_at_10, hit_rates, macro_error_rates, topk_overlap, topk_agreement, score_delta_stats, vector_comparison, phase_rollup,
         percentile_nearest_rank, upper_median, median_change, index_count, text_fingerprint, has_matches, bootstrap_change,
+        benchmark_report, benchmark_medians, correct_score_deltas, path_escape, path_display, path_order, image_kinds, image_sizes, cache_keys, blob_codec, reconcile_null_versions, index_commits, sink_lines,
     )
     return {f.__name__: f for f in names}
 
@@ -249,6 +338,28 @@ _DELTA = f"""SELECT {_dot('e.embedding', 'q.embedding')} AS r, {_dot('e.embeddin
   FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0"""
 
 
+_SAMPLES = """SELECT scenario, side, n, value, rss FROM (SELECT *, count(*) OVER (PARTITION BY scenario, n) AS paired FROM (
+  SELECT (event_id // 60)::VARCHAR AS scenario, CASE WHEN event_id % 2 = 0 THEN 'reference' ELSE 'candidate' END AS side, value, user_id * 1024 AS rss,
+    row_number() OVER (PARTITION BY event_id // 60, event_id % 2 ORDER BY event_id) AS n FROM events)) WHERE paired = 2"""
+
+
+def _bootstrap_sql() -> str:
+    """Intervals from the same draws, which are written out for the numbers of pairs that the tables' scenarios have."""
+    picks = ", ".join(f"({n}, {row})" for n in (20, 30) for row in (stats.draws(n) + 1).tolist())
+    change = "1 - list_aggregate(list_transform({0}, lambda i: b[i]), 'median') / list_aggregate(list_transform({0}, lambda i: a[i]), 'median')"
+    return f"""WITH draws(n, picks) AS (VALUES {picks}),
+sides AS (SELECT scenario, list(value ORDER BY n) FILTER (side = 'reference') AS a, list(value ORDER BY n) FILTER (side = 'candidate') AS b FROM ({_SAMPLES}) GROUP BY scenario),
+drawn AS (SELECT scenario, list_sort(list({change.format("picks")})) AS d FROM sides JOIN draws ON n = len(a) GROUP BY scenario)
+SELECT scenario, {change.format("range(1, len(a) + 1)")} AS change, d[{stats.LOW + 1}] AS low, d[{stats.HIGH + 1}] AS high FROM sides JOIN drawn USING (scenario)"""
+
+
+def _escape_sql(text: str) -> str:
+    out = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for c in [*range(32), *range(127, 160)]:
+        out = f"replace({out}, chr({c}), chr(92) || '" + {9: "t", 10: "n", 13: "r"}.get(c, f"u{{{c:x}}}") + "')" if c else out
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "topk_threshold": _top("0.25", 5),
@@ -257,8 +368,10 @@ def oracle_sql() -> dict[str, str]:
         "full_ranking": f"SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM ({_ONE})",
         "vector_stats": f"""SELECT vec_id, len(embedding)::BIGINT AS dim, round(n, 6) AS norm, list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AS finite, abs(n - 1) <= 1e-3 AS stored
             FROM (SELECT *, sqrt({_dot('embedding', 'embedding')}) AS n FROM embeddings)""",
-        "l2_normalize": f"""SELECT vec_id, round(embedding[1]::DOUBLE / n, 5) AS first_value, 1.0::DOUBLE AS norm FROM (SELECT *, sqrt({_dot('embedding', 'embedding')}) AS n FROM embeddings)""",
-        "invalid_vectors": "SELECT vec_id, vec_id % 10 NOT IN (0, 1) AS valid FROM embeddings",
+        "l2_normalize": f"""SELECT vec_id, round(u[1], 5) AS first_value, round(sqrt({_dot('u', 'u')}), 5) AS norm FROM (
+            SELECT vec_id, list_transform(t, lambda x: x / n) AS u FROM (SELECT *, sqrt({_dot('t', 't')}) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: (x * 3)::DOUBLE) AS t FROM embeddings)))""",
+        "invalid_vectors": """SELECT vec_id, len(e) = 64 AND list_bool_and(list_transform(e, lambda x: isfinite(x))) AND abs(sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE))) - 1) <= 1e-3 AS valid
+            FROM (SELECT vec_id, CASE vec_id % 10 WHEN 0 THEN list_transform(embedding, lambda x: x * 2) WHEN 1 THEN embedding[:63] ELSE embedding END AS e FROM embeddings)""",
         "cached_query_lookup": "SELECT b.item_id, c.text IS NOT NULL AS hit FROM benchmark b LEFT JOIN (SELECT text FROM benchmark WHERE item_id % 3 = 0) c USING (text)",
         "reconcile_plan": f"""WITH old AS ({_OLD}), new AS ({_NEW}) SELECT coalesce(n.doc_id, o.doc_id) AS doc_id,
             CASE WHEN o.doc_id IS NULL THEN 'missing' WHEN n.doc_id IS NULL THEN 'stale' WHEN n.n_chars = o.n_chars THEN 'same' ELSE 'changed' END AS op FROM new n FULL JOIN old o USING (doc_id)""",
@@ -275,7 +388,7 @@ def oracle_sql() -> dict[str, str]:
         "macro_error_rates": f"""WITH j AS (SELECT query_id, own, max(CASE WHEN score >= 0.35 AND own <> label THEN 1.0::DOUBLE ELSE 0 END) AS w, 1 - max(CASE WHEN score >= 0.35 THEN 1.0::DOUBLE ELSE 0 END) AS n FROM ({_knn()}) GROUP BY query_id, own)
             SELECT round(avg(w), 6) AS absent_false_positive_rate, round(avg(n), 6) AS present_false_negative_rate FROM (SELECT avg(w) AS w, avg(n) AS n FROM j GROUP BY own)""",
         "topk_overlap": f"SELECT round(sum(len(list_intersect(a.t, b.t)))::DOUBLE / (count(*) * 10), 6) AS overlap FROM ({_LISTS(64, 10)}) a JOIN ({_LISTS(32, 10)}) b USING (query_id)",
-        "topk_agreement": f"SELECT round(avg(CASE WHEN a.t = b.t THEN 1.0::DOUBLE ELSE 0 END), 6) AS agreement FROM ({_LISTS(64, 1)}) a JOIN ({_LISTS(32, 1)}) b USING (query_id)",
+        "topk_agreement": f"SELECT round(avg(CASE WHEN a.t = b.t THEN 1.0::DOUBLE ELSE 0 END), 6) AS agreement FROM ({_LISTS(64, 10)}) a JOIN ({_LISTS(63, 10)}) b USING (query_id)",
         "score_delta_stats": f"SELECT round(avg(c - r), 6) AS mean_delta, round(stddev_pop(c - r), 6) AS std_delta FROM ({_DELTA})",
         "vector_comparison": """SELECT round(max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE - (x::DOUBLE + 0.001::DOUBLE))))), 6) AS max_abs_error,
             round(min(list_sum(list_transform(embedding, lambda x: x::DOUBLE * (x::DOUBLE + 0.001::DOUBLE)))), 6) AS min_cosine FROM embeddings""",
@@ -286,4 +399,27 @@ def oracle_sql() -> dict[str, str]:
         "index_count": "SELECT count(*) AS n FROM pages",
         "text_fingerprint": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
         "has_matches": f"SELECT CASE WHEN count(*) > 0 THEN 0 ELSE 1 END::BIGINT AS exit_status FROM ({_ONE}) WHERE score >= 0.25",
+        "bootstrap_change": f"SELECT scenario, round(change, 6) AS change, round(low, 6) AS low, round(high, 6) AS high FROM ({_bootstrap_sql()})",
+        "benchmark_medians": f"SELECT scenario, side, round(median(value), 6) AS seconds, round(median(rss), 6) AS rss_bytes FROM ({_SAMPLES}) GROUP BY scenario, side",
+        "benchmark_report": f"""SELECT scenario, {", ".join(f"round(median({c}) FILTER (side = '{side}') {unit}, 6) AS {side}_{name}" for c, unit, name in (("value", "* 1000", "ms"), ("rss", "/ 1048576", "mib")) for side in ("reference", "candidate"))},
+            {", ".join(f"round(any_value({c}) * 100, 6) AS {c}_percent" for c in ("change", "low", "high"))} FROM ({_SAMPLES}) JOIN ({_bootstrap_sql()}) USING (scenario) GROUP BY scenario""",
+        "correct_score_deltas": f"""SELECT round(avg(c - r), 6) AS mean_delta, round(stddev_pop(c - r), 6) AS std_delta FROM (
+            SELECT {_dot('q.embedding', 'e.embedding')} AS r, {_dot('q.embedding', 'e.embedding', 32)} AS c FROM embeddings q JOIN embeddings e ON e.vec_id = q.vec_id + 1 WHERE q.vec_id % 20 = 0)""",
+        "path_escape": f"SELECT doc_id, {_escape_sql('text')} AS line FROM documents",
+        "path_display": r"SELECT page_id, '/srv/pictures/a/' || regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS shown, 'a/' || regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS relative FROM pages",
+        "path_order": r"SELECT page_id, row_number() OVER (ORDER BY string_split(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '/'), page_id) - 1 AS place FROM pages",
+        "image_kinds": """SELECT page_id, 'dir.x/img' || page_id || ending AS name, CASE WHEN lower(ending) IN ('.jpg', '.tiff') THEN 'standard' WHEN lower(ending) IN ('.cr2', '.nef', '.raf') THEN 'raw' END AS kind
+            FROM (SELECT page_id, ['.JPG', '.cr2', '.Nef', '.txt', '', '.tiff', '.RAF', '.jpeg.bak'][page_id % 8 + 1] AS ending FROM pages)""",
+        "image_sizes": """WITH s AS (SELECT event_id, event_id * 37 % 9000 AS width, event_id * 101 % 12000 AS height FROM events),
+            r AS (SELECT *, CASE WHEN width < height THEN 256 ELSE width * 256 // nullif(height, 0) END::BIGINT AS resized_width, CASE WHEN width < height THEN height * 256 // nullif(width, 0) ELSE 256 END::BIGINT AS resized_height FROM s),
+            w AS (SELECT *, round_even((resized_width - 256) / 2, 0)::BIGINT AS "left", round_even((resized_height - 256) / 2, 0)::BIGINT AS top, 9 * width * height + 3 * resized_width * resized_height + 983040 AS working_bytes FROM r)
+            SELECT *, width > 0 AND height > 0 AND width * height <= 100000000 AND coalesce(working_bytes <= 536870912, false) AS accepted FROM w""",
+        "cache_keys": "SELECT doc_id, sha256(concat_ws(chr(0), source, lang, text)) AS key FROM documents",
+        "blob_codec": "SELECT vec_id, len(embedding)::BIGINT * 4 AS n_bytes, true AS same, vec_id % 7 <> 4 AS cut FROM embeddings",
+        "reconcile_null_versions": f"""WITH o AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN n_chars END AS v FROM ({_OLD})), n AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN n_chars END AS v FROM ({_NEW})),
+            j AS (SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'missing' WHEN n.doc_id IS NULL THEN 'stale' WHEN n.v IS NOT DISTINCT FROM o.v THEN 'same' ELSE 'changed' END AS op FROM n FULL JOIN o ON n.doc_id = o.doc_id)
+            SELECT doc_id, op, op IN ('missing', 'changed') AS embed FROM j""",
+        "index_commits": "SELECT doc_id, doc_id * 1000 AS mtime_ns, CASE WHEN doc_id % 3 < 2 THEN n_chars + 1 ELSE n_chars END AS size, 2::INT AS dim FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 5 <> 0",
+        "sink_lines": f"""SELECT 0::BIGINT AS place, 'score' || chr(9) || 'path' AS line UNION ALL
+            SELECT rank, printf('%.3f', score) || chr(9) || 'set' || chr(92) || 't' || vec_id || '.jpg' FROM (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM ({_ONE})) WHERE rank <= 20""",
     }

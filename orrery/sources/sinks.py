@@ -34,8 +34,3 @@ def render(rows: list[tuple[float, bytes]], form: str = "text", quiet: bool = Fa
         return b"".join(p + (b"\n" if form == "paths" else b"\0") for _, p in rows)
     head = "" if quiet or not rows else "score\tpath\n"
     return (head + "".join(f"{score_text(s)}\t{escape_path(p)}\n" for s, p in rows)).encode()
-
-
-def timing_report(phases: list[tuple[str, float, int]], environment: dict, total_ms: float) -> str:
-    rows = [{"phase": p, "elapsed_ms": ms, "invocations": n} for p, ms, n in phases]
-    return json.dumps({"schema_version": 1, "environment": environment, "phases": rows, "total_wall_ms": total_ms}, indent=2) + "\n"

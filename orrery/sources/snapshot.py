@@ -1,6 +1,8 @@
-"""The index: copy-on-write Parquet snapshots behind a manifest that is swapped atomically.
+"""The index: Parquet snapshots and deltas behind a manifest that is swapped atomically.
 
-A commit writes a new snapshot beside the old one, then replaces the manifest; readers see one or the other. One
+A commit writes its changes beside the snapshot, then replaces the manifest; readers see one or the other. Reading takes
+the last change of each key over the snapshot. When MOST_DELTAS have gathered they are merged into a new snapshot, so a
+row is rewritten once in so many commits. One
 writer at a time holds an exclusive lock. Staged rebuilds are validated before the swap; dropping one leaves the live
 index untouched. The manifest lives on a file system with atomic rename; snapshots may be anywhere Spark writes.
 """
@@ -16,12 +18,16 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orrery.contracts import CHANGES, FORMAT_VERSION, IMAGES, QUERIES, Contract, IndexError_, InvalidVectorError
 from orrery.functions.vectors import is_stored
 from orrery.operators.reconcile import apply_changes
 
 
+MOST_DELTAS = 32
+
+
 class Index:
     def __init__(self, spark: SparkSession, path: str, contract: Contract, root: str = ""):
         """Open or create. A root other than the one bound is an error; a changed contract clears its own side only;
@@ -45,7 +51,7 @@ class Index:
             raise IndexError_(f"the index belongs to {old['root']}")
         new = old | {"version": FORMAT_VERSION, "root": old.get("root") or root, "image": contract.image, "query": contract.query}
         if old.get("image") != contract.image:
-            new["images"] = None
+            new["images"], new["deltas"] = None, []
         if old.get("query") != contract.query:
             new["queries"] = None
         if new != old:
@@ -82,10 +88,11 @@ class Index:
 
     def _clean(self, manifest: dict) -> None:
         """Snapshots that neither this manifest nor the one before it names (a reader may still be on that)."""
-        used = {manifest.get("images"), manifest.get("queries"), *getattr(self, "_before", ())}
-        self._before = {manifest.get("images"), manifest.get("queries")}
+        now = {manifest.get("images"), manifest.get("queries"), *manifest.get("deltas", ())}
+        used = now | getattr(self, "_before", set())
+        self._before = now
         for name in os.listdir(self.path):
-            if name.startswith(("images-", "queries-")) and name not in used:
+            if name.startswith(("images-", "queries-", "delta-")) and name not in used:
                 shutil.rmtree(f"{self.path}/{name}", ignore_errors=True)
 
     def metadata(self, key: str):
@@ -99,7 +106,13 @@ class Index:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if name else self.spark.createDataFrame([], schema)
 
     def images(self) -> DataFrame:
-        return self._table("images", IMAGES)
+        base, deltas = self._table("images", IMAGES), (self._load() or {}).get("deltas", [])
+        if not deltas:
+            return base
+        schema = T.StructType([*CHANGES.fields, T.StructField("seq", T.LongType())])
+        changes = self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}" for name in deltas])
+        last = changes.groupBy("path").agg(F.max_by(F.struct(*[F.col(f.name) for f in CHANGES.fields if f.name != "path"]), "seq").alias("c"))
+        return apply_changes(base, last.select("path", "c.*"))
 
     def files(self) -> DataFrame:
         """Keys and versions; the vectors are not read."""
@@ -128,10 +141,23 @@ class Index:
             raise IndexError_("a path has two changes in one commit")
         if changes.where("op = 'upsert'").where(~is_stored(F.col("embedding"), self.contract.dim)).limit(1).count():
             raise InvalidVectorError("a new vector is invalid")
-        self._swap(self._load() | {"images": self._write("images", apply_changes(self.images(), changes))})
+        self._append(changes)
+
+    def _append(self, changes: DataFrame) -> None:
+        now = self._load()
+        deltas = [*now.get("deltas", []), self._write("delta", changes.withColumn("seq", F.lit(now.get("seq", 0) + 1).cast("long")))]
+        self._swap(now | {"deltas": deltas, "seq": now.get("seq", 0) + 1})
+        if len(deltas) >= MOST_DELTAS:
+            self.compact()
+
+    def compact(self) -> None:
+        """Merge the deltas into a new snapshot."""
+        if self._load().get("deltas"):
+            self._swap(self._load() | {"images": self._write("images", self.images()), "deltas": []})
 
     def delete(self, paths: DataFrame) -> None:
-        self._swap(self._load() | {"images": self._write("images", self.images().join(paths.select("path"), "path", "left_anti"))})
+        gone = paths.select(F.lit("delete").alias("op"), "path").distinct()
+        self._append(gone.select("op", "path", *[F.lit(None).cast(f.dataType).alias(f.name) for f in CHANGES.fields[2:]]))
 
     def remember(self, query: str, embedding: list[float]) -> None:
         new = self.spark.createDataFrame([(query, [float(x) for x in embedding])], QUERIES)
@@ -148,8 +174,11 @@ class Index:
 
     def install(self, staged: Index) -> None:
         """Validate the staged index, then move its snapshots here and point at them."""
+        staged.compact()
         if staged.images().where(~is_stored(F.col("embedding"), self.contract.dim)).limit(1).count():
             raise InvalidVectorError("the staged index holds an invalid vector")
+        if staged.queries().where(~is_stored(F.col("embedding"), self.contract.dim)).limit(1).count():
+            raise InvalidVectorError("the staged index holds an invalid query vector")
         found = staged._load()
         for kind in ("images", "queries"):
             if found[kind]:

@@ -1,6 +1,9 @@
 import io
 import json
 import os
+import random
+import statistics
+import struct
 
 import numpy as np
 import pytest
@@ -16,6 +19,7 @@ from orrery.operators.reconcile import chunks, missing, plan
 from orrery.sources import sinks
 from orrery.sources.scan import discover
 from orrery.sources.snapshot import Index
+from orrery.timing import Progress, Timings
 
 DIM = 16
 CONTRACT = Contract("i1", "q1", DIM)
@@ -133,54 +137,175 @@ def test_reconcile_and_chunks(spark):
 
 
 def test_quality(spark):
-    runs = [
-        ("1", "caption", None, ["a", "b"], [("a", None), ("x", None), ("b", None)]), ("2", "caption", None, ["c"], [("x", None), ("c", None)]),
-        ("3", "category", "one", ["a"], [("a", 0.8), ("x", 0.7)]), ("4", "category", "one", ["a"], [("a", 0.1)]), ("5", "category", "two", ["b"], [("b", 0.8)]),
-    ]
+    """Rows of our own against plain loops."""
+    rng = np.random.default_rng(3)
+    runs = []
+    for i in range(40):
+        names = [f"p{k}" for k in rng.permutation(30)[:12]]
+        kind = "caption" if i % 2 else "category"
+        runs.append((str(i), kind, f"t{i % 6}", [f"p{k}" for k in rng.permutation(30)[: i % 5 + 1]], [(n, float(s)) for n, s in zip(names, -np.sort(-rng.random(12)))]))
     from orrery.contracts import QUALITY
 
-    m = metrics.evaluate(spark.createDataFrame(runs, QUALITY), 0.5).first()
-    ideal = 1 + 1 / np.log2(3)
-    assert (m.recall_at_1, m.recall_at_5, m.recall_at_10, m.mrr_at_10) == (0.25, 1, 1, 0.75)
-    assert m.ndcg_at_10 == pytest.approx(((1 + 0.5) / ideal + 1 / np.log2(3)) / 2)
-    assert (m.absent_false_positive_rate, m.present_false_negative_rate) == (0.25, 0.25)
-
-
-def test_bootstrap():
-    assert stats.change_interval([10, 20, 30], [5, 10, 15]) == (0.5, 0.5, 0.5)
-    point, low, high = stats.change_interval([10, 20], [5, 20])
-    assert point == pytest.approx(1 / 6) and (low, high) == (0, 0.5)
-
-
-def test_resize_golden():
-    y, x = np.mgrid[0:3, 0:4]
-    pixels = np.stack([(x * 31 + y * 47 + c) % 256 for c in (0, 73, 146)], -1).astype(np.uint8)
-    out = images.resize(pixels, 5, 4)
-    assert out.reshape(-1)[:15].tolist() == [0, 70, 143, 18, 91, 164, 45, 118, 190, 71, 144, 220, 92, 165, 251]
-    assert out.reshape(-1)[-15:].tolist() == [137, 26, 95, 168, 253, 116, 189, 69, 143, 233, 2, 169, 167, 50, 190, 0, 81][-15:]
-    assert images.prepare(np.full((300, 500, 3), 128, np.uint8)).shape == (3, 256, 256)
+    m = metrics.evaluate(spark.createDataFrame(runs, QUALITY), 0.8).first().asDict()
+    captions = [([n in own for n, _ in found], len(own)) for _, kind, _, own, found in runs if kind == "caption"]
+    want = {f"recall_at_{k}": np.mean([sum(hit[:k]) / n for hit, n in captions]) for k in (1, 5, 10)}
+    want["mrr_at_10"] = np.mean([max([1 / (r + 1) for r in range(10) if hit[r]], default=0) for hit, _ in captions])
+    want["ndcg_at_10"] = np.mean([sum(1 / np.log2(r + 2) for r in range(10) if hit[r]) / sum(1 / np.log2(r + 2) for r in range(min(n, 10))) for hit, n in captions])
+    rates = {}
+    for _, kind, intent, own, found in runs:
+        if kind == "category":
+            took = [n for n, s in found if s >= 0.8]
+            rates.setdefault(intent, []).append((any(n not in own for n in took), not took))
+    want["absent_false_positive_rate"], want["present_false_negative_rate"] = np.mean([np.mean(x, axis=0) for x in rates.values()], axis=0)
+    assert m == pytest.approx(want)
+
+
+def test_bootstrap(spark):
+    """Against draws one by one; samples that don't pair are an error."""
+    rng = random.Random(1)
+    a, b = [rng.uniform(1, 2) for _ in range(12)], [rng.uniform(1, 3) for _ in range(12)]
+    assert stats.change_interval(a, [x / 2 for x in a]) == pytest.approx((0.5, 0.5, 0.5))
+    drawn, own = [], random.Random(stats.BOOTSTRAP_SEED)
+    for _ in range(2000):
+        at = own.choices(range(12), k=12)
+        drawn.append(1 - statistics.median(b[i] for i in at) / statistics.median(a[i] for i in at))
+    assert stats.change_interval(a, b) == pytest.approx((1 - statistics.median(b) / statistics.median(a), sorted(drawn)[49], sorted(drawn)[1949]))
+    rows = [("s", "reference", i, x, 10) for i, x in enumerate(a)] + [("s", "candidate", i, x, 30) for i, x in enumerate(b)]
+    samples = spark.createDataFrame(rows, "scenario string, side string, n int, seconds double, rss_bytes long")
+    told = stats.report(samples).collect()
+    assert told[0].reference_ms == pytest.approx(statistics.median(a) * 1000) and told[0].candidate_mib == pytest.approx(30 / 2**20)
+    lines = stats.report_lines(told)
+    assert len(lines) == 2 and len(lines[0]) == len(lines[1]) and lines[1].startswith("s ")
+    with pytest.raises(Exception, match="don't come in pairs"):
+        stats.bootstrap(samples.where("side = 'reference' or n < 5")).collect()
+
+
+def test_placed(spark):
+    """Percentiles and medians against sorted lists; nulls, null groups, ties, one value, and no rows."""
+    rng = random.Random(5)
+    rows = [(g, rng.choice([float(rng.randrange(9)), rng.random(), None])) for g in ("a", "b", None) for _ in range(157)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    by = {}
+    for g, v in rows:
+        by.setdefault(g, []).extend([v] if v is not None else [])
+    by = {g: sorted(x) for g, x in by.items() if x}
+    got = {r.g: (r.p50, r.p90, r.p100) for r in stats.percentiles(df, ["g"], "v", (50, 90, 100)).collect()}
+    assert got == {g: tuple(x[-(-len(x) * p // 100) - 1] for p in (50, 90, 100)) for g, x in by.items()}
+    assert {r.g: r.upper_median for r in stats.upper_median(df, "g", "v").collect()} == {g: x[len(x) // 2] for g, x in by.items()}
+    assert {r.g: r.median for r in stats.median(df, ["g"], "v").collect()} == {g: statistics.median(x) for g, x in by.items()}
+    assert stats.median(df, [], "v").first()[0] == statistics.median(sum(by.values(), []))
+    assert stats.percentiles(df.where("false"), ["g"], "v", (50,)).count() == 0
+
+
+def plain_resize(pixels, width, height):
+    """Bicubic with a = -0.5, antialiased, in doubles, one output pixel after the other."""
+    def kernel(x):
+        x = abs(x)
+        return 1.5 * x**3 - 2.5 * x**2 + 1 if x < 1 else -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2 if x < 2 else 0.0
+
+    def across(rows, size, out):
+        made, scale = [], size / out
+        for k in range(out):
+            center, wide = (k + 0.5) * scale, max(scale, 1.0)
+            w = [kernel((i - center + 0.5) / wide) if int(max(center - 2 * wide + 0.5, 0)) <= i < min(int(center + 2 * wide + 0.5), size) else 0.0 for i in range(size)]
+            made.append([[min(255, max(0, int(np.floor(sum(w[i] * row[i][c] for i in range(size)) / sum(w) + 0.5)))) for c in range(3)] for row in rows])
+        return [[made[k][r] for k in range(out)] for r in range(len(rows))]
+
+    wide = across(pixels.tolist(), pixels.shape[1], width)
+    turned = [[row[x] for row in wide] for x in range(width)]
+    down = across(turned, pixels.shape[0], height)
+    return np.array([[down[x][y] for x in range(width)] for y in range(height)])
+
+
+def test_resize():
+    rng = np.random.default_rng(7)
+    for shape, size in (((3, 4), (5, 4)), ((9, 7), (3, 5)), ((6, 6), (6, 2)), ((1, 5), (8, 3))):
+        pixels = rng.integers(0, 256, (*shape, 3), np.uint8)
+        assert np.abs(images.resize(pixels, *size).astype(int) - plain_resize(pixels, *size)).max() <= 1
+    pixels = rng.integers(0, 256, (40, 40, 3), np.uint8)
+    flat = images.prepare(np.full((300, 500, 3), 128, np.uint8))
+    assert flat.shape == (3, 256, 256) and flat[0, 0, 0] == pytest.approx((128 / 255 - images.MEAN[0]) / images.STD[0], abs=1e-6) and np.ptp(flat[2]) == 0
     assert [images.crop_offset(n) for n in (1, 3, 5, 4)] == [0, 2, 2, 2]
+    turns = {1: pixels, 2: pixels[:, ::-1], 3: pixels[::-1, ::-1], 4: pixels[::-1], 5: pixels.transpose(1, 0, 2), 6: np.rot90(pixels, -1), 7: np.rot90(pixels, 2).transpose(1, 0, 2), 8: np.rot90(pixels)}
+    assert all((images.orient(pixels, k) == want).all() for k, want in turns.items())
 
 
 def jpeg(w, h):
     return b"\xff\xd8\xff\xc0\x00\x11\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + b"\0" * 10
 
 
+def tiff(directories, at, big=False, head=None, end=4000):
+    """A container: directories by place, each a list of (tag, kind, count, value) and the next one's place; ``at`` more bytes by place."""
+    order = ">" if big else "<"
+    out = bytearray(end)
+    out[:8] = (head or (b"MM\0*" if big else b"II*\0")) + struct.pack(order + "I", min(directories) if directories else 0)
+    for place, (entries, following) in directories.items():
+        out[place : place + 2] = struct.pack(order + "H", len(entries))
+        for k, (tag, kind, count, value) in enumerate(entries):
+            small = struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value)
+            out[place + 2 + 12 * k : place + 14 + 12 * k] = struct.pack(order + "HHI", tag, kind, count) + small
+        out[place + 2 + 12 * len(entries) : place + 6 + 12 * len(entries)] = struct.pack(order + "I", following)
+    for place, data in at.items():
+        out[place : place + len(data)] = data
+    return bytes(out)
+
+
 def test_raw_previews():
-    small, large = jpeg(300, 300), jpeg(600, 400)
+    small, large, other = jpeg(300, 300), jpeg(600, 400), jpeg(400, 600)
+    whole = lambda at, data: [(0x0201, 4, 1, at), (0x0202, 4, 1, len(data))]
     raf = b"FUJIFILMCCD-RAW ".ljust(84, b"\0") + (92).to_bytes(4, "big") + len(large).to_bytes(4, "big") + large
-    assert images.raw_preview(raf) == large
-    entries = [(0x0201, 4, 1, 38), (0x0202, 4, 1, len(small))]
-    body = b"II*\0" + (8).to_bytes(4, "little") + len(entries).to_bytes(2, "little") + b"".join(t.to_bytes(2, "little") + k.to_bytes(2, "little") + n.to_bytes(4, "little") + v.to_bytes(4, "little") for t, k, n, v in entries) + b"\0" * 4
-    assert images.raw_preview(body + small) == small
-    with pytest.raises(ImageError):
-        images.raw_preview(body)
+    assert images.raw_preview(raf) == (large, None)
+    for big, head in ((False, None), (True, None), (False, b"IIU\0")):
+        plain = tiff({8: ([(0x0112, 3, 1, 6), *whole(1000, small)], 0)}, {1000: small}, big, head)
+        assert images.raw_preview(plain) == (small, 6)
+    strips = [(0x0103, 3, 1, 7), (0x0111, 4, 1, 1000), (0x0117, 4, 1, len(large))]
+    assert images.raw_preview(tiff({8: (strips, 0)}, {1000: large}))[0] == large
+    for kind in (4, 13):  # one directory below stands in the entry, several in a list
+        assert images.raw_preview(tiff({8: ([(0x014A, kind, 1, 200)], 0), 200: (whole(1000, large), 0)}, {1000: large}))[0] == large
+        both = tiff({8: ([(0x014A, kind, 2, 100)], 0), 200: (whole(1000, large), 0), 300: (whole(2000, other), 0)}, {100: struct.pack("<II", 200, 300), 1000: large, 2000: other})
+        assert images.raw_preview(both)[0] == other  # of equal ones the first that is met: the last directory of the list
+    for kind in (1, 7):
+        assert images.raw_preview(tiff({8: ([(0x002E, kind, len(large), 1000)], 0)}, {1000: large}))[0] == large
+    following = tiff({8: ([(0x014A, 4, 1, 200)], 300), 200: (whole(1000, large), 0), 300: (whole(2000, other), 0)}, {1000: large, 2000: other})
+    assert images.raw_preview(following)[0] == other  # the next directory goes before those below
+    broken = {
+        "circle": tiff({8: (whole(1000, large), 8)}, {1000: large}), "header": tiff({8: ([], 0)}, {}, head=b"II+\0"), "no preview": tiff({8: ([], 0)}, {}),
+        "out of bounds": tiff({8: ([(0x0201, 4, 1, 9000), (0x0202, 4, 1, 90)], 0)}, {}), "too many directories": tiff({8: ([(0x014A, 4, 65, 200)], 0)}, {}),
+        "too many entries": tiff({}, {8: struct.pack("<H", 1025)})[:4] + struct.pack("<I", 8) + struct.pack("<H", 1025), "cut short": tiff({8: (whole(1000, large), 0)}, {})[:20],
+        "only": tiff({8: (whole(1000, jpeg(100, 100)), 0)}, {1000: jpeg(100, 100)}),
+    }
+    for message, data in broken.items():
+        with pytest.raises(ImageError, match=message):
+            images.raw_preview(data)
     prvw = b"\0" * 12 + len(large).to_bytes(4, "big") + large
     box = lambda kind, data: (8 + len(data)).to_bytes(4, "big") + kind + data
-    cr3 = box(b"ftyp", b"crx ") + box(b"uuid", images.CR3_PREVIEW + b"\0" * 8 + box(b"PRVW", prvw))
-    assert images.raw_preview(cr3) == large
+    moov = box(b"moov", box(b"uuid", images.CR3_METADATA + box(b"CMT1", tiff({8: ([(0x0112, 3, 1, 8)], 0)}, {}, end=60))))
+    cr3 = box(b"ftyp", b"crx ") + moov + box(b"uuid", images.CR3_PREVIEW + b"\0" * 8 + box(b"PRVW", prvw))
+    assert images.raw_preview(cr3) == (large, 8)
+    turned = b"\xff\xd8\xff\xe1" + (8 + 60).to_bytes(2, "big") + b"Exif\0\0" + tiff({8: ([(0x0112, 3, 1, 3)], 0)}, {}, end=60) + large[2:]
+    assert images.exif_orientation(turned) == 3 and images.exif_orientation(large) is None and images.jpeg_size(turned) == (600, 400)
+    pixels = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    assert (images.load(cr3, "raw", lambda data: pixels) == images.orient(pixels, 8)).all() and (images.load(turned, "standard", lambda data: pixels) == images.orient(pixels, 3)).all()
     with pytest.raises(ImageError):
-        images.raw_preview(raf.replace(large, jpeg(100, 100)))
+        images.load(jpeg(60000, 60000), "standard", lambda data: pixels)
+
+
+def test_deltas(spark, tmp_path, monkeypatch):
+    """Commits add files in proportion to what changes; reading and merging give the last word on each key."""
+    monkeypatch.setattr("orrery.sources.snapshot.MOST_DELTAS", 4)
+    index, unit = Index(spark, str(tmp_path / "i"), CONTRACT, "/r"), [1.0] + [0.0] * (DIM - 1)
+    want, rng = {}, random.Random(0)
+    for turn in range(9):
+        rows = [(rng.choice(["upsert", "delete"]), bytes([65 + k]), turn, k, unit) for k in rng.sample(range(12), 5)]
+        index.commit(spark.createDataFrame(rows, CHANGES))
+        for op, path, mtime, size, _ in rows:
+            want.pop(path, None)
+            if op == "upsert":
+                want[path] = (mtime, size)
+        assert {bytes(r.path): (r.mtime_ns, r.size) for r in index.files().collect()} == want
+        assert len(index.metadata("deltas")) == (turn + 1) % 4
+    again = Index(spark, str(tmp_path / "i"), Contract("i2", "q1", DIM), "/r")
+    assert again.count() == 0
 
 
 def test_corpora(spark, tmp_path):
@@ -227,6 +352,28 @@ def test_cli(spark, tmp_path):
     assert cli.main([" ", str(tmp_path)], spark) == 2 and cli.main(["x", str(tmp_path), "--top", "0"], spark) == 2
 
 
+def test_timings_and_progress(spark, tmp_path, capsys):
+    tree(tmp_path / "r", {f"{k:03}.jpg": b"x%d" % k if k % 50 else b"corrupt" for k in range(1, 521)})
+    lines, timings = [], Timings()
+    engine = Engine(spark, str(tmp_path / "r"), HashEncoder(DIM), CONTRACT, str(tmp_path / "i"), timings=timings, progress=Progress(lines.append))
+    assert engine.index() == 510
+    assert [x for x in lines if x.startswith("Index")] == ["Indexing 520 images...", "Indexed 256/520 images", "Indexed 512/520 images"] and sum(x.startswith("warning: ") for x in lines) == 10
+    engine.search("a dog")
+    told = json.loads(timings.report())
+    by = {p["phase"]: p for p in told["phases"]}
+    assert by["commit"]["invocations"] == 4 and by["scan"]["invocations"] == 2 and by["rank"]["elapsed_ms"] > 0 and told["total_wall_ms"] >= sum(p["elapsed_ms"] for p in told["phases"])
+    assert told["environment"]["query_cache_state"] == "miss" and told["environment"]["index_cache_state"] == "partial"
+
+    class Short(HashEncoder):
+        def images(self, prepared):
+            return super().images(prepared)[:-1]
+
+    with pytest.raises(Exception, match="the model gave shape"):
+        Engine(spark, str(tmp_path / "r"), Short(DIM), CONTRACT, str(tmp_path / "j")).index()
+    assert cli.main(["dog", str(tmp_path / "r"), "--threshold", "1", "--timings", str(tmp_path / "t.json")], spark, io.BytesIO()) == 1
+    assert json.loads((tmp_path / "t.json").read_text())["schema_version"] == 1 and "Indexing 520 images..." in capsys.readouterr().err
+
+
 def test_stream(spark, tmp_path):
     from orrery.streaming.ingest import ingest
 
