@@ -2,16 +2,16 @@
 
 The corpus is cut into reference blocks, runs of neighbouring doc_ids of about equal bytes. Every block is indexed by
 its phrases of ``window`` words; the index is dealt out over hash ranges, so that each block meets every other block's
-phrases without any pair of blocks being formed. A document is then factored greedily from left to right against all
-blocks before it and the documents before it in its own: a factor starts at a phrase that one of them holds, and grows
-while the following phrases are known from the same reference block. For a phrase that several blocks hold the first
-block is the reference; the others are not carried along, as a frequent phrase has any number of them, so a factor ends
-where the first holder of its phrases changes, though a later block may hold more. That cuts factors finer than the
-longest possible and never changes which words are covered: phrases that straddle two factors are looked up like any
-other. Factors are at least ``window`` words long by construction; the words they cover are the duplicate spans.
+phrases without any pair of blocks being formed, and learns of each of its own phrases which blocks before it hold it: the
+first HOLDERS of them. A document is then factored greedily from left to right: a factor starts at a phrase that some
+block holds (or a document before it in its own block), takes the reference block whose run of known phrases from there
+on is the longest, and ends where that block knows no more; the next factor starts at the next known phrase. Only where
+a phrase has more than HOLDERS holders may a block that goes on be overlooked, which cuts a factor in two; it never changes
+which words are covered. Phrases that straddle two factors are looked up like any other, so no repeat is lost at a
+boundary. Factors are at least ``window`` words long by construction; the words they cover are the duplicate spans.
 
 Data moved: each text once (the exchange is shared by both passes), 8 bytes for each distinct phrase of a block, and
-an answer of one bit for each of these. A block sends a phrase once however often it holds it, so hot passages shrink
+an answer of one bit for each of these and 4 bytes for each known holder. A block sends a phrase once however often it holds it, so hot passages shrink
 before they are shuffled.
 
 Cases: null and empty texts have no words and lose none; rows with a null doc_id are returned unchanged (they are no
@@ -35,6 +35,7 @@ from orrery.llm._flat import buffers, shingles, word_hashes
 WINDOW = 13
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 4 << 20
+HOLDERS = 4
 
 FACTORS = "doc_id long, start int, n_words int, block int"
 RESULT = "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start:int,n_words:int,block:int>>"
@@ -89,34 +90,67 @@ def _phrases(table: pa.Table, window: int):
     return table["doc_id"].to_numpy(), at, hashes, first, distinct, place
 
 
+def greedy(holders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First phrase, number of phrases and block of the factors of a run of known phrases; holders: blocks that hold each
+    phrase (row), in order and padded by -1."""
+    out, i, n = [], 0, len(holders)
+    while i < n:
+        best, block = 0, -1
+        for own in holders[i][holders[i] >= 0].tolist():
+            end, step = i + 1, 32
+            while end < n:  # look ahead in growing strides
+                gone = np.flatnonzero(~(holders[end : end + step] == own).any(1))
+                if len(gone):
+                    end += int(gone[0])
+                    break
+                end, step = min(n, end + step), 2 * step
+            if end - i > best:
+                best, block = end - i, own
+        out.append((i, best, block))
+        i += best
+    return tuple(np.array(c, np.int64) for c in zip(*out))
+
+
 def _factor(table: pa.Table, answers: pa.Table, bits: int, window: int):
     """For each document of a block: index, number of words, flags of covered words, and factors."""
     ids, at, hashes, first, distinct, place = _phrases(table, window)
     own = table["_block"][0].as_py() if len(table) else 0
-    known = np.full(len(distinct), -1, np.int32)
+    known = np.full((len(distinct), HOLDERS + 1), -1, np.int32)
     bucket = (distinct >> np.uint64(64 - bits)).astype(np.int64)
     begins = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-    for row in answers.select(["_bucket", "hit", "source"]).to_pylist():
+    for row in answers.select(["_bucket", "hit", "n", "source"]).to_pylist():
         part = known[begins[row["_bucket"]] : begins[row["_bucket"] + 1]]
-        part[np.unpackbits(np.frombuffer(row["hit"], np.uint8), count=len(part)).astype(bool)] = np.frombuffer(row["source"], np.int32)
+        hit = np.flatnonzero(np.unpackbits(np.frombuffer(row["hit"], np.uint8), count=len(part)))
+        count = np.frombuffer(row["n"], np.uint8).astype(np.int64)
+        spot = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        part[np.repeat(hit, count), spot] = np.frombuffer(row["source"], np.int32)
     doc = np.searchsorted(at, first, "right") - 1
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, place, ids[doc])
-    source = known[place]
-    source = np.where((source < 0) & (least[place] < ids[doc]), np.int32(own), source)
-    # Greedy factors: runs of phrases, one word apart, that one block knows.
-    hit = np.flatnonzero(source >= 0)
+    before = least[place] < ids[doc]  # a document before it in its own block
+    hit = np.flatnonzero(before | (known[place, 0] >= 0))
+    holders = known[place[hit]]
+    holders[before[hit], HOLDERS] = own
     new = np.ones(len(hit), bool)
-    new[1:] = (np.diff(hit) != 1) | (np.diff(source[hit]) != 0) | (np.diff(doc[hit]) != 0)
-    head = np.flatnonzero(new)
-    length = np.diff(np.append(head, len(hit))) + window - 1
-    start = first[hit[head]]
+    new[1:] = (np.diff(hit) != 1) | (np.diff(doc[hit]) != 0)
+    runs = np.append(np.flatnonzero(new), len(hit))
+    same = np.ones(len(hit), bool)  # phrases whose holders are those of the phrase before: no factor ends between them
+    same[1:] = (holders[1:] == holders[:-1]).all(1)
+    factors = [np.zeros((3, 0), np.int64)]
+    for a, b in zip(runs.tolist(), runs[1:].tolist()):
+        if same[a + 1 : b].all():
+            factors.append(np.array([[a], [b - a], [holders[a][holders[a] >= 0][0]]], np.int64))
+        else:
+            head, size, block = greedy(holders[a:b])
+            factors.append(np.stack([head + a, size, block]))
+    head, size, block = np.concatenate(factors, 1)
+    length, start = size + window - 1, first[hit[head]]
     edge = np.zeros(at[-1] + 1, np.int32)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + length, -1)
     covered = np.cumsum(edge[:-1]) > 0
     owner = doc[hit[head]]
-    return at, covered, owner, start - at[owner], length, source[hit[head]]
+    return at, covered, owner, start - at[owner], length, block.astype(np.int32)
 
 
 def factor_documents(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -148,17 +182,25 @@ def factor_documents(docs: DataFrame, window: int = WINDOW, block_bytes: int = B
         ranked = every[order]
         head = np.ones(len(ranked), bool)
         head[1:] = ranked[1:] != ranked[:-1]
-        source = np.empty(len(every), np.int32)
-        owner = np.repeat(blocks, sizes)
-        source[order] = owner[order][np.maximum.accumulate(np.where(head, np.arange(len(ranked)), 0))]
-        hit = source < owner
-        ends = np.cumsum(sizes)
-        rows = [(b, np.packbits(hit[e - s : e]).tobytes(), source[e - s : e][hit[e - s : e]].tobytes()) for b, s, e in zip(blocks, sizes, ends) if hit[e - s : e].any()]
+        owner = np.repeat(blocks, sizes).astype(np.int32)[order]
+        begin = np.maximum.accumulate(np.where(head, np.arange(len(ranked)), 0))
+        count = np.empty(len(every), np.int64)  # holders before each one's own block that it is told of
+        count[order] = np.minimum(np.arange(len(ranked)) - begin, HOLDERS)
+        where = np.empty(len(every), np.int64)
+        where[order] = begin
+        rows, end = [], np.cumsum(sizes)
+        for b, s, e in zip(blocks.tolist(), (end - sizes).tolist(), end.tolist()):
+            n = count[s:e]
+            if n.any():
+                told = n[n > 0]
+                spots = np.repeat(where[s:e][n > 0], told) + np.arange(told.sum()) - np.repeat(np.cumsum(told) - told, told)
+                rows.append((b, np.packbits(n > 0).tobytes(), told.astype(np.uint8).tobytes(), owner[spots].tobytes()))
         return pa.table({
             "_block": pa.array([r[0] for r in rows], pa.int32()),
             "_bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()),
             "hit": pa.array([r[1] for r in rows], pa.binary()),
-            "source": pa.array([r[2] for r in rows], pa.binary()),
+            "n": pa.array([r[2] for r in rows], pa.binary()),
+            "source": pa.array([r[3] for r in rows], pa.binary()),
         })
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -180,7 +222,7 @@ def factor_documents(docs: DataFrame, window: int = WINDOW, block_bytes: int = B
         })
 
     sent = blocked.groupBy("_block").applyInArrow(index, "_bucket int, _block int, phrases binary")
-    answers = sent.groupBy("_bucket").applyInArrow(meet, "_block int, _bucket int, hit binary, source binary")
+    answers = sent.groupBy("_bucket").applyInArrow(meet, "_block int, _bucket int, hit binary, n binary, source binary")
     done = blocked.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(remove, RESULT)
 
     def alone(batches):

@@ -52,6 +52,30 @@ def test_substring_dedup(spark, corpus):
     assert substring_dedup.factor_documents(frame(spark, [])).count() == 0
 
 
+def test_substring_factors(spark):
+    """Factors are the longest that one reference block holds, by plain sets of phrases; and cover what they must."""
+    rng = random.Random(21)
+    base = words(rng, 400, 10**6)
+    rows = [(1, " ".join(base[:200])), (2, " ".join(base[100:130])), (3, " ".join(base[150:400])), (4, " ".join(base[90:260])), (5, " ".join(base[20:60] + base[300:340] + base[60:100])), (6, " ".join(words(rng, 50)))]
+    df = frame(spark, rows)
+    got = {r.doc_id: [(f.start, f.n_words, f.block) for f in r.factors] for r in substring_dedup.factor_documents(df, block_bytes=1, bucket_bytes=512).collect()}
+    block = {i: k for k, (i, _) in enumerate(rows)}  # one document a block
+    split = {i: t.split(" ") for i, t in rows}
+    phrases = {i: [tuple(w[k : k + 13]) for k in range(len(w) - 12)] for i, w in split.items()}
+    for i, own in phrases.items():
+        want, k = [], 0
+        while k < len(own):
+            best = (0, 0)
+            for j in sorted(x for x in phrases if x < i):
+                n = next((n for n in range(len(own) - k) if own[k + n] not in phrases[j]), len(own) - k)
+                best = max(best, (n, -block[j]))
+            if best[0]:
+                want.append((k, best[0] + 12, -best[1]))
+            k += max(1, best[0])
+        assert got[i] == want, i
+    assert got[4] == [(0, 110, 0), (98, 72, 2)] and got[6] == []
+
+
 def test_substring_blocks(spark):
     """Outlying and clustered ids: blocks follow the bytes, and answers stay right."""
     rng = random.Random(2)
