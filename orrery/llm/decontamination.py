@@ -20,7 +20,6 @@ text.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,12 +91,12 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
 
 
 def _leaks(shared):
-    @F.pandas_udf("boolean")
-    def leaks(text: pd.Series) -> pd.Series:
-        found, texts = np.zeros(len(text), bool), pa.array(text, pa.large_string(), from_pandas=True)
+    @F.arrow_udf("boolean")
+    def leaks(text: pa.Array) -> pa.Array:
+        found = np.zeros(len(text), bool)
         for index in shared.value:
-            found[index.find(texts)[0]] = True
-        return pd.Series(found)
+            found[index.find(text)[0]] = True
+        return pa.array(found)
 
     return leaks
 

@@ -24,7 +24,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -247,8 +246,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFr
     """docs whose score is below the limit, columns as they were; the score is taken in the row, so nothing is joined."""
     model = train(docs, labels)
 
-    @F.pandas_udf("double")
-    def rate(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(pa.array(text, pa.large_string(), from_pandas=True)))
+    @F.arrow_udf("double")
+    def rate(text: pa.Array) -> pa.Array:
+        return pa.array(model.score(text))
 
     return docs.where(rate(F.col("text").cast("string")) < limit)
