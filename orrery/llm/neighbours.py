@@ -6,7 +6,7 @@ a band the longest is at most BAND times the shortest. Each band of a block is i
 random direction, which hold its projections in order. A query's window in each array is centred on the query's own
 projection and widened (virtual rehashing: no array is built again); a vector collides with the query in an array if the
 window holds it. Vectors that collide in LEVEL of the arrays are candidates, and the window is the narrowest of the widths
-FIRST * GROWTH ** i that gives BETA of the band's vectors and twice the answers asked for; it is found by bisection, from
+FIRST * GROWTH ** i that gives BETA of the band's vectors and four times the answers asked for; it is found by bisection, from
 the width of the query before. Candidates are verified by their inner products in double precision. Bands are taken from
 the longest vectors on, and one whose length times the query's cannot reach the worst answer so far is left out, which
 loses nothing. The blocks' best are merged.
@@ -58,7 +58,7 @@ class Band:
 
     def __init__(self, places: np.ndarray, x: np.ndarray, norm: np.ndarray, k: int, beta: float):
         self.places, self.x, self.longest = places, x, float(norm.max())
-        self.enough = min(len(x), 2 * k + int(beta * len(x)))
+        self.enough = min(len(x), 4 * k + int(beta * len(x)))
         rest = np.sqrt(np.maximum(self.longest**2 - norm * norm, 0.0))
         self.ways = np.random.default_rng(5).normal(0, 1, (x.shape[1] + 1, PROJECTIONS))
         spots = (x @ self.ways[:-1] + rest[:, None] * self.ways[-1]) / self.longest
