@@ -12,6 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from orrery.llm import decontamination, license_scan, mixing, near_dedup, neighbours, pii, sharding, substring_dedup, toxicity, url_filter
+from orrery.llm._store import Scratch
 from oracle import SF, compare, connect
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -283,6 +284,22 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(frame(spark, []), marked).count() == 0
 
 
+def test_toxicity_windows():
+    """A text's score from those of its words alone: the greatest mean of four in a row; long and short texts."""
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, 30, 90)) + " vorgul" * (i % 2) for i in range(60)]
+    model = toxicity.fit(pa.array(texts, pa.large_string()), np.array([i % 2 for i in range(60)]))
+    logit = lambda t: np.log(s / (1 - s)) if (s := float(model.score(pa.array([t]))[0])) not in (0.0, 1.0) else None
+    several = ["ab", "vorgul", "vorguls ab", "x ab vorgul", *(" ".join(rng.choices(["ab", "cd", "vorgul", "vorgulls", "efg", "w", "snarp"], k=n)) for n in (3, 4, 5, 9, 400))]
+    alone = {w: 4 * (logit(w) - model.bias) for t in several for w in t.split()}
+    for t in several:
+        own = [alone[w] for w in t.split()]
+        own += [0.0] * (4 - len(own))
+        assert logit(t) == pytest.approx(model.bias + max(sum(own[k : k + 4]) for k in range(len(own) - 3)) / 4, abs=1e-6)
+    whole = pa.array([None, "", *several, several[-1] * 3000])
+    assert model.score(whole).tolist() == [float(model.score(whole.slice(k, 1))[0]) for k in range(len(whole))]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 16)) * rng.uniform(0.5, 2, (900, 1))
@@ -436,6 +453,53 @@ def test_sharding(spark, corpus):
     assert sharding.assign(frame(spark, []), 7).count() == 0
 
 
+def test_sharding_moves(spark):
+    """Rounds of moves against plain loops over cells, with the session's own hashes."""
+    rng, shards = random.Random(14), 6
+    cells = [(f"g{g}", home, home, rng.choice([1, 1, 2, 5, 30])) for g in range(120) for home in rng.sample(range(shards), rng.randrange(1, 5))]
+    total = Counter()
+    for gid, _, _, n in cells:
+        total[gid] += n
+    load = Counter()
+    for _, home, _, n in cells:
+        load[home] += n
+    quota = [load[k] + (40, 3, 0, 150, 12, 70)[k] for k in range(shards)]
+    df = spark.createDataFrame([(*c, total[c[0]]) for c in cells], "gid string, home int, shard int, n long, all long")
+    tie = {(r.gid, r.k): r.h for r in df.select("gid").distinct().crossJoin(spark.range(shards).select(F.col("id").cast("int").alias("k"))).select("gid", "k", F.xxhash64("gid", "k").alias("h")).collect()}
+    unit = {(r.gid, r.t): r.u for r in df.select("gid").distinct().crossJoin(spark.range(40).select(F.col("id").cast("int").alias("t"))).select("gid", "t", sharding._unit(F.col("gid"), F.col("t")).alias("u")).collect()}
+    at, turn = {(g, h): h for g, h, _, _ in cells}, 0
+    size = {(g, h): n for g, h, _, n in cells}
+    while True:
+        held, load = {}, Counter()
+        for (g, h), k in at.items():
+            held.setdefault(g, Counter())[k] += size[g, h]
+            load[k] += size[g, h]
+        asks = {g: (max(own, key=lambda k: (own[k], tie[g, k])), sum(own.values()) - max(own.values())) for g, own in held.items() if len(own) > 1}
+        moves = set()
+        for k in range(shards):
+            room, by = max(0, quota[k] - load[k]), {}
+            for g, (to, n) in asks.items():
+                if to == k:
+                    by.setdefault(n.bit_length() - 1, []).append(g)
+            for power in sorted(by):
+                need = sum(asks[g][1] for g in by[power])
+                if need <= room:
+                    moves |= set(by[power])
+                    room -= need
+                    continue
+                if 2 ** (power + 1) <= room:
+                    moves |= {g for g in by[power] if unit[g, turn] < room / need}
+                break
+        for (g, h), k in list(at.items()):
+            if g in moves:
+                at[g, h] = asks[g][0]
+        turn += 1
+        if not moves:
+            break
+    got = {(r.gid, r.home): r.shard for r in sharding.propagate(df, quota, Scratch(spark)).collect()}
+    assert got == at and turn > 2 and len({g for g, own in held.items() if len(own) == 1}) > len(total) // 2
+
+
 def test_sharding_hot(spark):
     """A text with a third of the rows has no room anywhere: it stays, and the others are brought together all the same."""
     rows = [(i, "hot") for i in range(400)] + [(1000 + i, f"text {i % 100}") for i in range(300)] + [(2000 + i, f"single {i}") for i in range(500)]
