@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.contracts import INFERENCE_BATCH, EngineError, ImageError
+from orrery.functions.codecs import decode
 from orrery.operators.reconcile import chunks
 
 
@@ -64,11 +65,33 @@ class HashEncoder:
         return self._vector(query.encode())
 
 
+def pixels(path: bytes, decode=decode) -> np.ndarray:
+    """A file's upright pixels as model input."""
+    from orrery.functions.images import load, prepare
+    from orrery.functions.paths import RAW
+
+    kind = "raw" if path.rpartition(b".")[2].lower().decode("ascii", "replace") in RAW else "standard"
+    with open(path, "rb") as f:
+        return prepare(load(f.read(), kind, decode))
+
+
+class PixelEncoder(HashEncoder):
+    """Vectors of what a picture shows, coarsely: the means of dim / 3 patches of each channel. No model is needed, so the
+    whole way from a file to an answer can be run; text gets seeded numbers."""
+
+    def prepare(self, path: bytes) -> np.ndarray:
+        return pixels(path)
+
+    def images(self, prepared: list) -> np.ndarray:
+        flat = np.stack([np.concatenate([part.mean(1) for part in np.array_split(p.reshape(3, -1), max(1, self.dim // 3), axis=1)]) for p in prepared])
+        return np.concatenate([flat, np.ones((len(flat), self.dim - flat.shape[1]))], 1)
+
+
 class OnnxEncoder:
     """A vision and a text model with a tokenizer; sessions are opened once in each worker. decode turns the bytes of a
-    common format into RGB pixels as they are stored."""
+    common format into RGB pixels as they are stored; the one here reads PNG and BMP."""
 
-    def __init__(self, vision: str, text: str, tokenizer: str, decode, length: int = 77):
+    def __init__(self, vision: str, text: str, tokenizer: str, decode=decode, length: int = 77):
         self.paths, self.decode, self.length, self._open = (vision, text, tokenizer), decode, length, {}
 
     def __getstate__(self):
@@ -82,12 +105,7 @@ class OnnxEncoder:
         return self._open[which]
 
     def prepare(self, path: bytes) -> np.ndarray:
-        from orrery.functions.images import load, prepare
-        from orrery.functions.paths import RAW
-
-        kind = "raw" if path.rpartition(b".")[2].lower().decode("ascii", "replace") in RAW else "standard"
-        with open(path, "rb") as f:
-            return prepare(load(f.read(), kind, self.decode))
+        return pixels(path, self.decode)
 
     def images(self, prepared: list) -> np.ndarray:
         session = self._session(0)

@@ -38,3 +38,12 @@ def captions(spark: SparkSession, path: str, n_images: int | None = None, least_
     if orphans or total < least_captions or described != n:
         raise EngineError("the captions are incomplete")
     return joined.select("caption", "file_name")
+
+
+def verified(spark: SparkSession, folder: str, checks: DataFrame) -> DataFrame:
+    """file_name of each file of checks (file_name, sha256) below folder; a file that is not there, or whose bytes hash
+    otherwise, fails the job. Bytes are hashed where they are read."""
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("_name"), F.sha2("content", 256).alias("_sum"))
+    wrong = F.raise_error(F.concat(F.lit("missing or changed: "), F.col("file_name"))).cast("string")
+    joined = checks.join(files, F.col("file_name") == F.col("_name"), "left")
+    return joined.select(F.when(F.col("_sum") == F.lower("sha256"), F.col("file_name")).otherwise(wrong).alias("file_name"))

@@ -1,9 +1,11 @@
+import hashlib
 import io
 import json
 import os
 import random
 import statistics
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -11,9 +13,9 @@ import pytest
 from orrery import cli
 from orrery.contracts import CHANGES, Contract, EngineError, ImageError, IndexError_, ScanError
 from orrery.engine import Cache, Engine
-from orrery.functions import images
+from orrery.functions import codecs, images
 from orrery.operators import metrics, stats
-from orrery.operators.encode import HashEncoder
+from orrery.operators.encode import HashEncoder, PixelEncoder
 from orrery.operators.ranking import batch_search, full_ranking, search
 from orrery.operators.reconcile import chunks, missing, plan
 from orrery.sources import sinks
@@ -333,6 +335,90 @@ def test_corpora(spark, tmp_path):
         captions(spark, whole, 3)
 
 
+def png(pixels, colour=2, depth=8, filters=(0, 1, 2, 3, 4), laced=False, palette=None):
+    """pixels: height x width x channels of samples; each line of a pass gets the next filter."""
+    height, width, channels = pixels.shape
+
+    def packed(line):
+        bits = np.array([[(int(v) >> k) & 1 for k in range(depth - 1, -1, -1)] for v in line.ravel()], np.uint8).ravel()
+        return np.packbits(bits).tolist()
+
+    def filtered(part):
+        step, out, above, n = max(1, channels * depth // 8), b"", None, 0
+        for line in part:
+            own = packed(line)
+            up, kind = above or [0] * len(own), filters[n % len(filters)]
+            made = [kind]
+            for x, v in enumerate(own):
+                a, b, c = own[x - step] if x >= step else 0, up[x], up[x - step] if x >= step else 0
+                near = sorted((abs(a + b - c - w), k, w) for k, w in enumerate((a, b, c)))[0][2]
+                made.append((v - (0, a, b, (a + b) // 2, near)[kind]) % 256)
+            out, above, n = out + bytes(made), own, n + 1
+        return out
+
+    parts = [pixels[y::dy, x::dx] for x, y, dx, dy in codecs.PASSES] if laced else [pixels]
+    data = zlib.compress(b"".join(filtered(p) for p in parts if p.size))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, int(laced))
+    return codecs.SIGNATURE + chunk(b"IHDR", head) + (chunk(b"PLTE", palette.tobytes()) if palette is not None else b"") + chunk(b"IDAT", data[:7]) + chunk(b"IDAT", data[7:]) + chunk(b"IEND", b"")
+
+
+def test_codecs():
+    rng = np.random.default_rng(8)
+    for laced in (False, True):
+        for height, width in ((7, 5), (1, 1), (9, 13)):
+            make = lambda channels, most=256: rng.integers(0, most, (height, width, channels), np.int64)
+            rgb, grey = make(3), make(1)
+            assert (codecs.decode(png(rgb, laced=laced)) == rgb).all()
+            assert (codecs.decode(png(np.concatenate([rgb, make(1)], 2), 6, laced=laced)) == rgb).all()
+            assert (codecs.decode(png(np.concatenate([grey, make(1)], 2), 4, laced=laced)) == np.repeat(grey, 3, 2)).all()
+            assert (codecs.decode(png(rgb * 256 + 7, 2, 16, laced=laced)) == rgb).all()
+            palette = rng.integers(0, 256, (16, 3), np.uint8)
+            for depth in (1, 2, 4, 8):
+                few = make(1, 1 << depth)
+                assert (codecs.decode(png(few, 0, depth, laced=laced)) == np.repeat(few * (255 // ((1 << depth) - 1)), 3, 2)).all()
+                few = few % 16
+                assert (codecs.decode(png(few, 3, depth, laced=laced, palette=palette)) == palette[few[:, :, 0]]).all()
+    whole = png(rgb)
+    for broken in (whole[:40], whole[:-20], whole.replace(b"IHDR", b"IHDQ"), png(grey % 2, 3, 1), b"GIF89a", png(grey, 3, 8, palette=palette[:0])):
+        with pytest.raises(ImageError):
+            codecs.decode(broken)
+    for bits in (24, 32):
+        line = lambda row: b"".join(bytes([b, g, r] + [9] * (bits == 32)) for r, g, b in row.tolist()).ljust(-(-width * bits // 32) * 4, b"\0")
+        for turn in (1, -1):
+            body = b"".join(line(row) for row in rgb[::-turn])
+            bmp = b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, turn * height, 1, bits, 0, 0, 0, 0, 0, 0) + body
+            assert (codecs.decode(bmp) == rgb).all()
+    with pytest.raises(ImageError):
+        codecs.decode(bmp[:-1])
+
+
+def test_pictures_end_to_end(spark, tmp_path):
+    """From files of several formats to ranked answers; the query itself is left out, a broken file is skipped."""
+    red, blue = np.full((48, 64, 3), (240, 20, 30)), np.full((48, 64, 3), (20, 30, 240))
+    nearly = red + np.arange(3)
+    tree(tmp_path / "r", {"red.png": png(red, filters=(0,)), "sub/nearly.png": png(nearly, filters=(2,)), "blue.png": png(blue, filters=(1,)), "cut.png": png(red)[:60], "shot.jpg": b"GIF89a"})
+    skipped = []
+    engine = Engine(spark, str(tmp_path / "r"), PixelEncoder(DIM), CONTRACT, str(tmp_path / "i"), lambda p, e: skipped.append(p))
+    assert engine.index() == 3 and sorted(skipped) == [b"cut.png", b"shot.jpg"]
+    found = engine.search(image=str(tmp_path / "r/red.png"), top=5, threshold=-1.0)
+    assert [p for _, p in found] == [b"sub/nearly.png", b"blue.png"] and found[0][0] > 0.99 > found[1][0]
+    (tmp_path / "other.png").write_bytes(png(blue + 1, filters=(0,)))
+    assert engine.search(image=str(tmp_path / "other.png"), top=1, threshold=-1.0)[0][1] == b"blue.png"
+
+
+def test_verified(spark, tmp_path):
+    from orrery.sources.corpora import verified
+
+    tree(tmp_path, {"a.jpg": b"one", "b.jpg": b"two", "c.jpg": b""})
+    sums = [(n, hashlib.sha256(d).hexdigest()) for n, d in (("a.jpg", b"one"), ("b.jpg", b"two"))]
+    checks = lambda rows: spark.createDataFrame(rows, "file_name string, sha256 string")
+    assert sorted(r.file_name for r in verified(spark, str(tmp_path), checks([(sums[0][0], sums[0][1].upper()), sums[1]])).collect()) == ["a.jpg", "b.jpg"]
+    for wrong in (("b.jpg", sums[0][1]), ("d.jpg", sums[0][1]), ("a.jpg", None)):
+        with pytest.raises(Exception, match="missing or changed"):
+            verified(spark, str(tmp_path), checks([sums[0], wrong])).collect()
+
+
 def test_sinks():
     assert sinks.escape_path(b"a\\b\tc\x01") == "a\\\\b\\tc\\u{1}"
     assert sinks.escape_path(b"\xff\n") == "\\xff\\x0a"
