@@ -59,17 +59,17 @@ def draw(seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def _targets(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """source_targets of docs, to be broadcast if they are few: else a small table would make all texts travel."""
-    sizes = docs.select(F.col("source").cast("string").alias("_source"), n_words(F.col("text")).alias("size"))
-    targets = Scratch(docs.sparkSession).keep(source_targets(sizes, weights, most))
+def _targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """source_targets, to be broadcast if they are few: else a small table would make all rows travel."""
+    targets = Scratch(sizes.sparkSession).keep(source_targets(sizes, weights, most))
     return F.broadcast(targets) if targets.count() <= MOST_BROADCAST else targets
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """docs (doc_id, text, source) as doc_id, _source, size, _draw, source_size, target and n (times it is taken)."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("_source"), n_words(F.col("text")).alias("size"), draw(seed).alias("_draw"))
-    targets = _targets(docs, weights, most)
+    sized = Scratch(docs.sparkSession).keep(sized)  # texts are read once; what is kept of them is some 30 bytes a row
+    targets = _targets(sized.select("_source", "size"), weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     n = F.floor(rate) + (F.col("_draw") < rate - F.floor(rate)).cast("long")
     targets = targets.select(F.col("_source").alias("_of"), "source_size", "target")  # names of sized and targets alone meet here, whatever docs holds
@@ -85,7 +85,8 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; columns as they were, whatever their names."""
     of, rate, copy = free(docs, "of", "rate", "copy")
-    targets = _targets(docs, weights, most).select(F.col("_source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
+    sizes = docs.select(F.col("source").cast("string").alias("_source"), n_words(F.col("text")).alias("size"))
+    targets = _targets(sizes, weights, most).select(F.col("_source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
     n = F.floor(F.col(rate)) + (draw(seed) < F.col(rate) - F.floor(F.col(rate))).cast("long")
     out = docs.join(targets, F.col("source").cast("string").eqNullSafe(F.col(of))).where(n > 0)
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
