@@ -149,7 +149,10 @@ def clusters(rows: DataFrame, scratch: Scratch) -> DataFrame:
             return spots.select("comp", "cluster").distinct()
         links = spots.join(ends, "key").where("cluster != b").groupBy(F.col("cluster").alias("a")).agg(F.min("b").alias("b"))
         found = components(links, scratch).toDF("cluster", "_to")
-        spots = scratch.keep(spots.join(found, "cluster", "left").select("key", "comp", F.coalesce("_to", "cluster").alias("cluster")))
+        moved = scratch.keep(spots.join(found, "cluster", "left").select("key", "comp", F.coalesce("_to", "cluster").alias("cluster")))
+        for done in (spots, ends):
+            scratch.drop(done)
+        spots = moved
 
 
 def dense_links(rows: DataFrame, texts: DataFrame, n_words: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -226,7 +229,9 @@ def find_components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     fits = F.lit(100) * F.least("n_shingles", "n_b") >= F.lit(percent) * F.greatest("n_shingles", "n_b")
     first = buckets.where("hub < class").groupBy(F.col("class").alias("a")).agg(F.min("hub").alias("b"))
     # Rows of one doc_id with different sets belong together.
-    repeats = usable.join(classes.select(*same, "class"), same).groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("a", "b")
+    sets = usable.join(classes.select(*same, "class"), same).select("doc_id", "class")
+    several = sets.groupBy("doc_id").agg(F.min("class").alias("b"), F.max("class").alias("most")).where("b < most").select("doc_id", "b")
+    repeats = sets.join(scratch.keep(several), "doc_id").where("class != b").select(F.col("class").alias("a"), "b").distinct()
     labels = components(confirm(first, texts, n_words, percent).union(repeats), scratch)
     for choose in ("min", "max", "all"):
         known = buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n_shingles", F.coalesce("comp", "class").alias("comp"))
@@ -249,7 +254,10 @@ def find_components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
             found = left.where("comp != comp_b").where(fits).groupBy(F.col("class").alias("a")).agg(end("class_b").alias("b"))
             more = confirm(found, texts, n_words, percent)
         labels = merged(labels, more, scratch)
+        scratch.drop(ends)
         buckets = scratch.same(left.select("key", "class", "n_shingles"), left)
+    for done in (buckets, texts):
+        scratch.drop(done)
     reach = classes.select(*same, F.col("class").alias("node")).join(labels, "node", "left").select(*same, F.coalesce("comp", "node").alias("comp"))
     linked = signed.join(reach, same, "left")
     return linked.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))

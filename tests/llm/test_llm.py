@@ -143,6 +143,9 @@ def test_near_dedup_edges(spark):
     kept = near_dedup.drop_near_copies(frame(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (3, None)]))
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3]
     assert near_dedup.find_components(frame(spark, [])).count() == 0
+    texts = [" ".join(words(random.Random(k), 30)) for k in range(3)]  # one document of three texts, each of which others have
+    rows = [(k + 1, t) for k, t in enumerate(texts)] + [(5, t) for t in texts] + [(9, "something else")]
+    assert {(r.doc_id, r.component_id) for r in near_dedup.find_components(frame(spark, rows)).collect()} == {(1, 1), (2, 1), (3, 1), (5, 1), (9, 9)}
 
 
 def test_decontamination(spark):
