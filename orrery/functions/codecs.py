@@ -1,4 +1,4 @@
-"""Pixels out of file formats that need no compression code beyond zlib: PNG and BMP. Others are injected.
+"""Pixels out of file formats: PNG, BMP, the first frame of a GIF, the first page of a TIFF, and JPEG. Others are injected.
 
 Pixels are RGB as the file stores them, before any orientation. Transparency is dropped, as the encoder takes no alpha; 16 bits
 a channel give their upper 8, fewer than 8 are spread over the whole range.
@@ -12,7 +12,8 @@ import zlib
 import numpy as np
 
 from orrery.contracts import ImageError
-from orrery.functions.images import check_size
+from orrery.functions.images import Tiff, check_size
+from orrery.functions.jpeg import decode_jpeg
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -126,10 +127,173 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(pixels if height < 0 else pixels[::-1])
 
 
+def unlzw(data: bytes, bits: int, most: int, high_first: bool) -> bytes:
+    """At most ``most`` bytes of Lempel-Ziv-Welch codes over symbols of ``bits`` bits. high_first: as TIFF packs them, whose
+    codes also grow one code earlier."""
+    clear, size, held, n, out, made = 1 << bits, bits + 1, 0, 0, [], 0
+    table, before = [bytes([k]) for k in range(clear)] + [b"", b""], None
+    for byte in data:
+        if high_first:
+            held = held << 8 | byte
+        else:
+            held |= byte << n
+        n += 8
+        while n >= size:
+            if high_first:
+                code = held >> n - size
+                held &= (1 << n - size) - 1
+            else:
+                code = held & (1 << size) - 1
+                held >>= size
+            n -= size
+            if code == clear:
+                del table[clear + 2 :]
+                size, before = bits + 1, None
+                continue
+            if code == clear + 1:
+                return b"".join(out)[:most]
+            if code > len(table) or (code == len(table) and before is None):
+                raise ImageError("the image's data is broken")
+            entry = table[code] if code < len(table) else before + before[:1]
+            if before is not None and len(table) < 4096:
+                table.append(before + entry[:1])
+            out.append(entry)
+            made += len(entry)
+            if made >= most:
+                return b"".join(out)[:most]
+            before = entry
+            if len(table) + high_first >= 1 << size and size < 12:
+                size += 1
+    return b"".join(out)
+
+
+def decode_gif(data: bytes) -> np.ndarray:
+    """The first frame on a black screen; a transparent pixel keeps its colour in the palette."""
+    if len(data) < 13:
+        raise ImageError("the image is cut short")
+    width, height, flags = struct.unpack_from("<HHB", data, 6)
+    check_size(width, height, 3 * width * height)
+
+    def colours(at: int, flags: int) -> tuple[np.ndarray | None, int]:
+        n = 2 << (flags & 7) if flags & 128 else 0
+        return np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(-1, 3) if n else None, at + 3 * n
+
+    def blocks(at: int) -> tuple[bytes, int]:
+        parts = []
+        while data[at]:
+            parts.append(data[at + 1 : at + 1 + data[at]])
+            at += 1 + data[at]
+        return b"".join(parts), at + 1
+
+    try:
+        palette, at = colours(13, flags)
+        while data[at] == 0x21:
+            at = blocks(at + 2)[1]
+        if data[at] != 0x2C:
+            raise ImageError("the image is cut short")
+        left, top, w, h, own = struct.unpack_from("<HHHHB", data, at + 1)
+        if left + w > width or top + h > height:
+            raise ImageError("the frame does not fit the screen")
+        local, at = colours(at + 10, own)
+        palette, bits = palette if local is None else local, data[at]
+        if palette is None or not 1 <= bits <= 8:
+            raise ImageError("the image's header is not valid")
+        pixels = np.frombuffer(unlzw(blocks(at + 1)[0], bits, w * h, False), np.uint8)
+    except (IndexError, ValueError, struct.error) as e:
+        raise ImageError("the image is cut short") from e
+    if len(pixels) < w * h:
+        raise ImageError("the image is cut short")
+    if pixels.max(initial=0) >= len(palette):
+        raise ImageError("a pixel is outside the palette")
+    rows = np.concatenate([np.arange(a, h, step) for a, step in ((0, 8), (4, 8), (2, 4), (1, 2))]) if own & 64 else np.arange(h)
+    out = np.zeros((height, width, 3), np.uint8)
+    out[top + rows, left : left + w] = palette[pixels.reshape(h, w)]
+    return out
+
+
+def _unpack_runs(data: bytes) -> bytes:
+    """Runs and stretches, as PackBits has them."""
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        out.append(data[at + 1 : at + 2 + n] if n < 128 else data[at + 1 : at + 2] * (257 - n) if n > 128 else b"")
+        at += 2 + n if n < 128 else 2 if n > 128 else 1
+    return b"".join(out)
+
+
+def decode_tiff(data: bytes) -> np.ndarray:
+    """The first page: grey, palette, RGB or CMYK in strips or tiles; plain, LZW, deflate or PackBits."""
+    file = Tiff(data)
+    tags = {}
+    for tag, kind, count, value, scalar in file.directory(file.root)[0]:
+        form = {1: "B", 3: "H", 4: "I"}.get(kind)
+        if form is None:
+            continue
+        if count > len(data):
+            raise ImageError("an offset is out of bounds")
+        size = {"B": 1, "H": 2, "I": 4}[form] * count
+        packed = struct.pack(file.order + "I", value)
+        tags[tag] = list(struct.unpack(file.order + form * count, packed[:size]) if size <= 4 else file._unpack(form * count, value))
+    one = lambda tag, default: (tags.get(tag) or [default])[0]
+    width, height, packing, kind, channels = one(256, 0), one(257, 0), one(259, 1), one(262, 1), one(277, 1)
+    depth, apart, guess = one(258, 1), one(284, 1) == 2, one(317, 1)
+    check_size(width, height, 3 * width * height)
+    least = {0: 1, 1: 1, 2: 3, 3: 1, 5: 4}.get(kind)
+    if least is None or not least <= channels <= 8 or depth not in (1, 2, 4, 8, 16) or (depth < 8 and channels > 1) or any(d != depth for d in tags.get(258, [])) or guess not in (1, 2) or (guess == 2 and depth < 8):
+        raise ImageError("this kind of TIFF is not read")
+    tiled = 322 in tags
+    w, h = (one(322, 0), one(323, 0)) if tiled else (width, min(height, one(278, height)))
+    starts, sizes = tags.get(324 if tiled else 273, []), tags.get(325 if tiled else 279, [])
+    if not (0 < w <= width + 65535 and 0 < h <= height + 65535):
+        raise ImageError("the image's header is not valid")
+    check_size(w, h, 3 * w * h)
+    across, down, each = -(-width // w), -(-height // h), 1 if apart else channels
+    if min(len(starts), len(sizes)) < across * down * (channels if apart else 1):
+        raise ImageError("the image is cut short")
+    out = np.zeros((height, width, channels), np.uint8)
+    for k in range(across * down * (channels if apart else 1)):
+        plane, (y, x) = k // (across * down), divmod(k % (across * down), across)
+        rows = h if tiled else min(h, height - y * h)
+        line = -(-w * each * depth // 8)
+        part, most = data[starts[k] : starts[k] + sizes[k]], line * rows
+        try:
+            part = part if packing == 1 else unlzw(part, 8, most, True) if packing == 5 else zlib.decompressobj().decompress(part, most) if packing in (8, 32946) else _unpack_runs(part) if packing == 32773 else None
+        except zlib.error as e:
+            raise ImageError(f"the image's data is broken: {e}") from e
+        if part is None:
+            raise ImageError("this kind of TIFF is not read")
+        if len(part) < most:
+            raise ImageError("the image is cut short")
+        lines = np.frombuffer(part, np.uint8, most).reshape(rows, line)
+        if depth == 16:
+            wide = lines.view(file.order + "u2").reshape(rows, w, each)
+            block = ((np.cumsum(wide, 1, dtype=np.uint16) if guess == 2 else wide) >> 8).astype(np.uint8)
+        else:
+            block = _samples(lines, w, each, depth, kind != 3)
+            block = np.cumsum(block, 1, dtype=np.uint8) if guess == 2 else block
+        y, x = y * h, x * w
+        out[y : y + h, x : x + w, plane : plane + each] = block[: height - y, : width - x]
+    if kind == 3:
+        table = np.array(tags.get(320, []), np.uint16)
+        if len(table) != 3 << depth:
+            raise ImageError("the image's header is not valid")
+        return (table.reshape(3, -1).T >> 8).astype(np.uint8)[out[:, :, 0]]
+    if kind == 5:
+        light = 255 - out[:, :, :4].astype(np.float32)
+        return np.rint(light[:, :, :3] * light[:, :, 3:] / 255).astype(np.uint8)
+    return out[:, :, :3] if kind == 2 else np.repeat(255 - out[:, :, :1] if kind == 0 else out[:, :, :1], 3, 2)
+
+
 def decode(data: bytes) -> np.ndarray:
     """RGB pixels by what the bytes say they are, whatever the file's name."""
     if data[:8] == SIGNATURE:
         return decode_png(data)
+    if data[:2] == b"\xff\xd8":
+        return decode_jpeg(data)
+    if data[:6] in (b"GIF87a", b"GIF89a"):
+        return decode_gif(data)
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return decode_tiff(data)
     if data[:2] == b"BM":
         return decode_bmp(data)
     raise ImageError("the format needs a decoder that is not here")

@@ -244,7 +244,7 @@ def raw_preview(data: bytes) -> tuple[bytes, int | None]:
 
 def load(data: bytes, kind: str, decode) -> np.ndarray:
     """Upright RGB pixels of a file's bytes. decode turns the bytes of a common format into pixels as they are stored; a raw
-    file gives its largest preview. A JPEG's own orientation goes before its container's."""
+    file gives its largest preview. A JPEG's own orientation goes before its container's; a TIFF's is that of its first page."""
     turned = None
     if kind == "raw":
         data, turned = raw_preview(data)
@@ -252,6 +252,8 @@ def load(data: bytes, kind: str, decode) -> np.ndarray:
         if (found := jpeg_size(data)) is not None:
             check_size(*found, 3 * found[0] * found[1])  # before any pixel is decoded
         turned = exif_orientation(data) or turned
+    elif data[:4] in (b"II*\0", b"MM\0*"):
+        turned = Tiff(data).orientation()
     return orient(decode(data), turned or 1)
 
 

@@ -89,7 +89,7 @@ class PixelEncoder(HashEncoder):
 
 class OnnxEncoder:
     """A vision and a text model with a tokenizer; sessions are opened once in each worker. decode turns the bytes of a
-    common format into RGB pixels as they are stored; the one here reads PNG and BMP."""
+    common format into RGB pixels as they are stored; the one here reads all but WebP and HEIC, JPEG slowly."""
 
     def __init__(self, vision: str, text: str, tokenizer: str, decode=decode, length: int = 77):
         self.paths, self.decode, self.length, self._open = (vision, text, tokenizer), decode, length, {}
