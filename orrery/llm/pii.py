@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of what they miss, by DataFrame functions only.
 
-Base spans come from four regular expressions with checks. They are seed entities, as are runs of 32 and more lower-case
-hexadecimal digits (kind "secret", which has no base spans). Every token with a digit or an @ is an instance, and induces
-up to two patterns: the two words before it, and, if it has nine digits or more and no letters, its shape (digits as 9).
-Patterns and instances form a graph, which is scored in rounds. A pattern is trusted for a kind if at least SUPPORT
+Base spans come from four regular expressions with checks. They are seed entities, as are tokens that look drawn by chance
+(kind "secret", which has no base spans): 32 and more lower-case hexadecimal digits, or 16 and more with four letters and
+four figures among them, or 16 and more capitals and figures. Every token with a digit or an @ is an instance; of one like
+name=value or name:value, the value is. Each induces up to three lexical patterns: the name and its mark or else the two
+words before; if it has nine digits or more and no letters, its shape (digits as 9); if it is one long run of letters and
+figures, the letters that it begins with. Patterns and instances form a graph, which is scored in rounds. A pattern is trusted for a kind if at least SUPPORT
 different seeds of the kind follow it, and they make up TRUST of the different instances that do; of a shape, TRUST of
 those whose kind is known, as nothing else tells what is no identifier. Words before must also be followed by an instance
 in at least SHARE of all places where they stand in the corpus. The instances of a trusted pattern that have four digits
@@ -32,7 +34,9 @@ from orrery.llm._store import Scratch
 
 # The kinds, in order, and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
-SECRET = "^[0-9a-f]{32,}$"
+SECRET = "^(?:[0-9a-f]{32,}+|(?=(?:[0-9]*+[a-f]){4})(?=(?:[a-f]*+[0-9]){4})[0-9a-f]{16,}+|(?=[0-9]*+[A-Z])(?=(?:[A-Z]*+[0-9]){2})[0-9A-Z]{16,}+)$"
+NAME = "^[^A-Za-z0-9]*+[A-Za-z][A-Za-z0-9_.-]*+[=:]++(?=[^0-9@]*+[0-9@])"
+LONG, HEAD = "^[A-Za-z0-9_-]{16,}+$", "^[A-Za-z]{4}"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -116,15 +120,19 @@ def base_spans(text: Column) -> Column:
 
 
 def instances(text: Column) -> Column:
-    """Tokens with a digit or an @: start, stop, core (without outer punctuation) and patterns: the two words before, in
-    lower case, and the shape, which begins with a tab."""
+    """Tokens with a digit or an @, or their values: start, stop, core (without outer punctuation) and patterns: the two
+    words before, in lower case; the shape, which begins with a tab; the name or the first letters, after a line feed."""
     def one(m):
         before = F.filter(F.split(F.lower(m["gap"]), SPACES), lambda w: w != "")
-        lead = F.length(m["value"]) - F.length(F.regexp_replace(m["value"], "^[^A-Za-z0-9@+]++", ""))
-        core = F.regexp_replace(m["value"], OUTER, "")
+        name = F.regexp_extract(m["value"], NAME, 0)
+        value = m["value"].substr(F.length(name) + 1, F.length(m["value"]))
+        lead = F.length(m["value"]) - F.length(F.regexp_replace(value, "^[^A-Za-z0-9@+]++", ""))
+        core = F.regexp_replace(value, OUTER, "")
         shaped = (F.length(core) <= SHAPE_MOST) & ~core.rlike("[A-Za-z]") & (F.length(_digits(core)) >= SHAPE_DIGITS)
         words, shape = F.when(F.size(before) >= 2, F.concat_ws(" ", F.slice(before, -2, 2))), F.when(shaped, F.concat(F.lit("\t"), F.regexp_replace(core, "[0-9]", "9")))
-        return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(core)).alias("stop"), core.alias("core"), F.array_compact(F.array(words, shape)).alias("patterns"))
+        words = F.when(name != "", F.concat(F.lit("\n"), F.lower(F.regexp_replace(name, "^[^A-Za-z]++", "")))).otherwise(words)
+        head = F.when(core.rlike(LONG) & core.rlike(HEAD), F.concat(F.lit("\n"), F.substring(core, 1, 4)))
+        return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(core)).alias("stop"), core.alias("core"), F.array_compact(F.array(words, shape, head)).alias("patterns"))
 
     return F.when(text.rlike("[0-9@]"), F.filter(F.transform(located(text, LINEAR_TOKEN), one), lambda x: (F.size(x["patterns"]) > 0) & (x["core"] != "")))
 
@@ -134,8 +142,8 @@ def firm_patterns(edges: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFr
     least SHARE of all places where they stand, counted over all texts."""
     able = edges.groupBy("pattern").agg(F.count_distinct("core").alias("cores"), F.sum("n").alias("places")).where(F.col("cores") >= SUPPORT)
     able = scratch.keep(able.withColumn("h", F.xxhash64("pattern")))
-    shapes = able.where(F.col("pattern").startswith("\t")).select("pattern")
-    able = able.where(~F.col("pattern").startswith("\t"))
+    shapes = able.where(F.col("pattern").rlike("^[\t\n]")).select("pattern")
+    able = able.where(~F.col("pattern").rlike("^[\t\n]"))
     # What stands in the texts that hold instances is a lower bound, and leaves few patterns to count in all texts.
     for texts in (docs.where(F.col("text").cast("string").rlike("[0-9@]")), docs):
         able = scratch.keep(able.join(_stands(texts, able), "h").where(F.col("places") >= SHARE * F.col("all")).select("pattern", "places", "h"))
@@ -218,10 +226,14 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[list, lis
         end = 0
         for m in re.finditer(TOKEN, t):
             before, end = [w for w in re.split(SPACES, t[end : m.start()].lower()) if w], m.end()
-            lead = len(m[0]) - len(re.sub("^[^A-Za-z0-9@+]+", "", m[0]))
-            core = re.sub("^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$", "", m[0])
+            name = re.match(NAME, m[0])
+            value = m[0][name.end() :] if name else m[0]
+            lead = len(m[0]) - len(re.sub("^[^A-Za-z0-9@+]+", "", value))
+            core = re.sub("^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$", "", value)
             shapes = ["\t" + re.sub("[0-9]", "9", core)] if len(core) <= SHAPE_MOST and not re.search("[A-Za-z]", core) and len(digits(core)) >= SHAPE_DIGITS else []
-            for pattern in [" ".join(before[-2:])] * (len(before) >= 2) + shapes if core else []:
+            words = ["\n" + re.sub("^[^A-Za-z]+", "", name[0]).lower()] if name else [" ".join(before[-2:])] * (len(before) >= 2)
+            heads = ["\n" + core[:4]] if re.search(LONG, core) and re.search(HEAD, core) else []
+            for pattern in words + shapes + heads if core else []:
                 start, stop = m.start() + lead, m.start() + lead + len(core)
                 kind = next((k for a, k, b in base[i] if a < stop and start < b), None)
                 tokens.append((i, start, stop, pattern, core, kind))
@@ -233,7 +245,7 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[list, lis
     places = Counter()
     for (pattern, _), (_, n) in edges.items():
         places[pattern] += n
-    firm = {p for p in cores if len(cores[p]) >= SUPPORT and (p[0] == "\t" or places[p] >= SHARE * stands[p])}
+    firm = {p for p in cores if len(cores[p]) >= SUPPORT and (p[0] in "\t\n" or places[p] >= SHARE * stands[p])}
     edges = {e: k for e, (k, _) in edges.items() if e[0] in firm}
     trusted, learned = {}, {}
     while True:

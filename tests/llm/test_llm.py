@@ -407,6 +407,22 @@ def test_pii_rounds(spark):
     assert got == want and all(len(got[100 * (step + 1)][1]) == 2 for step in range(3))
 
 
+def test_pii_names(spark):
+    """Names before a mark and first letters tell identifiers that look like nothing themselves; other names do not."""
+    rng = random.Random(10)
+    drawn = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, f"{drawn('xyz', 6)} {drawn('xyz', 5)} secret_key='{drawn('abcdef', 6)}{drawn('0123456789', 6)}{drawn('abcdef', 6)}', size:{100 + i} x") for i in range(12)]
+    rows += [(20 + i, f"{drawn('xyz', 6)} {drawn('xyz', 5)} QRST{drawn('ABCDEF', 8)}{drawn('23456789', 8)}.") for i in range(8)]
+    rows += [(40, "my SECRET_KEY=hunter-2 here"), (41, "there QRSTabcdefghijklmno1 and"), (42, "sizes: size:77 nm=12 QRST1 QRST"), (43, "Secret_Key: x9 secret_key=none")]
+    want = pii.brute_force(rows)
+    texts = dict(rows)
+    got = {r.doc_id: ([tuple(s) for s in r.base], [tuple(s) for s in r.extra]) for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert got == want
+    found = {i: [texts[i][a:b] for a, _, b in extra] for i, (_, extra) in got.items()}
+    assert all(len(found[i]) == 1 and len(found[i][0]) == 18 for i in range(12)) and all(len(found[20 + i]) == 1 and found[20 + i][0][:4] == "QRST" for i in range(8))
+    assert found[40] == ["hunter-2"] and found[41] == ["QRSTabcdefghijklmno1"] and found[42] == found[43] == []
+
+
 def test_pii_against_loops(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     want = pii.brute_force([tuple(r) for r in docs.collect()])
@@ -423,7 +439,7 @@ def test_pii_against_loops(spark):
 def test_pii_shapes(spark):
     """Adjacent, overlapping and broken matches; texts of more than a run of matches; long runs, which once overflowed the stack."""
     rng = random.Random(7)
-    letters = ["a", "b", "@", ".", "%", "+", "-", "1", "2", "9", "0", " ", " ", "(", ")", "\n", "é", "😀", "a@b.co", "1.2.3.4", "+1 (040) 555", "4111 1111 1111 1111", "id no "]
+    letters = ["a", "b", "@", ".", "%", "+", "-", "1", "2", "9", "0", " ", " ", "(", ")", "\n", "é", "😀", "a@b.co", "1.2.3.4", "+1 (040) 555", "4111 1111 1111 1111", "id no ", "key=", "Pw:", "=", ":", "QRST", "0123456789ABCDEF", "0123abcd4567ef89"]
     rows = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(120)))) for i in range(1500)]
     rows += [(2000, "call me 12.0.0.1 " * 1500), (2001, "7" * 40000), (2002, "x@y" + ".z" * 20000), (2003, "a b " + "." * 30000 + "1@")]
     want = pii.brute_force(rows)
