@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from threading import Lock
 from typing import Protocol
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from orrery.contracts import INFERENCE_BATCH, EngineError, ImageError
 from orrery.functions.codecs import decode
 from orrery.operators.reconcile import chunks
+from orrery.operators.sessions import open_session
 
 
 class Encoder(Protocol):
@@ -88,28 +90,33 @@ class PixelEncoder(HashEncoder):
 
 
 class OnnxEncoder:
-    """A vision and a text model with a tokenizer; sessions are opened once in each worker. decode turns the bytes of a
-    common format into RGB pixels as they are stored; the one here reads all but WebP and HEIC, JPEG slowly."""
+    """A vision and a text model with a tokenizer; sessions are opened once in each worker, one model in memory at a time.
+    decode turns the bytes of a common format into RGB pixels as they are stored; the one here reads all but WebP and HEIC,
+    JPEG slowly. graphs: a folder of each machine for optimised graphs, or none."""
 
-    def __init__(self, vision: str, text: str, tokenizer: str, decode=decode, length: int = 77):
-        self.paths, self.decode, self.length, self._open = (vision, text, tokenizer), decode, length, {}
+    def __init__(self, vision: str, text: str, tokenizer: str, decode=decode, length: int = 77, graphs: str | None = None):
+        self.paths, self.decode, self.length, self.graphs = (vision, text, tokenizer), decode, length, graphs
+        self._open, self._lock = {}, Lock()
 
     def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
+        return self.__dict__ | {"_open": {}, "_lock": None}
 
-    def _session(self, which: int):
-        import onnxruntime
+    def __setstate__(self, state):
+        self.__dict__ |= state | {"_lock": Lock()}
 
-        if which not in self._open:
-            self._open = {which: onnxruntime.InferenceSession(self.paths[which])}  # one model in memory at a time
-        return self._open[which]
+    def _run(self, which: int, data: np.ndarray) -> np.ndarray:
+        with self._lock:
+            if which not in self._open:
+                self._open.clear()  # before the other is opened
+                self._open[which] = open_session(self.paths[which], self.graphs)
+            session = self._open[which]
+            return session.run(None, {session.get_inputs()[0].name: data})[0]
 
     def prepare(self, path: bytes) -> np.ndarray:
         return pixels(path, self.decode)
 
     def images(self, prepared: list) -> np.ndarray:
-        session = self._session(0)
-        return session.run(None, {session.get_inputs()[0].name: np.stack(prepared)})[0]
+        return self._run(0, np.stack(prepared))
 
     def tokens(self, query: str) -> np.ndarray:
         from tokenizers import Tokenizer
@@ -120,8 +127,7 @@ class OnnxEncoder:
         return np.array([tool.encode(query).ids], np.int64)
 
     def text(self, query: str) -> np.ndarray:
-        session = self._session(1)
-        return session.run(None, {session.get_inputs()[0].name: self.tokens(query)})[0][0]
+        return self._run(1, self.tokens(query))[0]
 
 
 def embed(files: DataFrame, root: str, encoder: Encoder, batch: int = INFERENCE_BATCH) -> DataFrame:
