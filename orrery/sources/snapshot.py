@@ -4,7 +4,8 @@ A commit writes its changes beside the snapshot, then replaces the manifest; rea
 the last change of each key over the snapshot. When MOST_DELTAS have gathered they are merged into a new snapshot, so a
 row is rewritten once in so many commits. One
 writer at a time holds an exclusive lock. Staged rebuilds are validated before the swap; dropping one leaves the live
-index untouched. The manifest lives on a file system with atomic rename; snapshots may be anywhere Spark writes.
+index untouched. All of it lives in one folder that driver and executors share, on a file system with atomic rename; data
+is on disk before a manifest names it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,21 @@ from orrery.operators.reconcile import apply_changes
 MOST_DELTAS = 32
 
 
+def _sync(path: str) -> None:
+    """Wait until a file's bytes or a folder's names are on disk."""
+    handle = os.open(path, os.O_RDONLY)
+    try:
+        os.fsync(handle)
+    finally:
+        os.close(handle)
+
+
+def sync(folder: str) -> None:
+    for at, _, names in os.walk(folder):
+        for path in [*(os.path.join(at, n) for n in names), at]:
+            _sync(path)
+
+
 class Index:
     def __init__(self, spark: SparkSession, path: str, contract: Contract, root: str = ""):
         """Open or create. A root other than the one bound is an error; a changed contract clears its own side only;
@@ -84,6 +100,7 @@ class Index:
             f.flush()
             os.fsync(f.fileno())
         os.replace(temp, f"{self.path}/manifest.json")
+        _sync(self.path)
         self._clean(manifest)
 
     def _clean(self, manifest: dict) -> None:
@@ -132,6 +149,7 @@ class Index:
     def _write(self, kind: str, rows: DataFrame) -> str:
         name = f"{kind}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{name}")
+        sync(f"{self.path}/{name}")
         return name
 
     def commit(self, changes: DataFrame) -> None:
@@ -183,6 +201,7 @@ class Index:
         for kind in ("images", "queries"):
             if found[kind]:
                 os.rename(f"{staged.path}/{found[kind]}", f"{self.path}/{found[kind]}")
+        _sync(self.path)
         self._swap(found)
         staged.drop()
 

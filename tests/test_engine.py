@@ -310,6 +310,21 @@ def test_deltas(spark, tmp_path, monkeypatch):
     assert again.count() == 0
 
 
+def test_synced(spark, tmp_path, monkeypatch):
+    """Every data file is on disk before a manifest that names it."""
+    index, done = Index(spark, str(tmp_path / "i"), CONTRACT, "/r"), []
+    plain = os.fsync
+    monkeypatch.setattr("os.fsync", lambda handle: (done.append(os.readlink(f"/proc/self/fd/{handle}")), plain(handle))[1])
+    index.commit(spark.createDataFrame([("upsert", b"a", 1, 1, [1.0] + [0.0] * (DIM - 1))], CHANGES))
+    index.compact()
+    live = os.path.join(index.path, index.metadata("images"))
+    first = next(k for k, p in enumerate(done) if "/.manifest-" in p)
+    assert first and all("/delta-" in p for p in done[:first]) and index.path in done
+    assert {os.path.join(live, n) for n in os.listdir(live)} | {live} <= set(done)
+    last = max(k for k, p in enumerate(done) if "/.manifest-" in p)
+    assert all(done.index(os.path.join(live, n)) < last for n in os.listdir(live))
+
+
 def test_corpora(spark, tmp_path):
     from orrery.sources.corpora import captions, checked_images
 
