@@ -14,6 +14,7 @@ from orrery.llm.pii import op6_pii
 from orrery.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from orrery.llm.sharding import op10_sharding
 from orrery.llm.substring_dedup import op1_substring_dedup
+from orrery.llm.suffix_dedup import op11_suffix_dedup
 from orrery.llm.toxicity import op3_toxicity
 from orrery.llm.url_filter import OP5_SQL, op5_url_filter
 
@@ -36,6 +37,7 @@ def queries() -> dict:
         "op8_mixing": op8_mixing,
         "op9_near_dedup": op9_near_dedup,
         "op10_sharding": op10_sharding,
+        "op11_suffix_dedup": op11_suffix_dedup,
         "op12_importance": op12_importance,
         "op13_prefix_trie": op13_prefix_trie,
     }
