@@ -8,6 +8,7 @@ import pyarrow as pa
 from orrery.llm._flat import LOWER, U64, buffers, mix, pieces
 
 FAR = 1 << 20
+SEEDS, PERIOD = 1 << 17, 64
 
 
 def _plain() -> np.ndarray:
@@ -70,6 +71,31 @@ def edit_distances(patterns: np.ndarray, lengths: np.ndarray, texts: np.ndarray,
     return best, ends
 
 
+def told_elsewhere(plain: np.ndarray, offsets: np.ndarray, span: int) -> np.ndarray:
+    """Places that lie deep inside a periodic stretch of a text: whatever ``span`` bytes match there do so, alike, a number of
+    periods before and after, up to both ends of the stretch, where places are kept. Periods up to PERIOD are looked for, which
+    must not exceed span, as stretches of different periods overlap by less than both together."""
+    told = np.zeros(len(plain), bool)
+    for p in range(1, min(PERIOD, span, len(plain) - 1) + 1):
+        same = plain[p:] == plain[:-p]
+        over = (offsets[1:-1, None] - 1 - np.arange(p)).ravel()
+        same[over[(over >= 0) & (over < len(same))]] = False
+        broken = np.concatenate([[-1], np.flatnonzero(~same), [len(same)]])
+        for k in np.flatnonzero(np.diff(broken) > 2 * span + 2 * p).tolist():
+            told[broken[k] + 1 + span + p : broken[k + 1] - span] = True
+    return told
+
+
+def slices(at: np.ndarray, count: np.ndarray, span: int):
+    """Runs of places with about SEEDS seeds, or of two spans if these have more; each begins a span before the last one ends."""
+    total, a = np.cumsum(count), 0
+    while a < len(at):
+        b = int(np.searchsorted(total, total[a] - count[a] + SEEDS, "right"))
+        b = max(b, int(np.searchsorted(at, at[a] + 2 * span, "right")))
+        yield a, b
+        a = len(at) if b >= len(at) else int(np.searchsorted(at, at[b] - span, "left"))
+
+
 class Patterns:
     """Pieces of named texts: ``size`` bytes, ``step`` (or ``size // 2``) apart (a shorter text whole), with budgets of edits."""
 
@@ -119,8 +145,9 @@ class Patterns:
         self.bloom[(mix(self.words) >> U64(42)).astype(np.int64)] = True
 
     def seeds(self, plain: np.ndarray, offsets: np.ndarray, least: int = 1):
-        """(text, piece, diagonal, place) of each gram that a piece shares. least: leave out those that are not among
-        so many within the span of an occurrence, as no piece can reach its bound there."""
+        """(text, piece, diagonal, place) of each gram that a piece shares, in slices of bounded size that hold every occurrence
+        whole. least: leave out those that are not among so many within the span of an occurrence, as no piece can reach
+        its bound there."""
         words, inside = grams(plain, offsets, self.q)
         at = np.flatnonzero(self.bloom[(mix(words) >> U64(42)).astype(np.int64)] & inside)
         if least > 1:
@@ -133,10 +160,14 @@ class Patterns:
         low = np.searchsorted(self.words, words[at], "left")
         count = np.searchsorted(self.words, words[at], "right") - low
         at, low, count = at[count > 0], low[count > 0], count[count > 0]
-        which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place = np.repeat(at, count)
-        text = np.searchsorted(offsets, place, "right") - 1
-        return self.expand(text, which, place)
+        span = int((self.length + self.budget).max())
+        if count.sum() > SEEDS:
+            told = told_elsewhere(plain, offsets, span)[at]
+            at, low, count = at[~told], low[~told], count[~told]
+        for a, b in slices(at, count, span):
+            which = np.repeat(low[a:b], count[a:b]) + np.arange(count[a:b].sum()) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
+            place = np.repeat(at[a:b], count[a:b])
+            yield self.expand(np.searchsorted(offsets, place, "right") - 1, which, place)
 
     def expand(self, text, which, place):
         return text, self.piece[which], place - self.place[which], place
@@ -185,7 +216,8 @@ class Patterns:
         for a, b in pieces(offsets) if len(self.owner) else ():
             own = offsets[a : b + 1] - offsets[a]
             plain, back, at = normalise(raw[offsets[a] : offsets[b]], own)
-            text, piece, first = self.candidates(*self.seeds(plain, at, int(need.min())), need)
+            regions = [np.stack(self.candidates(*seeds, need)) for seeds in self.seeds(plain, at, int(need.min()))] or [np.zeros((3, 0), np.int64)]
+            text, piece, first = np.unique(np.concatenate(regions, 1), axis=1) if len(regions) > 1 else regions[0]
             if share and len(text):
                 good = self.reaching(text, piece, share)
                 text, piece, first = text[good], piece[good], first[good]
