@@ -6,12 +6,14 @@ a band the longest is at most BAND times the shortest. Each band of a block is i
 random direction, which hold its projections in order. A query's window in each array is centred on the query's own
 projection and widened (virtual rehashing: no array is built again); a vector collides with the query in an array if the
 window holds it. Vectors that collide in LEVEL of the arrays are candidates, and the window is the narrowest of the widths
-FIRST * GROWTH ** i that gives BETA of the band's vectors and four times the answers asked for; it is found by bisection, from
-the width of the query before. Candidates are verified by their inner products in double precision. Bands are taken from
+FIRST * GROWTH ** i that gives as many of them as it takes; it is found by bisection, from the width of the query before. How many it
+takes is measured for each band, as it depends on dimensions and structure: SAMPLE of the queries are answered exactly, and
+TARGET of their answers are within so many vectors by the width at which each collides (four times the answers asked
+for at least; all, where there is next to no contrast). Candidates are verified by their inner products in double precision. Bands are taken from
 the longest vectors on, and one whose length times the query's cannot reach the worst answer so far is left out, which
 loses nothing. The blocks' best are merged.
 
-Equal vectors of a block are indexed once, and BETA and the answers are counted in distinct vectors, so copies use up
+Equal vectors of a block are indexed once, and candidates are counted in distinct vectors, so copies use up
 nothing of what a query may look at; each copy of a verified vector is a candidate answer. Every vector is indexed. Queries
 and vectors meet in blocks, (query block, vector block) by (query block, vector block), so no task holds more than one of
 each. A query block holds up to QUERIES queries, so up to 20 times as many rows a vector travels once or a few times; beyond
@@ -30,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, LEVEL, BETA = 64, 0.75, 0.3
+PROJECTIONS, MORE, LEVEL = 64, 128, 0.75  # MORE: from 65 dimensions on
+SAMPLE, TARGET = 16, 0.97
 FIRST, GROWTH, WIDEST = 0.4, 1.1, 48
 BAND = 1.25
 BLOCK, QUERIES = 1 << 13, 1 << 13
@@ -56,19 +59,31 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Band:
     """Arrays of the projections of some distinct vectors of like length."""
 
-    def __init__(self, places: np.ndarray, x: np.ndarray, norm: np.ndarray, k: int, beta: float):
+    def __init__(self, places: np.ndarray, x: np.ndarray, norm: np.ndarray, k: int, sample: np.ndarray):
         self.places, self.x, self.longest = places, x, float(norm.max())
-        self.enough = min(len(x), 4 * k + int(beta * len(x)))
+        arrays = PROJECTIONS if x.shape[1] <= PROJECTIONS else MORE
         rest = np.sqrt(np.maximum(self.longest**2 - norm * norm, 0.0))
-        self.ways = np.random.default_rng(5).normal(0, 1, (x.shape[1] + 1, PROJECTIONS))
+        self.ways = np.random.default_rng(5).normal(0, 1, (x.shape[1] + 1, arrays))
         spots = (x @ self.ways[:-1] + rest[:, None] * self.ways[-1]) / self.longest
         order = np.argsort(spots, axis=0, kind="stable")
         self.spots = np.ascontiguousarray(np.take_along_axis(spots, order, 0).T)
-        self.rank = np.empty((PROJECTIONS, len(x)), np.uint16 if len(x) < (1 << 16) - 1 else np.uint32)  # the place of each vector in each array
-        for i in range(PROJECTIONS):
+        self.rank = np.empty((arrays, len(x)), np.uint16 if len(x) < (1 << 16) - 1 else np.uint32)  # the place of each vector in each array
+        for i in range(arrays):
             self.rank[i, order[:, i]] = np.arange(len(x))
-        self.level = int(np.ceil(LEVEL * PROJECTIONS))
+        self.level = int(np.ceil(LEVEL * arrays))
         self.guess = WIDEST // 2
+        self.enough = self.measured(sample, spots, k)
+
+    def measured(self, sample: np.ndarray, spots: np.ndarray, k: int) -> int:
+        """How many candidates hold TARGET of the exact answers to a sample of queries. spots: projections, a row a vector."""
+        need = [np.zeros(0, np.int64)]
+        for query in sample if len(self.x) > 4 * k else ():
+            score = self.x @ query
+            best = np.argpartition(-score, k)[:k]
+            width = np.partition(np.abs(spots - (query / np.linalg.norm(query)) @ self.ways[:-1]), self.level - 1, axis=1)[:, self.level - 1]
+            need.append(np.searchsorted(np.sort(width), width[best], "right"))
+        need = np.concatenate(need)
+        return min(len(self.x), max(4 * k, int(np.quantile(need, TARGET)) if len(need) else 0))
 
     def colliding(self, own: np.ndarray, step: int) -> np.ndarray:
         """Vectors that the windows of a width hold in LEVEL of the arrays. own: the query's projections."""
@@ -98,15 +113,15 @@ class Band:
         return found[high] if high in found else self.colliding(own, high)
 
 
-def bands(x: np.ndarray, k: int, beta: float) -> list[Band]:
-    """Distinct vectors by length, longest first. x: no zero vectors."""
+def bands(x: np.ndarray, k: int, sample: np.ndarray) -> list[Band]:
+    """Distinct vectors by length, longest first. x: no zero vectors; sample: some queries."""
     norm = np.sqrt((x * x).sum(1))
     order = np.argsort(-norm, kind="stable")
     out, a = [], 0
     while a < len(order):
         b = a + int(np.searchsorted(-norm[order[a:]], -norm[order[a]] / BAND, "right"))
         b = len(order) if len(order) - b < 4 * k else max(b, min(len(order), a + 4 * k))  # small bands are looked at whole
-        out.append(Band(order[a:b], x[order[a:b]], norm[order[a:b]], k, beta))
+        out.append(Band(order[a:b], x[order[a:b]], norm[order[a:b]], k, sample))
         a = b
     return out
 
@@ -130,7 +145,7 @@ def search_block(query: np.ndarray, index: list[Band], size: np.ndarray, k: int)
     return *(np.concatenate(c) for c in zip(*held)), verified
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, beta: float = BETA, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best found for each row that is_query (over vec_id) picks."""
     rows = usable(vectors)
     n, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
@@ -152,7 +167,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, beta: float = BET
             q, x = matrix(left), matrix(right)
             q_ids, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
             x, order, at = distinct(x)
-            size, index = np.diff(at), bands(x, k, beta)
+            size, index = np.diff(at), bands(x, k, q[:: max(1, len(q) // SAMPLE)][:SAMPLE])
             for j in range(len(q)):
                 ones, score, _ = search_block(q[j], index, size, k + np.count_nonzero(ids == q_ids[j]))
                 found = np.concatenate([order[:0], *(order[at[i] : at[i + 1]] for i in ones.tolist())])
