@@ -1,7 +1,7 @@
 """Exact substring dedup by threshold-bounded interval expansion on Burrows-Wheeler transforms.
 
 A string of LEAST bytes is a window. Windows that may be equal must meet in one transform, so each is dealt by its anchor, the
-GRAM bytes in it whose hash is least (the first, if tied): a function of the window's own bytes. Neighbouring windows of a document
+GRAM bytes in it whose first 8 have the least hash (the first, if tied): a function of the window's own bytes. Neighbouring windows of a document
 with one anchor travel as one piece, the bytes they span; equal pieces are counted into one with a weight, and a piece whose anchor stands
 nowhere else has no repeats and does not travel at all. What is left is one text a different piece, from one document
 that holds it.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm._flat import _BYTE, U64, _ranges, buffers
+from orrery.llm._flat import U64, buffers
 from orrery.llm._store import Scratch
 
 LEAST, GRAM = 400, 64
@@ -53,17 +53,23 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(raw: np.ndarray, least: int = LEAST, gram: int = GRAM):
-    """Of one document: first window, number of windows and anchor's hash of each run of windows with one anchor."""
+    """Of one document: first window, number of windows and anchor's hash of each run of windows with one anchor. Anchors are picked
+    by the hash of their first 8 bytes."""
     n, width = len(raw) - least + 1, least - gram + 1
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))]
     for a in range(0, max(n, 0), SLICE):
         b = min(n, a + SLICE)
-        part = _BYTE[raw[a : b + least - 1]]
-        at = np.arange(len(part) - gram + 1)
-        hashes = _ranges(part, at, at + gram)
-        anchor = (_least((hashes & U64(0xFFFFFFFFFF000000)) | at.astype(U64), width) & U64(0xFFFFFF)).astype(np.int64)
+        part = np.concatenate([raw[a : b + least - 1], np.zeros(8, np.uint8)])
+        n_at = b - a + width - 1
+        marks = np.ndarray((n_at,), "<u8", part, 0, (1,)) & U64((1 << 8 * min(gram, 8)) - 1)
+        marks *= U64(0x9E3779B97F4A7C15)  # high bits depend on all bytes
+        marks &= U64(0xFFFFFFFFFF000000)
+        marks |= np.arange(n_at, dtype=U64)
+        anchor = (_least(marks, width) & U64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        out.append((first + a, np.diff(np.append(first, b - a)), hashes[anchor[first]]))
+        own, view = anchor[first].tolist(), memoryview(part)
+        key = np.frombuffer(b"".join([hashlib.blake2b(view[k : k + gram], digest_size=8).digest() for k in own]), U64)
+        out.append((first + a, np.diff(np.append(first, b - a)), key))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 

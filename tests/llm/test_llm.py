@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from orrery.llm import decontamination, license_scan, mixing, near_dedup, neighbours, pii, sharding, substring_dedup, toxicity, url_filter
+from orrery.llm import _align, _flat, decontamination, license_scan, mixing, near_dedup, neighbours, pii, sharding, substring_dedup, toxicity, url_filter
 from orrery.llm._store import Scratch
 from oracle import SF, compare, connect
 
@@ -593,3 +593,71 @@ def test_registry_names():
 
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
+
+
+def thue_morse(n=1024):
+    """Two words that polynomial hashes modulo a power of two can't tell apart, whatever the base."""
+    t = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_long_words_differ(spark, size):
+    a, b = thue_morse(size)
+    rows = [(1, " ".join([a] * 13)), (2, " ".join([b] * 13)), (3, a), (4, b), (5, a)]
+    want = substring_dedup.brute_force(rows)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.digest) for r in substring_dedup.factor_documents(frame(spark, rows)).withColumn("digest", F.sha2("kept", 256)).collect()}
+    assert got == want
+    linked = {r.doc_id: r.component_id for r in near_dedup.find_components(frame(spark, rows), 2).collect()}
+    assert linked == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+    words = _flat.word_hashes(pa.array([" ".join([a, b, a[:16], b[:16], a[:8], b[:8], "", "x"])]))[0]
+    assert len(set(words.tolist())) == 7
+
+
+def test_repetitive_texts(spark):
+    """Texts and items of one letter or one sentence: what brute force finds, in bounded memory."""
+    items = [(1, "a" * 200), (2, "the answer is yes. " * 20), (3, "plain item of no period whatever, with words enough to fill a piece or two of it")]
+    rows = [(1, "a" * 20_000), (2, "the answer is yes. " * 600), (3, "b" * 20_000), (4, "zz " + "a" * 300 + " xx"), (6, "q" * 100 + items[2][1] + "a" * 5000), (7, "a" * 90), (8, "a" * 90), (9, "a" * 60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, rows), bench).collect()}
+    assert got == decontamination.brute_force(rows, items) and len(got) == 7
+    long = [(1, "a" * 2_000_000), (2, "the answer is yes. " * 100_000)]
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, long), bench).collect()} == {(1, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_slices_of_seeds(seed, monkeypatch):
+    """Periodic stretches and edits, with seeds in slices of a few places, against full alignment."""
+    monkeypatch.setattr(_align, "SEEDS", 200)
+    rng = random.Random(seed)
+    unit = "".join(rng.choice("abc d") for _ in range([1, 2, 19, 60][seed]))
+    items = [(1, unit * (400 // len(unit))), (2, "".join(rng.choice("abcdefgh ") for _ in range(300)))]
+    rows = []
+    for k in range(6):
+        text = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(300))) + unit * rng.randrange(1500 // len(unit)) + items[1][1][rng.randrange(100) : rng.randrange(150, 300)]
+        text = list(text)
+        for _ in range(rng.randrange(20)):
+            text[rng.randrange(len(text))] = "x"
+        rows.append((k, "".join(text)))
+    got = set()
+    for index in _align.windows(items, decontamination.Q, decontamination.PIECE, decontamination.RATE):
+        texts = pa.array([t for _, t in rows])
+        got |= {(rows[t][0], key) for t, key in _align.matches(index, texts, index.find(texts))}
+    assert got == decontamination.brute_force(rows, items)
+
+
+@pytest.mark.parametrize("dims", [64, 128, 256, 512])
+def test_recall_by_dimension(dims):
+    """Random vectors of unequal lengths, the hardest kind."""
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(4096, dims))
+    x *= (rng.uniform(0.2, 3, 4096) / np.linalg.norm(x, axis=1))[:, None]
+    asked = list(range(48))
+    index = neighbours.bands(x, 20, x[asked[::3]])
+    hits = 0
+    for j in asked[1::3] + asked[2::3]:  # not those that it was measured by
+        score = x @ x[j]
+        score[j] = -np.inf
+        ones, own, _ = neighbours.search_block(x[j], index, np.ones(len(x), int), 21)
+        hits += len(set(np.argsort(-score)[:20].tolist()) & {i for i in ones[np.argsort(-own)].tolist() if i != j}.intersection(ones[np.argsort(-own)][:21].tolist()))
+    assert hits / (32 * 20) >= 0.93
