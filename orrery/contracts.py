@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 DIM = 512
 NORM_TOLERANCE = 1e-3
 FORMAT_VERSION = 3
-INFERENCE_BATCH, COMMIT_BATCH = 8, 256
+INFERENCE_BATCH, COMMIT_BATCH, INGEST_BATCH = 8, 256, 1 << 14  # images a model run, rows a commit at least, files a micro-batch
 DEFAULT_TOP, DEFAULT_THRESHOLD = 5, 0.25
 
 # The last three are DDL strings.

@@ -8,13 +8,14 @@ from enum import Enum
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.contracts import COMMIT_BATCH, DEFAULT_THRESHOLD, DEFAULT_TOP, ArgumentError, Contract, check_query, check_threshold, check_top
+from orrery.contracts import DEFAULT_THRESHOLD, DEFAULT_TOP, FILES, INGEST_BATCH, ArgumentError, Contract, check_query, check_threshold, check_top
 from orrery.functions.paths import components
 from orrery.operators.encode import Encoder, checked, embed
 from orrery.operators.ranking import search as rank
-from orrery.operators.reconcile import chunks, missing, only_in
+from orrery.operators.reconcile import missing, only_in
 from orrery.sources.scan import discover, resolve_root
 from orrery.sources.snapshot import Index
+from orrery.streaming.feed import Feed
 from orrery.timing import Progress, Timings
 
 
@@ -23,45 +24,58 @@ class Cache(Enum):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, encoder: Encoder, contract: Contract, index_path: str | None = None, on_skip=lambda path, error: None, timings: Timings | None = None, progress: Progress | None = None):
+    def __init__(self, spark: SparkSession, root: str, encoder: Encoder, contract: Contract, index_path: str | None = None, on_skip=lambda path, error: None, timings: Timings | None = None, progress: Progress | None = None, commit: int = INGEST_BATCH):
         self.spark, self.root, self.encoder, self.contract, self.on_skip = spark, resolve_root(root), encoder, contract, on_skip
         self.timings, self.progress = timings or Timings(False), progress or Progress(lambda line: None)
+        self.commit = commit
         self.index_path = index_path or os.path.join(self.root, ".orrery-index")
 
     def _open(self) -> Index:
         return Index(self.spark, self.index_path, self.contract, self.root)
 
-    def refresh(self, index: Index, commit: int = COMMIT_BATCH) -> None:
-        """Bring the index up to the tree: stale keys go first, then changed and new files are embedded and committed
-        in chunks of ``commit``, so a crash leaves a valid index that the next run completes. A file that cannot be
-        decoded loses its row, or never gets one and is tried again each time."""
+    def refresh(self, index: Index) -> None:
+        """Bring the index up to the tree: stale keys go first, then changed and new files are embedded and committed by one
+        streaming query, ``self.commit`` files a micro-batch, so a crash leaves a valid index. The next run first ends
+        what the one before left over, from the batch that it stopped at. A file that cannot be decoded loses its row, or
+        never gets one and is tried again each time."""
+        feed = Feed(self.spark, f"{index.path}.feed", FILES)
+        if feed.begun:
+            feed.drain(lambda rows: self._ingest(index, rows), self.commit)
         with self.timings.phase("scan"):
             found = discover(self.spark, self.root).persist()
             self.timings.note(corpus_size=found.count())
         with self.timings.phase("reconcile"):
-            stale = only_in(index.files(), found, "path").select("path")
+            files = index.files()
+            stale = only_in(files, found, "path").select("path")
             if not stale.isEmpty():
                 index.delete(stale)
-            todo = chunks(missing(found, index.files()), [F.col("path")], commit, "_commit").persist()
-            n, last = todo.agg(F.count("*"), F.max("_commit")).first()
+            todo = missing(found, files).persist()
+            n = todo.count()
         self.timings.note(index_cache_state="hit" if not n else "partial" if n < self.timings.facts["corpus_size"] else "miss")
         if n:
             self.progress.started(n)
-        for k in range(last + 1 if n else 0):
-            with self.timings.phase("embed"):
-                done = embed(todo.where(F.col("_commit") == k).drop("_commit"), self.root, self.encoder).persist()
-                bad = done.where("error is not null").select("path", "error").collect()  # ``commit`` rows at most
-            for row in bad:
-                self.on_skip(bytes(row.path), row.error)
-                self.progress.skipped(bytes(row.path), row.error)
-            op = F.when(F.col("error").isNull(), "upsert").otherwise("delete")
-            with self.timings.phase("commit"):
-                index.commit(done.select(op.alias("op"), "path", "mtime_ns", "size", "embedding"))
-            self.progress.processed(min(commit, n - k * commit))
-            done.unpersist()
+            feed.write(todo, "path", self.commit)
+            todo.unpersist()
+            found.unpersist()
+            feed.drain(lambda rows: self._ingest(index, rows), self.commit)
         todo.unpersist()
         found.unpersist()
 
+    def _ingest(self, index: Index, files: DataFrame) -> None:
+        """Embed and commit some files."""
+        with self.timings.phase("embed"):
+            done = embed(files, self.root, self.encoder).persist()
+            n = done.count()
+            bad = done.where("error is not null").select("path", "error").collect()  # of one micro-batch
+        for row in bad:
+            self.on_skip(bytes(row.path), row.error)
+            self.progress.skipped(bytes(row.path), row.error)
+        op = F.when(F.col("error").isNull(), "upsert").otherwise("delete")
+        with self.timings.phase("commit"):
+            index.commit(done.select(op.alias("op"), "path", "mtime_ns", "size", "embedding"))
+        self.progress.processed(n)
+        done.unpersist()
+
     def index(self) -> int:
         """Refresh; the number of images indexed."""
         with self._open().locked() as index:

@@ -34,30 +34,34 @@ def search(images: DataFrame, query, top: int, threshold: float, key: str = "vec
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def _best(ids: np.ndarray, q: np.ndarray, keys: np.ndarray, x: np.ndarray, top: int, threshold: float):
-    """query id, key and score of each query's best. A matrix product finds what may be among them; those are scored
+def _in_order(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x with q, summed in order of dimensions."""
+    return np.add.accumulate(x * q, axis=1)[:, -1] if len(x) else np.zeros(0)
+
+
+def _best(ids: np.ndarray, q: np.ndarray, keys: np.ndarray, x: np.ndarray, top: int, threshold: float, own: bool = False):
+    """query id, key and score of each query's best; own: its own key may be among them. A matrix product finds what may be among them; those are scored
     again in order of dimensions, so that scores are equal on every run, whatever rows share a block."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     slack = 1e-12 * x.shape[1] * max(1.0, float(np.abs(x).max(initial=0.0)))
     for b in range(0, len(ids), QUERY_BLOCK):
         near = q[b : b + QUERY_BLOCK] @ x.T
         for j, row in enumerate(near, b):
-            row[keys == ids[j]] = -np.inf
+            if not own:
+                row[keys == ids[j]] = -np.inf
             wide = slack * max(1.0, float(np.abs(q[j]).sum()))
             least = max(np.partition(row, len(row) - top)[len(row) - top] if top < len(row) else -np.inf, threshold) - wide
-            at = np.flatnonzero((row >= least) & (keys != ids[j]))
-            score = np.zeros(len(at))
-            for d in range(x.shape[1]):
-                score += x[at, d] * q[j, d]
+            at = np.flatnonzero((row >= least) & (own | (keys != ids[j])))
+            score = _in_order(x[at], q[j])
             at, score = at[score >= threshold], score[score >= threshold]
             order = np.lexsort((keys[at], -score))[:top]
             out.append((np.full(len(order), ids[j]), keys[at[order]], score[order]))
     return [np.concatenate(c) for c in zip(*out)]
 
 
-def batch_search(images: DataFrame, queries: DataFrame, top: int, threshold: float = -1.0, key: str = "vec_id", block_bytes: int = 32 << 20) -> DataFrame:
+def batch_search(images: DataFrame, queries: DataFrame, top: int, threshold: float = -1.0, key: str = "vec_id", block_bytes: int = 32 << 20, own: bool = False) -> DataFrame:
     """query_id, key, score (double) and rank of the best ``top`` rows for every query (query_id, embedding); a row whose
-    key equals the query_id is left out. Vectors that are null, empty, or hold null or non-finite numbers take no part, and
+    key equals the query_id is left out (not if ``own``). Vectors that are null, empty, or hold null or non-finite numbers take no part, and
     a query meets vectors of its own length alone.
 
     Queries and vectors are dealt by hash into blocks of about ``block_bytes``, and each two blocks meet in one task, which
@@ -82,7 +86,7 @@ def batch_search(images: DataFrame, queries: DataFrame, top: int, threshold: flo
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if len(a) and len(b) and top > 0:
-            found = _best(a["query_id"].to_numpy(), matrix(a), b["key"].to_numpy(), matrix(b), top, threshold)
+            found = _best(a["query_id"].to_numpy(), matrix(a), b["key"].to_numpy(), matrix(b), top, threshold, own)
         return pa.table(dict(zip(("query_id", "key", "score"), found)))
 
     cells = ["_q", "_d", "_n"]

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from orrery import cli
-from orrery.contracts import CHANGES, Contract, EngineError, ImageError, IndexError_, ScanError
+from orrery.contracts import COMMIT_BATCH, CHANGES, Contract, EngineError, ImageError, IndexError_, ScanError
 from orrery.engine import Cache, Engine
 from orrery.functions import codecs, images
 from orrery.operators import metrics, stats
@@ -46,6 +46,44 @@ def test_scan(spark, tmp_path):
         discover(spark, str(tmp_path / "none"))
 
 
+def test_scan_in_rounds(spark, tmp_path):
+    """Folders that are left over are dealt anew; a deep path, many folders and one full folder give the rows of one walk."""
+    deep = "/".join(f"d{k}" for k in range(12))
+    tree(tmp_path, {f"{deep}/{k}.png": b"x" * k for k in range(5)} | {f"wide{k}/{j}.jpg": b"y" for k in range(20) for j in range(3)} | {f"full/{k:03}.gif": b"" for k in range(200)})
+    want = sorted((os.path.relpath(os.path.join(at, n), tmp_path).encode(), os.stat(os.path.join(at, n)).st_mtime_ns, os.stat(os.path.join(at, n)).st_size) for at, _, names in os.walk(tmp_path) for n in names)
+    for limit in (1, 30, 10**6):
+        assert [(bytes(r.path), r.mtime_ns, r.size) for r in discover(spark, str(tmp_path), limit).collect()] == want
+    (tmp_path / "empty").mkdir()
+    assert discover(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_ingest_resumes(spark, tmp_path):
+    """An engine that dies in a batch leaves the batches before it; the next one starts there and embeds nothing twice."""
+    tree(tmp_path / "r", {f"{k:02}.jpg": b"x%d" % k for k in range(40)})
+    log = tmp_path / "log"
+
+    class Logged(HashEncoder):
+        fail = b""
+
+        def prepare(self, path):
+            with open(log, "ab") as f:
+                f.write(os.path.basename(path) + b"\n")
+            if self.fail and os.path.basename(path) >= self.fail:
+                raise RuntimeError("killed")
+            return super().prepare(path)
+
+    failing = Logged(DIM)
+    failing.fail = b"24.jpg"
+    with pytest.raises(Exception, match="killed"):
+        Engine(spark, str(tmp_path / "r"), failing, CONTRACT, str(tmp_path / "i"), commit=8).index()
+    done = Index(spark, str(tmp_path / "i"), CONTRACT).count()
+    assert done == 24 and os.path.isdir(tmp_path / "i.feed")
+    log.write_bytes(b"")
+    assert Engine(spark, str(tmp_path / "r"), Logged(DIM), CONTRACT, str(tmp_path / "i"), commit=8).index() == 40
+    assert sorted(log.read_bytes().split()) == [b"%02d.jpg" % k for k in range(24, 40)]
+    assert not os.path.exists(tmp_path / "i.feed")
+
+
 def test_lifecycle(spark, tmp_path):
     root = tmp_path / "r"
     root.mkdir()
@@ -456,7 +494,7 @@ def test_cli(spark, tmp_path):
 def test_timings_and_progress(spark, tmp_path, capsys):
     tree(tmp_path / "r", {f"{k:03}.jpg": b"x%d" % k if k % 50 else b"corrupt" for k in range(1, 521)})
     lines, timings = [], Timings()
-    engine = Engine(spark, str(tmp_path / "r"), HashEncoder(DIM), CONTRACT, str(tmp_path / "i"), timings=timings, progress=Progress(lines.append))
+    engine = Engine(spark, str(tmp_path / "r"), HashEncoder(DIM), CONTRACT, str(tmp_path / "i"), timings=timings, progress=Progress(lines.append), commit=COMMIT_BATCH)
     assert engine.index() == 510
     assert [x for x in lines if x.startswith("Index")] == ["Indexing 520 images...", "Indexed 256/520 images", "Indexed 512/520 images"] and sum(x.startswith("warning: ") for x in lines) == 10
     engine.search("a dog")
