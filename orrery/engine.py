@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.contracts import DEFAULT_THRESHOLD, DEFAULT_TOP, FILES, INGEST_BATCH, ArgumentError, Contract, check_query, check_threshold, check_top
@@ -14,6 +14,7 @@ from orrery.operators.encode import Encoder, checked, embed
 from orrery.operators.ranking import search as rank
 from orrery.operators.reconcile import missing, only_in
 from orrery.sources.scan import discover, resolve_root
+from orrery.sources.shared import kept
 from orrery.sources.snapshot import Index
 from orrery.streaming.feed import Feed
 from orrery.timing import Progress, Timings
@@ -62,19 +63,22 @@ class Engine:
         found.unpersist()
 
     def _ingest(self, index: Index, files: DataFrame) -> None:
-        """Embed and commit some files."""
+        """Embed and commit some files. How many rows there are, how many failed, and what tasks spent on decoding and on the model are
+        observed on the way; only a micro-batch with failures is looked at again for their messages."""
+        seen = Observation()
+        told = [F.count("*").alias("n"), F.count("error").alias("bad"), F.sum("decode_ms").alias("decode"), F.sum("infer_ms").alias("infer")]
         with self.timings.phase("embed"):
-            done = embed(files, self.root, self.encoder).persist()
-            n = done.count()
-            bad = done.where("error is not null").select("path", "error").collect()  # of one micro-batch
-        for row in bad:
-            self.on_skip(bytes(row.path), row.error)
-            self.progress.skipped(bytes(row.path), row.error)
+            done = kept(embed(files, self.root, self.encoder).observe(seen, *told), "embedded")
+        if seen.get["bad"]:
+            for row in done.where("error is not null").select("path", "error").orderBy("path").collect():  # of one micro-batch
+                self.on_skip(bytes(row.path), row.error)
+                self.progress.skipped(bytes(row.path), row.error)
+        self.timings.add("decode", seen.get["decode"] or 0.0, seen.get["n"])
+        self.timings.add("inference", seen.get["infer"] or 0.0, seen.get["n"] - seen.get["bad"])
         op = F.when(F.col("error").isNull(), "upsert").otherwise("delete")
         with self.timings.phase("commit"):
             index.commit(done.select(op.alias("op"), "path", "mtime_ns", "size", "embedding"))
-        self.progress.processed(n)
-        done.unpersist()
+        self.progress.processed(seen.get["n"])
 
     def index(self) -> int:
         """Refresh; the number of images indexed."""
@@ -125,11 +129,8 @@ class Engine:
         check_threshold(threshold)
         ask = lambda vectors, index: self._answer(vectors, index, text, image, top, threshold)
         if cache is Cache.DISABLED:
-            fresh = embed(discover(self.spark, self.root), self.root, self.encoder).where("error is null").select("path", "embedding").persist()
-            try:
-                return ask(fresh, None)
-            finally:
-                fresh.unpersist()
+            fresh = kept(embed(discover(self.spark, self.root), self.root, self.encoder).where("error is null").select("path", "embedding"))
+            return ask(fresh, None)
         with self._open().locked() as index:
             if cache is Cache.USE:
                 self.refresh(index)

@@ -35,7 +35,7 @@ def display(root: str, path: Column) -> Column:
 
 
 def relative(root: str, path: Column) -> Column:
-    return F.expr(f"substring({path._jc.toString()}, {len(root.rstrip('/').encode()) + 2})")
+    return F.substring(path, F.lit(len(root.rstrip("/").encode()) + 2), F.octet_length(path))
 
 
 def fingerprint(text: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.vectors import dot, finite, literal
 from orrery.operators.ranking import _best, batch_search, search
-from orrery.sources.shared import new_folder
+from orrery.sources.shared import kept, new_folder
 
 BLOCK_ROWS, PIVOTS, QUERIES, FIRST = 1 << 16, 4096, 8192, 2
 SLACK = 1e-9  # relative, for sums of doubles in another order
@@ -147,7 +147,7 @@ class Layout:
     def batch_search(self, queries: DataFrame, top: int, threshold: float = -1.0, key: str = "vec_id") -> tuple[DataFrame, Report]:
         """ranking.batch_search over the layout: query_id, key, score and rank; and what was read. queries: query_id (a key),
         embedding."""
-        spark, kept = self.spark, lambda df: self._kept(df)
+        spark = self.spark
         asked = kept(_numbers(queries, "query_id").select(F.col("key").alias("query_id"), "embedding"))
         n_blocks, n_asked = self.bounds.count(), asked.count()
         if not n_blocks or not n_asked or top == 0:
@@ -166,9 +166,3 @@ class Layout:
         more = kept(after.select("query_id", F.col("_block").cast("int").alias("block")).join(pairs, ["query_id", "block"], "left_anti"))
         ranked = found.unionByName(self._meet(more, asked, top, threshold)).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
         return ranked.select("query_id", F.col("key").alias(key), "score", "rank"), Report(pairs.count() + more.count(), n_blocks * n_asked)
-
-    def _kept(self, df: DataFrame) -> DataFrame:
-        """df written once and read back."""
-        path = new_folder(self.spark, "kept")
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from threading import Lock
 from typing import Protocol
 
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from orrery.contracts import INFERENCE_BATCH, EngineError, ImageError
 from orrery.functions.codecs import decode
-from orrery.operators.reconcile import chunks
+from orrery.operators.reconcile import numbered, place
 from orrery.operators.sessions import open_session
+from orrery.timing import milliseconds
 
 
 class Encoder(Protocol):
@@ -131,25 +133,49 @@ class OnnxEncoder:
 
 
 def embed(files: DataFrame, root: str, encoder: Encoder, batch: int = INFERENCE_BATCH) -> DataFrame:
-    """files with embedding and error (one of them null). Batches are fixed by byte order of path, whatever the
-    partitioning: a model's vectors may depend on what they are batched with. A file that cannot be prepared shrinks
-    its batch."""
+    """files with embedding and error (one of them null), and the milliseconds that the row took to decode and its share of the
+    inference. Batches are fixed by byte order of path, whatever the partitioning: a model's vectors may depend on what they
+    are batched with. Files are dealt to range partitions once; a task runs the batches that lie inside its partition, and the few
+    that lie across an edge of partitions are brought together and run apart. A file that cannot be prepared
+    shrinks its batch."""
     base = root.rstrip("/").encode("utf-8", "surrogateescape")
+    dealt, ahead = numbered(files, [F.col("path")])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("path").reset_index(drop=True)
-        good, prepared, errors = [], [], [None] * len(rows)
+        good, prepared, errors, decoding = [], [], [None] * len(rows), []
         for i, path in enumerate(rows["path"]):
+            began = time.perf_counter()
             try:
                 prepared.append(encoder.prepare(base + b"/" + bytes(path)))
                 good.append(i)
             except (ImageError, OSError) as e:
                 errors[i] = str(e)
+            decoding.append(milliseconds(time.perf_counter() - began))
         vectors: list = [None] * len(rows)
+        began = time.perf_counter()
         if good:
             for i, v in zip(good, checked(encoder.images(prepared), len(good))):
                 vectors[i] = v
-        return rows[["path", "mtime_ns", "size"]].assign(embedding=vectors, error=errors)
-
-    schema = "path binary, mtime_ns long, size long, embedding array<float>, error string"
-    return chunks(files, [F.col("path")], batch, "_batch").groupBy("_batch").applyInPandas(run, schema)
+        infer = milliseconds(time.perf_counter() - began) / max(1, len(good))
+        took = [infer if e is None else 0.0 for e in errors]
+        return rows[["path", "mtime_ns", "size"]].assign(embedding=vectors, error=errors, decode_ms=decoding, infer_ms=took)
+
+    def inside(frames):
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            numbers = held["_batch"].to_numpy()
+            cut = int(np.searchsorted(numbers, numbers[-1]))  # the last batch may go on
+            for _, own in held[:cut].groupby("_batch", sort=False):
+                yield run(own)
+            held = held[cut:]
+        if held is not None and len(held):
+            yield run(held)
+
+    schema = "path binary, mtime_ns long, size long, embedding array<float>, error string, decode_ms double, infer_ms double"
+    rows = dealt.withColumn("_at", place(ahead)).withColumn("_batch", F.floor(F.col("_at") / batch).cast("long"))
+    cut = sorted({n // batch for n, _ in ahead.values() if n % batch})  # batches across an edge, one a partition at most
+    across = F.col("_batch").isin(cut) if cut else F.lit(False)
+    whole = rows.where(~across).repartition(max(1, len(ahead)), "_p").sortWithinPartitions("_at").mapInPandas(inside, schema)
+    return whole.unionByName(rows.where(across).groupBy("_batch").applyInPandas(lambda own: run(own), schema)) if cut else whole

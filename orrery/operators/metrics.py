@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+TOLERANCE = 1e-4  # fixed value: scores this close are equal
+
 
 def per_query(hits: DataFrame, n_relevant: DataFrame, ks: tuple[int, ...] = (1, 5, 10), depth: int = 10) -> DataFrame:
     """recall_at_k, ndcg_at_depth and mrr_at_depth of each query. hits: query_id, rank, hit (boolean); n_relevant:
@@ -84,3 +86,17 @@ def target_scores(queries: DataFrame, images: DataFrame, targets: DataFrame, key
 
     asked = targets.select("query_id", key).join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
     return asked.join(images.select(key, F.col("embedding").alias("_e")), key).select("query_id", key, dot(F.col("_q"), F.col("_e")).alias("score"))
+
+
+def output_difference(left: DataFrame, right: DataFrame, by: str = "query_id", key: str = "vec_id", tolerance: float = TOLERANCE) -> DataFrame:
+    """by and difference of each list of results (by, rank, key, score) on either side: null where both agree, else another
+    length, or the first rank at which keys differ, a score isn't finite, or scores are further apart than the tolerance. One row
+    a rank is joined, and lists are folded by a minimum, so a list of any length is never gathered."""
+    one = lambda df, n: df.select(F.col(by).alias("_q"), F.col("rank").alias("_rank"), F.col(key).alias(f"_k{n}"), F.col("score").cast("double").alias(f"_s{n}"))
+    both = one(left, 0).join(one(right, 1), ["_q", "_rank"], "full_outer")
+    finite = lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False))  # noqa: E731  NaN is not below
+    same = F.col("_k0").eqNullSafe(F.col("_k1")) & finite(F.col("_s0")) & finite(F.col("_s1")) & (F.abs(F.col("_s0") - F.col("_s1")) <= tolerance)
+    n = [F.count_if(F.col(f"_s{k}").isNotNull() | F.col(f"_k{k}").isNotNull()) for k in (0, 1)]
+    told = both.groupBy("_q").agg(n[0].alias("n0"), n[1].alias("n1"), F.min(F.when(~same, F.col("_rank"))).alias("first"))
+    text = F.when(F.col("n0") != F.col("n1"), F.format_string("result count differs: %d vs %d", "n0", "n1")).when(F.col("first").isNotNull(), F.format_string("result %d differs", "first"))
+    return told.select(F.col("_q").alias(by), text.alias("difference"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.vectors import dot, dot_f32, finite, literal
 from orrery.operators.reconcile import chunks
+from orrery.sources.shared import kept
 
 QUERY_BLOCK = 256
 
@@ -102,7 +103,7 @@ def full_ranking(scored: DataFrame, key: str = "vec_id", query: str | None = Non
     order = [F.desc("score"), F.col(key)]
     if query is None:
         return chunks(scored, order, 1, "rank").withColumn("rank", F.col("rank") + 1)
-    placed = chunks(scored, [F.col(query), *order], 1, "rank").persist()
+    placed = kept(chunks(scored, [F.col(query), *order], 1, "rank"))
     first = placed.groupBy(query).agg(F.min("rank").alias("_first"))
     return placed.join(first, query).withColumn("rank", F.col("rank") - F.col("_first") + 1).drop("_first")
 

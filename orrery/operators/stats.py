@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.contracts import EngineError
+from orrery.sources.shared import kept
 
 # The generator's seed, the number of draws, and which of them, in order, bound the interval.
 BOOTSTRAP_SEED, DRAWS, LOW, HIGH = 91017, 2000, 49, 1949
+SKETCH, ERROR, MOST = 800, 0.006, 10_000  # size of a sketch, its error of rank, rows of a bracket that are sorted
 
 
 def phase_rollup(rows: DataFrame, phase: str, elapsed: str, order: list[str] | None = None) -> DataFrame:
@@ -23,42 +26,71 @@ def phase_rollup(rows: DataFrame, phase: str, elapsed: str, order: list[str] | N
     return out
 
 
-def placed(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Each different value (not null) of each group with _to, how many rows of the group are no greater, and _n, the
-    group's rows. Equal values are summed before they travel; then range partitions are counted, and a value's place is
-    what stands in the partitions before its own plus what stands before it inside, so no task sees a whole group."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    dealt = counts.repartitionByRange(*by, value).withColumn("_p", F.spark_partition_id()).persist()  # both uses see one dealing
-    sums = dealt.groupBy("_p", *by).agg(F.sum("_c").alias("_s"))  # a row for each partition and group in it
-    ahead = F.sum("_s").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_s")
-    sums = sums.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_by_{c}") for c in by], ahead.alias("_ahead"), F.sum("_s").over(Window.partitionBy(*by)).alias("_n"))
-    same = F.col("_p") == F.col("_q")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    inside = F.sum("_c").over(Window.partitionBy("_p", *by).orderBy(value))
-    return dealt.withColumn("_in", inside).join(sums, same).select(*by, value, (F.col("_in") + F.col("_ahead")).alias("_to"), "_n")
+def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], most: int = MOST) -> DataFrame:
+    """Of each group, the values at some ranks (from 1) of its sorted rows, a column each; ranks: name -> rank, of the group's count.
+    Nulls are left out; numbers alone (NaN is the largest), exactly.
+
+    A mergeable quantile sketch of each group brackets every rank between two values; a pass counts what lies below and inside
+    the bracket, which proves it (a bracket that misses its rank is widened), and what lies inside is sketched again, until
+    brackets hold ``most`` rows or one value. Only these are sorted. A pass shuffles one sketch a group and task, some
+    kilobytes, however many rows there are."""
+    keys = [f"_by_{k}" for k in range(len(by))]
+    plain = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("_v"), F.col(value).cast("double").alias("_d"))
+    sketch = lambda: F.kll_sketch_agg_double(F.when(~F.isnan("_d"), F.col("_d")), F.lit(SKETCH)).alias("_s")
+    groups = plain.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(F.isnan("_d")).alias("_nan"), sketch())
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), rank(F.col("_n")).cast("long").alias("_t")) for name, rank in ranks.items()]))
+    state = groups.select(*keys, asked.alias("_q"), (F.col("_n") - F.col("_nan")).alias("_m"), "_n", "_s").select(*keys, "_q.*", "_m", "_n", "_s")
+    infinite = F.lit(float("-inf")), F.lit(float("nan"))
+    state = kept(state.where((F.col("_t") >= 1) & (F.col("_t") <= F.col("_n"))).withColumns({"_lo": infinite[0], "_hi": infinite[1], "_below": F.lit(0).cast("long"), "_in": F.col("_n"), "_e": F.lit(ERROR)}))
+
+    def same(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        right = b.withColumnsRenamed({c: f"{c}_r" for c in on})
+        return a.join(right, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in on], F.lit(True))).drop(*[f"{c}_r" for c in on])
+
+    held = (F.col("_d") >= F.col("_lo")) & (F.col("_d") <= F.col("_hi"))
+    wide = (F.col("_in") > most) & ~F.col("_lo").eqNullSafe(F.col("_hi"))
+    first = True
+    while not state.where(wide).isEmpty():
+        if not first:  # what lies inside is sketched
+            inner = same(plain, state.where(wide).select(*keys, "_name", "_lo", "_hi"), keys).where(held)
+            again = inner.groupBy(*keys, "_name").agg(sketch(), F.count_if(~F.isnan("_d")).alias("_m"))
+            state = same(state.where(wide).drop("_s", "_m"), again, [*keys, "_name"]).unionByName(state.where(~wide))
+        share = (F.col("_t") - F.col("_below")) / F.greatest(F.col("_m"), F.lit(1))
+        at = lambda x: F.expr(f"kll_sketch_get_quantile_double(_s, {x})")
+        tried = state.withColumns({"_f": F.greatest(share - F.col("_e"), F.lit(0.0)), "_g": share + F.col("_e")})
+        tried = tried.withColumns({"_f": F.least("_f", F.lit(1.0)), "_g": F.least("_g", F.lit(1.0))})
+        none = F.col("_t") - F.col("_below") > F.col("_m")  # beyond all numbers stands NaN
+        lo = F.when(~wide | (F.col("_f") <= 0), F.col("_lo")).when(none, F.lit(float("nan"))).otherwise(at("_f"))
+        hi = F.when(~wide | (F.col("_g") >= 1), F.col("_hi")).otherwise(at("_g"))
+        tried = kept(tried.withColumns({"_l": lo, "_h": hi}).drop("_f", "_g"))
+        inside = (F.col("_d") >= F.col("_l")) & (F.col("_d") <= F.col("_h"))
+        counted = same(plain, tried.where(wide).select(*keys, "_name", "_l", "_h"), keys).groupBy(*keys, "_name").agg(F.count_if(F.col("_d") < F.col("_l")).alias("_b"), F.count_if(inside).alias("_c"))
+        both = same(tried.where(wide), counted, [*keys, "_name"])
+        good = (F.col("_b") < F.col("_t")) & (F.col("_t") <= F.col("_b") + F.col("_c")) & (F.col("_c") < F.col("_in"))
+        moved = both.withColumns({"_ok": good}).withColumns({"_lo": F.when(F.col("_ok"), F.col("_l")).otherwise(F.col("_lo")), "_hi": F.when(F.col("_ok"), F.col("_h")).otherwise(F.col("_hi")), "_below": F.when(F.col("_ok"), F.col("_b")).otherwise(F.col("_below")), "_in": F.when(F.col("_ok"), F.col("_c")).otherwise(F.col("_in")), "_e": F.when(F.col("_ok"), F.col("_e")).otherwise(F.col("_e") * 2)})
+        state = kept(moved.drop("_b", "_c", "_ok", "_l", "_h").unionByName(tried.where(~wide).drop("_l", "_h")))
+        first = False
+    inner = same(plain, state.select(*keys, "_name", "_lo", "_hi", "_below", "_t"), keys).where(held)
+    counts = inner.groupBy(*keys, "_name", "_v", "_below", "_t").agg(F.count("*").alias("_c"))  # ``most`` values a group and rank
+    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys, "_name").orderBy("_v"))
+    found = counts.withColumn("_to", upto).where(F.col("_to") >= F.col("_t")).groupBy(*keys).agg(*[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *ranks)
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
     """Nearest-rank percentiles of each group: the least value that so many per cent of the rows don't exceed."""
-    least = [F.min(F.when(F.col("_to") * 100 >= F.col("_n") * p, F.col(value))).alias(f"p{p}") for p in percents]
-    return placed(rows, by, value).groupBy(*by).agg(*least)
-
-
-def _after(value: str, place: Column) -> Column:
-    """The value at a place (from 0) of the sorted rows, an aggregate."""
-    return F.min(F.when(F.col("_to") > place, F.col(value)))
+    return at_ranks(rows, by, value, {f"p{p}": lambda n, p=p: F.greatest(F.ceil(n * p / 100), F.lit(1)) for p in percents})
 
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
     """sorted[n // 2] of each group."""
-    return placed(rows, [by], value).groupBy(by).agg(_after(value, F.floor(F.col("_n") / 2)).alias("upper_median"))
+    return at_ranks(rows, [by], value, {"upper_median": lambda n: F.floor(n / 2) + 1})
 
 
 def median(rows: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
     """The middle value of each group, or the mean of the two in the middle."""
-    low, high = _after(value, F.floor((F.col("_n") - 1) / 2)), _after(value, F.floor(F.col("_n") / 2))
-    return placed(rows, by, value).groupBy(*by).agg(((low + high) / 2).alias(name))
+    both = at_ranks(rows, by, value, {"_low": lambda n: F.floor((n - 1) / 2) + 1, "_high": lambda n: F.floor(n / 2) + 1})
+    return both.select(*by, ((F.col("_low") + F.col("_high")) / 2).alias(name))
 
 
 def median_change(rows: DataFrame, side: Column, value: str, by: list[str] | None = None) -> DataFrame:
@@ -83,22 +115,57 @@ def change_interval(reference: list[float], candidate: list[float]) -> tuple[flo
     return float(1 - np.median(b) / np.median(a)), float(drawn[LOW]), float(drawn[HIGH])
 
 
-def bootstrap(samples: DataFrame) -> DataFrame:
-    """scenario, change, low and high of each scenario's paired samples (scenario, side, n, seconds); one scenario's
-    samples are one benchmark's, a few dozen. A sample without its other side is an error."""
+@lru_cache(maxsize=16)
+def _places(n: int, first: int, last: int) -> np.ndarray:
+    """Rows ``first`` to ``last`` of draws(n), by the same stream."""
+    rng, size = random.Random(BOOTSTRAP_SEED), range(n)
+    return np.array([own for k in range(last) if (own := rng.choices(size, k=n)) and k >= first], np.int64)
+
+
+def change_draws(a: np.ndarray, b: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Relative changes of medians of the draws ``first`` to ``last`` of paired samples, the same whichever task asks for them."""
+    places = _places(len(a), first, last)
+    return 1 - np.median(b[places], axis=1) / np.median(a[places], axis=1)
+
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot(index="n", columns="side", values="seconds").sort_index().reindex(columns=["reference", "candidate"])
-        if wide.isna().any(axis=None):
-            raise EngineError(f"{key[0]}: samples don't come in pairs")
-        return pd.DataFrame([(key[0], *change_interval(wide["reference"].tolist(), wide["candidate"].tolist()))], columns=["scenario", "change", "low", "high"])
+def bootstrap(samples: DataFrame, block: int = 250) -> DataFrame:
+    """scenario, change, low and high of each scenario's paired samples (scenario, side, n, seconds). Draws are dealt in blocks, so
+    that one scenario keeps several tasks busy; a row is a scenario's pairs, a few dozens. A sample without its other side is an error."""
+    own = samples.groupBy("scenario", "n").agg(*[F.max(F.when(F.col("side") == s, F.col("seconds"))).alias(s) for s in ("reference", "candidate")])
+    wrong = F.raise_error(F.concat("scenario", F.lit(": samples don't come in pairs"))).cast("double")
+    own = own.withColumns({s: F.coalesce(s, wrong) for s in ("reference", "candidate")})
+    pairs = own.groupBy("scenario").agg(F.array_sort(F.collect_list(F.struct("n", "reference", "candidate"))).alias("_p"))
+    pairs = pairs.select("scenario", F.col("_p.reference").alias("a"), F.col("_p.candidate").alias("b"))
+    blocks = pairs.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1), F.lit(block)))).repartition("scenario", "first")
 
-    return samples.groupBy("scenario").applyInPandas(one, "scenario string, change double, low double, high double")
+    def draw(frames):
+        for frame in frames:
+            for s, a, b, first in zip(frame["scenario"], frame["a"], frame["b"], frame["first"]):
+                a, b = np.asarray(a, float), np.asarray(b, float)
+                drawn = change_draws(a, b, first, min(first + block, DRAWS))
+                yield pd.DataFrame({"scenario": [s] * len(drawn), "change": [float(1 - np.median(b) / np.median(a))] * len(drawn), "drawn": drawn})
+
+    drawn = blocks.mapInPandas(draw, "scenario string, change double, drawn double").groupBy("scenario").agg(F.first("change").alias("change"), F.array_sort(F.collect_list("drawn")).alias("_d"))
+    return drawn.select("scenario", "change", F.element_at("_d", LOW + 1).alias("low"), F.element_at("_d", HIGH + 1).alias("high"))  # DRAWS numbers each
 
 
 def medians(samples: DataFrame) -> DataFrame:
     """Median seconds and resident bytes of each scenario and side."""
-    return samples.groupBy("scenario", "side").agg(F.median("seconds").alias("seconds"), F.median("rss_bytes").alias("rss_bytes"))
+    both = ["scenario", "side"]
+    return median(samples, both, "seconds", "seconds").join(median(samples, both, "rss_bytes", "rss_bytes"), both)
+
+
+def resident_bytes(value: Column, system: Column) -> Column:
+    """Peak resident memory as the system's tool told it, in bytes: macOS counts bytes, others kibibytes."""
+    return F.when(F.lower(system) == "darwin", value).otherwise(value * 1024).cast("long")
+
+
+def sample_order(pairs: DataFrame) -> DataFrame:
+    """n, turn (0 or 1) and side of each measurement of pairs (n): of every two pairs one begins with the reference, the next with the
+    candidate, so a drift of the machine falls on both alike."""
+    turn = F.explode(F.array(F.lit(0), F.lit(1)))
+    side = F.when((F.col("turn") + F.col("n") % 2) % 2 == 0, "reference").otherwise("candidate")
+    return pairs.select("n", turn.alias("turn")).withColumn("side", side)
 
 
 def report(samples: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ every vector whose vec_id is divisible by 20 is one, against all rows.
 
 from __future__ import annotations
 
-import tempfile
+import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from orrery.contracts import Contract
 from orrery.functions import images, paths, vectors
 from orrery.operators import metrics, ranking, reconcile, stats
 from orrery.sources import sinks
+from orrery.sources.shared import new_folder
 from orrery.sources.snapshot import Index
 
 
@@ -279,8 +280,10 @@ def reconcile_null_versions(spark, sf_dir):
 
 
 def index_commits(spark, sf_dir):
-    """Three commits and a delete into a new index, in a folder of this machine as for any index."""
-    index = Index(spark, tempfile.mkdtemp(prefix="orrery-index-") + "/i", Contract("i", "q", 2))
+    """Three commits and a delete into a new index, in the folder that driver and executors share."""
+    folder = new_folder(spark, "index").removeprefix("file://")
+    os.makedirs(folder)
+    index = Index(spark, f"{folder}/i", Contract("i", "q", 2))
     docs = _read(spark, sf_dir, "documents").select(F.encode(F.col("doc_id").cast("string"), "UTF-8").alias("path"), F.col("n_chars").alias("size"), "doc_id")
     rows = docs.select(F.lit("upsert").alias("op"), "path", (F.col("doc_id") * 1000).alias("mtime_ns"), "size", F.array(F.lit(0.6), F.lit(0.8)).cast("array<float>").alias("embedding"), "doc_id")
     index.commit(rows.where("doc_id % 3 <> 0").drop("doc_id"))
@@ -304,7 +307,9 @@ def queries() -> dict:
         percentile_nearest_rank, upper_median, median_change, index_count, text_fingerprint, has_matches, bootstrap_change,
         benchmark_report, benchmark_medians, correct_score_deltas, path_escape, path_display, path_order, image_kinds, image_sizes, cache_keys, blob_codec, reconcile_null_versions, index_commits, sink_lines,
     )
-    return {f.__name__: f for f in names}
+    from orrery.plans import operations
+
+    return {f.__name__: f for f in names} | operations.queries()
 
 
 def _dot(a: str, b: str, n: int = 64) -> str:
@@ -361,6 +366,13 @@ def _escape_sql(text: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from orrery.plans import operations
+
+    known = _oracle_sql()
+    return known | operations.oracle_sql(known)
+
+
+def _oracle_sql() -> dict[str, str]:
     return {
         "topk_threshold": _top("0.25", 5),
         "topk_exhaustive": _top("-1", 10),

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from orrery.contracts import EngineError
 
@@ -37,3 +37,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """df written once and read back, so that later plans start from files, which outlive any executor."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

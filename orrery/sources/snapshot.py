@@ -14,10 +14,11 @@ import fcntl
 import json
 import os
 import shutil
+import time
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +27,12 @@ from orrery.functions.vectors import is_stored
 from orrery.operators.reconcile import apply_changes
 
 
-MOST_DELTAS = 32
+MOST_DELTAS, QUERY_FOLDERS = 32, 256
+
+
+def _bucket(query: Column) -> Column:
+    """The folder that a query's rows are in."""
+    return F.pmod(F.xxhash64(query), F.lit(QUERY_FOLDERS)).cast("int")
 
 
 def _sync(path: str) -> None:
@@ -122,24 +128,34 @@ class Index:
         name = self.metadata(kind)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if name else self.spark.createDataFrame([], schema)
 
-    def images(self) -> DataFrame:
-        base, deltas = self._table("images", IMAGES), (self._load() or {}).get("deltas", [])
+    def _changes(self, columns: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+        """The deltas with seq, and of each path the last change (seq, op, mtime_ns, size): found on narrow columns."""
+        deltas = (self._load() or {}).get("deltas", [])
         if not deltas:
-            return base
+            return None, None
         schema = T.StructType([*CHANGES.fields, T.StructField("seq", T.LongType())])
-        changes = self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}" for name in deltas])
-        last = changes.groupBy("path").agg(F.max_by(F.struct(*[F.col(f.name) for f in CHANGES.fields if f.name != "path"]), "seq").alias("c"))
-        return apply_changes(base, last.select("path", "c.*"))
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}" for name in deltas])
+        last = rows.groupBy("path").agg(F.max_by(F.struct("seq", "op", "mtime_ns", "size"), "seq").alias("c")).select("path", "c.*")
+        return rows.select("path", "seq", *columns), last
+
+    def images(self) -> DataFrame:
+        base = self._table("images", IMAGES)
+        rows, last = self._changes(["op", "mtime_ns", "size", "embedding"])
+        if rows is None:
+            return base
+        newest = rows.where("op = 'upsert'").join(last.select("path", "seq"), ["path", "seq"]).select(*base.columns)
+        return base.join(last.select("path"), "path", "left_anti").unionByName(newest)
 
     def files(self) -> DataFrame:
-        """Keys and versions; the vectors are not read."""
-        return self.images().select("path", "mtime_ns", "size")
+        """Keys and versions; no vector is read, of the snapshot or of a delta."""
+        base, (rows, last) = self._table("images", IMAGES).select("path", "mtime_ns", "size"), self._changes([])
+        return base if rows is None else apply_changes(base, last)
 
     def queries(self) -> DataFrame:
-        return self._table("queries", QUERIES)
+        return self._table("queries", QUERIES).select("query", "embedding")
 
     def count(self) -> int:
-        return self.images().count()
+        return self.files().count()
 
     def vectors(self) -> DataFrame:
         """path, embedding; a vector that breaks its contract fails the job."""
@@ -153,17 +169,29 @@ class Index:
         return name
 
     def commit(self, changes: DataFrame) -> None:
-        """Upserts and deletes (CHANGES), all or nothing. A key may come once."""
+        """Upserts and deletes (CHANGES), all or nothing. A key may come once. Rows are computed once: vectors are checked while they
+        are written, keys by what was written; a delta that fails is deleted, and no manifest has named it."""
         changes = changes.select(*[f.name for f in CHANGES.fields])
-        if changes.groupBy("path").count().where("count > 1").limit(1).count():
-            raise IndexError_("a path has two changes in one commit")
-        if changes.where("op = 'upsert'").where(~is_stored(F.col("embedding"), self.contract.dim)).limit(1).count():
-            raise InvalidVectorError("a new vector is invalid")
-        self._append(changes)
-
-    def _append(self, changes: DataFrame) -> None:
+        seen = Observation()
+        invalid = (F.col("op") == "upsert") & ~is_stored(F.col("embedding"), self.contract.dim)
+        name = self._delta(changes.observe(seen, F.count_if(invalid).alias("invalid"), F.count("*").alias("n")))
+        written = self.spark.read.schema("path binary").parquet(f"{self.path}/{name}")
+        try:
+            if seen.get["invalid"]:
+                raise InvalidVectorError("a new vector is invalid")
+            if not written.groupBy("path").count().where("count > 1").isEmpty():
+                raise IndexError_("a path has two changes in one commit")
+        except IndexError_:
+            shutil.rmtree(f"{self.path}/{name}", ignore_errors=True)
+            raise
+        self._append(name)
+
+    def _delta(self, changes: DataFrame) -> str:
+        return self._write("delta", changes.withColumn("seq", F.lit((self._load() or {}).get("seq", 0) + 1).cast("long")))
+
+    def _append(self, name: str) -> None:
         now = self._load()
-        deltas = [*now.get("deltas", []), self._write("delta", changes.withColumn("seq", F.lit(now.get("seq", 0) + 1).cast("long")))]
+        deltas = [*now.get("deltas", []), name]
         self._swap(now | {"deltas": deltas, "seq": now.get("seq", 0) + 1})
         if len(deltas) >= MOST_DELTAS:
             self.compact()
@@ -175,16 +203,29 @@ class Index:
 
     def delete(self, paths: DataFrame) -> None:
         gone = paths.select(F.lit("delete").alias("op"), "path").distinct()
-        self._append(gone.select("op", "path", *[F.lit(None).cast(f.dataType).alias(f.name) for f in CHANGES.fields[2:]]))
+        self._append(self._delta(gone.select("op", "path", *[F.lit(None).cast(f.dataType).alias(f.name) for f in CHANGES.fields[2:]])))
 
     def remember(self, query: str, embedding: list[float]) -> None:
-        new = self.spark.createDataFrame([(query, [float(x) for x in embedding])], QUERIES)
-        kept = self.queries().where(F.col("query") != F.lit(query)).unionByName(new)
-        self._swap(self._load() | {"queries": self._write("queries", kept)})
+        """Append one row to the query's folder of ``queries``; nothing that is there is read or written again. The last row of a
+        query counts."""
+        name = self.metadata("queries") or f"queries-{uuid.uuid4().hex}"
+        new = self.spark.createDataFrame([(query, [float(x) for x in embedding], time.time_ns())], "query string, embedding array<float>, seq long")
+        held = new.withColumn("bucket", _bucket(F.col("query"))).coalesce(1).write.mode("append").partitionBy("bucket")
+        held.option("parquet.bloom.filter.enabled#query", "true").parquet(f"{self.path}/{name}")
+        sync(f"{self.path}/{name}/bucket={new.select(_bucket(F.col('query'))).first()[0]}")
+        if self.metadata("queries") != name:
+            self._swap(self._load() | {"queries": name})
+
+    def recalled(self, query: str) -> DataFrame:
+        """The rows of a query: one folder is listed, and of its files those whose Bloom filter may hold it are read."""
+        name = self.metadata("queries")
+        schema = "query string, embedding array<float>, seq long, bucket int"
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if name else self.spark.createDataFrame([], schema)
+        return rows.where((F.col("bucket") == _bucket(F.lit(query))) & (F.col("query") == query))
 
     def recall(self, query: str) -> list[float] | None:
-        row = self.queries().where(F.col("query") == F.lit(query)).select("embedding").first()
-        return None if row is None else list(row.embedding)
+        row = self.recalled(query).agg(F.max_by("embedding", "seq").alias("embedding")).first()
+        return None if row.embedding is None else list(row.embedding)
 
     def stage(self) -> Index:
         """An empty index beside this one, to be installed or dropped."""

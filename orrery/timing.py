@@ -9,6 +9,8 @@ import sys
 import time
 from contextlib import contextmanager
 
+from orrery.contracts import PHASES
+
 PROGRESS_STEP = 256
 
 
@@ -32,6 +34,16 @@ class Timings:
                 seconds, n = self.phases.get(name, (0.0, 0))
                 self.phases[name] = seconds + time.perf_counter() - began, n + 1
 
+    def add(self, name: str, milliseconds: float, n: int = 1) -> None:
+        """Time that tasks measured, all of them together."""
+        if self.enabled:
+            seconds, before = self.phases.get(name, (0.0, 0))
+            self.phases[name] = seconds + milliseconds / 1000.0, before + n
+
+    def table(self, spark):
+        """rows() as a table, for phase_rollup."""
+        return spark.createDataFrame(self.rows(), PHASES)
+
     def note(self, **facts) -> None:
         """What the report says of the request: size of the corpus, state of the caches."""
         self.facts |= facts
