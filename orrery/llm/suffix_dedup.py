@@ -1,7 +1,7 @@
 """Exact substring dedup by threshold-bounded interval expansion on Burrows-Wheeler transforms.
 
 A string of LEAST bytes is a window. Windows that may be equal must meet in one transform, so each is dealt by its anchor, the
-GRAM bytes in it whose first 8 have the least hash (the first, if tied): a function of the window's own bytes. Neighbouring windows of a document
+GRAM bytes in it whose first 24 have the least hash (the first, if tied): a function of the window's own bytes. Neighbouring windows of a document
 with one anchor travel as one piece, the bytes they span; equal pieces are counted into one with a weight, and a piece whose anchor stands
 nowhere else has no repeats and does not travel at all. What is left is one text a different piece, from one document
 that holds it.
@@ -54,15 +54,16 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 def runs(raw: np.ndarray, least: int = LEAST, gram: int = GRAM):
     """Of one document: first window, number of windows and anchor's hash of each run of windows with one anchor. Anchors are picked
-    by the hash of their first 8 bytes."""
+    by the hash of their first 8 to 24 bytes (gram: 8 or more)."""
     n, width = len(raw) - least + 1, least - gram + 1
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))]
     for a in range(0, max(n, 0), SLICE):
         b = min(n, a + SLICE)
         part = np.concatenate([raw[a : b + least - 1], np.zeros(8, np.uint8)])
         n_at = b - a + width - 1
-        marks = np.ndarray((n_at,), "<u8", part, 0, (1,)) & U64((1 << 8 * min(gram, 8)) - 1)
-        marks *= U64(0x9E3779B97F4A7C15)  # high bits depend on all bytes
+        marks = np.zeros(n_at, U64)  # of the anchor's first bytes; high bits depend on all of them
+        for k, odd in zip(range(0, gram - 7, 8), (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)):
+            marks += np.ndarray((n_at,), "<u8", part, k, (1,)) * U64(odd)
         marks &= U64(0xFFFFFFFFFF000000)
         marks |= np.arange(n_at, dtype=U64)
         anchor = (_least(marks, width) & U64(0xFFFFFF)).astype(np.int64)
@@ -117,9 +118,9 @@ def edges(text: np.ndarray, left: np.ndarray, order: np.ndarray, least: int) ->
     before = text[order - 1].astype(np.int16)
     before[(order == 0) | (left[order - 1] == 0)] = 256  # begins of pieces have nothing before them
     by = np.argsort(before, kind="stable")[: n - ends]
-    step = np.full(n, -1, np.int64)  # the place of the suffix that is longer by a byte
-    step[by] = ends + np.arange(len(by))
-    last, following = np.full(n, -1, np.int64), np.full(n, n, np.int64)  # where the same byte stood before, and stands next
+    step = np.full(n, -1, np.int32)  # the place of the suffix that is longer by a byte
+    step[by] = np.arange(ends, n)
+    last, following = np.full(n, -1, np.int32), np.full(n, n, np.int32)  # where the same byte stood before, and stands next
     same = before[by[1:]] == before[by[:-1]]
     last[by[1:][same]] = by[:-1][same]
     following[by[:-1][same]] = by[1:][same]
