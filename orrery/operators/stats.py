@@ -15,7 +15,7 @@ from orrery.sources.shared import kept
 
 # The generator's seed, the number of draws, and which of them, in order, bound the interval.
 BOOTSTRAP_SEED, DRAWS, LOW, HIGH = 91017, 2000, 49, 1949
-SKETCH, ERROR, MOST = 800, 0.006, 10_000  # size of a sketch, its error of rank, rows of a bracket that are sorted
+SKETCH, ERROR, GRID, MOST = 800, 0.006, 500, 10_000  # size of a sketch, its error of rank, values asked of it, rows of a bracket that are sorted
 
 
 def phase_rollup(rows: DataFrame, phase: str, elapsed: str, order: list[str] | None = None) -> DataFrame:
@@ -48,7 +48,7 @@ def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callab
         return a.join(right, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in on], F.lit(True))).drop(*[f"{c}_r" for c in on])
 
     held = (F.col("_d") >= F.col("_lo")) & (F.col("_d") <= F.col("_hi"))
-    wide = (F.col("_in") > most) & ~F.col("_lo").eqNullSafe(F.col("_hi"))
+    wide = (F.col("_in") > most) & ~F.col("_lo").eqNullSafe(F.col("_hi")) & (F.col("_e") < 1)  # from 1 on nothing is cut off
     first = True
     while not state.where(wide).isEmpty():
         if not first:  # what lies inside is sketched
@@ -56,17 +56,17 @@ def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callab
             again = inner.groupBy(*keys, "_name").agg(sketch(), F.count_if(~F.isnan("_d")).alias("_m"))
             state = same(state.where(wide).drop("_s", "_m"), again, [*keys, "_name"]).unionByName(state.where(~wide))
         share = (F.col("_t") - F.col("_below")) / F.greatest(F.col("_m"), F.lit(1))
-        at = lambda x: F.expr(f"kll_sketch_get_quantile_double(_s, {x})")
-        tried = state.withColumns({"_f": F.greatest(share - F.col("_e"), F.lit(0.0)), "_g": share + F.col("_e")})
-        tried = tried.withColumns({"_f": F.least("_f", F.lit(1.0)), "_g": F.least("_g", F.lit(1.0))})
+        at = lambda x: F.element_at("_grid", F.col(x) + 1)
+        grid = F.kll_sketch_get_quantile_double("_s", F.array(*[F.lit(k / GRID) for k in range(GRID + 1)]))
+        tried = state.withColumns({"_f": F.floor(F.least(F.greatest((share - F.col("_e")) * GRID, F.lit(0.0)), F.lit(float(GRID)))).cast("int"), "_g": F.ceil(F.least(F.greatest((share + F.col("_e")) * GRID, F.lit(0.0)), F.lit(float(GRID)))).cast("int"), "_grid": F.when(wide & (F.col("_m") > 0), grid)})
         none = F.col("_t") - F.col("_below") > F.col("_m")  # beyond all numbers stands NaN
         lo = F.when(~wide | (F.col("_f") <= 0), F.col("_lo")).when(none, F.lit(float("nan"))).otherwise(at("_f"))
-        hi = F.when(~wide | (F.col("_g") >= 1), F.col("_hi")).otherwise(at("_g"))
-        tried = kept(tried.withColumns({"_l": lo, "_h": hi}).drop("_f", "_g"))
+        hi = F.when(~wide | none | (F.col("_g") >= GRID), F.col("_hi")).otherwise(at("_g"))
+        tried = kept(tried.withColumns({"_l": lo, "_h": hi}).drop("_f", "_g", "_grid"))
         inside = (F.col("_d") >= F.col("_l")) & (F.col("_d") <= F.col("_h"))
         counted = same(plain, tried.where(wide).select(*keys, "_name", "_l", "_h"), keys).groupBy(*keys, "_name").agg(F.count_if(F.col("_d") < F.col("_l")).alias("_b"), F.count_if(inside).alias("_c"))
         both = same(tried.where(wide), counted, [*keys, "_name"])
-        good = (F.col("_b") < F.col("_t")) & (F.col("_t") <= F.col("_b") + F.col("_c")) & (F.col("_c") < F.col("_in"))
+        good = (F.col("_b") < F.col("_t")) & (F.col("_t") <= F.col("_b") + F.col("_c")) & ((F.col("_c") < F.col("_in")) | F.col("_l").eqNullSafe(F.col("_h")))
         moved = both.withColumns({"_ok": good}).withColumns({"_lo": F.when(F.col("_ok"), F.col("_l")).otherwise(F.col("_lo")), "_hi": F.when(F.col("_ok"), F.col("_h")).otherwise(F.col("_hi")), "_below": F.when(F.col("_ok"), F.col("_b")).otherwise(F.col("_below")), "_in": F.when(F.col("_ok"), F.col("_c")).otherwise(F.col("_in")), "_e": F.when(F.col("_ok"), F.col("_e")).otherwise(F.col("_e") * 2)})
         state = kept(moved.drop("_b", "_c", "_ok", "_l", "_h").unionByName(tried.where(~wide).drop("_l", "_h")))
         first = False
