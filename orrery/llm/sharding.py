@@ -4,7 +4,7 @@ Documents with equal texts are linked. They begin in shard hash(doc_id) mod K; t
 shard are a cell, so a text has K cells at most, whatever the number of its copies, and all propagation runs over cells
 joined with per-text, per-shard sums. In each round a text's cells look for the shard that holds most of it (ties by a
 hash of text and shard) and move there if the shard's quota has room for all that is elsewhere. Room is granted to small
-requests first, by powers of two; within the power where it runs out, by a hash of text and round. So a text with more
+requests first, by powers of two; within the power where it runs out, to the smallest, and to others by a hash of text and round. So a text with more
 copies than fit stays where it is and keeps no other from moving. Each move to the heaviest neighbour cuts fewer edges;
 rounds go on until none is granted. Then every document gets a place in its shard, linked ones first, by counts per (shard, hash part) and ranks inside each part;
 places beyond the shard's quota, floor(n / K) or one more, are given the holes of the other shards in order. Counts are
@@ -34,18 +34,22 @@ def _unit(*cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _grants(room: list[int], asked: list) -> list[tuple[int, float]]:
-    """For each shard the power below which all requests are granted, and the share of those of that power. asked: rows
-    of shard (to), power and the sum of requests (n)."""
+def _grants(room: list[int], asked: list) -> list[tuple[int, float, str | None]]:
+    """For each shard the power below which all requests are granted, the share of those of that power, and one of that power, the
+    least, which is granted for itself. asked: rows of shard (to), power, the sum of requests (n) and the least (ask, gid). Where
+    not all of a power fit, its least one does or nothing that is left does, so rounds go on until no request fits."""
     out = []
     for k, free in enumerate(room):
-        power, share = 64, 1.0
+        power, share, gid = 64, 1.0, None
         for row in sorted((r for r in asked if r.to == k), key=lambda r: r.power):
             if row.n > free:
-                power, share = row.power, free / row.n if 2 ** (row.power + 1) <= free else 0.0
+                power, share = row.power, 0.0
+                if row.least.ask <= free:
+                    gid, free = row.least.gid, free - row.least.ask
+                    share = free / row.n if 2 ** (row.power + 1) <= free else 0.0
                 break
             free -= row.n
-        out.append((power, share))
+        out.append((power, share, gid))
     return out
 
 
@@ -58,10 +62,10 @@ def propagate(cells: DataFrame, quota: list[int], scratch: Scratch) -> DataFrame
         best = best.where("top < sum").select("gid", "to", (F.col("sum") - F.col("top")).alias("ask"))
         wants = scratch.keep(cells.join(best, "gid", "left").withColumn("to", F.coalesce("to", "shard")).withColumn("power", F.floor(F.log2("ask")).cast("int")))
         load = dict(wants.groupBy("shard").agg(F.sum("n")).collect())
-        asked = wants.where("shard != to").groupBy("to", "power").agg(F.sum("n").alias("n")).collect()  # some dozens a shard
+        asked = wants.where("shard != to").groupBy("to", "power").agg(F.sum("n").alias("n"), F.min(F.struct("ask", "gid")).alias("least")).collect()  # some dozens a shard
         grants = _grants([max(0, q - load.get(k, 0)) for k, q in enumerate(quota)], asked)
-        grant = F.element_at(F.array(*[F.struct(F.lit(p).alias("power"), F.lit(float(x)).alias("share")) for p, x in grants]), F.col("to") + 1)
-        goes = (F.col("shard") != F.col("to")) & ((F.col("power") < grant["power"]) | ((F.col("power") == grant["power"]) & (_unit(F.col("gid"), F.lit(turn)) < grant["share"])))
+        grant = F.element_at(F.array(*[F.struct(F.lit(p).alias("power"), F.lit(float(x)).alias("share"), F.lit(g).cast("string").alias("gid")) for p, x, g in grants]), F.col("to") + 1)
+        goes = (F.col("shard") != F.col("to")) & ((F.col("power") < grant["power"]) | ((F.col("power") == grant["power"]) & ((_unit(F.col("gid"), F.lit(turn)) < grant["share"]) | F.col("gid").eqNullSafe(grant["gid"]))))
         moved = scratch.keep(wants.select("gid", "home", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard"), "n", "all", goes.alias("moved")))
         scratch.drop(wants)
         scratch.drop(cells)

@@ -506,8 +506,12 @@ def test_sharding_moves(spark):
                     moves |= set(by[power])
                     room -= need
                     continue
-                if 2 ** (power + 1) <= room:
-                    moves |= {g for g in by[power] if unit[g, turn] < room / need}
+                ask, least = min((asks[g][1], g) for g in by[power])
+                if ask <= room:
+                    moves.add(least)
+                    room -= ask
+                    if 2 ** (power + 1) <= room:
+                        moves |= {g for g in by[power] if unit[g, turn] < room / need}
                 break
         for (g, h), k in list(at.items()):
             if g in moves:
@@ -526,7 +530,16 @@ def test_sharding_hot(spark):
     assert out.shard.value_counts().tolist() == [150] * 8
     copies = out[(out.doc_id >= 1000) & (out.doc_id < 2000)].groupby("text_crc32").shard.nunique()
     assert (copies == 1).mean() > 0.95 and out[out.doc_id < 400].groupby("shard").size().max() < 80
-    assert sharding._grants([10, 0, 5], [Row(to=0, power=0, n=4), Row(to=0, power=1, n=8), Row(to=0, power=9, n=600), Row(to=1, power=0, n=1), Row(to=2, power=3, n=9)]) == [(1, 6 / 8), (0, 0.0), (3, 0.0)]
+    asked = [Row(to=to, power=power, n=n, least=Row(ask=ask, gid=gid)) for to, power, n, ask, gid in ((0, 0, 4, 1, "a"), (0, 1, 8, 2, "b"), (0, 9, 600, 600, "c"), (1, 0, 1, 1, "d"), (2, 3, 18, 9, "e"))]
+    assert sharding._grants([10, 0, 15], asked) == [(1, 4 / 8, "b"), (0, 0.0, None), (3, 0.0, "e")]
+
+
+def test_sharding_fits(spark):
+    """Of two requests that exclude each other one is granted: no request that fits is left."""
+    cells = [("g1", 0, 0, 10, 30), ("g1", 1, 1, 20, 30), ("g2", 0, 0, 10, 30), ("g2", 1, 1, 20, 30)]
+    df = spark.createDataFrame(cells, "gid string, home int, shard int, n long, all long")
+    got = [(r.gid, r.home, r.shard) for r in sharding.propagate(df, [20, 55], Scratch(spark)).collect()]
+    assert sorted(got) == [("g1", 0, 1), ("g1", 1, 1), ("g2", 0, 0), ("g2", 1, 1)]
 
 
 def test_clashing_names(spark, corpus):
