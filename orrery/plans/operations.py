@@ -77,7 +77,22 @@ def resident_memory(spark, sf_dir):
     return base._read(spark, sf_dir, "events").select("event_id", stats.resident_bytes(F.col("user_id"), system).alias("rss_bytes"))
 
 
-QUERIES = (topk_blocks, knn_blocks, reconcile_bucketed, apply_bucketed, ranked_lines, output_differences, sample_order, resident_memory)
+def quality_report(spark, sf_dir):
+    """All quality figures of one run: every 40th vector is a caption, whose relevant ones are the 19 after it; the other queries are
+    categories, by label."""
+    rows = base._read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    name = lambda c: F.col(c).cast("string")
+    asked = rows.where("vec_id % 20 = 0").withColumn("_g", F.col("vec_id").cast("long"))
+    near = rows.select(name("vec_id").alias("_r"), (F.col("vec_id") - F.col("vec_id") % 20).alias("_g")).where(F.col("_r").cast("long") > F.col("_g"))
+    relevant = near.groupBy("_g").agg(F.collect_list("_r").alias("relevant"))  # 19 a query
+    found = base._batch(spark, sf_dir).groupBy(F.col("query_id").alias("_g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))), lambda x: F.struct(x["vec_id"].cast("string").alias("path"), x["score"].alias("score"))).alias("results"))
+    kind = F.when(F.col("vec_id") % 40 == 0, "caption").otherwise("category")
+    runs = asked.join(relevant, "_g").join(found, "_g").select(name("vec_id").alias("id"), kind.alias("kind"), F.concat(F.lit("label "), name("label")).alias("intent"), "relevant", "results")
+    told = metrics.evaluate(runs, 0.35)
+    return base._round(told, *told.columns)
+
+
+QUERIES = (quality_report, topk_blocks, knn_blocks, reconcile_bucketed, apply_bucketed, ranked_lines, output_differences, sample_order, resident_memory)
 
 
 def queries() -> dict:
@@ -88,6 +103,15 @@ def oracle_sql(known: dict[str, str]) -> dict[str, str]:
     """known: SQL of the catalogue, as some queries say the same of another form."""
     lists = lambda n: f"SELECT query_id, vec_id, rank, score FROM ({base._knn(n)})"
     return {
+        "quality_report": f"""WITH asked AS (SELECT vec_id AS q, label FROM embeddings WHERE vec_id % 20 = 0), relevant AS (SELECT q, e.vec_id AS r FROM asked JOIN embeddings e ON e.vec_id > q AND e.vec_id < q + 20),
+            n AS (SELECT q, count(*) AS n FROM relevant GROUP BY q),
+            hits AS (SELECT query_id AS q, rank, score, r IS NOT NULL AS hit, own FROM ({base._knn()}) LEFT JOIN relevant ON q = query_id AND r = vec_id),
+            per AS (SELECT q, n, {", ".join(f"sum(CASE WHEN hit AND rank <= {k} THEN 1 ELSE 0 END)::DOUBLE / n AS r{k}" for k in (1, 5, 10))}, coalesce(1.0::DOUBLE / min(CASE WHEN hit THEN rank END), 0) AS mrr,
+              sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda r: 1 / log2(r + 1))) AS ndcg FROM hits JOIN n USING (q) WHERE q % 40 = 0 GROUP BY q, n),
+            judged AS (SELECT q, own, max(CASE WHEN score >= 0.35 AND NOT hit THEN 1.0::DOUBLE ELSE 0 END) AS w, 1 - max(CASE WHEN score >= 0.35 THEN 1.0::DOUBLE ELSE 0 END) AS z FROM hits WHERE q % 40 <> 0 GROUP BY q, own),
+            rates AS (SELECT avg(w) AS w, avg(z) AS z FROM (SELECT avg(w) AS w, avg(z) AS z FROM judged GROUP BY own))
+            SELECT {", ".join(f"(SELECT round(avg(r{k}), 6) FROM per) AS recall_at_{k}" for k in (1, 5, 10))}, (SELECT round(avg(ndcg), 6) FROM per) AS ndcg_at_10, (SELECT round(avg(mrr), 6) FROM per) AS mrr_at_10,
+              round(w, 6) AS absent_false_positive_rate, round(z, 6) AS present_false_negative_rate FROM rates""",
         "topk_blocks": known["topk_threshold"],
         "knn_blocks": known["knn_batch"],
         "reconcile_bucketed": known["reconcile_plan"],
