@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -54,21 +53,3 @@ class Contract:
     image: str
     query: str
     dim: int = DIM
-
-
-def check_query(text: str) -> str:
-    if not text.strip():
-        raise ArgumentError("the query is blank")
-    return text
-
-
-def check_threshold(value: float) -> float:
-    if not (math.isfinite(value) and -1.0 <= value <= 1.0):
-        raise ArgumentError("the threshold must be a number from -1 to 1")
-    return value
-
-
-def check_top(value: int) -> int:
-    if value < 1:
-        raise ArgumentError("top must be 1 or more")
-    return value

@@ -8,7 +8,8 @@ from enum import Enum
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.contracts import DEFAULT_THRESHOLD, DEFAULT_TOP, FILES, INGEST_BATCH, ArgumentError, Contract, check_query, check_threshold, check_top
+from orrery.contracts import DEFAULT_THRESHOLD, DEFAULT_TOP, FILES, INGEST_BATCH, Contract
+from orrery.errors import QueryChoiceError, QueryImageError, check_query, check_threshold, check_top
 from orrery.functions.paths import components
 from orrery.operators.encode import Encoder, checked, embed
 from orrery.operators.ranking import search as rank
@@ -120,11 +121,11 @@ class Engine:
         """(score, path below the root) of the best matches. Rebuilds answer from the staged index and install it only
         if that succeeds."""
         if (text is None) == (image is None):
-            raise ArgumentError("give a text or an image")
+            raise QueryChoiceError()
         if text is not None:
             check_query(text)
         elif not os.path.isfile(image):
-            raise ArgumentError(f"{image} is not a file")
+            raise QueryImageError(path=image)
         check_top(top)
         check_threshold(threshold)
         ask = lambda vectors, index: self._answer(vectors, index, text, image, top, threshold)

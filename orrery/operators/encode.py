@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.contracts import INFERENCE_BATCH, EngineError, ImageError
+from orrery.contracts import INFERENCE_BATCH, ImageError
+from orrery.errors import ModelShapeError
 from orrery.functions.codecs import decode
 from orrery.operators.reconcile import numbered, place
 from orrery.operators.sessions import open_session
@@ -42,7 +43,7 @@ def checked(vectors, n: int) -> np.ndarray:
     """A model's output, which must be one row of floats for each of n inputs, as unit vectors."""
     vectors = np.asarray(vectors)
     if vectors.ndim != 2 or len(vectors) != n or not vectors.shape[1]:
-        raise EngineError(f"the model gave shape {vectors.shape} for {n} inputs")
+        raise ModelShapeError(shape=vectors.shape, n=n)
     return unit(vectors)
 
 

@@ -15,7 +15,7 @@ from orrery.sources.shared import kept
 
 # The generator's seed, the number of draws, and which of them, in order, bound the interval.
 BOOTSTRAP_SEED, DRAWS, LOW, HIGH = 91017, 2000, 49, 1949
-SKETCH, ERROR, GRID, MOST = 800, 0.006, 500, 10_000  # size of a sketch, its error of rank, values asked of it, rows of a bracket that are sorted
+SKETCH, ERROR, GRID, MOST = 800, 0.006, 500, 100_000  # size of a sketch, its error of rank, values asked of it, rows of a bracket that are sorted
 
 
 def phase_rollup(rows: DataFrame, phase: str, elapsed: str, order: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.contracts import EngineError
+from orrery.errors import CorpusError
 
 
 def _rows(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
@@ -30,13 +30,13 @@ def captions(spark: SparkSession, path: str, n_images: int | None = None, least_
     told = _rows(spark, path, "annotations", "image_id: long, caption: string")
     n, distinct = images.agg(F.count("*"), F.count_distinct("id")).first()
     if n != distinct:
-        raise EngineError("image ids are not unique")
+        raise CorpusError(cause="image ids are not unique")
     if n_images is not None and n != n_images:
-        raise EngineError(f"expected {n_images} images, found {n}")
+        raise CorpusError(cause=f"expected {n_images} images, found {n}")
     joined = told.join(images, told.image_id == images.id, "left")
     total, orphans, described = joined.agg(F.count("*"), F.count_if(F.col("id").isNull()), F.count_distinct("id")).first()
     if orphans or total < least_captions or described != n:
-        raise EngineError("the captions are incomplete")
+        raise CorpusError(cause="the captions are incomplete")
     return joined.select("caption", "file_name")
 
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from orrery.contracts import EngineError
+from orrery.errors import FormError, PathEncodingError
 from orrery.sources.sinks import render
 
 FORMS = ("text", "json", "paths", "nul")
@@ -60,7 +60,7 @@ def _text(path: bytes) -> str:
     try:
         return path.decode()
     except UnicodeDecodeError as e:
-        raise EngineError("a path is not UTF-8") from e
+        raise PathEncodingError(path=path) from e
 
 
 class ResultWriter(DataSourceWriter):
@@ -68,7 +68,7 @@ class ResultWriter(DataSourceWriter):
         self.path, self.form = options["path"].rstrip("/"), options.get("form", "text")
         self.quiet = options.get("quiet", "false").lower() == "true"
         if self.form not in FORMS:
-            raise EngineError(f"the form is one of {', '.join(FORMS)}")
+            raise FormError(known=", ".join(FORMS), form=self.form)
 
     def write(self, iterator):
         where, path = _open(f"{self.path}/_parts")

@@ -10,7 +10,8 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.contracts import FILES, ScanError
+from orrery.contracts import FILES
+from orrery.errors import EntryError, EpochError, FolderError, RootKindError, RootMissingError
 from orrery.functions.paths import RAW, STANDARD
 from orrery.sources.shared import new_folder
 
@@ -22,9 +23,9 @@ def resolve_root(path: str) -> str:
     try:
         found = os.path.realpath(path, strict=True)
     except OSError as e:
-        raise ScanError(f"cannot resolve {path}: {e}") from e
+        raise RootMissingError(path=path, cause=str(e)) from e
     if not os.path.isdir(found):
-        raise ScanError(f"{path} is not a directory")
+        raise RootKindError(path=found)
     return found
 
 
@@ -37,11 +38,11 @@ def snapshot(path: bytes, shown: bytes) -> tuple[bytes, int, int] | None:
     try:
         info = os.lstat(path)
     except OSError as e:
-        raise ScanError(f"cannot read {shown!r}: {e}") from e
+        raise EntryError(path=shown, cause=str(e)) from e
     if not stat.S_ISREG(info.st_mode):
         return None
     if info.st_mtime_ns < 0:
-        raise ScanError(f"{shown!r} was modified before 1970")
+        raise EpochError(path=shown, mtime_ns=info.st_mtime_ns)
     return shown, info.st_mtime_ns, info.st_size
 
 
@@ -64,7 +65,7 @@ def listed(root: bytes, folders: list[bytes], limit: int):
                     elif is_supported(e.name) and e.is_file(follow_symlinks=False):
                         yield path, False
         except OSError as e:
-            raise ScanError(f"cannot list {e.filename!r}: {e}") from e
+            raise FolderError(path=e.filename, cause=str(e)) from e
 
 
 def discover(spark: SparkSession, root: str, limit: int = LISTED) -> DataFrame:

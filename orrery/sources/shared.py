@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.contracts import EngineError
+from orrery.errors import SharedFolderError
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise EngineError("spark.checkpoint.dir must name a folder that all executors share")
+            raise SharedFolderError(master=spark.sparkContext.master)
         found = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

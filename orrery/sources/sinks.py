@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from decimal import ROUND_HALF_EVEN, Decimal
 
-from orrery.contracts import EngineError
+from orrery.errors import PathEncodingError
 
 
 def escape_path(path: bytes) -> str:
@@ -29,7 +29,7 @@ def render(rows: list[tuple[float, bytes]], form: str = "text", quiet: bool = Fa
         try:
             return (json.dumps([{"score": s, "path": p.decode()} for s, p in rows], indent=2, ensure_ascii=False) + "\n").encode()
         except UnicodeDecodeError as e:
-            raise EngineError("a path is not UTF-8") from e
+            raise PathEncodingError(path=e.object) from e
     if form in ("paths", "nul"):
         return b"".join(p + (b"\n" if form == "paths" else b"\0") for _, p in rows)
     head = "" if quiet or not rows else "score\tpath\n"

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.contracts import CHANGES, FORMAT_VERSION, IMAGES, QUERIES, Contract, IndexError_, InvalidVectorError
+from orrery.errors import DuplicateChangeError, FormatError, IndexPathError, ManifestError, MetadataError, RootMismatchError, vector_error
 from orrery.functions.vectors import is_stored
 from orrery.operators.reconcile import apply_changes
 
@@ -56,21 +57,21 @@ class Index:
         formats before 2 are cleared, format 2 is taken over, newer ones are rejected."""
         path = os.path.realpath(path)
         if path.endswith(".lock"):
-            raise IndexError_("an index may not be named like a lock")
+            raise IndexPathError(path=path, cause="an index may not be named like a lock")
         if not os.path.isdir(os.path.dirname(path)):
-            raise IndexError_(f"{os.path.dirname(path)} does not exist")
+            raise IndexPathError(path=path, cause="its folder does not exist")
         if os.path.isfile(path):
-            raise IndexError_(f"{path} is a file")
+            raise IndexPathError(path=path, cause="is a file")
         self.spark, self.path, self.contract = spark, path, contract
         os.makedirs(path, exist_ok=True)
         old = self._load()
         if old is not None and old.get("version", 0) > FORMAT_VERSION:
-            raise IndexError_(f"format {old['version']} is newer than {FORMAT_VERSION}")
+            raise FormatError(found=old["version"], known=FORMAT_VERSION)
         if old is None or old.get("version", 0) < 2:
             self._swap({"version": FORMAT_VERSION, "root": root, "image": contract.image, "query": contract.query, "images": None, "queries": None})
             return
         if root and old.get("root") and old["root"] != root:
-            raise IndexError_(f"the index belongs to {old['root']}")
+            raise RootMismatchError(bound=old["root"], asked=root)
         new = old | {"version": FORMAT_VERSION, "root": old.get("root") or root, "image": contract.image, "query": contract.query}
         if old.get("image") != contract.image:
             new["images"], new["deltas"] = None, []
@@ -97,7 +98,7 @@ class Index:
         except FileNotFoundError:
             return None
         except ValueError as e:
-            raise IndexError_(f"the manifest is broken: {e}") from e
+            raise ManifestError(cause=str(e)) from e
 
     def _swap(self, manifest: dict) -> None:
         temp = f"{self.path}/.manifest-{uuid.uuid4().hex}"
@@ -121,7 +122,7 @@ class Index:
     def metadata(self, key: str):
         found = self._load() or {}
         if key not in found:
-            raise IndexError_(f"the manifest has no {key}")
+            raise MetadataError(key=key)
         return found[key]
 
     def _table(self, kind: str, schema) -> DataFrame:
@@ -175,12 +176,13 @@ class Index:
         seen = Observation()
         invalid = (F.col("op") == "upsert") & ~is_stored(F.col("embedding"), self.contract.dim)
         name = self._delta(changes.observe(seen, F.count_if(invalid).alias("invalid"), F.count("*").alias("n")))
-        written = self.spark.read.schema("path binary").parquet(f"{self.path}/{name}")
+        written = self.spark.read.schema(CHANGES).parquet(f"{self.path}/{name}")
         try:
             if seen.get["invalid"]:
-                raise InvalidVectorError("a new vector is invalid")
-            if not written.groupBy("path").count().where("count > 1").isEmpty():
-                raise IndexError_("a path has two changes in one commit")
+                row = written.where(invalid).select("path", "embedding").first()
+                raise vector_error(bytes(row.path), row.embedding, self.contract.dim) or InvalidVectorError("a new vector is invalid")
+            if row := written.groupBy("path").count().where("count > 1").first():
+                raise DuplicateChangeError(path=bytes(row.path), n=row["count"])
         except IndexError_:
             shutil.rmtree(f"{self.path}/{name}", ignore_errors=True)
             raise

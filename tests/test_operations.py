@@ -234,3 +234,70 @@ def test_chunks_travel_once(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("id"), F.lit("x").alias("_q"))
     assert {r.id: r.chunk for r in chunks(rows, ["id"], 8).collect()} == {i: i // 8 for i in range(1000)}
     assert "Window" not in plan_text(chunks(rows, ["id"], 8))
+
+
+def test_command_lines(capsys):
+    """What is taken, and what is refused with status 2 before anything starts."""
+    from orrery import cli
+
+    got = cli.parse(["a dog", "dir", "-n", "3", "-t", "-0.5", "-0", "--paths-only", "-q"])
+    assert (got.command, got.query, got.directory, got.top, got.threshold, got.form, got.quiet) == ("search", "a dog", "dir", 3, -0.5, "nul", True)
+    assert cli.parse(["--image", "x.jpg", "dir", "--json"]).form == "json" and cli.parse(["dir", "--image", "x.jpg"]).directory == "dir"
+    assert cli.parse(["index", "dir", "--index-path", "p"]).command == "index" and cli.parse(["-q", "index", "dir"]).query == "index"
+    assert cli.parse(["a", "d", "--timing"]).report == "-" and cli.parse(["a", "d", "--timing", "--timing-file", "f"]).report == "f" and cli.parse(["a", "d"]).report is None
+    assert cli.parse(["--", "-x", "dir"]).query == "-x"
+    wrong = [[], ["only"], ["a", "b", "c"], ["--image", "x", "a", "b"], ["--image", "x"], ["a", "d", "--json", "--paths-only"], ["a", "d", "--json", "-0"], ["a", "d", "--reindex", "--no-cache"],
+             ["a", "d", "--no-cache", "--index-path", "p"], ["a", "d", "--timing-file", "f"], ["a", "d", "-n", "x"], ["index"], ["index", "d", "--json"], ["a", "d", "--unknown"], ["a", "d", "--to", "3"]]
+    for line in wrong:
+        assert cli.main(line) == 2, line
+    assert "cannot be combined" in capsys.readouterr().err
+    for line in (["a", "d", "-n", "0"], ["a", "d", "-t", "2"], ["a", "d", "-t", "nan"], [" \t", "d"]):
+        assert cli.main(line) == 2
+
+
+def test_typed_errors(spark, tmp_path):
+    """A class for each cause, with what it is about, also when it comes from a task."""
+    import pickle
+
+    from orrery import errors
+    from orrery.sources.scan import discover, snapshot
+
+    unit = [1.0] + [0.0] * (DIM - 1)
+    assert errors.vector_error(b"p", unit, DIM) is None and errors.vector_error(b"p", None, 2).path == b"p"
+    kinds = {errors.DimensionError: [1.0], errors.NonFiniteError: [float("nan"), 1.0], errors.NormError: [3.0, 4.0]}
+    for kind, vector in kinds.items():
+        assert type(errors.vector_error(b"p", vector, 2)) is kind
+    told = pickle.loads(pickle.dumps(errors.NormError(path=b"p", norm=5.0)))
+    assert told.norm == 5.0 and str(told) == "b'p': length 5.0 is not 1"
+    index = Index(spark, str(tmp_path / "i"), CONTRACT, "/r")
+    with pytest.raises(errors.NormError) as e:
+        index.commit(spark.createDataFrame([("upsert", b"a", 1, 1, unit), ("upsert", b"b", 1, 1, [2.0] + unit[1:])], CHANGES))
+    assert e.value.path == b"b"
+    with pytest.raises(errors.DuplicateChangeError):
+        index.commit(spark.createDataFrame([("upsert", b"a", 1, 1, unit), ("delete", b"a", None, None, None)], CHANGES))
+    with pytest.raises(errors.RootMismatchError) as e:
+        Index(spark, str(tmp_path / "i"), CONTRACT, "/other")
+    assert (e.value.bound, e.value.asked) == ("/r", "/other")
+    for path, kind in (("none", errors.RootMissingError), ("file", errors.RootKindError)):
+        (tmp_path / "file").write_bytes(b"")
+        with pytest.raises(kind):
+            discover(spark, str(tmp_path / path))
+    old = tmp_path / "old.jpg"
+    old.write_bytes(b"")
+    os.utime(old, ns=(-5, -5))
+    with pytest.raises(errors.EpochError):
+        snapshot(os.fsencode(old), b"old.jpg")
+    with pytest.raises(errors.MetadataError):
+        index.metadata("nothing")
+
+
+def test_heap_is_a_full_sort(spark):
+    """The best of 20,000 rows by a bounded heap are those of a full sort of 32-bit scores, bit for bit, ties by path."""
+    n = 20_000
+    first = ((np.arange(n) % 2001) - 1000).astype(np.float32) / np.float32(1000)
+    rows = spark.range(n).select(F.encode(F.format_string("image-%06d.jpg", "id"), "UTF-8").alias("path"), F.array(((F.col("id") % 2001 - 1000).cast("float") / F.lit(1000.0).cast("float")).cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
+    order = np.lexsort((np.arange(n), -first))
+    for top, threshold in ((100, -1.0), (37, 0.25)):
+        got = ranking.search(rows, [1.0, 0.0], top, threshold, "path", f32=True).orderBy("rank").collect()
+        want = [i for i in order if first[i] >= np.float32(threshold)][:top]
+        assert [(bytes(r.path), np.float32(r.score)) for r in got] == [(b"image-%06d.jpg" % i, first[i]) for i in want]
