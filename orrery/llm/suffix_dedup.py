@@ -36,7 +36,7 @@ from orrery.llm._store import Scratch
 
 LEAST, GRAM = 400, 64
 BLOCK, HOT = 2 << 20, 4096
-SLICE = 1 << 20
+SLICE, ROWS = 1 << 20, 1 << 15
 RUNS = "r1 long, r2 long, key long, c1 long, c2 long, m int, starts array<int>"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -177,27 +177,33 @@ def find_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, block: i
     plain = docs.select(doc_id.alias("doc_id"), text.alias("text"), *[F.xxhash64(F.lit(k), doc_id, text).alias(f"r{k}") for k in (1, 2)])
 
     def cut(batches):
+        held, rows = [], 0
+
+        def told():
+            r1, r2, key, c1, c2, m, count, starts = (np.concatenate(c) for c in zip(*held))
+            at = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+            return pa.record_batch([*map(pa.array, (r1, r2, key, c1, c2, m)), pa.ListArray.from_arrays(at, pa.array(starts))], ["r1", "r2", "key", "c1", "c2", "m", "starts"])
+
         for batch in batches:
             raw, at = buffers(batch["text"])
             view = memoryview(raw)
-            for k in range(len(batch)):
-                a, b = int(at[k]), int(at[k + 1])
-                first, m, key = runs(raw[a:b], least, gram)
-                if not len(first):
-                    continue
-                begin = (first + a).tolist()
-                digest = _digests(view, begin, (first + a + m + least - 1).tolist())
+            ids = [batch[c].to_numpy() for c in ("r1", "r2")]
+            for k in np.flatnonzero(np.diff(at) >= least).tolist():
+                a = int(at[k])
+                first, m, key = runs(raw[a : at[k + 1]], least, gram)
+                digest = _digests(view, (first + a).tolist(), (first + a + m + least - 1).tolist())
                 order = np.lexsort((first, digest[:, 1], digest[:, 0]))
                 new = np.ones(len(order), bool)
                 new[1:] = (digest[order[1:]] != digest[order[:-1]]).any(1)
                 head = np.flatnonzero(new)
-                own = order[head]
-                starts = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), pa.array(first[order].astype(np.int32)))
-                n = len(own)
-                yield pa.record_batch([
-                    pa.array(np.full(n, batch["r1"][k].as_py())), pa.array(np.full(n, batch["r2"][k].as_py())), pa.array(key[own].view(np.int64)),
-                    pa.array(digest[own, 0]), pa.array(digest[own, 1]), pa.array(m[own].astype(np.int32)), starts,
-                ], ["r1", "r2", "key", "c1", "c2", "m", "starts"])
+                own, n = order[head], len(head)
+                held.append((np.full(n, ids[0][k]), np.full(n, ids[1][k]), key[own].view(np.int64), digest[own, 0], digest[own, 1], m[own].astype(np.int32), np.diff(np.append(head, len(order))), first[order].astype(np.int32)))
+                rows += len(order)
+                if rows > ROWS:  # documents share a batch of rows
+                    yield told()
+                    held, rows = [], 0
+        if held:
+            yield told()
 
     found = scratch.keep(plain.select("r1", "r2", "text").mapInArrow(cut, RUNS))
     classes = found.groupBy("key", "c1", "c2").agg(F.sum(F.size("starts")).alias("n"), F.min("r1").alias("rep"))
@@ -208,19 +214,26 @@ def find_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, block: i
     wanted = held.where("rep").groupBy("r1", "r2").agg(F.collect_set(F.struct("c1", "c2", "key", "n", "hot", F.element_at("starts", 1).alias("a"), F.col("m"))).alias("wanted"))
 
     def tell(batches):
-        seen = None
+        seen, rows, size = None, [], 0
+
+        def told():
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["key", "c1", "c2", "n", "hot", "piece"])
+
         for batch in batches:
             raw, at = buffers(batch["text"])
-            rows = []
             for k, own in enumerate(batch["wanted"].to_pylist()):
                 now = (batch["r1"][k].as_py(), batch["r2"][k].as_py())
                 if own and now != seen:
                     for w in own:
                         a = int(at[k]) + w["a"]
                         rows.append((w["key"], w["c1"], w["c2"], w["n"], w["hot"], raw[a : a + w["m"] + least - 1].tobytes()))
+                        size += w["m"] + least
                 seen = now
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["key", "c1", "c2", "n", "hot", "piece"])
+                if size > BLOCK:
+                    yield told()
+                    rows, size = [], 0
+        if rows:
+            yield told()
 
     pieces = scratch.keep(plain.select("r1", "r2", "text").join(wanted, ["r1", "r2"]).mapInArrow(tell, "key long, c1 long, c2 long, n long, hot boolean, piece binary"))
 
