@@ -249,6 +249,7 @@ class Index:
         staged.drop()
 
     def drop(self) -> None:
-        shutil.rmtree(self.path, ignore_errors=True)
+        for path in (self.path, f"{self.path}.feed"):
+            shutil.rmtree(path, ignore_errors=True)
         if os.path.exists(self.path + ".lock"):
             os.remove(self.path + ".lock")
