@@ -1,7 +1,7 @@
 """Exact substring dedup by threshold-bounded interval expansion on Burrows-Wheeler transforms.
 
 A string of LEAST bytes is a window. Windows that may be equal must meet in one transform, so each is dealt by its anchor, the
-GRAM bytes in it whose first 24 have the least hash (the first, if tied): a function of the window's own bytes. Neighbouring windows of a document
+GRAM bytes in it that have the least hash (the first, if tied): a function of the window's own bytes. Neighbouring windows of a document
 with one anchor travel as one piece, the bytes they span; equal pieces are counted into one with a weight, and a piece whose anchor stands
 nowhere else has no repeats and does not travel at all. What is left is one text a different piece, from one document
 that holds it.
@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm._flat import U64, buffers
+from orrery.llm._flat import U64, buffers, mix
 from orrery.llm._store import Scratch
 
 LEAST, GRAM = 400, 64
 BLOCK, HOT = 2 << 20, 4096
 SLICE, ROWS = 1 << 20, 1 << 15
+ODD = mix(np.arange(1, 9, dtype=U64)) | U64(1)
 RUNS = "r1 long, r2 long, key long, c1 long, c2 long, m int, starts array<int>"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -54,16 +55,17 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 def runs(raw: np.ndarray, least: int = LEAST, gram: int = GRAM):
     """Of one document: first window, number of windows and anchor's hash of each run of windows with one anchor. Anchors are picked
-    by the hash of their first 8 to 24 bytes (gram: 8 or more)."""
+    by a hash of all their bytes (gram: 8 to 64; of a multiple of 8): fewer of them, and repeated words would bring anchors close together."""
     n, width = len(raw) - least + 1, least - gram + 1
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))]
     for a in range(0, max(n, 0), SLICE):
         b = min(n, a + SLICE)
         part = np.concatenate([raw[a : b + least - 1], np.zeros(8, np.uint8)])
         n_at = b - a + width - 1
-        marks = np.zeros(n_at, U64)  # of the anchor's first bytes; high bits depend on all of them
-        for k, odd in zip(range(0, gram - 7, 8), (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)):
-            marks += np.ndarray((n_at,), "<u8", part, k, (1,)) * U64(odd)
+        words = np.ndarray((len(part) - 7,), "<u8", part, 0, (1,)).copy()
+        marks = np.zeros(n_at, U64)  # high bits depend on all bytes of the anchor
+        for k, odd in zip(range(0, gram - 7, 8), ODD):
+            marks += words[k : k + n_at] * odd
         marks &= U64(0xFFFFFFFFFF000000)
         marks |= np.arange(n_at, dtype=U64)
         anchor = (_least(marks, width) & U64(0xFFFFFF)).astype(np.int64)
