@@ -36,6 +36,11 @@ def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callab
     kilobytes, however many rows there are."""
     keys = [f"_by_{k}" for k in range(len(by))]
     plain = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("_v"), F.col(value).cast("double").alias("_d"))
+    if (plain.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= most:  # groups that a task can sort whole
+        counts = plain.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+        upto, n = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")), F.sum("_c").over(Window.partitionBy(*keys))
+        own = counts.select(*keys, "_v", upto.alias("_to"), n.alias("_n")).groupBy(*keys).agg(*[F.min(F.when((F.col("_to") >= rank(F.col("_n"))) & (rank(F.col("_n")) >= 1), F.col("_v"))).alias(name) for name, rank in ranks.items()])
+        return own.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *ranks)
     sketch = lambda: F.kll_sketch_agg_double(F.when(~F.isnan("_d"), F.col("_d")), F.lit(SKETCH)).alias("_s")
     groups = plain.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(F.isnan("_d")).alias("_nan"), sketch())
     asked = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), rank(F.col("_n")).cast("long").alias("_t")) for name, rank in ranks.items()]))
