@@ -633,7 +633,7 @@ def test_repetitive_texts(spark):
     rows = [(1, "a" * 20_000), (2, "the answer is yes. " * 600), (3, "b" * 20_000), (4, "zz " + "a" * 300 + " xx"), (6, "q" * 100 + items[2][1] + "a" * 5000), (7, "a" * 90), (8, "a" * 90), (9, "a" * 60)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, rows), bench).collect()}
-    assert got == decontamination.brute_force(rows, items) and len(got) == 7
+    assert got == decontamination.brute_force(rows, items) and len(got) == 8
     long = [(1, "a" * 2_000_000), (2, "the answer is yes. " * 100_000)]
     assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(frame(spark, long), bench).collect()} == {(1, 1), (2, 2)}
 
