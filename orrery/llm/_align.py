@@ -208,8 +208,9 @@ class Patterns:
         return out
 
     def find(self, texts: pa.Array, need: np.ndarray | None = None, share: float = 0.0):
-        """Arrays of verified regions: text, piece, edits, and the bytes [start, end) of the text they cover; share:
-        leave out owners that cannot be covered so far."""
+        """Arrays of verified regions: text, piece, edits, and the bytes [start, end) of the text they cover, the start taken as
+        the end less the piece's length, so insertions and deletions move it by the budget at most; share: leave out
+        owners that cannot be covered so far."""
         raw, offsets = buffers(texts)
         need = self.need if need is None else need
         out = [tuple(np.zeros(0, np.int64) for _ in range(5))]
