@@ -8,7 +8,7 @@ import pyarrow as pa
 from orrery.llm._flat import LOWER, U64, buffers, mix, pieces
 
 FAR = 1 << 20
-SEEDS, PERIOD = 1 << 17, 64
+SEEDS, PERIOD, BINS = 1 << 17, 64, 18
 
 
 def _plain() -> np.ndarray:
@@ -76,13 +76,19 @@ def told_elsewhere(plain: np.ndarray, offsets: np.ndarray, span: int) -> np.ndar
     periods before and after, up to both ends of the stretch, where places are kept. Periods up to PERIOD are looked for, which
     must not exceed span, as stretches of different periods overlap by less than both together."""
     told = np.zeros(len(plain), bool)
+    words = np.ndarray((len(plain),), "<u8", np.concatenate([plain, np.zeros(8, np.uint8)]), 0, (1,))
+    spots = np.arange(0, len(plain), span)  # a stretch that is long enough repeats itself for ``span`` bytes from one of these
     for p in range(1, min(PERIOD, span, len(plain) - 1) + 1):
-        same = plain[p:] == plain[:-p]
-        over = (offsets[1:-1, None] - 1 - np.arange(p)).ravel()
-        same[over[(over >= 0) & (over < len(same))]] = False
-        broken = np.concatenate([[-1], np.flatnonzero(~same), [len(same)]])
-        for k in np.flatnonzero(np.diff(broken) > 2 * span + 2 * p).tolist():
-            told[broken[k] + 1 + span + p : broken[k + 1] - span] = True
+        at = spots
+        for k in range(0, span - 7, 8):
+            at = at[at + k + p < len(plain)]
+            at = at[words[at + k] == words[at + k + p]]
+        own = np.unique(np.searchsorted(offsets, at, "right") - 1)  # texts to be looked at byte by byte
+        for a, b in zip(offsets[own].tolist(), offsets[own + 1].tolist()):
+            same = plain[a + p : b] == plain[a : max(a, b - p)]
+            broken = np.concatenate([[-1], np.flatnonzero(~same), [len(same)]])
+            for k in np.flatnonzero(np.diff(broken) > 2 * span + 2 * p).tolist():
+                told[a + broken[k] + 1 + span + p : a + broken[k + 1] - span] = True
     return told
 
 
@@ -269,7 +275,11 @@ class Windows(Patterns):
         piece, diagonal = self.piece[which].astype(np.int64), place - self.place[which]
         half = self.budget[piece] + 1
         band = np.concatenate([diagonal // half, diagonal // half - 1])
-        seed, t, p, x = np.tile(np.arange(len(place)), 2), np.tile(text, 2), np.tile(piece, 2), np.tile(place, 2)
+        # bands share bins of a rough count, and only seeds of full bins are sorted
+        bins = (mix((np.tile(text, 2) << 40 ^ np.tile(piece, 2) << 20 ^ band).view(U64)) >> U64(64 - BINS)).astype(np.int64)
+        full = np.bincount(bins, minlength=1 << BINS)[bins] >= np.tile(self.need[piece], 2)
+        seed, band = np.flatnonzero(full) % len(place), band[full]
+        t, p, x = text[seed], piece[seed], place[seed]
         order = np.lexsort((x, band, p, t))
         seed, t, p, x, band = seed[order], t[order], p[order], x[order], band[order]
         new = np.ones(len(t), bool)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -608,6 +609,50 @@ def test_registry_names():
     assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
 
 
+def passes_by_period(plain, offsets, span):
+    """told_elsewhere by a pass over all bytes for every period."""
+    told = np.zeros(len(plain), bool)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        for p in range(1, min(_align.PERIOD, span, len(plain) - 1) + 1):
+            broken = [-1, *[k for k in range(max(b - a - p, 0)) if plain[a + k] != plain[a + k + p]], max(b - a - p, 0)]
+            for x, y in zip(broken, broken[1:]):
+                if y - x > 2 * span + 2 * p:
+                    told[a + x + 1 + span + p : a + y - span] = True
+    return told
+
+
+@pytest.mark.parametrize("span", [3, 8, 20, 69])
+def test_told_elsewhere(span):
+    """Stretches of any period, at both ends of texts and across them, beside empty texts and texts of no period."""
+    rng = random.Random(span)
+    texts = ["", "a" * 700, "a" * 300, "ab" * 40, "", "x"]
+    for _ in range(30):
+        unit = "".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 3, 7, 19, 60, 64, 65])))
+        texts.append("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(200))) + (unit * 400)[: rng.randrange(500)] + "".join(rng.choice("ab") for _ in range(rng.randrange(3))))
+    plain = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = _align.told_elsewhere(plain, offsets, span)
+    assert np.array_equal(got, passes_by_period(plain, offsets, span)) and 0 < got.sum() < len(got)
+    assert not _align.told_elsewhere(plain[:0], np.zeros(1, np.int64), span).any()
+
+
+def test_told_elsewhere_is_cheap():
+    """Text of no period costs less than a pass over its bytes for each of the 64 periods."""
+    plain = np.random.default_rng(1).integers(97, 123, 2 << 20).astype(np.uint8)
+    offsets = np.arange(0, len(plain) + 1, 1 << 12)
+
+    def least(f):
+        out = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            out.append(time.process_time() - began)
+        return min(out)
+
+    one = least(lambda: np.diff(np.flatnonzero(plain[1:] != plain[:-1])))
+    assert least(lambda: _align.told_elsewhere(plain, offsets, 69)) < 25 * one
+
+
 def thue_morse(n=1024):
     """Two words that polynomial hashes modulo a power of two can't tell apart, whatever the base."""
     t = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
