@@ -67,6 +67,47 @@ def test_find_repeats(spark):
     assert found(spark, []) == []
 
 
+def test_copies_are_not_transformed(spark, monkeypatch):
+    """Pieces that are found twice or more each, and no others with their anchors, need no transform; those beside a piece of
+    another text do."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = text(3000), text(900), text(500)
+    rows = [(1, a), (2, a), (3, b), (4, b), (5, b)]
+    with monkeypatch.context() as m:
+        m.setattr(suffix_dedup, "repeats", lambda *_: 1 / 0)
+        assert found(spark, rows) == sorted(suffix_dedup.brute_force(rows), key=repr)
+    rows += [(6, "x" + b[100:]), (7, a[:1500] + c), (8, c)]
+    assert found(spark, rows) == sorted(suffix_dedup.brute_force(rows), key=repr)
+    assert found(spark, rows, hot=0) == sorted(suffix_dedup.brute_force(rows), key=repr)
+
+
+@pytest.mark.parametrize("n", [300, 5000, 40_000])
+def test_suffix_order(n):
+    """Against a plain sort, with as many ranks a number as the size allows (7, 4 and 3), and ends within every round."""
+    rng = np.random.default_rng(n)
+    pieces = [bytes(rng.choice(list(b"ab"), rng.integers(1, 30))) * int(rng.integers(1, 40)) for _ in range(1 + n // 300)]
+    size = np.array([len(p) for p in pieces])
+    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+    left = np.repeat(np.cumsum(size + 1) - 1, size + 1) - np.arange(len(text))
+    order = suffix_dedup.suffix_order(text, left, 400)
+    raw, ends = text.tobytes(), left.tolist()
+    key = lambda k: raw[k : k + min(ends[k], 400)] + b"\0" * (ends[k] < 400)
+    got = [key(k) for k in order.tolist()]
+    assert sorted(order.tolist()) == list(range(len(text))) and got == sorted(got)
+
+
+def test_sort_rounds(monkeypatch):
+    """A sort of 400 bytes takes one round for 8 bytes and four more, as several ranks share a number."""
+    piece = bytes(np.random.default_rng(3).integers(97, 123, 30_000).astype(np.uint8))
+    text = np.frombuffer(piece + b"\0" + piece + b"!\0", np.uint8)
+    left = np.concatenate([np.arange(30_000, -1, -1), np.arange(30_001, -1, -1)])
+    calls, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    suffix_dedup.suffix_order(text, left, 400)
+    assert len(calls) <= 5
+
+
 def test_short_windows(spark):
     rows = texts(2)[:40]
     assert found(spark, rows, 50, 12) == sorted(suffix_dedup.brute_force(rows, 50), key=repr)
