@@ -127,30 +127,57 @@ def _places(n: int, first: int, last: int) -> np.ndarray:
     return np.array([own for k in range(last) if (own := rng.choices(size, k=n)) and k >= first], np.int64)
 
 
+@lru_cache(maxsize=16)
+def _times(n: int, first: int, last: int) -> np.ndarray:
+    """How often each of n places (a row) is drawn in each of the draws ``first`` to ``last`` (a column)."""
+    out = np.zeros((n, last - first), np.min_scalar_type(n))
+    np.add.at(out, (_places(n, first, last).T, np.arange(last - first)), 1)
+    return out
+
+
+def _drawn_medians(values: np.ndarray, first: int, last: int) -> np.ndarray:
+    """np.median(values[draws], axis=1): values are sorted once, and the counts of what each draw took are added up in that order."""
+    n, times = len(values), _times(len(values), first, last)
+    if np.isnan(values).any():
+        return np.median(values[_places(n, first, last)], axis=1)
+    order = np.argsort(values)
+    upto, own = np.cumsum(times[order], axis=0, dtype=times.dtype), values[order]
+    low, high = (own[(upto <= k).sum(0, dtype=times.dtype)] for k in ((n - 1) // 2, n // 2))
+    return low if n % 2 else (low + high) / 2
+
+
 def change_draws(a: np.ndarray, b: np.ndarray, first: int, last: int) -> np.ndarray:
     """Relative changes of medians of the draws ``first`` to ``last`` of paired samples, the same whichever task asks for them."""
-    places = _places(len(a), first, last)
-    return 1 - np.median(b[places], axis=1) / np.median(a[places], axis=1)
+    return 1 - _drawn_medians(b, first, last) / _drawn_medians(a, first, last)
 
 
-def bootstrap(samples: DataFrame, block: int = 250) -> DataFrame:
-    """scenario, change, low and high of each scenario's paired samples (scenario, side, n, seconds). Draws are dealt in blocks, so
-    that one scenario keeps several tasks busy; a row is a scenario's pairs, a few dozens. A sample without its other side is an error."""
+def bootstrap(samples: DataFrame, block: int | None = None) -> DataFrame:
+    """scenario, change, low and high of each scenario's paired samples (scenario, side, n, seconds). A row is a scenario's pairs, a few
+    dozens. Where scenarios are fewer than tasks, their draws are dealt in blocks (of ``block``; 250 by default), so that one scenario
+    keeps several tasks busy; many take all draws in one task each, and no draw is shuffled. A sample without its other side is an error."""
     own = samples.groupBy("scenario", "n").agg(*[F.max(F.when(F.col("side") == s, F.col("seconds"))).alias(s) for s in ("reference", "candidate")])
     wrong = F.raise_error(F.concat("scenario", F.lit(": samples don't come in pairs"))).cast("double")
     own = own.withColumns({s: F.coalesce(s, wrong) for s in ("reference", "candidate")})
     pairs = own.groupBy("scenario").agg(F.array_sort(F.collect_list(F.struct("n", "reference", "candidate"))).alias("_p"))
-    pairs = pairs.select("scenario", F.col("_p.reference").alias("a"), F.col("_p.candidate").alias("b"))
-    blocks = pairs.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1), F.lit(block)))).repartition("scenario", "first")
+    pairs = kept(pairs.select("scenario", F.col("_p.reference").alias("a"), F.col("_p.candidate").alias("b")))
+    n, tasks = pairs.count(), 2 * samples.sparkSession.sparkContext.defaultParallelism
+    block = block or (DRAWS if n >= tasks else 250)
+    parts = max(tasks, min(4096, n // 4096))
+    blocks = pairs.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1), F.lit(block)))).repartition(parts, "scenario", "first")
 
     def draw(frames):
         for frame in frames:
-            for s, a, b, first in zip(frame["scenario"], frame["a"], frame["b"], frame["first"]):
+            out = []
+            for a, b, first in zip(frame["a"], frame["b"], frame["first"]):
                 a, b = np.asarray(a, float), np.asarray(b, float)
-                drawn = change_draws(a, b, first, min(first + block, DRAWS))
-                yield pd.DataFrame({"scenario": [s] * len(drawn), "change": [float(1 - np.median(b) / np.median(a))] * len(drawn), "drawn": drawn})
-
-    drawn = blocks.mapInPandas(draw, "scenario string, change double, drawn double").groupBy("scenario").agg(F.first("change").alias("change"), F.array_sort(F.collect_list("drawn")).alias("_d"))
+                drawn = np.sort(change_draws(a, b, first, min(first + block, DRAWS)))
+                out.append((float(1 - np.median(b) / np.median(a)), drawn if block < DRAWS else drawn[[LOW, HIGH]]))
+            yield pd.DataFrame({"scenario": frame["scenario"], "change": [x for x, _ in out], "drawn": [x for _, x in out]})
+
+    drawn = blocks.mapInPandas(draw, "scenario string, change double, drawn array<double>")
+    if block >= DRAWS:
+        return drawn.select("scenario", "change", F.element_at("drawn", 1).alias("low"), F.element_at("drawn", 2).alias("high"))
+    drawn = drawn.groupBy("scenario").agg(F.first("change").alias("change"), F.array_sort(F.flatten(F.collect_list("drawn"))).alias("_d"))
     return drawn.select("scenario", "change", F.element_at("_d", LOW + 1).alias("low"), F.element_at("_d", HIGH + 1).alias("high"))  # DRAWS numbers each
 
 

@@ -105,6 +105,26 @@ def test_ranks_by_brackets(spark, most):
     assert stats.at_ranks(df.where("false"), ["g"], "v", {"m": lambda n: n}, most).count() == 0
 
 
+def test_drawn_medians():
+    """Bit for bit the medians of the values drawn: ties, infinities, NaN, odd and even numbers, and more than a byte counts."""
+    rng = random.Random(4)
+    for n in (1, 2, 7, 30, 300):
+        for pool in ([1.5, 2.5, 1e-3], [rng.gauss(0, 9) for _ in range(50)], [1.0, float("inf"), 3.0], [2.0, float("nan"), 5.0]):
+            values = np.array([rng.choice(pool) for _ in range(n)])
+            want = np.median(values[stats._places(n, 250, 500)], axis=1)
+            assert np.array_equal(stats._drawn_medians(values, 250, 500), want, equal_nan=True)
+
+
+def test_bootstrap_of_many(spark):
+    """Many scenarios: one row each leaves a task, and no draw is shuffled."""
+    rng = random.Random(6)
+    own = {f"s{k}": ([rng.random() + 1 for _ in range(10)], [rng.random() + 1 for _ in range(10)]) for k in range(60)}
+    samples = spark.createDataFrame([(s, side, k, v) for s, both in own.items() for side, own_side in zip(("reference", "candidate"), both) for k, v in enumerate(own_side)], "scenario string, side string, n int, seconds double")
+    got = stats.bootstrap(samples)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+    assert {r.scenario: (r.change, r.low, r.high) for r in got.collect()} == {s: stats.change_interval(a, b) for s, (a, b) in own.items()}
+
+
 def test_bootstrap_blocks(spark):
     """Blocks of draws of any size give the interval of all draws at once."""
     rng = random.Random(3)
