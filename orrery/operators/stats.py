@@ -183,6 +183,10 @@ def bootstrap(samples: DataFrame, block: int | None = None) -> DataFrame:
 
 def medians(samples: DataFrame) -> DataFrame:
     """Median seconds and resident bytes of each scenario and side."""
+    return _medians(kept(samples.select("scenario", "side", "seconds", "rss_bytes")))
+
+
+def _medians(samples: DataFrame) -> DataFrame:
     both = ["scenario", "side"]
     return median(samples, both, "seconds", "seconds").join(median(samples, both, "rss_bytes", "rss_bytes"), both)
 
@@ -202,7 +206,8 @@ def sample_order(pairs: DataFrame) -> DataFrame:
 
 def report(samples: DataFrame) -> DataFrame:
     """One row a scenario: medians of both sides in milliseconds and MiB, and the change with its interval in per cent."""
-    mid = medians(samples)
+    samples = kept(samples.select("scenario", "side", "n", "seconds", "rss_bytes"))  # read several times, made once
+    mid = _medians(samples)
     of = lambda side, c, unit: F.max(F.when(F.col("side") == side, F.col(c) * unit))
     sides = [of(s, c, unit).alias(f"{s}_{name}") for c, unit, name in (("seconds", 1000.0, "ms"), ("rss_bytes", 1 / (1 << 20), "mib")) for s in ("reference", "candidate")]
     change = bootstrap(samples.select("scenario", "side", "n", "seconds"))

@@ -125,6 +125,22 @@ def test_bootstrap_of_many(spark):
     assert {r.scenario: (r.change, r.low, r.high) for r in got.collect()} == {s: stats.change_interval(a, b) for s, (a, b) in own.items()}
 
 
+def test_report_makes_samples_once(spark):
+    """The samples of a report are computed once, whatever reads them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    rows = [(f"s{s}", side, n, 1.0 + s + n, 1024 * n) for s in range(3) for side in ("reference", "candidate") for n in range(4)]
+    schema = "scenario string, side string, n int, seconds double, rss_bytes long"
+    samples = spark.createDataFrame(rows, schema).mapInPandas(count, schema)
+    assert stats.report(samples).count() == 3 and made.value == 24
+    assert stats.medians(samples).count() == 6 and made.value == 48
+
+
 def test_bootstrap_blocks(spark):
     """Blocks of draws of any size give the interval of all draws at once."""
     rng = random.Random(3)
