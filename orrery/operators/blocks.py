@@ -7,9 +7,10 @@ threshold, is skipped: its files are not listed among those to read. Blocks that
 and the answers are those of a scan, bit for bit.
 
 One query reads its best blocks first and then what their k-th score leaves. Many queries do the same in three steps, each a
-batch search: (q, |q|) among the bounds (c, r) gives each one's best blocks; these give it a k-th score s; and (q, |q|, -s)
-among (c, r, 1) gives the blocks that may still hold a better one. Queries travel to the blocks that they need; a block that
-more than ``QUERIES`` of them ask for is met by so many at a time. Nothing of the size of the data reaches the driver: one number
+batch search: (q, |q|) among the bounds (c, r) gives each one's best blocks; these give it a k-th score s; and where q.c + |q| r reaches s
+a block may still hold a better one. That is judged in cells of up to ``QUERIES`` queries and some CELL vectors, whose task
+returns ``top`` rows a query, so no pair of query and block travels; blocks that no query of a cell needs aren't read for it, and
+where more than a share DENSE of its pairs are needed it is met whole. Nothing of the size of the data reaches the driver: one number
 a block does.
 """
 
@@ -27,7 +28,7 @@ from orrery.functions.vectors import dot, finite, literal
 from orrery.operators.ranking import _best, batch_search, search
 from orrery.sources.shared import kept, new_folder
 
-BLOCK_ROWS, PIVOTS, QUERIES, FIRST = 1 << 16, 4096, 8192, 2
+BLOCK_ROWS, PIVOTS, QUERIES, FIRST, DENSE, CELL = 1 << 16, 4096, 8192, 2, 0.5, 1 << 14
 SLACK = 1e-9  # relative, for sums of doubles in another order
 
 
@@ -162,7 +163,69 @@ class Layout:
         least = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == top).select("query_id", F.col("score").alias("_s"))
         need = asked.withColumn("_len", length).join(least, "query_id", "left").withColumn("_s", F.greatest(F.coalesce("_s", F.lit(threshold)), F.lit(-1e300)))
         need = need.withColumn("_s", F.col("_s") - SLACK * (1.0 + F.abs("_s") + F.col("_len")))
-        after = batch_search(self.bounds.select(ids, of(F.lit(1.0)).alias("embedding")), need.select("query_id", F.concat("embedding", F.array("_len", -F.col("_s"))).alias("embedding")), n_blocks, 0.0, "_block", own=True)
-        more = kept(after.select("query_id", F.col("_block").cast("int").alias("block")).join(pairs, ["query_id", "block"], "left_anti"))
-        ranked = found.unionByName(self._meet(more, asked, top, threshold)).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-        return ranked.select("query_id", F.col("key").alias(key), "score", "rank"), Report(pairs.count() + more.count(), n_blocks * n_asked)
+        need = need.join(pairs.groupBy("query_id").agg(F.collect_list("block").alias("_seen")), "query_id", "left")
+        ranked, read = self._rest(need, top, threshold, n_asked)
+        ranked = ranked.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+        return ranked.select("query_id", F.col("key").alias(key), "score", "rank"), Report(read, n_blocks * n_asked)
+
+    def _rest(self, need: DataFrame, top: int, threshold: float, n_asked: int) -> tuple[DataFrame, int]:
+        """query_id, key and score of the best of each query in each cell, and how many pairs of query and block were met. need:
+        query_id, embedding, _len (its length), _s (what a block's bound must reach) and _seen (blocks that gave it _s)."""
+        count, most = self.bounds.agg(F.sum("rows"), F.max("block")).first()
+        per = max(1, CELL * (most + 1) // max(1, count))  # blocks of a cell
+        tasks = 2 * self.spark.sparkContext.defaultParallelism * per // (most + 1)  # groups that keep as many tasks busy
+        groups, cells = max(-(-n_asked // QUERIES), min(-(-n_asked // 256), tasks)), ["_g", "_d", "_n"]
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = need.withColumn("_n", F.size("embedding")).withColumn("_g", F.pmod(F.xxhash64("query_id", F.lit("deal")), F.lit(groups)).cast("int")).withColumn("_d", every(most // per + 1))
+        left = left.select("query_id", "embedding", "_len", "_s", F.coalesce("_seen", F.array().cast("array<int>")).alias("_seen"), *cells)
+        centres = self.bounds.select(F.lit(None).cast("long").alias("key"), F.col("centre").alias("embedding"), "block", "radius", "_n").withColumn("_d", F.floor(F.col("block") / per).cast("int"))
+
+        def wanted(a: pa.Table, c: pa.Table):
+            """Blocks in order, and which of them each query of a needs."""
+            c = c.sort_by("block")
+            block, q = c["block"].to_numpy(), _matrix(a["embedding"])
+            mask = q @ _matrix(c["embedding"]).T + a["_len"].to_numpy()[:, None] * c["radius"].to_numpy() >= a["_s"].to_numpy()[:, None]
+            return block, q, mask
+
+        def ask(a: pa.Table, c: pa.Table) -> pa.Table:
+            out = [np.zeros(0, np.int32)] * 2 + [np.zeros(0, np.int64)]
+            if len(a) and len(c):
+                block, _, mask = wanted(a, c)
+                if mask.mean() > DENSE:
+                    mask[:] = True
+                own, pairs = np.flatnonzero(mask.any(0)), mask.copy()
+                seen = a["_seen"].combine_chunks()
+                who, what = pc.list_parent_indices(seen).to_numpy(), pc.list_flatten(seen).to_numpy()
+                at = np.minimum(np.searchsorted(block, what), len(block) - 1)
+                pairs[who[block[at] == what], at[block[at] == what]] = True
+                out = [np.full(len(own), a["_g"][0].as_py(), np.int32), block[own].astype(np.int32), np.full(len(own), 0)]
+                out = [np.append(out[0], np.int32(-1)), np.append(out[1], np.int32(-1)), np.append(out[2], int(pairs.sum()))]
+            return pa.table(dict(zip(("_g", "block", "pairs"), out)))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            own = pc.is_valid(b["key"])
+            x, c = b.filter(own), b.filter(pc.invert(own))
+            if len(a) and len(x):
+                block, q, mask = wanted(a, c)
+                ids, keys, vectors, at = a["query_id"].to_numpy(), x["key"].to_numpy(), _matrix(x["embedding"]), x["block"].to_numpy()
+                if mask.mean() > DENSE:  # next to all is needed: all at once
+                    found.append(_best(ids, q, keys, vectors, top, threshold))
+                else:
+                    for k in np.flatnonzero(mask.any(0)).tolist():
+                        who, rows = np.flatnonzero(mask[:, k]), np.flatnonzero(at == block[k])
+                        found.append(_best(ids[who], q[who], keys[rows], vectors[rows], top, threshold))
+            ids, keys, score = (np.concatenate(f) for f in zip(*found))
+            order = np.lexsort((keys, -score, ids))
+            first = np.searchsorted(ids[order], ids[order], "left")
+            order = order[np.arange(len(order)) - first < top]
+            return pa.table({"query_id": ids[order], "key": keys[order], "score": score[order]})
+
+        dealt = centres.withColumn("_g", every(groups))
+        asking = kept(left.groupBy(*cells).cogroup(dealt.select("key", "embedding", "block", "radius", *cells).groupBy(*cells)).applyInArrow(ask, "_g int, block int, pairs long"))
+        some = asking.where("block >= 0").select("_g", "block")
+        vectors = self.vectors.withColumn("radius", F.lit(None).cast("double")).withColumn("_n", F.size("embedding")).withColumn("_d", F.floor(F.col("block") / per).cast("int"))
+        names = ["key", "embedding", "block", "radius", "_n", "_d"]
+        right = vectors.join(some, "block").select(*names, "_g").unionByName(dealt.select(*names, "_g"))
+        best = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(meet, "query_id long, key long, score double")
+        return best, asking.where("block < 0").agg(F.sum("pairs")).first()[0] or 0

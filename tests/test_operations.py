@@ -59,6 +59,19 @@ def test_blocks_many_queries(clusters, top, threshold):
     assert layout.batch_search(asked.limit(0), 3)[0].count() == 0
 
 
+def test_blocks_without_structure(spark, monkeypatch):
+    """Where nearly all blocks are needed, queries are paired with their first blocks alone, and answers are those of a scan."""
+    x = np.random.default_rng(2).normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9000, [1.0, 2.0]), (9001, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    layout = Layout.write(df, "vec_id", block_rows=30, pivots=50)
+    pairs, plain = [], Layout._meet
+    monkeypatch.setattr(Layout, "_meet", lambda self, own, *a: pairs.append(own.count()) or plain(self, own, *a))
+    asked = df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    got, report = layout.batch_search(asked, 10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ranking.batch_search(df, asked, 10).collect()))
+    assert sum(pairs) <= 2 * asked.count() and 0.5 < report.share <= 1
+
+
 def test_bucketed(spark):
     """Reconciling and applying shuffle what comes in alone; versions follow one another."""
     rng = random.Random(2)
